@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash, sharding, warc
+from . import decontamination, minhash, sharding, warc
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
 TABLE_SIZE = 10_007
@@ -16,6 +16,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.components(table(spark, sf_dir, "documents"))
 
@@ -31,8 +36,31 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_minhash": op4_minhash, "op8_warc": op8_warc, "op9_sharding": op9_sharding}
-
+    return {"op1_decontamination": op1_decontamination, "op4_minhash": op4_minhash, "op8_warc": op8_warc, "op9_sharding": op9_sharding}
+
+
+OP1_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS t FROM documents
+), b AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS t FROM benchmark
+), w AS (
+  SELECT DISTINCT item_id, least(len(t), 10) AS n, array_to_string(t[i : i + 9], ' ') AS g
+  FROM (SELECT item_id, t, unnest(range(1, greatest(len(t) - 8, 2))) AS i FROM b WHERE len(t) > 0)
+), o AS (
+  SELECT x.doc_id, x.i, x.n, w.item_id
+  FROM (SELECT doc_id, n, i, array_to_string(t[i : i + n - 1], ' ') AS g
+        FROM (SELECT doc_id, t, n, unnest(range(1, len(t) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM w) WHERE len(t) >= n)) x
+  JOIN w ON w.n = x.n AND w.g = x.g
+), h AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM (SELECT DISTINCT doc_id, i, n FROM o)) GROUP BY doc_id
+), it AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM o) GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(d.t) AS BIGINT) AS n_words, CAST(coalesce(h.n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(it.n_items, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(it.items, '')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN it USING (doc_id)
+"""
 
 OP4_SQL = r"""
 WITH RECURSIVE w AS (
@@ -77,4 +105,4 @@ SELECT doc_id, source, slot, CAST(owners[slot + 1] AS INTEGER) AS shard FROM k,
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_minhash": op4_minhash, "op8_warc": OP8_SQL, "op9_sharding": op9_sql()}
+    return {"op1_decontamination": OP1_SQL, "op4_minhash": OP4_SQL, "op8_warc": OP8_SQL, "op9_sharding": op9_sql()}
