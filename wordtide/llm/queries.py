@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, minhash, sharding, warc
+from . import classifier, decontamination, licenses, minhash, sharding, warc
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
 TABLE_SIZE = 10_007
@@ -25,6 +25,14 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.components(table(spark, sf_dir, "documents"))
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.licenses(table(spark, sf_dir, "documents")).drop("kept")
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classifier.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archive = warc.write_archive(table(spark, sf_dir, "pages"))
     return warc.read_records(spark, archive).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -36,7 +44,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_decontamination": op1_decontamination, "op4_minhash": op4_minhash, "op8_warc": op8_warc, "op9_sharding": op9_sharding}
+    return {"op1_decontamination": op1_decontamination, "op3_licenses": op3_licenses, "op4_minhash": op4_minhash, "op6_quality": op6_quality, "op8_warc": op8_warc, "op9_sharding": op9_sharding}
 
 
 OP1_SQL = r"""
