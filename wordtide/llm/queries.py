@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import classifier, decontamination, licenses, minhash, sharding, warc
+from . import classifier, decontamination, licenses, minhash, mjpeg, sharding, warc
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
 TABLE_SIZE = 10_007
@@ -25,6 +26,10 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.components(table(spark, sf_dir, "documents"))
 
 
+def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mjpeg.features(mjpeg.media_column(table(spark, sf_dir, "documents"))).withColumn("n_clips", F.size("clips")).drop("clips")
+
+
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.licenses(table(spark, sf_dir, "documents")).drop("kept")
 
@@ -44,7 +49,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_decontamination": op1_decontamination, "op3_licenses": op3_licenses, "op4_minhash": op4_minhash, "op6_quality": op6_quality, "op8_warc": op8_warc, "op9_sharding": op9_sharding}
+    return {"op1_decontamination": op1_decontamination, "op2_media": op2_media, "op3_licenses": op3_licenses, "op4_minhash": op4_minhash, "op6_quality": op6_quality, "op8_warc": op8_warc, "op9_sharding": op9_sharding}
 
 
 OP1_SQL = r"""
