@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classifier, decontamination, licenses, minhash, mjpeg, sharding, warc
+from . import classifier, decontamination, licenses, linejoin, minhash, mjpeg, sharding, substring, warc
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
 TABLE_SIZE = 10_007
@@ -34,6 +34,14 @@ def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.licenses(table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.drop_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linejoin.line_dedup(table(spark, sf_dir, "documents"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -49,7 +57,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_decontamination": op1_decontamination, "op2_media": op2_media, "op3_licenses": op3_licenses, "op4_minhash": op4_minhash, "op6_quality": op6_quality, "op8_warc": op8_warc, "op9_sharding": op9_sharding}
+    return {"op1_decontamination": op1_decontamination, "op2_media": op2_media, "op3_licenses": op3_licenses, "op4_minhash": op4_minhash, "op5_substring": op5_substring, "op6_quality": op6_quality, "op8_warc": op8_warc, "op9_sharding": op9_sharding, "op10_lines": op10_lines}
 
 
 OP1_SQL = r"""
