@@ -14,7 +14,7 @@ Steps (``components``):
    smallest id), one pair per member, never all pairs;
 3. confirmed links are contracted to connected components by alternating star contractions;
 4. in buckets that still hold several components, the members outside the bucket's largest component
-   are tested against the members of other components, unless sizes or signatures rule the link out, each
+   are tested against the members of other components, unless sizes or signatures (finer ones for these) rule the link out, each
    pair in one bucket only. Pairs within a component are never made, so a large group of copies costs its
    stragglers times its size at most, and no link that a bucket proposes is lost.
 
@@ -45,6 +45,9 @@ BANDS = 32
 NUMERATOR, DENOMINATOR = 75, 100
 #: Agreeing values of 128 below which a pair is not tested: five standard deviations below the mean at similarity 0.75.
 LEAST_AGREEING = 71
+#: Pairs that pass are held against finer signatures of 512 values, made only for documents in question; 4.5 deviations.
+FINE_PERMUTATIONS = 256
+LEAST_FINE = 340
 _CHUNK = 8192
 _VOCABULARY = 400_000
 
@@ -142,16 +145,32 @@ def shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "shingles"])
 
 
+def fine_signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    a = (_constants(FINE_PERMUTATIONS, "fine a") >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+    b = (_constants(FINE_PERMUTATIONS, "fine b") >> np.uint64(32)).astype(np.uint32)
+    for batch in batches:
+        rows = [min_max_signature(s.values.to_numpy().view(np.uint64), a, b) for s in batch.column(1)]
+        short = [(row >> np.uint32(7)).astype(np.uint8).view(np.int64) for row in rows]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(short, pa.list_(pa.int64()))], names=["id", "fine"])
+
+
+def _differing_bytes(z: F.Column) -> F.Column:
+    """How many bytes of the long z are not zero."""
+    for by in (4, 2, 1):
+        z = z.bitwiseOR(F.shiftrightunsigned(z, by))
+    return F.bit_count(z.bitwiseAND(F.lit(0x0101010101010101)))
+
+
+def finely_agreeing(x: str, y: str) -> F.Column:
+    differing = F.zip_with(x, y, lambda p, q: _differing_bytes(p.bitwiseXOR(q)))
+    return F.lit(2 * FINE_PERMUTATIONS) - F.aggregate(differing, F.lit(0), lambda n, k: n + k)
+
+
 def agreeing(x: str, y: str) -> F.Column:
     """How many of the 128 one-byte signature values in two arrays of 16 longs agree."""
-    ones = F.lit(0x0101010101010101)
     total = F.lit(2 * PERMUTATIONS)
     for k in range(2 * PERMUTATIONS // 8):
-        z = F.col(x)[k].bitwiseXOR(F.col(y)[k])
-        folded = z.bitwiseOR(F.shiftrightunsigned(z, 4))
-        folded = folded.bitwiseOR(F.shiftrightunsigned(folded, 2))
-        folded = folded.bitwiseOR(F.shiftrightunsigned(folded, 1))
-        total = total - F.bit_count(folded.bitwiseAND(ones))
+        total = total - _differing_bytes(F.col(x)[k].bitwiseXOR(F.col(y)[k]))
     return total
 
 
@@ -187,7 +206,7 @@ def components(docs: DataFrame) -> DataFrame:
     links, _ = save(confirmed(tested, sets), "links")
     labels = connected_components(links)
 
-    more = _across_components(members, labels, classes)
+    more = _across_components(members, labels, classes, sets)
     if more is not None:
         more, path = save(more, "more")
         found, _ = save(confirmed(more, sets), "found")
@@ -200,16 +219,20 @@ def components(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_shingles", component_id.alias("component_id"), (F.col("doc_id") == component_id).alias("kept"))
 
 
-def _across_components(members: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame | None:
+def _across_components(members: DataFrame, labels: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame | None:
     """Untested pairs (a, b) of one bucket and different components that sizes and signatures allow."""
     rows = members.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
     by_component = rows.groupBy("key", "component").agg(F.count("*").alias("size"))
     mixed = by_component.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("size", "component")).alias("most")).where("parts > 1")
     rows = rows.join(mixed.select("key", F.col("most.component").alias("main")), "key")
-    rows, _ = save(rows.join(classes.select("id", "n", "bands", "sig"), "id"), "mixed")
+    rows, _ = save(rows, "mixed")
     if rows.isEmpty():
         return None
-    stray = rows.where("component <> main").select(*[F.col(c).alias(f"s_{c}") for c in ("key", "id", "component", "n", "bands", "sig")])
+    ids = rows.select("id").distinct()
+    fine = sets.join(ids, "id", "left_semi").mapInArrow(fine_signatures, "id bigint, fine array<bigint>")
+    signed, _ = save(classes.select("id", "n", "bands", "sig").join(fine, "id"), "signed")
+    rows = rows.join(signed, "id")
+    stray = rows.where("component <> main").select(*[F.col(c).alias(f"s_{c}") for c in ("key", "id", "component", "n", "bands", "sig", "fine")])
     # The bucket in which a pair is made is the first that both share.
     first = F.element_at(F.filter(F.zip_with("s_bands", "bands", lambda x, y: F.when(x == y, x)), lambda z: z.isNotNull()), 1)
     joined = stray.join(
@@ -219,6 +242,7 @@ def _across_components(members: DataFrame, labels: DataFrame, classes: DataFrame
         & ((F.col("component") == F.col("main")) | (F.col("s_id") < F.col("id")))
         & _may_link(F.col("s_n"), F.col("n"))
         & (agreeing("s_sig", "sig") >= LEAST_AGREEING)
-        & (first == F.col("key")),
+        & (first == F.col("key"))
+        & (finely_agreeing("s_fine", "fine") >= LEAST_FINE),
     )
     return joined.where("s_id <> pivot AND id <> pivot").select(F.least("s_id", "id").alias("a"), F.greatest("s_id", "id").alias("b")).distinct()
