@@ -17,7 +17,7 @@ are ignored.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -71,7 +71,7 @@ class Featuriser(dict):
         return np.concatenate([*(k[1] for k in known), pair_buckets(hashes, self.buckets)])
 
 
-def train(texts: list[str | None], labels: list[int], n_classes: int, buckets: int = BUCKETS, dim: int = DIM, epochs: int = EPOCHS, rate: float = RATE, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
+def train(texts: list[str | None], labels: list[int], n_classes: int, buckets: int = BUCKETS, dim: int = DIM, epochs: int = EPOCHS, rate: float = RATE, seed: int = SEED, min_steps: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Scores per bucket (buckets, n_classes) and the bias, both already multiplied by the output layer."""
     counts = np.bincount(labels, minlength=n_classes) if labels else np.zeros(n_classes)
     prior = (counts + 0.5) / (counts.sum() + 0.5 * n_classes)
@@ -88,6 +88,7 @@ def train(texts: list[str | None], labels: list[int], n_classes: int, buckets: i
     embedding = rng.uniform(-1 / dim, 1 / dim, (buckets, dim)).astype(np.float32)
     layer = rng.uniform(-1, 1, (dim, n_classes)).astype(np.float32)
     bias = bias.astype(np.float32)
+    epochs = max(epochs, -(-min_steps // len(docs)))
     total, done = epochs * len(docs), 0
     for _ in range(epochs):
         for k in rng.permutation(len(docs)):
@@ -108,8 +109,13 @@ def train(texts: list[str | None], labels: list[int], n_classes: int, buckets: i
     return (embedding @ layer).astype(np.float32), bias
 
 
-def _scorer(model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+SCORED = "struct<probabilities:array<double>,n_words:bigint>"
+
+
+def _scorer(model) -> Column:
+    """A UDF from texts to class probabilities and word counts."""
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         per_bucket, bias = model.value
         buckets, n_classes = per_bucket.shape
         number: dict[str, int] = {}
@@ -117,9 +123,10 @@ def _scorer(model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBat
         size, hashes = 1024, np.zeros(1024, np.uint64)
         counts, sums = np.zeros(1024), np.zeros((1024, n_classes))
         for batch in batches:
-            out = np.empty((batch.num_rows, n_classes))
-            for row, text in enumerate(batch.column(1)):
+            out, n_words = np.empty((len(batch), n_classes)), np.zeros(len(batch), np.int64)
+            for row, text in enumerate(batch):
                 words = (text.as_py() or "").split()
+                n_words[row] = len(words)
                 if len(number) > _CACHE:
                     number.clear()
                 for w in words:
@@ -139,9 +146,10 @@ def _scorer(model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBat
                 p = np.exp(z - z.max())
                 out[row] = p / p.sum()
             probabilities = pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, n_classes, dtype=np.int32)), pa.array(out.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), probabilities], names=["doc_id", "probabilities"])
+            yield pa.StructArray.from_arrays([probabilities, pa.array(n_words)], names=["probabilities", "n_words"])
 
-    return run
+    # Not deterministic for the planner only: a filter on the score must not evaluate it twice.
+    return F.arrow_udf(run, SCORED).asNondeterministic()
 
 
 class Classifier:
@@ -162,9 +170,10 @@ class Classifier:
         return cls(*train([x[2] for x in found], [x[1] for x in found], n_classes, **options))
 
     def score(self, docs: DataFrame) -> DataFrame:
-        """(doc_id, probabilities) for every row of ``docs``."""
+        """``docs`` with the columns __probabilities and __n_words (words split at white space)."""
         model = docs.sparkSession.sparkContext.broadcast((self.per_bucket, self.bias))
-        return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string")).mapInArrow(_scorer(model), "doc_id bigint, probabilities array<double>")
+        scored = docs.withColumn("__scored", _scorer(model)(F.col("text").cast("string")))
+        return scored.select("*", F.col("__scored.probabilities").alias("__probabilities"), F.col("__scored.n_words").alias("__n_words")).drop("__scored")
 
 
 def fold_of(doc_id: Column, folds: int = 5) -> Column:
@@ -178,6 +187,11 @@ def quality_model(docs: DataFrame, labels: DataFrame) -> Classifier:
 
 def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score (probability of quality 1) and predicted for every document row."""
-    scored = quality_model(docs, labels).score(docs)
-    score = F.col("probabilities")[1]
+    scored = quality_model(docs, labels).score(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"))
+    score = F.col("__probabilities")[1]
     return scored.select("doc_id", (fold_of(F.col("doc_id")) == 0).alias("held_out"), score.alias("score"), (score >= threshold).cast("int").alias("predicted"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs`` that score ``threshold`` or more, with their columns."""
+    return quality_model(docs, labels).score(docs).where(F.col("__probabilities")[1] >= threshold).select(*docs.columns)

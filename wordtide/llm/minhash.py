@@ -246,3 +246,10 @@ def _across_components(members: DataFrame, labels: DataFrame, classes: DataFrame
         & (finely_agreeing("s_fine", "fine") >= LEAST_FINE),
     )
     return joined.where("s_id <> pivot AND id <> pivot").select(F.least("s_id", "id").alias("a"), F.greatest("s_id", "id").alias("b")).distinct()
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is the smallest of its component, one row (the least) per doc_id; rows of null doc_id stay."""
+    kept = components(docs).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
+    rows = docs.join(kept, docs["doc_id"] == kept["__kept"], "left_semi").groupBy(F.col("doc_id").alias("__id")).agg(F.min(F.struct(*docs.columns)).alias("__row")).select("__row.*")
+    return rows.unionByName(docs.where("doc_id IS NULL"))

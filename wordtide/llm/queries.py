@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classifier, decontamination, licenses, linejoin, minhash, mjpeg, sharding, substring, warc
+from . import classifier, decontamination, licenses, linejoin, minhash, mixing, mjpeg, sharding, substring, warc
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
 TABLE_SIZE = 10_007
+DOMAIN_WEIGHTS = {"clean": 0.94, "toxic": 0.03, "junk": 0.03}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +47,12 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    mixed = mixing.mix(docs, mixing.label_domains(table(spark, sf_dir, "labels")), DOMAIN_WEIGHTS, columns=["doc_id"])
+    return mixed.select("doc_id", F.col("__n_words").alias("n_tokens"), F.col("__probabilities").alias("posterior"), "rate", mixing.copies(F.col("rate"), F.col("doc_id")).alias("copies"))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archive = warc.write_archive(table(spark, sf_dir, "pages"))
     return warc.read_records(spark, archive).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -57,7 +64,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_decontamination": op1_decontamination, "op2_media": op2_media, "op3_licenses": op3_licenses, "op4_minhash": op4_minhash, "op5_substring": op5_substring, "op6_quality": op6_quality, "op8_warc": op8_warc, "op9_sharding": op9_sharding, "op10_lines": op10_lines}
+    return {"op1_decontamination": op1_decontamination, "op2_media": op2_media, "op3_licenses": op3_licenses, "op4_minhash": op4_minhash, "op5_substring": op5_substring, "op6_quality": op6_quality, "op7_mixing": op7_mixing, "op8_warc": op8_warc, "op9_sharding": op9_sharding, "op10_lines": op10_lines}
 
 
 OP1_SQL = r"""
