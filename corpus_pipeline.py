@@ -4,17 +4,35 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wordtide.llm.queries import SHARDS, TABLE_SIZE
+from wordtide.llm import classifier, decontamination, minhash, mixing
+from wordtide.llm.queries import DOMAIN_WEIGHTS, SHARDS, TABLE_SIZE, table
 from wordtide.llm.sharding import place
 from wordtide.llm.storage import materialise
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return classifier.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return minhash.keep_one(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontamination.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.resample(docs, mixing.label_domains(table(spark, sf_dir, "labels")), DOMAIN_WEIGHTS)
+
+
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return place(docs, "doc_id", SHARDS, TABLE_SIZE)
 
 
-STAGES = [("sharding", shard)]
+STAGES = [("quality", quality), ("near_dedup", near_dedup), ("decontamination", decontaminate), ("mixing", mix), ("sharding", shard)]
 
+#: The classifier has no SQL form; tests check each stage.
 ORACLE_SQL = None
 
 
