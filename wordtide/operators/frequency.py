@@ -95,9 +95,13 @@ def lift(corpus: DataFrame, words: Sequence[str]) -> DataFrame:
     return rows.withColumn("expected", F.col("n1") * F.col("n2") / F.col("docs")).withColumn("lift", F.col("pairs") / F.col("expected"))
 
 
+def _occurrences(words: Sequence[str]) -> Column:
+    return F.size(F.filter("toks", lambda t: t.isin(*words)))
+
+
 def tone(corpus: DataFrame, lexicons: dict[str, Sequence[str]], *keys: str) -> DataFrame:
     """Per lexicon: percent of documents with a word of it, and its occurrences per 1,000 tokens (a ratio of sums)."""
-    count = {k: F.size(F.filter("toks", lambda t, w=tuple(w): t.isin(*w))) for k, w in lexicons.items()}
+    count = {k: _occurrences(w) for k, w in lexicons.items()}
     rows = corpus.select(*keys, F.size("toks").alias("ntok"), *[c.alias(k) for k, c in count.items()])
     out = [F.count("*").alias("n"), F.sum("ntok").alias("tokens")]
     for k in lexicons:
