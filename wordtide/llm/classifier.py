@@ -17,7 +17,7 @@ are ignored.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,11 +35,28 @@ SEED = 13
 _CACHE = 300_000
 
 
-def subwords(word: str, buckets: int) -> list[int]:
-    """The bucket of the word itself, then those of its character n-grams."""
-    framed = f"<{word}>"
-    grams = [framed[i : i + n] for n in range(MIN_N, MAX_N + 1) for i in range(len(framed) - n + 1)]
-    return [zlib.crc32(x.encode("utf-8", "surrogatepass")) % buckets for x in [f"\x00{framed}", *grams]]
+def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
+    mixed = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    return ((mixed ^ (mixed >> np.uint64(32))) % np.uint64(buckets)).astype(np.int64)
+
+
+def subwords(words: Collection[str], buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the words; then the buckets of the words and of the n-grams of their framed bytes, and which word each is of."""
+    coded = [w.encode("utf-8", "surrogatepass") for w in words]
+    hashes = np.fromiter(map(zlib.crc32, coded), np.uint64, len(coded))
+    text = np.frombuffer(b"<" + b"><".join(coded) + b">", np.uint8).astype(np.uint64)
+    sizes = np.fromiter(map(len, coded), np.int64, len(coded)) + 2
+    word = np.repeat(np.arange(len(coded)), sizes)
+    left = np.cumsum(sizes)[word] - np.arange(len(word))
+    ids, of = [_bucket(hashes + np.uint64(1 << 40), buckets)], [np.arange(len(coded))]
+    for n in range(MIN_N, MAX_N + 1):
+        h = np.full(max(0, len(text) - n + 1), n, np.uint64)
+        for k in range(n):
+            h = h * np.uint64(0x100000001B3) + text[k : k + len(h)]
+        whole = left[: len(h)] >= n
+        ids.append(_bucket(h[whole], buckets))
+        of.append(word[: len(h)][whole])
+    return hashes, np.concatenate(ids), np.concatenate(of)
 
 
 def pair_buckets(word_hash: np.ndarray, buckets: int) -> np.ndarray:
@@ -56,16 +73,20 @@ class Featuriser(dict):
         super().__init__()
         self.buckets = buckets
 
-    def __missing__(self, word: str) -> tuple[int, np.ndarray]:
-        value = (zlib.crc32(word.encode("utf-8", "surrogatepass")), np.array(subwords(word, self.buckets), np.int64))
-        if len(self) < _CACHE and len(word) <= 64:
-            self[word] = value
-        return value
+    def learn(self, words: Collection[str]) -> None:
+        if new := [w for w in set(words) if w not in self]:
+            hashes, ids, of = subwords(new, self.buckets)
+            parts = np.split(ids[np.argsort(of, kind="stable")], np.cumsum(np.bincount(of, minlength=len(new)))[:-1])
+            self.update(zip(new, zip(hashes.tolist(), parts, strict=True), strict=True))
 
     def features(self, text: str | None) -> np.ndarray:
         words = text.split() if text else []
         if not words:
             return np.empty(0, np.int64)
+        if any(w not in self for w in words):
+            if len(self) > _CACHE:
+                self.clear()
+            self.learn(words)
         known = [self[w] for w in words]
         hashes = np.array([k[0] for k in known], np.uint64)
         return np.concatenate([*(k[1] for k in known), pair_buckets(hashes, self.buckets)])
@@ -127,17 +148,20 @@ def _scorer(model) -> Column:
             for row, text in enumerate(batch):
                 words = (text.as_py() or "").split()
                 n_words[row] = len(words)
-                if len(number) > _CACHE:
-                    number.clear()
-                for w in words:
-                    if w in number:
-                        continue
-                    k = number[w] = len(number)
-                    if k == size:
+                if new := list(set(words).difference(number)):
+                    if len(number) > _CACHE:
+                        number.clear()
+                        new = list(set(words))
+                    first = len(number)
+                    number.update(zip(new, range(first, first + len(new)), strict=True))
+                    while len(number) > size:
                         size *= 2
                         hashes, counts, sums = np.resize(hashes, size), np.resize(counts, size), np.resize(sums, (size, n_classes))
-                    ids = subwords(w, buckets)
-                    hashes[k], counts[k], sums[k] = zlib.crc32(w.encode("utf-8", "surrogatepass")), len(ids), per_bucket[ids].sum(axis=0, dtype=np.float64)
+                    at = slice(first, len(number))
+                    hashes[at], ids, of = subwords(new, buckets)
+                    counts[at] = np.bincount(of, minlength=len(new))
+                    for k in range(n_classes):
+                        sums[at, k] = np.bincount(of, per_bucket[ids, k], len(new))
                 z = bias.astype(np.float64)
                 if words:
                     known = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
