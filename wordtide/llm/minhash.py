@@ -45,9 +45,9 @@ BANDS = 32
 NUMERATOR, DENOMINATOR = 75, 100
 #: Agreeing values of 128 below which a pair is not tested: five standard deviations below the mean at similarity 0.75.
 LEAST_AGREEING = 71
-#: Pairs that pass are held against finer signatures of 512 values, made only for documents in question; 4.5 deviations.
-FINE_PERMUTATIONS = 256
-LEAST_FINE = 340
+#: Pairs that pass are held against finer signatures of 1,024 values, made only for documents in question; 4.5 deviations.
+FINE_PERMUTATIONS = 512
+LEAST_FINE = 706
 _CHUNK = 8192
 _VOCABULARY = 400_000
 
