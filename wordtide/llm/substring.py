@@ -3,10 +3,11 @@
 Units are a text's lines (or paragraphs, parted by blank lines). A unit is normalised (A-Z lower-cased, runs of white
 space made one space), digested to 128 bits, and grouped with all equal units. The occurrence that comes first by
 (rank, document, place) stays, the others are removed; the removed stretches keep their offsets in the
-original text. Digests are pre-aggregated before they are shuffled, and the join back to the occurrences can be split where one unit is hot.
+original text. Digests are pre-aggregated before they are shuffled. The join back to the occurrences shuffles none of the units
+that occur ``HOT`` times or more: of those there are few, and their digests are broadcast.
 
-Defined results: null text has no units and stays null; units of fewer than ``min_words`` words are never removed; a
-text without removals is returned as it is; rows that repeat both doc_id and text are one document; rows that
+Defined results: null text has no units and stays null; every unit that holds a word counts, unless ``min_words`` is raised (shorter
+units then stay); a text without removals is returned as it is; rows that repeat both doc_id and text are one document; rows that
 share a doc_id alone are told apart by a hash of their texts; ties of rank go to the smaller doc_id, null last; an
 empty table gives no rows; extra columns pass through ``drop_repeats`` by name.
 """
@@ -23,7 +24,9 @@ from pyspark.sql import functions as F
 
 from .storage import save
 
-MIN_WORDS = 8
+MIN_WORDS = 1
+#: Occurrences from which a unit is joined by broadcast.
+HOT = 4096
 _SEPARATOR = {"line": re.compile("\n"), "paragraph": re.compile(r"\n[ \t]*(?:\n[ \t]*)+")}
 UNIT = "rank bigint, doc_id bigint, mark bigint, unit int, start int, stop int, h1 bigint, h2 bigint"
 
@@ -66,14 +69,19 @@ def _emit(kind: str, min_words: int) -> Callable[[Iterator[pa.RecordBatch]], Ite
     return run
 
 
-def repeats(docs: DataFrame, kind: str = "line", min_words: int = MIN_WORDS, rank: str = "doc_id") -> DataFrame:
+def repeats(docs: DataFrame, kind: str = "line", min_words: int = MIN_WORDS, rank: str = "doc_id", hot: int = HOT) -> DataFrame:
     """The occurrences to remove: doc_id, mark (a hash of the text), unit, start, stop."""
     texts = docs.select(F.col(rank).cast("bigint").alias("rank"), F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("mark"), F.col("text").cast("string").alias("text"))
     found, _ = save(texts.mapInArrow(_emit(kind, min_words), UNIT), "units")
     least = F.coalesce("rank", F.lit(2**63 - 1)), F.coalesce("doc_id", F.lit(2**63 - 1)), F.col("mark"), F.col("unit")
     place = F.struct(*(c.alias(n) for c, n in zip(least, ("r", "d", "m", "u"), strict=True)))
-    first = found.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return found.join(first, ["h1", "h2"]).where(place != F.col("first")).select("doc_id", "mark", "unit", "start", "stop").distinct()
+    first = found.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
+    first, _ = save(first, "firsts")
+    often, rare = first.where(F.col("n") >= hot).drop("n"), first.where(F.col("n") < hot).drop("n")
+    # At most one digest in ``hot`` occurrences is broadcast.
+    cold = found.join(F.broadcast(often.select("h1", "h2")), ["h1", "h2"], "left_anti").join(rare, ["h1", "h2"])
+    both = found.join(F.broadcast(often), ["h1", "h2"]).unionByName(cold)
+    return both.where(place != F.col("first")).select("doc_id", "mark", "unit", "start", "stop").distinct()
 
 
 def _cut(text: str, spans: list[tuple[int, int, int]], kind: str) -> str:
