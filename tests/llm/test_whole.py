@@ -1,9 +1,11 @@
 """The whole job: every unit, rule, item and row counts, by brute force."""
 
+import random
+
 import duckdb
 import pytest
 
-from wordtide.llm import substring
+from wordtide.llm import linejoin, substring
 from wordtide.llm import queries as q
 
 SF = "/root/testdata/sf0.001"
@@ -39,3 +41,14 @@ def test_substring_hot_units(spark, hot):
     docs = spark.createDataFrame([(k, f"Amen.\nline {k}\n amen. \n\nline {k % 3}") for k in range(20)], "doc_id bigint, text string")
     gone = {(r["doc_id"], r["unit"]) for r in substring.repeats(docs, hot=hot).collect()}
     assert gone == {(k, u) for k in range(20) for u in (0, 2, 4)} - {(0, 0)}
+
+
+@pytest.mark.parametrize("hot", [3, 10**9])
+def test_lines_of_any_size(spark, hot):
+    draw = random.Random(5)
+    rows = [(k, "\n".join(" ".join(draw.choices("abcdefgh", k=draw.randint(0, 6))) for _ in range(5))) for k in range(60)]
+    lines = [(k, n, frozenset(line.split())) for k, text in rows for n, line in enumerate(text.split("\n")) if line.split()]
+    want = {(k, n): any(4 * len(x & y) >= 3 * len(x | y) for *_, y in lines[:at]) for at, (k, n, x) in enumerate(lines)}
+    assert {len(x) for *_, x in lines} == {1, 2, 3, 4, 5, 6} and 0 < sum(want.values()) < len(want)
+    found = linejoin.decisions(spark.createDataFrame(rows, "doc_id bigint, text string"), hot=hot).collect()
+    assert {(r["doc_id"], r["line"]): r["removed"] for r in found} == want and len(found) == len(want)

@@ -11,7 +11,7 @@ classes only; equal lines are never paired.
 
 What the driver holds: the count table and a bitmap of documents to read again, both of fixed size.
 
-Defined results: null text has no lines; lines of fewer than ``MIN_TOKENS`` distinct words are no units and stay; rows
+Defined results: null text has no lines; every line with a word is a unit; rows
 that repeat a doc_id and a text are one document; a null doc_id ranks last; an empty table gives no
 rows; extra columns are ignored. Classes are told apart by 64-bit digests of their sets.
 """
@@ -28,7 +28,11 @@ from pyspark.sql import functions as F
 
 from .storage import save
 
-MIN_TOKENS = 5
+MIN_TOKENS = 1
+#: Distinct words from which a set can match one that does not equal it (2 of 3 words are under 0.75, 3 of 4 are not).
+LEAST_SIMILAR = 3
+#: Occurrences from which a class is joined to its lines by broadcast.
+HOT = 4096
 NUMERATOR, DENOMINATOR = 75, 100
 TABLE = 1 << 20
 _VOCABULARY = 400_000
@@ -46,7 +50,7 @@ class WordHashes(dict):
 
 
 def line_sets(text: str) -> Iterator[tuple[int, int, int, list[bytes]]]:
-    """(line, start, stop, distinct words) of the lines of at least MIN_TOKENS distinct words."""
+    """(line, start, stop, distinct words) of the lines of at least MIN_TOKENS distinct words, so of all with a word."""
     at = 0
     for line, body in enumerate(text.split("\n")):
         words = list(dict.fromkeys(body.encode("utf-8", "surrogatepass").lower().split()))
@@ -95,8 +99,8 @@ def _describe(table) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordB
         mixed *= np.int64(-4658895280553007687)
         name = np.add.reduceat(mixed, starts)
         name ^= (name >> np.int64(31)) & np.int64(0x1FFFFFFFF)
-        # A word that stands in one line only matches nothing.
-        keep = (place < needed_prefix(size)[owner]) & (count > 1)
+        # A word that stands in one line only matches nothing; sets of one or two words match equal sets only, which are one class.
+        keep = (place < needed_prefix(size)[owner]) & (count > 1) & (size[owner] >= LEAST_SIMILAR)
         ends = np.concatenate([[0], np.cumsum(np.bincount(owner[keep], minlength=len(size)))]).astype(np.int32)
         columns = list(zip(*rows, strict=True))
         kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
@@ -178,7 +182,7 @@ def _candidates(classes: DataFrame) -> DataFrame:
 
 
 def matches(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Lines, classes (id, size, first: its earliest occurrence) and matching pairs of classes (a, b)."""
+    """Lines, classes (id, size, n: its occurrences, first: the earliest one) and matching pairs of classes (a, b)."""
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("mark"), F.col("text").cast("string").alias("text"))
     counted = texts.select("text").mapInArrow(count_words, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
@@ -188,7 +192,7 @@ def matches(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
     place = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc_id"), F.col("line"), F.col("mark"))
     # Copies agree in all but their place, so any of them serves.
-    classes = lines.groupBy("id").agg(F.min(place).alias("first"), F.first("size").alias("size"), F.first("parity").alias("parity"), F.first("words").alias("words"), F.first("positions").alias("positions"))
+    classes = lines.groupBy("id").agg(F.min(place).alias("first"), F.first("size").alias("size"), F.first("parity").alias("parity"), F.first("words").alias("words"), F.first("positions").alias("positions"), F.count("*").alias("n"))
     classes, _ = save(classes, "classes")
     pairs, _ = save(_candidates(classes), "candidates")
 
@@ -210,16 +214,21 @@ def matches(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return lines, classes, links
 
 
-def decisions(docs: DataFrame) -> DataFrame:
+def decisions(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """doc_id, mark, line, start, stop, id (class), n_links (matching classes) and removed, for every line that is a unit."""
     lines, classes, links = matches(docs)
-    first = classes.select("id", "first")
+    first = classes.select("id", "n", "first")
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     # The earliest occurrence among the classes that match.
     reach = both.join(first.select(F.col("id").alias("b"), F.col("first").alias("of_b")), "b").groupBy(F.col("a").alias("id")).agg(F.min("of_b").alias("earliest"), F.count("*").alias("n_links"))
-    of_class = first.join(reach, "id", "left").select("id", F.col("first"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce(F.col("earliest") < F.col("first"), F.lit(False)).alias("later"))
+    of_class = first.join(reach, "id", "left").select("id", "n", "first", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce(F.col("earliest") < F.col("first"), F.lit(False)).alias("later"))
     place = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc_id"), F.col("line"), F.col("mark"))
-    rows = lines.select("doc_id", "mark", "line", "start", "stop", "id").join(of_class, "id")
+    rows = lines.select("doc_id", "mark", "line", "start", "stop", "id")
+    of_class, _ = save(of_class, "decided")
+    often = of_class.where(F.col("n") >= hot)
+    cold = rows.join(F.broadcast(often.select("id")), "id", "left_anti").join(of_class.where(F.col("n") < hot), "id")
+    # At most one class in ``hot`` lines is broadcast.
+    rows = rows.join(F.broadcast(often), "id").unionByName(cold)
     return rows.select("doc_id", "mark", "line", "start", "stop", "id", "n_links", (F.col("later") | (place != F.col("first"))).alias("removed"))
 
 
