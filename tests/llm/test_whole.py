@@ -1,11 +1,13 @@
 """The whole job: every unit, rule, item and row counts, by brute force."""
 
 import random
+from re import _parser
 
 import duckdb
 import pytest
 
-from wordtide.llm import linejoin, substring
+from wordtide.llm import licenses, linejoin, substring
+from wordtide.llm.license_rules import RULES
 from wordtide.llm import queries as q
 
 SF = "/root/testdata/sf0.001"
@@ -52,3 +54,45 @@ def test_lines_of_any_size(spark, hot):
     assert {len(x) for *_, x in lines} == {1, 2, 3, 4, 5, 6} and 0 < sum(want.values()) < len(want)
     found = linejoin.decisions(spark.createDataFrame(rows, "doc_id bigint, text string"), hot=hot).collect()
     assert {(r["doc_id"], r["line"]): r["removed"] for r in found} == want and len(found) == len(want)
+
+
+def strings(pattern):
+    """All strings that a rule's pattern matches."""
+
+    def seq(items):
+        out = {""}
+        for op, arg in items:
+            match str(op):
+                case "LITERAL":
+                    new = {chr(arg)}
+                case "IN":
+                    new = {chr(c) for kind, v in arg for c in (range(v[0], v[1] + 1) if str(kind) == "RANGE" else [v])}
+                case "SUBPATTERN":
+                    new = seq(arg[3])
+                case "BRANCH":
+                    new = set().union(*map(seq, arg[1]))
+                case "MAX_REPEAT":
+                    assert arg[:2] == (0, 1)
+                    new = {""} | seq(arg[2])
+                case "ASSERT_NOT":
+                    new = {""}
+            out = {a + b for a in out for b in new}
+        return out
+
+    return seq(_parser.parse(pattern))
+
+
+@pytest.mark.parametrize("rule", RULES, ids=lambda r: r.pattern)
+def test_licence_gate_drops_no_match(rule):
+    assert [x for x in strings(rule.pattern) if not set(x.split()) & set(rule.keywords.split())] == []
+
+
+def test_licence_gated_against_ungated(spark):
+    texts = ["LGPLv3", "LGPLv2.1", "GPL3", "GPL2 only", "AGPL3", "common public licence 1.0", "Permission is hereby granted, free of charge, to any person obtaining a copy", "Mit License, no gate", "none"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    found = {r["doc_id"]: r["labels"] for r in licenses.licenses(docs).collect()}
+    # Every word of the texts opens every rule.
+    every = " ".join(sorted({w for t in texts for w in t.lower().replace(",", " ").replace(".", " ").split()}))
+    ungated = {r["doc_id"]: r["labels"] for r in licenses.licenses(docs, [r._replace(keywords=every) for r in RULES]).collect()}
+    assert found == ungated
+    assert [found[k] for k in range(9)] == ["lgpl-3.0", "lgpl-2.1", "gpl-3.0", "gpl-2.0", "agpl-3.0", "cpl-1.0", "mit", "mit", ""]

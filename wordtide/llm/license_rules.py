@@ -1,7 +1,8 @@
-"""Licence signatures: label | priority | keyword | pattern, one rule a line.
+"""Licence signatures: label | priority | keywords | pattern, one rule a line.
 
 Patterns match whole words of a text's word sequence (lower case, words joined by single spaces, so ``2.0`` reads
-``2 0``). A rule is tried only where its keyword is one of the words. Priority: 5 identifiers and
+``2 0``). A rule is tried only where one of its keywords (parted by
+spaces) is one of the words, and every string that its pattern matches holds one of them. Priority: 5 identifiers and
 notices that name a version, 4 versioned names and addresses, 3 names, 2 characteristic clauses, 1 hints.
 """
 
@@ -13,7 +14,7 @@ from typing import NamedTuple
 class Rule(NamedTuple):
     label: str
     priority: int
-    keyword: str
+    keywords: str
     pattern: str
     base: bool = False
 
@@ -32,8 +33,8 @@ gpl-3.0|5|spdx|spdx license identifier gpl 3 0(?: only| or later)?
 gpl-1.0|4|gnu|gnu general public licen[cs]e(?: as published by the free software foundation)?(?: either)?(?: version| v) ?1
 gpl-2.0|4|gnu|gnu general public licen[cs]e(?: as published by the free software foundation)?(?: either)?(?: version| v) ?2
 gpl-3.0|4|gnu|gnu general public licen[cs]e(?: as published by the free software foundation)?(?: either)?(?: version| v) ?3
-gpl-2.0|4|gpl|(?:gnu )?gpl ?(?:v|version )?2(?: 0)?(?: or later| only)?
-gpl-3.0|4|gpl|(?:gnu )?gpl ?(?:v|version )?3(?: 0)?(?: or later| only)?
+gpl-2.0|4|gpl gpl2 gplv2 gplversion|(?:gnu )?gpl ?(?:v|version )?2(?: 0)?(?: or later| only)?
+gpl-3.0|4|gpl gpl3 gplv3 gplversion|(?:gnu )?gpl ?(?:v|version )?3(?: 0)?(?: or later| only)?
 gpl-2.0|4|gplv2|gplv2(?: or later| only)?
 gpl-3.0|4|gplv3|gplv3(?: or later| only)?
 gpl-2.0|4|licenses|gnu org licenses (?:old licenses )?gpl 2 0
@@ -41,7 +42,7 @@ gpl-3.0|4|licenses|gnu org licenses gpl 3 0
 gpl|3|gnu|gnu gpl
 gpl|3|gnu|gnu public licen[cs]e
 gpl|2|licenses|gnu org licenses gpl
-gpl|2|licenses|you should have received a copy of the gnu general public license
+gpl|2|gnu|you should have received a copy of the gnu general public license
 gpl|2|copyleft|strong copyleft
 lgpl-2.0|5|spdx|spdx license identifier lgpl 2 0(?: only| or later)?
 lgpl-2.1|5|spdx|spdx license identifier lgpl 2 1(?: only| or later)?
@@ -49,15 +50,15 @@ lgpl-3.0|5|spdx|spdx license identifier lgpl 3 0(?: only| or later)?
 lgpl-2.0|4|gnu|gnu (?:library|lesser) general public licen[cs]e(?: version| v) ?2(?! 1)
 lgpl-2.1|4|gnu|gnu lesser general public licen[cs]e(?: version| v) ?2 1
 lgpl-3.0|4|gnu|gnu lesser general public licen[cs]e(?: version| v) ?3
-lgpl-2.1|4|lgpl|lgpl ?(?:v|version )?2 1(?: or later| only)?
-lgpl-3.0|4|lgpl|lgpl ?(?:v|version )?3(?: 0)?(?: or later| only)?
+lgpl-2.1|4|lgpl lgpl2 lgplv2 lgplversion|lgpl ?(?:v|version )?2 1(?: or later| only)?
+lgpl-3.0|4|lgpl lgpl3 lgplv3 lgplversion|lgpl ?(?:v|version )?3(?: 0)?(?: or later| only)?
 lgpl|3|gnu|gnu (?:lesser|library) general public licen[cs]e
 lgpl|3|lgpl|(?:gnu )?lgpl
 lgpl|2|licenses|gnu org licenses lgpl
 agpl-3.0|5|spdx|spdx license identifier agpl 3 0(?: only| or later)?
 agpl-3.0|4|affero|gnu affero general public licen[cs]e(?: version| v) ?3
 agpl-1.0|4|affero|affero general public licen[cs]e(?: version| v) ?1
-agpl-3.0|4|agpl|agpl ?(?:v|version )?3(?: 0)?(?: or later| only)?
+agpl-3.0|4|agpl agpl3 agplv3 agplversion|agpl ?(?:v|version )?3(?: 0)?(?: or later| only)?
 agpl-3.0|4|agplv3|agplv3
 agpl|3|affero|(?:gnu )?affero general public licen[cs]e
 agpl|3|agpl|(?:gnu )?agpl
@@ -91,7 +92,7 @@ mit|3|expat|expat licen[cs]e
 mit|3|x11|(?:mit )?x11 licen[cs]e
 mit|3|licensed|mit licensed
 mit|2|licenses|opensource org licenses mit
-mit|2|sublicense|permission is hereby granted free of charge to any person obtaining a copy
+mit|2|obtaining|permission is hereby granted free of charge to any person obtaining a copy
 mit|2|sublicense|to use copy modify merge publish distribute sublicense and or sell copies
 bsd-0-clause|5|spdx|spdx license identifier 0bsd
 bsd-1-clause|5|spdx|spdx license identifier bsd 1 clause
@@ -131,7 +132,7 @@ epl-2.0|4|eclipse|eclipse public licen[cs]e(?: version| v)? ?2(?: 0)?
 epl|3|eclipse|eclipse public licen[cs]e
 edl-1.0|4|eclipse|eclipse distribution licen[cs]e(?: version| v)? ?1(?: 0)?
 edl|3|eclipse|eclipse distribution licen[cs]e
-cpl-1.0|4|license|common public licen[cs]e(?: version| v)? ?1(?: 0)?
+cpl-1.0|4|license licence licence1 license1|common public licen[cs]e(?: version| v)? ?1(?: 0)?
 cpl|3|license|common public license
 cddl-1.0|5|spdx|spdx license identifier cddl 1 0
 cddl-1.1|5|spdx|spdx license identifier cddl 1 1
@@ -213,7 +214,7 @@ unlicense|3|unlicense|(?:the )?unlicense
 unlicense|2|unencumbered|free and unencumbered software released into the public domain
 isc|5|spdx|spdx license identifier isc
 isc|3|isc|(?:the )?isc licen[cs]ed?
-isc|2|hereby|permission to use copy modify and or distribute this software for any purpose
+isc|2|software|permission to use copy modify and or distribute this software for any purpose
 zlib|5|spdx|spdx license identifier zlib
 zlib|3|zlib|zlib(?: libpng)? licen[cs]e
 libpng|3|libpng|libpng licen[cs]e
@@ -260,7 +261,7 @@ ms-pl|3|microsoft|microsoft public licen[cs]e
 ms-rl|3|microsoft|microsoft reciprocal licen[cs]e
 afl-3.0|4|academic|academic free licen[cs]e(?: version| v)? ?3(?: 0)?
 afl|3|academic|academic free licen[cs]e
-osl-3.0|4|license|open software licen[cs]e(?: version| v)? ?3(?: 0)?
+osl-3.0|4|license licence licence3 license3|open software licen[cs]e(?: version| v)? ?3(?: 0)?
 upl-1.0|4|universal|universal permissive licen[cs]e(?: version| v)? ?1(?: 0)?
 ncsa|3|ncsa|(?:university of illinois )?ncsa open source licen[cs]e
 beerware|3|beerware|beerware(?: licen[cs]e)?

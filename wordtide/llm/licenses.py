@@ -1,6 +1,6 @@
 """Licence scan: ordered signature rules behind a keyword gate, overlaps resolved by priority and containment.
 
-A text becomes its word sequence. Only where a rule's keyword is one of the words is the rule's pattern tried. Of
+A text becomes its word sequence. Only where one of a rule's keywords is one of the words is the rule's pattern tried. Of
 the places found, one that lies within another of at least its priority is suppressed (of equal intervals and
 priorities the rule that comes first stays). Base phrases are counted before suppression and their labels stay.
 
@@ -27,7 +27,7 @@ _SPAN = "struct<start:int,stop:int,priority:int,rule:int,label:string,base:boole
 
 
 def _literal_rules(rules: Sequence[Rule]) -> Column:
-    rows = (f"named_struct('rule', {k}, 'label', '{r.label}', 'priority', {r.priority}, 'keyword', '{r.keyword}', 'base', {str(r.base).lower()}, 'pattern', r'(?<= )(?:{r.pattern})(?= )')" for k, r in enumerate(rules))
+    rows = (f"named_struct('rule', {k}, 'label', '{r.label}', 'priority', {r.priority}, 'keywords', split('{r.keywords}', ' '), 'base', {str(r.base).lower()}, 'pattern', r'(?<= )(?:{r.pattern})(?= )')" for k, r in enumerate(rules))
     return F.expr(f"array({', '.join(rows)})")
 
 
@@ -67,12 +67,12 @@ def _unsuppressed(spans: Column) -> Column:
 def scan(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     """doc_id, n_words, ``found`` (all places, before suppression) and ``kept`` (those left after it) for every row."""
     words = docs.select("doc_id", F.regexp_extract_all(F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))), F.lit(WORD), F.lit(0)).alias("words"))
-    keywords = F.expr("array(" + ", ".join(f"'{k}'" for k in sorted({r.keyword for r in rules})) + ")")
+    keywords = F.expr("array(" + ", ".join(f"'{k}'" for k in sorted({k for r in rules for k in r.keywords.split()})) + ")")
     gated = words.select("doc_id", F.size("words").cast("bigint").alias("n_words"), F.when(F.arrays_overlap("words", keywords), F.col("words")).alias("words"))
     text = F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" "))
     hinted = F.array_intersect("words", keywords)
     gated = gated.select("doc_id", "n_words", F.when(F.col("words").isNotNull(), F.struct(text.alias("text"), hinted.alias("hints"))).alias("gate"))
-    tried = F.filter(_literal_rules(rules), lambda r: F.array_contains(F.col("gate.hints"), r["keyword"]) & F.regexp_like(F.col("gate.text"), r["pattern"]))
+    tried = F.filter(_literal_rules(rules), lambda r: F.arrays_overlap(F.col("gate.hints"), r["keywords"]) & F.regexp_like(F.col("gate.text"), r["pattern"]))
     found = F.flatten(F.transform(tried, lambda r: _places(F.col("gate.text"), r)))
     empty = F.array().cast(f"array<{_SPAN}>")
     rows = gated.select("doc_id", "n_words", F.when(F.col("gate").isNotNull(), found).otherwise(empty).alias("found"))
