@@ -6,7 +6,7 @@ from re import _parser
 import duckdb
 import pytest
 
-from wordtide.llm import licenses, linejoin, substring
+from wordtide.llm import decontamination, licenses, linejoin, substring
 from wordtide.llm.license_rules import RULES
 from wordtide.llm import queries as q
 
@@ -96,3 +96,26 @@ def test_licence_gated_against_ungated(spark):
     ungated = {r["doc_id"]: r["labels"] for r in licenses.licenses(docs, [r._replace(keywords=every) for r in RULES]).collect()}
     assert found == ungated
     assert [found[k] for k in range(9)] == ["lgpl-3.0", "lgpl-2.1", "gpl-3.0", "gpl-2.0", "agpl-3.0", "cpl-1.0", "mit", "mit", ""]
+
+
+def test_near_items(spark):
+    draw = random.Random(3)
+    docs = [(k, " ".join(draw.choices("abcdef", k=draw.randint(0, 9)))) for k in range(40)]
+    bench = [(k, " ".join(draw.choices("abcdefg", k=draw.randint(1, 6)))) for k in range(30)]
+    docs += [(40, "one two"), (41, "three four"), (42, "four x three two one")]
+    bench += [(30, "one two three four")]
+
+    def near(text, item, size=4, slop=1):
+        words, own = text.split(), item.split()
+        windows = [own[at : at + size] for at in range(max(1, len(own) - size + 1))]
+        return any(set(w) <= set(words[at : at + len(w) + slop]) for w in windows for at in range(len(words)))
+
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string").coalesce(1)
+    found = {r["doc_id"]: r for r in decontamination.contamination(frame, spark.createDataFrame(bench, "item_id bigint, text string"), window=4, slop=1).collect()}
+    assert {d: set(r["near_items"]) for d, r in found.items()} == {d: {str(i) for i, item in bench if near(text, item)} for d, text in docs}
+    assert all(set(r["items"]) <= set(r["near_items"]) for r in found.values()) and found[42]["near_items"] == ["30"]
+
+
+def test_near_query(spark):
+    rows = q.op1_near(spark, SF).collect()
+    assert all(r["n_near_items"] >= r["n_items"] for r in rows) and any(r["n_near_items"] for r in rows)

@@ -9,7 +9,7 @@ next). Segments are local to the texts: no posting list of a frequent word is ev
 whose terms all occur starts from the positions of its rarest term, shifted by that term's offset, and is
 intersected with the shifted positions of the next rarest, until nothing or the exact places are left. With
 ``slop`` it also finds proximity matches: stretches of at most window + slop words that hold every
-term of the window in any order, around the rarest term.
+term of the window in any order, within one document (so exact places are near ones, too).
 
 The benchmark is split by a hash into blocks of about ``BLOCK_WORDS`` words; each block is broadcast on its own,
 so what is broadcast has a bound.
@@ -37,6 +37,8 @@ from pyspark.sql import functions as F
 from .storage import materialise
 
 WINDOW = 10
+#: Words that a near stretch may have beyond its window.
+SLOP = 3
 SEGMENT_WORDS = 400_000
 BLOCK_WORDS = 2_000_000
 
@@ -147,21 +149,24 @@ def phrase_starts(postings: Postings, window: np.ndarray) -> np.ndarray:
     return starts
 
 
-def near_anchors(postings: Postings, window: np.ndarray, span: int) -> np.ndarray:
-    """Positions of the window's rarest term that lie in a stretch of at most ``span`` positions with every term of the window."""
+def near_anchors(postings: Postings, window: np.ndarray, span: int, first: np.ndarray) -> np.ndarray:
+    """Positions of the window's rarest term that lie in a stretch of at most ``span`` positions, within one document, with every
+    term of the window. ``first``: where the documents start, ascending, one position apart, and one past the last."""
     terms = sorted(set(window.tolist()), key=lambda t: (postings.sizes[t], t))
     anchors = postings[terms[0]]
+    of = np.searchsorted(first, anchors, side="right")
+    low, high = np.maximum(anchors - span + 1, first[of - 1]), np.minimum(anchors + span, first[of] - 1)
     for t in terms[1:]:
         if not len(anchors):
             return anchors
         listed = postings[t]
-        after = np.searchsorted(listed, anchors - span + 1)
+        after = np.searchsorted(listed, low)
         ok = after < len(listed)
-        ok[ok] = listed[after[ok]] <= anchors[ok] + span - 1
-        anchors = anchors[ok]
+        ok[ok] = listed[after[ok]] < high[ok]
+        anchors, low, high = anchors[ok], low[ok], high[ok]
     kept = []
-    for p in anchors.tolist():
-        around = sorted((int(x), t) for t in terms for x in postings[t][np.searchsorted(postings[t], p - span + 1) : np.searchsorted(postings[t], p + span)])
+    for p, start, stop in zip(anchors.tolist(), low.tolist(), high.tolist(), strict=True):
+        around = sorted((int(x), t) for t in terms for x in postings[t][np.searchsorted(postings[t], start) : np.searchsorted(postings[t], stop)])
         last: dict[int, int] = {}
         for x, t in around:
             last[t] = x
@@ -207,7 +212,7 @@ def _search(batch: pa.RecordBatch, windows: SimpleNamespace, vocabulary: pa.Arra
             for row, start in zip(rows.tolist(), (starts - first[rows]).tolist(), strict=True):
                 spans[row].append((start, start + len(window)))
         if slop is not None:
-            for p in near_anchors(postings, window, len(window) + slop).tolist():
+            for p in near_anchors(postings, window, len(window) + slop, first).tolist():
                 near[int(np.searchsorted(first, p, side="right")) - 1].update(windows.items[w])
     n = len(sizes)
     return pa.RecordBatch.from_arrays(

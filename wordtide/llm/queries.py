@@ -23,6 +23,12 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op1_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``op1_decontamination`` with the items that occur nearly, which its SQL has no columns for."""
+    found = decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), slop=decontamination.SLOP)
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", F.size("near_items").cast("bigint").alias("n_near_items"), "near_items")
+
+
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.components(table(spark, sf_dir, "documents"))
 
@@ -64,7 +70,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_decontamination": op1_decontamination, "op2_media": op2_media, "op3_licenses": op3_licenses, "op4_minhash": op4_minhash, "op5_substring": op5_substring, "op6_quality": op6_quality, "op7_mixing": op7_mixing, "op8_warc": op8_warc, "op9_sharding": op9_sharding, "op10_lines": op10_lines}
+    return {"op1_decontamination": op1_decontamination, "op1_near": op1_near, "op2_media": op2_media, "op3_licenses": op3_licenses, "op4_minhash": op4_minhash, "op5_substring": op5_substring, "op6_quality": op6_quality, "op7_mixing": op7_mixing, "op8_warc": op8_warc, "op9_sharding": op9_sharding, "op10_lines": op10_lines}
 
 
 OP1_SQL = r"""
