@@ -4,9 +4,10 @@ import random
 from re import _parser
 
 import duckdb
+import numpy as np
 import pytest
 
-from wordtide.llm import decontamination, licenses, linejoin, substring
+from wordtide.llm import decontamination, licenses, linejoin, mixing, substring
 from wordtide.llm.license_rules import RULES
 from wordtide.llm import queries as q
 
@@ -119,3 +120,23 @@ def test_near_items(spark):
 def test_near_query(spark):
     rows = q.op1_near(spark, SF).collect()
     assert all(r["n_near_items"] >= r["n_items"] for r in rows) and any(r["n_near_items"] for r in rows)
+
+
+def test_mixing_converges_on_soft_posteriors():
+    draw = np.random.default_rng(1)
+    logits = draw.normal(0, 1, (20_000, 3))
+    domain = draw.choice(3, 20_000, p=[0.985, 0.01, 0.005])
+    logits[np.arange(20_000), domain] += 1
+    posterior = np.exp(logits) / np.exp(logits).sum(axis=1, keepdims=True)
+    tokens, shares = draw.integers(1, 2000, 20_000).astype(float), np.array([0.94, 0.03, 0.03])
+    sums = lambda prices: mixing.sums_of(tokens, posterior, prices)
+    prices, now, targets, _ = mixing.solve(sums, shares)
+    assert np.abs(now - targets).max() <= mixing.TOLERANCE * tokens.sum()
+    assert np.allclose((tokens * mixing.rates_of(posterior, prices)) @ posterior, now)
+    with pytest.raises(RuntimeError, match="not converged"):
+        mixing.solve(sums, shares, max_rounds=2)
+
+
+def test_mixing_out_of_reach_is_least_squares():
+    sums = lambda prices: mixing.sums_of(np.ones(50), np.full((50, 3), 1 / 3), prices)
+    assert np.allclose(mixing.solve(sums, np.array([0.94, 0.03, 0.03]))[1], 50 / 3)

@@ -4,13 +4,12 @@ A classifier (subword embeddings) learns domains from a labelled table and gives
 posterior over them. Document rates r >= 0 are then fitted by projected-gradient least squares, so that the
 expected tokens of each domain, the sum of r * tokens * posterior, match the targets.
 
-The rate of a document starts at 1 and takes, in every round, a step along its posterior:
-``r <- max(0, r - step * posterior . scaled residual)``. So it depends on the posterior and on the residuals of the
-rounds alone, which are a few numbers per round. A round is one pass over a compact stored table (tokens and
-posterior); it replays the residuals so far for each row and sums its domain tokens map-side. No state per
-document is kept between rounds, nothing but a vector per round reaches the driver, and a lost
-executor costs the repetition of its tasks. The gradient is taken in the metric weighted by tokens, and each domain's
-residual is scaled by its present share, so the number of rounds does not grow with the data or with rare domains.
+The rate of a document is ``max(0, 1 - posterior . price)`` with one price per domain, so the fit has as few unknowns as
+there are domains: projected least squares over all rates, as near to 1 as the targets allow, solved in its dual by Newton steps. A round is one
+pass over a compact stored table (tokens and posterior) that sums, map-side, gradient and curvature at several step
+lengths at once. No state per document is kept between rounds, nothing but a few vectors per round reaches the driver, and a
+lost executor costs the repetition of its tasks. Rounds go on until the gradient vanishes; a fit that does not get there raises an error.
+Targets out of reach are logged with the totals reached. Residuals are weighed by the domain's present share.
 
 Defined results: null and empty texts have no tokens and the posterior of the bias alone; repeated rows and equal
 texts get equal rates; without labels all posteriors are equal, the targets are out of reach and the rates
@@ -20,7 +19,8 @@ pass through.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping
+import logging
+from collections.abc import Callable, Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
@@ -34,68 +34,93 @@ from .storage import save
 MAX_DOCS = 3000
 #: Gradient steps of its training at least, so that posteriors are sharp.
 STEPS = 20_000
+#: Share of all tokens within which a target counts as reached.
 TOLERANCE = 1e-3
-MAX_ROUNDS = 60
+#: Gradient (as a share of all tokens) at which a fit has converged, and rounds after which that is an error.
+CONVERGED = 1e-7
+MAX_ROUNDS = 200
+#: Weight of the distance of the rates from 1 against that of the totals from their targets.
+RIDGE = 1e-6
+LENGTHS = 0.5 ** np.arange(16)
 
-Steps = list[np.ndarray]
+_log = logging.getLogger(__name__)
 
 
 def _posterior_matrix(column: pa.Array, n: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), n)
 
 
-def replay(posterior: np.ndarray, steps: Steps) -> np.ndarray:
-    """The rates after the given steps."""
-    rate = np.ones(len(posterior))
-    for step in steps:
-        rate -= posterior @ step
-        np.maximum(rate, 0, out=rate)
-    return rate
+def rates_of(posterior: np.ndarray, prices: np.ndarray) -> np.ndarray:
+    """The rates at the given prices (one vector, or one per row)."""
+    return np.maximum(1 - posterior @ prices.T, 0)
 
 
-def _totals(scored: DataFrame, n: int, steps: Steps) -> np.ndarray:
-    """Expected tokens per domain at the present rates, then the token-weighted Gram matrix of the posteriors, as one vector."""
+def sums_of(tokens: np.ndarray, posterior: np.ndarray, prices: np.ndarray) -> np.ndarray:
+    """Per vector of prices: the expected tokens per domain, then the token-weighted Gram matrix of the posteriors of positive rate."""
+    rates, out = rates_of(posterior, prices), []
+    for rate in rates.T:
+        weighted = posterior * (tokens * (rate > 0))[:, None]
+        out.append(np.concatenate([(tokens * rate) @ posterior, (weighted.T @ posterior).ravel()]))
+    return np.array(out)
+
+
+def _totals(scored: DataFrame, n: int, prices: np.ndarray) -> np.ndarray:
+    """``sums_of`` all rows."""
+    size = len(prices) * (n + n * n)
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(n + n * n)
+        total = np.zeros(size)
         for batch in batches:
             tokens = batch.column(0).to_numpy(zero_copy_only=False).astype(np.float64)
-            posterior = _posterior_matrix(batch.column(1), n)
-            total[:n] += (tokens * replay(posterior, steps)) @ posterior
-            if not steps:
-                total[n:] += ((posterior * tokens[:, None]).T @ posterior).ravel()
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(n + n * n)), pa.array(total)], names=["k", "v"])
+            total += sums_of(tokens, _posterior_matrix(batch.column(1), n), prices).ravel()
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(size)), pa.array(total)], names=["k", "v"])
 
     rows = scored.select("__n_words", "__probabilities").mapInArrow(sums, "k bigint, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()
-    out = np.zeros(n + n * n)
-    for row in rows:  # n + n * n of them
+    out = np.zeros(size)
+    for row in rows:  # size of them
         out[row["k"]] = row["v"]
-    return out
+    return out.reshape(len(prices), n + n * n)
 
 
-def fit_rates(scored: DataFrame, shares: np.ndarray, tolerance: float = TOLERANCE, max_rounds: int = MAX_ROUNDS) -> tuple[Steps, np.ndarray, np.ndarray]:
-    """The steps that bring the expected domain tokens to ``shares`` of the present total, the totals reached and the targets."""
+def solve(totals: Callable[[np.ndarray], np.ndarray], shares: np.ndarray, max_rounds: int = MAX_ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Prices, the totals reached, the targets and the rounds; ``totals`` is ``sums_of`` at several prices."""
     n = len(shares)
-    first = _totals(scored, n, [])
-    now, whole = first[:n], first[:n].sum()
+    prices = np.zeros(n)
+    here = totals(prices[None])[0]
+    whole = here[:n].sum()
     targets = shares * whole
     if not whole:
-        return [], now, targets
-    scale = whole / np.maximum(now, 1e-9 * whole)
-    gram = np.sqrt(scale)[:, None] * (first[n:].reshape(n, n) / whole) * np.sqrt(scale)
-    rate, steps, before = 1 / np.linalg.eigvalsh(gram)[-1], [], None
-    while len(steps) < max_rounds and np.abs(now - targets).max() > tolerance * whole:
-        if before is not None and np.abs(now - before).max() <= 1e-6 * whole:
-            break  # the targets are out of reach; this is the least-squares fit
-        steps.append(rate * scale * (now - targets) / whole)
-        before, now = now, _totals(scored, n, steps)[:n]
-    return steps, now, targets
-
-
-def rate_column(posterior: Column, steps: Steps, n: int) -> Column:
+        return prices, here[:n], targets, 0
+    ridge = RIDGE * np.maximum(here[:n] / whole, 1e-4)
+
+    def gradient(at: np.ndarray, sums: np.ndarray) -> np.ndarray:
+        return shares - sums[:n] / whole + ridge * at
+
+    for done in range(max_rounds):
+        slope = gradient(prices, here)
+        if np.abs(slope).max() <= CONVERGED:
+            return prices, here[:n], targets, done
+        step = -np.linalg.solve(here[n:].reshape(n, n) / whole + np.diag(ridge), slope)
+        tried = prices + LENGTHS[:, None] * step
+        sums = totals(tried)
+        best = min(range(len(tried)), key=lambda k: abs(gradient(tried[k], sums[k]) @ step))
+        prices, here = tried[best], sums[best]
+    raise RuntimeError(f"mixing rates have not converged in {max_rounds} rounds: totals {here[:n] / whole}, targets {shares}, gradient {np.abs(slope).max()}")
+
+
+def fit_rates(scored: DataFrame, shares: np.ndarray, tolerance: float = TOLERANCE, max_rounds: int = MAX_ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The prices that bring the expected domain tokens to ``shares`` of the present total, the totals reached and the targets."""
+    prices, now, targets, rounds = solve(lambda at: _totals(scored, len(shares), at), shares, max_rounds)
+    whole = max(targets.sum(), 1)
+    report = _log.warning if np.abs(now - targets).max() > tolerance * whole else _log.info
+    report("mixing: shares %s reached of %s in %d rounds", now / whole, shares, rounds)
+    return prices, now, targets
+
+
+def rate_column(posterior: Column, prices: np.ndarray) -> Column:
     def rates(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield pa.array(replay(_posterior_matrix(batch, n), steps))
+            yield pa.array(rates_of(_posterior_matrix(batch, len(prices)), prices))
 
     return F.arrow_udf(rates, "double").asNondeterministic()(posterior)
 
@@ -110,8 +135,8 @@ def mix(docs: DataFrame, labelled: DataFrame, weights: Mapping[str, float], max_
     scored = model.score(docs).select(*(columns or docs.columns), "__n_words", "__probabilities")
     scored, _ = save(scored, "posteriors")
     shares = np.array(list(weights.values()), float)
-    steps, _, _ = fit_rates(scored, shares / shares.sum())
-    return scored.withColumn(rates, rate_column(F.col("__probabilities"), steps, len(names)))
+    prices, _, _ = fit_rates(scored, shares / shares.sum())
+    return scored.withColumn(rates, rate_column(F.col("__probabilities"), prices))
 
 
 def copies(rate: Column, key: Column, seed: int = 17) -> Column:
