@@ -140,3 +140,10 @@ def test_mixing_converges_on_soft_posteriors():
 def test_mixing_out_of_reach_is_least_squares():
     sums = lambda prices: mixing.sums_of(np.ones(50), np.full((50, 3), 1 / 3), prices)
     assert np.allclose(mixing.solve(sums, np.array([0.94, 0.03, 0.03]))[1], 50 / 3)
+
+
+def test_clean_row_of_null_id_stays(spark):
+    rows = [(None, "a b c leak leak d"), (None, "clean words"), (None, None), (1, "clean words"), (2, "x leak leak"), (2, "same id, clean")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    kept = decontamination.drop_contaminated(docs, spark.createDataFrame([(1, "leak leak")], "item_id bigint, text string")).collect()
+    assert sorted(map(str, map(tuple, kept))) == sorted(map(str, [rows[1], rows[2], rows[3], rows[5]]))

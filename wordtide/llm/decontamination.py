@@ -50,10 +50,10 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_TO_WORDS).split() if text else []
 
 
-SEGMENT = "segment bigint, doc_ids array<bigint>, n_words array<int>, terms array<binary>, ends array<int>, gaps array<int>"
+SEGMENT = "segment bigint, doc_ids array<bigint>, marks array<bigint>, n_words array<int>, terms array<binary>, ends array<int>, gaps array<int>"
 
 
-def _segment(doc_ids: list[int | None], sizes: list[int], words: list[bytes]) -> pa.RecordBatch:
+def _segment(doc_ids: list[int | None], marks: list[int], sizes: list[int], words: list[bytes]) -> pa.RecordBatch:
     numbers: dict[bytes, int] = defaultdict(count().__next__)
     term = np.fromiter(map(numbers.__getitem__, words), np.int32, len(words))
     at = np.arange(len(words), dtype=np.int32) + np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
@@ -66,34 +66,36 @@ def _segment(doc_ids: list[int | None], sizes: list[int], words: list[bytes]) ->
     name = hashlib.blake2b(repr((doc_ids[0], len(words), len(sizes))).encode(), digest_size=8).digest()
     one = lambda values, kind: pa.array([values], pa.list_(kind))
     return pa.RecordBatch.from_arrays(
-        [pa.array([int.from_bytes(name, "little", signed=True)]), one(doc_ids, pa.int64()), one(sizes, pa.int32()), one(list(numbers), pa.binary()), one(ends, pa.int32()), one(gaps, pa.int32())],
-        names=["segment", "doc_ids", "n_words", "terms", "ends", "gaps"],
+        [pa.array([int.from_bytes(name, "little", signed=True)]), one(doc_ids, pa.int64()), one(marks, pa.int64()), one(sizes, pa.int32()), one(list(numbers), pa.binary()), one(ends, pa.int32()), one(gaps, pa.int32())],
+        names=["segment", "doc_ids", "marks", "n_words", "terms", "ends", "gaps"],
     )
 
 
 def _segments(segment_words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         doc_ids: list[int | None] = []
+        marks: list[int] = []
         sizes: list[int] = []
         words: list[bytes] = []
         for batch in batches:
-            for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
+            for doc_id, mark, text in zip(*batch.columns, strict=True):
                 own = words_of(text.as_py())
                 doc_ids.append(doc_id.as_py())
+                marks.append(mark.as_py())
                 sizes.append(len(own))
                 words += own
                 if len(words) >= segment_words or len(sizes) >= segment_words:
-                    yield _segment(doc_ids, sizes, words)
-                    doc_ids, sizes, words = [], [], []
+                    yield _segment(doc_ids, marks, sizes, words)
+                    doc_ids, marks, sizes, words = [], [], [], []
         if doc_ids:
-            yield _segment(doc_ids, sizes, words)
+            yield _segment(doc_ids, marks, sizes, words)
 
     return run
 
 
 def build_index(docs: DataFrame, segment_words: int = SEGMENT_WORDS) -> DataFrame:
     """The index of ``docs`` (doc_id, text), stored in the shared folder: one row per segment."""
-    texts = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
+    texts = docs.select(F.col("doc_id").cast("bigint"), F.xxhash64(F.col("text").cast("string")), F.col("text").cast("string"))
     return materialise(texts.mapInArrow(_segments(segment_words), SEGMENT), "index")
 
 
@@ -176,7 +178,7 @@ def near_anchors(postings: Postings, window: np.ndarray, span: int, first: np.nd
     return np.array(kept, np.int64)
 
 
-MATCHES = "segment bigint, row int, doc_id bigint, n_words bigint, spans array<struct<start:int,stop:int>>, items array<string>, near_items array<string>"
+MATCHES = "segment bigint, row int, doc_id bigint, mark bigint, n_words bigint, spans array<struct<start:int,stop:int>>, items array<string>, near_items array<string>"
 
 
 def _searcher(block, slop: int | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -220,12 +222,13 @@ def _search(batch: pa.RecordBatch, windows: SimpleNamespace, vocabulary: pa.Arra
             pa.array([batch.column(0)[0].as_py()] * n, pa.int64()),
             pa.array(np.arange(n, dtype=np.int32)),
             doc_ids,
+            _flat(batch, "marks"),
             pa.array(sizes.astype(np.int64)),
             pa.array([[{"start": a, "stop": b} for a, b in merged(spans[r])] if r in spans else [] for r in range(n)], pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))),
             pa.array([sorted(items[r]) if r in items else [] for r in range(n)], pa.list_(pa.string())),
             pa.array([sorted(near[r]) if r in near else [] for r in range(n)], pa.list_(pa.string())),
         ],
-        names=["segment", "row", "doc_id", "n_words", "spans", "items", "near_items"],
+        names=["segment", "row", "doc_id", "mark", "n_words", "spans", "items", "near_items"],
     )
 
 
@@ -243,6 +246,7 @@ def _merge_blocks(found: DataFrame) -> DataFrame:
     """One row per document from one per document and block."""
     rows = found.groupBy("segment", "row").agg(
         F.first("doc_id").alias("doc_id"),
+        F.first("mark").alias("mark"),
         F.first("n_words").alias("n_words"),
         F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
@@ -254,7 +258,7 @@ def _merge_blocks(found: DataFrame) -> DataFrame:
 
 
 def search(index: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int | None = None, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """Per document row: doc_id, n_words, spans of hit words, items that occur and items that occur nearly."""
+    """Per document row: doc_id, mark (a hash of the text), n_words, spans of hit words, items that occur and items that occur nearly."""
     spark = index.sparkSession
     bench = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL").distinct()
     n_blocks = int((bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // (block_words * 5)) + 1
@@ -283,10 +287,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
         "items",
         "near_items",
         "spans",
+        "mark",
     )
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``docs`` without the documents (by doc_id) in which a window occurs."""
-    bad = contamination(docs, benchmark, window).where("contaminated").select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__bad"]), "left_anti")
+    """``docs`` without the rows in which a window occurs: a row is known by its doc_id and a hash of its text."""
+    bad = contamination(docs, benchmark, window).where("contaminated").select(F.col("doc_id").alias("__bad"), F.col("mark").alias("__mark")).distinct()
+    return docs.join(bad, docs["doc_id"].cast("bigint").eqNullSafe(bad["__bad"]) & (F.xxhash64(docs["text"].cast("string")) == bad["__mark"]), "left_anti")
