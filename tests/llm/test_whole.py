@@ -7,7 +7,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from wordtide.llm import decontamination, licenses, linejoin, mixing, substring
+from wordtide.llm import classifier, decontamination, licenses, linejoin, mixing, substring
 from wordtide.llm.license_rules import RULES
 from wordtide.llm import queries as q
 
@@ -147,3 +147,10 @@ def test_clean_row_of_null_id_stays(spark):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     kept = decontamination.drop_contaminated(docs, spark.createDataFrame([(1, "leak leak")], "item_id bigint, text string")).collect()
     assert sorted(map(str, map(tuple, kept))) == sorted(map(str, [rows[1], rows[2], rows[3], rows[5]]))
+
+
+def test_sample_is_of_documents_that_are_there(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, f"text {k}") for k in range(3)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(200)], "doc_id bigint, label int")
+    monkeypatch.setattr(classifier, "train", lambda texts, of, n, **_: (sorted(texts), of))
+    assert classifier.Classifier.fit(docs, labels, 2, max_docs=3).per_bucket == ["text 0", "text 1", "text 2"]

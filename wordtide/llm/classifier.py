@@ -186,6 +186,8 @@ class Classifier:
     def fit(cls, docs: DataFrame, labelled: DataFrame, n_classes: int, max_docs: int = MAX_DOCS, max_doc_bytes: int = MAX_DOC_BYTES, **options) -> Classifier:
         """``labelled``: doc_id and label (0 to n_classes - 1)."""
         sample = labelled.where("doc_id IS NOT NULL AND label IS NOT NULL").groupBy("doc_id").agg(F.max("label").cast("int").alias("label"))
+        # Labels of documents that are not there take no place of the sample.
+        sample = sample.join(docs.select("doc_id").where("doc_id IS NOT NULL"), "doc_id", "left_semi")
         sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
         texts = docs.select(F.col("doc_id").alias("__id"), F.col("text").cast("string").alias("text"))
         # At most max_docs rows of two numbers are broadcast.
