@@ -5,7 +5,8 @@ of ``buckets`` embedding rows. The mean of their embeddings goes through a softm
 layer are trained together by stochastic gradient descent in numpy.
 
 Training runs on the driver over a bounded sample: at most ``max_docs`` labelled documents (the first by a hash of
-doc_id), passing over texts above ``max_doc_bytes``. Everything else covers all rows: the trained model is folded
+doc_id), passing over texts above ``max_doc_bytes``. Executors make the features; only these reach the driver, and their memory is
+given back when the model is trained. Everything else covers all rows: the trained model is folded
 into one score per bucket and class, broadcast (``buckets`` x classes numbers) and applied to whole texts in one pass.
 
 Defined results: null and empty texts have no features and get the score of the layer's bias alone; null labels are
@@ -17,13 +18,15 @@ are ignored.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Collection, Iterator
+from collections.abc import Callable, Collection, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .storage import give_back, trimmed
+
 BUCKETS = 1 << 18
 DIM = 12
 MIN_N, MAX_N = 3, 4
@@ -66,45 +69,38 @@ def pair_buckets(word_hash: np.ndarray, buckets: int) -> np.ndarray:
     return ((mixed ^ (mixed >> np.uint64(33))) % np.uint64(buckets)).astype(np.int64)
 
 
-class Featuriser(dict):
-    """Word -> (hash, bucket array)."""
+def features(text: str | None, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of a text's features and the share of each."""
+    words = text.split() if text else []
+    if not words:
+        return np.empty(0, np.int32), np.empty(0, np.float32)
+    number = {w: k for k, w in enumerate(dict.fromkeys(words))}
+    at = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
+    hashes, ids, of = subwords(number, buckets)
+    pairs = pair_buckets(hashes[at], buckets)
+    found, place = np.unique(np.concatenate([ids, pairs]), return_inverse=True)
+    n = np.bincount(place, np.concatenate([np.bincount(at)[of], np.ones(len(pairs))]))
+    return found.astype(np.int32), (n / n.sum()).astype(np.float32)
 
-    def __init__(self, buckets: int):
-        super().__init__()
-        self.buckets = buckets
 
-    def learn(self, words: Collection[str]) -> None:
-        if new := [w for w in set(words) if w not in self]:
-            hashes, ids, of = subwords(new, self.buckets)
-            parts = np.split(ids[np.argsort(of, kind="stable")], np.cumsum(np.bincount(of, minlength=len(new)))[:-1])
-            self.update(zip(new, zip(hashes.tolist(), parts, strict=True), strict=True))
+def _featurise(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [features(text.as_py(), buckets) for text in batch.column(2)]
+            columns = [pa.array([r[k].tobytes() for r in rows], pa.binary()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["doc_id", "label", "ids", "shares"])
 
-    def features(self, text: str | None) -> np.ndarray:
-        words = text.split() if text else []
-        if not words:
-            return np.empty(0, np.int64)
-        if any(w not in self for w in words):
-            if len(self) > _CACHE:
-                self.clear()
-            self.learn(words)
-        known = [self[w] for w in words]
-        hashes = np.array([k[0] for k in known], np.uint64)
-        return np.concatenate([*(k[1] for k in known), pair_buckets(hashes, self.buckets)])
+    return run
 
 
-def train(texts: list[str | None], labels: list[int], n_classes: int, buckets: int = BUCKETS, dim: int = DIM, epochs: int = EPOCHS, rate: float = RATE, seed: int = SEED, min_steps: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Scores per bucket (buckets, n_classes) and the bias, both already multiplied by the output layer."""
+def train(docs: list[tuple[np.ndarray, np.ndarray]], labels: list[int], n_classes: int, buckets: int = BUCKETS, dim: int = DIM, epochs: int = EPOCHS, rate: float = RATE, seed: int = SEED, min_steps: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Scores per bucket (buckets, n_classes) and the bias, both already multiplied by the output layer. ``docs``: ``features`` of each."""
     counts = np.bincount(labels, minlength=n_classes) if labels else np.zeros(n_classes)
     prior = (counts + 0.5) / (counts.sum() + 0.5 * n_classes)
     bias = np.log(prior)
     if (counts > 0).sum() < 2:
         return np.zeros((buckets, n_classes), np.float32), bias.astype(np.float32)
     rng = np.random.default_rng(seed)
-    featuriser = Featuriser(buckets)
-    docs = []
-    for text in texts:
-        ids, n = np.unique(featuriser.features(text), return_counts=True)
-        docs.append((ids.astype(np.int32), (n / max(1, n.sum())).astype(np.float32)))
     target = np.eye(n_classes, dtype=np.float32)[labels]
     embedding = rng.uniform(-1 / dim, 1 / dim, (buckets, dim)).astype(np.float32)
     layer = rng.uniform(-1, 1, (dim, n_classes)).astype(np.float32)
@@ -173,17 +169,21 @@ def _scorer(model) -> Column:
             yield pa.StructArray.from_arrays([probabilities, pa.array(n_words)], names=["probabilities", "n_words"])
 
     # Not deterministic for the planner only: a filter on the score must not evaluate it twice.
-    return F.arrow_udf(run, SCORED).asNondeterministic()
+    def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from trimmed(run)(batches)
+
+    return F.arrow_udf(scored, SCORED).asNondeterministic()
 
 
 class Classifier:
     """A trained model; ``score`` adds class probabilities to documents."""
 
-    def __init__(self, per_bucket: np.ndarray, bias: np.ndarray):
-        self.per_bucket, self.bias = per_bucket, bias
+    def __init__(self, per_bucket: np.ndarray, bias: np.ndarray, seen: np.ndarray):
+        """``seen``: which classes the sample had an example of."""
+        self.per_bucket, self.bias, self.seen = per_bucket, bias, seen
 
     @classmethod
-    def fit(cls, docs: DataFrame, labelled: DataFrame, n_classes: int, max_docs: int = MAX_DOCS, max_doc_bytes: int = MAX_DOC_BYTES, **options) -> Classifier:
+    def fit(cls, docs: DataFrame, labelled: DataFrame, n_classes: int, max_docs: int = MAX_DOCS, max_doc_bytes: int = MAX_DOC_BYTES, buckets: int = BUCKETS, **options) -> Classifier:
         """``labelled``: doc_id and label (0 to n_classes - 1)."""
         sample = labelled.where("doc_id IS NOT NULL AND label IS NOT NULL").groupBy("doc_id").agg(F.max("label").cast("int").alias("label"))
         # Labels of documents that are not there take no place of the sample.
@@ -192,8 +192,20 @@ class Classifier:
         texts = docs.select(F.col("doc_id").alias("__id"), F.col("text").cast("string").alias("text"))
         # At most max_docs rows of two numbers are broadcast.
         rows = texts.join(F.broadcast(sample), texts["__id"] == sample["doc_id"]).where(F.coalesce(F.octet_length("text"), F.lit(0)) <= max_doc_bytes)
-        found = sorted({(r["doc_id"], r["label"], r["text"] or "") for r in rows.select("doc_id", "label", "text").toLocalIterator()})
-        return cls(*train([x[2] for x in found], [x[1] for x in found], n_classes, **options))
+        rows = rows.select(F.col("doc_id").cast("bigint").alias("doc_id"), "label", "text").mapInArrow(trimmed(_featurise(buckets)), "doc_id bigint, label int, ids binary, shares binary")
+        # The driver gets features, not texts.
+        found = sorted({(r[0], r[1], bytes(r[2]), bytes(r[3])) for r in rows.toLocalIterator()})
+        labels = [x[1] for x in found]
+        model = train([(np.frombuffer(x[2], np.int32), np.frombuffer(x[3], np.float32)) for x in found], labels, n_classes, buckets=buckets, **options)
+        del found
+        give_back()
+        return cls(*model, np.bincount(np.array(labels, np.int64), minlength=n_classes) > 0)
+
+    def without_unseen(self) -> Classifier:
+        """The model in which classes of no example have the probability 0; as it is where there is no example at all."""
+        if not self.seen.any():
+            return self
+        return Classifier(np.where(self.seen, self.per_bucket, 0).astype(np.float32), np.where(self.seen, self.bias, -np.inf).astype(np.float32), self.seen)
 
     def score(self, docs: DataFrame) -> DataFrame:
         """``docs`` with the columns __probabilities and __n_words (words split at white space)."""

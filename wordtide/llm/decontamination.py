@@ -9,10 +9,11 @@ next). Segments are local to the texts: no posting list of a frequent word is ev
 whose terms all occur starts from the positions of its rarest term, shifted by that term's offset, and is
 intersected with the shifted positions of the next rarest, until nothing or the exact places are left. With
 ``slop`` it also finds proximity matches: stretches of at most window + slop words that hold every
-term of the window in any order, within one document (so exact places are near ones, too).
+word of the window as often as it does, in any order, within one document (so exact places are near ones, too).
 
-The benchmark is split by a hash into blocks of about ``BLOCK_WORDS`` words; each block is broadcast on its own,
-so what is broadcast has a bound.
+The benchmark is cut into chunks of ``CHUNK`` windows, which a hash deals to blocks of about ``BLOCK_WORDS`` words; each block is
+broadcast on its own and given back before the next, so what the driver and the executors hold of it has a bound, whatever
+the size of an item.
 
 Defined results: null or wordless texts have no words and no hits; items of fewer words than a window, but not
 none, are one window; wordless items never match; repeated items count once by item_id; a null item_id
@@ -22,8 +23,8 @@ or no rows; extra columns are ignored.
 
 from __future__ import annotations
 
-import hashlib
-from collections import defaultdict
+import os
+from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
 from itertools import count
 from types import SimpleNamespace
@@ -34,13 +35,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import materialise
+from .storage import materialise, save, trimmed
 
 WINDOW = 10
 #: Words that a near stretch may have beyond its window.
 SLOP = 3
 SEGMENT_WORDS = 400_000
-BLOCK_WORDS = 2_000_000
+BLOCK_WORDS = 200_000
+CHUNK = 4096
 
 #: Bytes that are no part of a word become spaces, A-Z become a-z; bytes from 128 belong to words.
 _TO_WORDS = bytes(b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
@@ -63,7 +65,7 @@ def _segment(doc_ids: list[int | None], marks: list[int], sizes: list[int], word
     starts = np.concatenate([[0], ends[:-1]])[: len(numbers)]
     gaps[1:] -= at[order][:-1].copy()
     gaps[starts] = at[order][starts]
-    name = hashlib.blake2b(repr((doc_ids[0], len(words), len(sizes))).encode(), digest_size=8).digest()
+    name = os.urandom(8)  # drawn when the index is written, which happens once
     one = lambda values, kind: pa.array([values], pa.list_(kind))
     return pa.RecordBatch.from_arrays(
         [pa.array([int.from_bytes(name, "little", signed=True)]), one(doc_ids, pa.int64()), one(marks, pa.int64()), one(sizes, pa.int32()), one(list(numbers), pa.binary()), one(ends, pa.int32()), one(gaps, pa.int32())],
@@ -96,28 +98,31 @@ def _segments(segment_words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterat
 def build_index(docs: DataFrame, segment_words: int = SEGMENT_WORDS) -> DataFrame:
     """The index of ``docs`` (doc_id, text), stored in the shared folder: one row per segment."""
     texts = docs.select(F.col("doc_id").cast("bigint"), F.xxhash64(F.col("text").cast("string")), F.col("text").cast("string"))
-    return materialise(texts.mapInArrow(_segments(segment_words), SEGMENT), "index")
+    return materialise(texts.mapInArrow(trimmed(_segments(segment_words)), SEGMENT), "index")
 
 
 class Windows:
     """A block of the benchmark: its distinct windows over a vocabulary of its own, and their items."""
 
-    def __init__(self, items: list[tuple[str, list[bytes]]], size: int):
-        self.vocabulary: dict[bytes, int] = {}
-        numbers: dict[tuple[int, ...], int] = {}
-        of_window: list[set[str]] = []
-        for item, words in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words]
-            for start in range(max(1, len(ids) - size + 1) if ids else 0):
-                window = tuple(ids[start : start + size])
-                if (k := numbers.setdefault(window, len(numbers))) == len(of_window):
-                    of_window.append(set())
-                of_window[k].add(item)
-        self.items = [sorted(x) for x in of_window]
-        self.lengths = np.array([len(w) for w in numbers], np.int32)
-        self.terms = np.full((len(numbers), size), -1, np.int32)
-        for w, k in numbers.items():
-            self.terms[k, : len(w)] = w
+    def __init__(self, chunks: list[tuple[str, list[str]]], size: int):
+        numbers: dict[bytes, int] = {}
+        self.names = sorted({item for item, _ in chunks})
+        number = {name: k for k, name in enumerate(self.names)}
+        parts, owners = [np.empty((0, size), np.int32)], [np.empty(0, np.int64)]
+        for item, words in chunks:
+            ids = np.array([numbers.setdefault(w.encode("utf-8", "surrogatepass"), len(numbers)) for w in words], np.int32)
+            ids = np.concatenate([ids, np.full(max(0, size - len(ids)), -1, np.int32)])
+            parts.append(np.lib.stride_tricks.sliding_window_view(ids, size))
+            owners.append(np.full(len(parts[-1]), number[item]))
+        self.vocabulary = list(numbers)
+        self.terms, window = np.unique(np.concatenate(parts), axis=0, return_inverse=True)
+        self.lengths = (self.terms >= 0).sum(axis=1)
+        pairs = np.unique(np.stack([window.ravel(), np.concatenate(owners)]), axis=1)
+        self.owner, self.ends = pairs[1], np.searchsorted(pairs[0], np.arange(len(self.terms) + 1))
+
+
+def items_of(windows: SimpleNamespace, w: int) -> list[str]:
+    return [windows.names[k] for k in windows.owner[windows.ends[w] : windows.ends[w + 1]]]
 
 
 class Postings:
@@ -153,26 +158,29 @@ def phrase_starts(postings: Postings, window: np.ndarray) -> np.ndarray:
 
 def near_anchors(postings: Postings, window: np.ndarray, span: int, first: np.ndarray) -> np.ndarray:
     """Positions of the window's rarest term that lie in a stretch of at most ``span`` positions, within one document, with every
-    term of the window. ``first``: where the documents start, ascending, one position apart, and one past the last."""
-    terms = sorted(set(window.tolist()), key=lambda t: (postings.sizes[t], t))
+    term of the window as often as it has it. ``first``: where the documents start, ascending, one position apart, and one past the last."""
+    wanted = Counter(window.tolist())
+    terms = sorted(wanted, key=lambda t: (postings.sizes[t], t))
     anchors = postings[terms[0]]
     of = np.searchsorted(first, anchors, side="right")
     low, high = np.maximum(anchors - span + 1, first[of - 1]), np.minimum(anchors + span, first[of] - 1)
-    for t in terms[1:]:
+    for t in terms:
         if not len(anchors):
             return anchors
         listed = postings[t]
-        after = np.searchsorted(listed, low)
-        ok = after < len(listed)
-        ok[ok] = listed[after[ok]] < high[ok]
+        ok = np.searchsorted(listed, high) - np.searchsorted(listed, low) >= wanted[t]
         anchors, low, high = anchors[ok], low[ok], high[ok]
     kept = []
     for p, start, stop in zip(anchors.tolist(), low.tolist(), high.tolist(), strict=True):
         around = sorted((int(x), t) for t in terms for x in postings[t][np.searchsorted(postings[t], start) : np.searchsorted(postings[t], stop)])
-        last: dict[int, int] = {}
+        missing, held, left = sum(wanted.values()), Counter(), 0
         for x, t in around:
-            last[t] = x
-            if len(last) == len(terms) and min(last.values()) <= p <= x and x - min(last.values()) < span:
+            held[t] += 1
+            missing -= held[t] <= wanted[t]
+            while held[around[left][1]] > wanted[around[left][1]]:  # the shortest stretch that ends here
+                held[around[left][1]] -= 1
+                left += 1
+            if not missing and around[left][0] <= p <= x and x - around[left][0] < span:
                 kept.append(p)
                 break
     return np.array(kept, np.int64)
@@ -184,7 +192,7 @@ MATCHES = "segment bigint, row int, doc_id bigint, mark bigint, n_words bigint,
 def _searcher(block, slop: int | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows = SimpleNamespace(**block.value)
-        vocabulary = pa.array(list(windows.vocabulary), pa.binary())
+        vocabulary = pa.array(windows.vocabulary, pa.binary())
         for batch in batches:
             for k in range(batch.num_rows):
                 yield _search(batch.slice(k, 1), windows, vocabulary, slop)
@@ -210,12 +218,12 @@ def _search(batch: pa.RecordBatch, windows: SimpleNamespace, vocabulary: pa.Arra
         if len(starts):
             rows = np.searchsorted(first, starts, side="right") - 1
             for row in np.unique(rows).tolist():
-                items[row].update(windows.items[w])
+                items[row].update(items_of(windows, w))
             for row, start in zip(rows.tolist(), (starts - first[rows]).tolist(), strict=True):
                 spans[row].append((start, start + len(window)))
         if slop is not None:
             for p in near_anchors(postings, window, len(window) + slop, first).tolist():
-                near[int(np.searchsorted(first, p, side="right")) - 1].update(windows.items[w])
+                near[int(np.searchsorted(first, p, side="right")) - 1].update(items_of(windows, w))
     n = len(sizes)
     return pa.RecordBatch.from_arrays(
         [
@@ -257,25 +265,38 @@ def _merge_blocks(found: DataFrame) -> DataFrame:
     return rows.withColumn("spans", F.aggregate("spans", empty, step))
 
 
+def _chunks(benchmark: DataFrame, window: int) -> DataFrame:
+    """(item, words): the items' words, cut so that each window stands in one chunk."""
+    lower = F.translate(F.col("text").cast("string"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    words = F.regexp_extract_all(lower, F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), F.lit(0))
+    rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), words.alias("words")).where(F.size("words") > 0).distinct()
+    starts = F.sequence(F.lit(1), F.greatest(F.size("words") - window + 1, F.lit(1)), F.lit(CHUNK))
+    return rows.select("item", F.explode(F.transform(starts, lambda at: F.slice("words", at, CHUNK + window - 1))).alias("words"))
+
+
 def search(index: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int | None = None, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Per document row: doc_id, mark (a hash of the text), n_words, spans of hit words, items that occur and items that occur nearly."""
     spark = index.sparkSession
-    bench = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL").distinct()
-    n_blocks = int((bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // (block_words * 5)) + 1
+    chunks = materialise(_chunks(benchmark, window), "chunks")
+    n_blocks = int((chunks.agg(F.sum(F.size("words"))).first()[0] or 0) // block_words) + 1
     parts = []
     for k in range(n_blocks):
-        rows = bench.where(F.pmod(F.xxhash64("item", "text"), F.lit(n_blocks)) == k).collect()
-        block = spark.sparkContext.broadcast(vars(Windows(sorted((r["item"], words_of(r["text"])) for r in rows), window)))
-        parts.append(index.mapInArrow(_searcher(block, slop), MATCHES))
+        rows = chunks.where(F.pmod(F.xxhash64("item", "words"), F.lit(n_blocks)) == k).collect()
+        block = spark.sparkContext.broadcast(vars(Windows([(r["item"], r["words"]) for r in rows], window)))
+        found = index.mapInArrow(trimmed(_searcher(block, slop)), MATCHES)
+        if n_blocks == 1:
+            return found
+        parts.append(save(found, "found")[0])
+        block.destroy()
     found = parts[0]
     for part in parts[1:]:
         found = found.unionByName(part)
-    return found if n_blocks == 1 else _merge_blocks(found)
+    return _merge_blocks(found)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int | None = None) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int | None = None, block_words: int = BLOCK_WORDS) -> DataFrame:
     """``search`` over an index of ``docs``, with counts, a digest of the items and the decision."""
-    found = search(build_index(docs), benchmark, window, slop)
+    found = search(build_index(docs), benchmark, window, slop, block_words)
     n_hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["stop"] - s["start"])
     return found.select(
         "doc_id",

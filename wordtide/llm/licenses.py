@@ -5,7 +5,7 @@ the places found, one that lies within another of at least its priority is suppr
 priorities the rule that comes first stays). Base phrases are counted before suppression and their labels stay.
 
 Main path: DataFrame expressions only, one pass, no shuffle: rules are a literal array, and a document's matches stay
-in its row. The sweep over a document's matches is linear in their number.
+in its row. Positions and the sweep over a document's n matches take about n^(4/3) steps.
 
 Defined results: null and empty texts have no words and no labels; a rule counts where its words stand consecutively,
 whatever separates them; repeated rows get equal results; an empty table gives no rows; extra columns
@@ -14,7 +14,7 @@ are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,38 +35,56 @@ def _n_spaces(c: Column) -> Column:
     return F.length(c) - F.length(F.replace(c, F.lit(" "), F.lit("")))
 
 
+def _running(items: Column, start: Column, step: Callable[[Column, Column], Column], out: Callable[[Column, Column], Column], kind: str) -> Column:
+    """``out(state, item)`` of every item, ``state`` being what ``step`` has made of those before it.
+
+    An array that grows in a fold is copied at each step, so the items are taken in about n^(2/3) blocks of n^(1/3): copies in all n^(4/3)."""
+    empty = F.array().cast(f"array<{kind}>")
+
+    def inner(block: Column, state: Column) -> Column:
+        both = F.struct(state.alias("state"), empty.alias("out"))
+        return F.aggregate(block, both, lambda s, x: F.struct(step(s["state"], x).alias("state"), F.concat(s["out"], F.array(out(s["state"], x))).alias("out")), lambda s: s["out"])
+
+    width = F.greatest(F.ceil(F.cbrt(F.size(items))), F.lit(1)).cast("int")
+    starts = F.sequence(F.lit(1), F.greatest(F.size(items), F.lit(1)), width)
+    blocks = F.transform(starts, lambda at: F.slice(items, at, width))
+    first = F.struct(start.alias("state"), F.array(start).alias("out"))
+    states = F.aggregate(blocks, first, lambda s, block: F.struct(F.aggregate(block, s["state"], step).alias("state"), F.concat(s["out"], F.array(F.aggregate(block, s["state"], step))).alias("out")), lambda s: s["out"])
+    return F.flatten(F.zip_with(blocks, F.slice(states, 1, F.size(blocks)), inner))
+
+
 def _places(text: Column, rule: Column) -> Column:
     """The intervals (in words) where the rule's pattern matches: the pieces between matches give their positions."""
     found = F.regexp_extract_all(text, rule["pattern"], F.lit(0))
     pairs = F.zip_with(F.slice(F.split(text, rule["pattern"], -1), 1, F.size(found)), found, lambda piece, match: F.struct(_n_spaces(piece).alias("before"), _n_spaces(match).alias("within")))
 
-    def step(state: Column, pair: Column) -> Column:
-        start = state["at"] + pair["before"]
-        span = F.struct(
-            start.alias("start"), (start + pair["within"] + 1).alias("stop"), rule["priority"].alias("priority"), rule["rule"].alias("rule"), rule["label"].alias("label"), rule["base"].alias("base")
-        )
-        return F.struct((start + pair["within"]).alias("at"), F.concat(state["out"], F.array(span)).alias("out"))
+    def span(at: Column, pair: Column) -> Column:
+        start = at + pair["before"]
+        return F.struct(start.alias("start"), (start + pair["within"] + 1).alias("stop"), rule["priority"].alias("priority"), rule["rule"].alias("rule"), rule["label"].alias("label"), rule["base"].alias("base"))
 
-    empty = F.struct(F.lit(-1).alias("at"), F.array().cast(f"array<{_SPAN}>").alias("out"))
-    return F.aggregate(pairs, empty, step, lambda state: state["out"])
+    return _running(pairs, F.lit(-1), lambda at, pair: at + pair["before"] + pair["within"], span, _SPAN)
 
 
 def _unsuppressed(spans: Column) -> Column:
     """Sweeps the spans by start, longest and highest priority first, with the furthest stop so far at each priority or above."""
     order = F.array_sort(spans, lambda x, y: F.when(x["start"] != y["start"], x["start"] - y["start"]).when(x["stop"] != y["stop"], y["stop"] - x["stop"]).when(x["priority"] != y["priority"], y["priority"] - x["priority"]).otherwise(x["rule"] - y["rule"]))
 
-    def step(state: Column, span: Column) -> Column:
-        reach = F.array(*[F.when(span["priority"] >= p, F.greatest(state["reach"][p - 1], span["stop"])).otherwise(state["reach"][p - 1]) for p in range(1, PRIORITIES + 1)])
-        covered = F.element_at(state["reach"], span["priority"]) >= span["stop"]
-        return F.struct(reach.alias("reach"), F.when(covered, state["out"]).otherwise(F.concat(state["out"], F.array(span))).alias("out"))
+    def step(reach: Column, span: Column) -> Column:
+        return F.array(*[F.when(span["priority"] >= p, F.greatest(reach[p - 1], span["stop"])).otherwise(reach[p - 1]) for p in range(1, PRIORITIES + 1)])
+
+    def left(reach: Column, span: Column) -> Column:
+        return F.when(F.element_at(reach, span["priority"]) < span["stop"], span)
 
-    start = F.struct(F.array(*[F.lit(0)] * PRIORITIES).alias("reach"), F.array().cast(f"array<{_SPAN}>").alias("out"))
-    return F.aggregate(order, start, step, lambda state: state["out"])
+    return F.filter(_running(order, F.array(*[F.lit(0)] * PRIORITIES), step, left, _SPAN), lambda s: s.isNotNull())
 
 
 def scan(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     """doc_id, n_words, ``found`` (all places, before suppression) and ``kept`` (those left after it) for every row."""
-    words = docs.select("doc_id", F.regexp_extract_all(F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))), F.lit(WORD), F.lit(0)).alias("words"))
+    # Two letters beyond ASCII have lower-case forms within it; they give way to another one, so that only A-Z become a-z.
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    for letter in "\u0130\u212a":
+        text = F.replace(text, F.lit(letter), F.lit("\u00e6"))
+    words = docs.select("doc_id", F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)).alias("words"))
     keywords = F.expr("array(" + ", ".join(f"'{k}'" for k in sorted({k for r in rules for k in r.keywords.split()})) + ")")
     gated = words.select("doc_id", F.size("words").cast("bigint").alias("n_words"), F.when(F.arrays_overlap("words", keywords), F.col("words")).alias("words"))
     text = F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" "))

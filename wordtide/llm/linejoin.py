@@ -1,7 +1,7 @@
 """Line dedup by an exact set-similarity join.
 
 A line is the set of its distinct words. Lines with equal sets are one class. Two classes match at a Jaccard
-similarity of at least 0.75. Words are put in one global order by rarity: counts over all lines, kept in a table of
+similarity of at least 0.75. Words are put in one global order by rarity: counts over all texts, kept in a table of
 fixed size indexed by a hash of the word, ties by the hash (any order gives the same matches; rarity makes few
 candidates). Classes that share a word of their prefixes are candidates if sizes, the positions of the shared
 word and a parity bitmap of the sets leave the required overlap possible. Every candidate is verified on full sets, so the join is exact.
@@ -9,24 +9,30 @@ word and a parity bitmap of the sets leave the required overlap possible. Every
 A line is removed if it equals or matches a line that comes earlier by (doc_id, line). Pairs are made between
 classes only; equal lines are never paired.
 
-What the driver holds: the count table and a bitmap of documents to read again, both of fixed size.
+Texts are read twice: once for the lines' digests and the counts, which are stored, and once for the prefixes, which are
+shuffled by word and not stored. Each task sends the prefix of a class once. The sets of candidates are
+read from the documents that hold them.
 
-Defined results: null text has no lines; every line with a word is a unit; rows
+What the driver holds: the count table and bitmaps of what to read again, all of fixed size.
+
+Defined results: null text has no lines; every line with at least ``min_tokens`` (1) distinct words is a unit; rows
 that repeat a doc_id and a text are one document; a null doc_id ranks last; an empty table gives no
-rows; extra columns are ignored. Classes are told apart by 64-bit digests of their sets.
+rows; extra columns are ignored. Classes are told apart by 128-bit digests of their sets.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import save
+from .storage import save, trimmed
 
 MIN_TOKENS = 1
 #: Distinct words from which a set can match one that does not equal it (2 of 3 words are under 0.75, 3 of 4 are not).
@@ -34,45 +40,193 @@ LEAST_SIMILAR = 3
 #: Occurrences from which a class is joined to its lines by broadcast.
 HOT = 4096
 NUMERATOR, DENOMINATOR = 75, 100
-TABLE = 1 << 20
-_VOCABULARY = 400_000
-_PART = 400_000
-
+#: Entries of the count table and of the bitmaps.
+TABLE = 1 << 22
+#: Sizes and positions from here on are not told apart by the filters.
+MOST = (1 << 15) - 1
+_SLICE = 4_000_000
+_BLOCK = 1 << 16
+_LONG_WORD = 512
+_SEEN = 400_000
+LAST = 2**63 - 1
+
+
+class Lines(NamedTuple):
+    """Words of some texts: their hashes and lines; of each line its text, number, start and stop (in bytes)."""
+
+    word: np.ndarray
+    line: np.ndarray
+    text: np.ndarray
+    number: np.ndarray
+    start: np.ndarray
+    stop: np.ndarray
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the words at starts to ends; 8 bytes must follow the last. Eight bytes are taken at a time."""
+    eight = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
+    size = ends - starts
+    masks = np.array([(1 << 8 * k) - 1 for k in range(8)] + [2**64 - 1], np.uint64)
+    out = size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    at = np.arange(len(size))
+    for k in range(0, _LONG_WORD, 8):
+        if k:
+            at = at[size[at] > k]
+            if not len(at):
+                break
+        part = eight[starts[at] + k] & masks[np.minimum(size[at] - k, 8)]
+        out[at] = _mixed(out[at] ^ part)
+    for k in np.flatnonzero(size > _LONG_WORD):
+        out[k] = int.from_bytes(hashlib.blake2b(data[starts[k] : ends[k]].tobytes(), digest_size=8).digest(), "little")
+    return _mixed(out)
+
+
+def lines_of(texts: list[bytes]) -> Lines:
+    """The lines that hold a word. A-Z are lower-cased, words parted by ASCII white space."""
+    body = b"\n" + b"\n".join(texts) + b"\n"
+    data = np.frombuffer(body.lower() + bytes(8), np.uint8)
+    inside = data[: len(body)] > 32
+    inside |= (data[: len(body)] < 9) | ((data[: len(body)] > 13) & (data[: len(body)] < 32))
+    edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    starts, ends = edges[0::2], edges[1::2]
+    breaks = np.flatnonzero(data[: len(body)] == 10)
+    line = np.searchsorted(breaks, starts) - 1
+    new = np.concatenate([[True], line[1:] != line[:-1]])[: len(line)]
+    used, line = line[new], np.cumsum(new) - 1
+    begins, stops = breaks[:-1] + 1, breaks[1:]
+    text_at = 1 + np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
+    first = np.searchsorted(begins, text_at[:-1])
+    text = np.searchsorted(text_at, begins[used], side="right") - 1
+    return Lines(word_hashes(data, starts, ends), line, text, used - first[text], begins[used] - text_at[text], stops[used] - text_at[text])
+
+
+def _sorted_words(line: np.ndarray, word: np.ndarray, rank: np.ndarray | None = None) -> np.ndarray:
+    """Where the distinct words of each line stand, by line, rank (if given) and hash."""
+    bits = 64 - int(line[-1]).bit_length() if len(line) else 64
+    key = word >> np.uint64(64 - bits) if bits else word * np.uint64(0)
+    if rank is not None:
+        key = (rank.astype(np.uint64) << np.uint64(max(0, bits - 22))) | (word >> np.uint64(64 - max(0, bits - 22)) if bits > 22 else np.uint64(0))
+    if bits < 64:
+        key = key | (line.astype(np.uint64) << np.uint64(bits))
+    order = np.argsort(key)
+    same = key[order[1:]] == key[order[:-1]]
+    equal = same & (word[order[1:]] == word[order[:-1]])
+    if (same != equal).any():  # two words of a line agree in the bits of the key: sort by all bits
+        order = np.lexsort((word, line) if rank is None else (word, rank, line))
+        equal = (line[order[1:]] == line[order[:-1]]) & (word[order[1:]] == word[order[:-1]])
+    return order[np.concatenate([[True], ~equal])] if len(order) else order
+
+
+def _slices(texts: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
+    """(first row, texts) of runs of about ``_SLICE`` bytes."""
+    part: list[bytes] = []
+    first, size = 0, 0
+    for k, text in enumerate(pc.fill_null(texts.cast(pa.large_binary()), b"")):
+        part.append(text.as_py())
+        size += len(part[-1])
+        if size >= _SLICE:
+            yield first, part
+            part, first, size = [], k + 1, 0
+    if part:
+        yield first, part
+
+
+class Sets(NamedTuple):
+    """The lines of at least ``min_tokens`` words: which they are, their digests, sizes and parity bitmaps."""
+
+    kept: np.ndarray
+    i1: np.ndarray
+    i2: np.ndarray
+    size: np.ndarray
+    parity: np.ndarray
+
+
+def sets_of(lines: Lines, order: np.ndarray, min_tokens: int) -> tuple[Sets, np.ndarray]:
+    """The sets, and per word of ``order`` its line."""
+    line, word = lines.line[order], lines.word[order]
+    n = len(lines.text)
+    size = np.bincount(line, minlength=n)
+    starts = np.concatenate([[0], np.cumsum(size)])[:-1].astype(np.int64)
+    if not n:
+        none = np.empty(0, np.int64)
+        return Sets(none, none, none, none, none), line
+    i1 = _mixed(np.add.reduceat(_mixed(word ^ np.uint64(0x243F6A8885A308D3)), starts) + size.astype(np.uint64))
+    i2 = _mixed(np.add.reduceat(_mixed(word ^ np.uint64(0xA4093822299F31D0)), starts) ^ size.astype(np.uint64))
+    parity = np.bitwise_xor.reduceat(np.uint64(1) << (word >> np.uint64(58)), starts)
+    return Sets(np.flatnonzero(size >= min_tokens), i1.view(np.int64), i2.view(np.int64), size, parity.view(np.int64)), line
+
+
+LINE = "struct<line:int,start:int,stop:int,i1:bigint,i2:bigint>"
+_LINE = pa.struct([("line", pa.int32()), ("start", pa.int32()), ("stop", pa.int32()), ("i1", pa.int64()), ("i2", pa.int64())])
+DESCRIBED = f"doc_id bigint, mark bigint, lines array<{LINE}>, block int, counts binary"
+
+
+def _char_offsets(texts: list[bytes], text: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Byte offsets in texts as offsets in characters."""
+    out = at.copy()
+    for t in np.unique(text):
+        if not texts[t].isascii():
+            own = text == t
+            heads = np.concatenate([[0], np.cumsum((np.frombuffer(texts[t], np.uint8) & 0xC0) != 0x80)])
+            out[own] = heads[at[own]]
+    return out
+
+
+def _describe(min_tokens: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (doc_id, mark, lines) of documents, then rows (block, counts) of the words that the task has read."""
 
-class WordHashes(dict):
-    """63-bit hashes of words; bounded."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [x.split()[0] for x in ("doc_id bigint", "mark bigint", "lines", "block int", "counts binary")]
+        total = np.zeros(TABLE, np.int32)
+        for batch in batches:
+            for first, texts in _slices(batch.column(2)):
+                n = len(texts)
+                lines = lines_of(texts)
+                np.add.at(total, (lines.word & np.uint64(TABLE - 1)).astype(np.int64), np.int32(1))
+                sets, _ = sets_of(lines, _sorted_words(lines.line, lines.word), min_tokens)
+                k = sets.kept
+                text = lines.text[k]
+                fields = [lines.number[k], _char_offsets(texts, text, lines.start[k]), _char_offsets(texts, text, lines.stop[k])]
+                rows = pa.StructArray.from_arrays([*(pa.array(f.astype(np.int32)) for f in fields), pa.array(sets.i1[k]), pa.array(sets.i2[k])], fields=list(_LINE))
+                ends = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=n))]).astype(np.int32)
+                own = batch.slice(first, n)
+                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.ListArray.from_arrays(pa.array(ends), rows), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
+        for block in range(TABLE // _BLOCK):
+            part = total[block * _BLOCK : (block + 1) * _BLOCK]
+            used = np.flatnonzero(part)
+            if len(used):
+                packed = used.astype("<u2").tobytes() + part[used].astype("<i4").tobytes()
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.list_(_LINE)), pa.array([block], pa.int32()), pa.array([packed], pa.binary())], names=names)
 
-    def __missing__(self, word: bytes) -> int:
-        value = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little") >> 1
-        if len(self) < _VOCABULARY and len(word) < 64:
-            self[word] = value
-        return value
+    return run
 
 
-def line_sets(text: str) -> Iterator[tuple[int, int, int, list[bytes]]]:
-    """(line, start, stop, distinct words) of the lines of at least MIN_TOKENS distinct words, so of all with a word."""
-    at = 0
-    for line, body in enumerate(text.split("\n")):
-        words = list(dict.fromkeys(body.encode("utf-8", "surrogatepass").lower().split()))
-        if len(words) >= MIN_TOKENS:
-            yield line, at, at + len(body), words
-        at += len(body) + 1
+def _sum_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, counts) of each block, all rows of which are in this task."""
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for block, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            n = len(packed) // 6
+            at, counts = np.frombuffer(packed, "<u2", n), np.frombuffer(packed, "<i4", n, 2 * n)
+            total.setdefault(block, np.zeros(_BLOCK, np.int64))[at] += counts
+    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["block", "counts"])
 
 
-def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(bucket, n): in how many lines words of the bucket stand, summed over what the task has read."""
-    hashes, counts = WordHashes(), np.zeros(TABLE, np.int64)
-    found: list[int] = []
-    for batch in batches:
-        for text in batch.column(0):
-            for *_, words in line_sets(text.as_py() or ""):
-                found += map(hashes.__getitem__, words)
-            if len(found) > _PART:
-                counts += np.bincount(np.array(found, np.int64) & (TABLE - 1), minlength=TABLE)
-                found = []
-    counts += np.bincount(np.array(found, np.int64) & (TABLE - 1), minlength=TABLE)
-    used = np.flatnonzero(counts)
-    yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(counts[used])], names=["bucket", "n"])
+def rarity(described: DataFrame) -> tuple[np.ndarray, int]:
+    """The rank of every entry of the count table, rarest first, and how many entries hold one word occurrence or none."""
+    counts = np.zeros(TABLE, np.int64)
+    summed = described.where("block IS NOT NULL").select("block", "counts").repartition("block").mapInArrow(_sum_blocks, "block int, counts binary")
+    for row in summed.toLocalIterator():  # TABLE / _BLOCK rows
+        counts[row[0] * _BLOCK : (row[0] + 1) * _BLOCK] = np.frombuffer(row[1], np.int64)
+    rank = np.empty(TABLE, np.uint32)
+    rank[np.argsort(counts, kind="stable")] = np.arange(TABLE, dtype=np.uint32)
+    return rank, int((counts <= 1).sum())
 
 
 def needed_prefix(sizes: np.ndarray) -> np.ndarray:
@@ -80,168 +234,169 @@ def needed_prefix(sizes: np.ndarray) -> np.ndarray:
     return sizes - (NUMERATOR * sizes + DENOMINATOR - 1) // DENOMINATOR + 1
 
 
-LINES = "doc_id bigint, mark bigint, line int, start int, stop int, id bigint, size int, parity bigint, words array<bigint>, positions array<int>"
-
-
-def _describe(table) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def flush(rows: list[tuple], found: list[int], sizes: list[int]) -> pa.RecordBatch:
-        counts = np.frombuffer(table.value, np.int64)
-        word, size = np.array(found, np.int64), np.array(sizes, np.int64)
-        owner = np.repeat(np.arange(len(size)), size)
-        count = counts[word & (TABLE - 1)]
-        order = np.lexsort((word, count, owner))
-        word, count = word[order], count[order]
-        starts = np.concatenate([[0], np.cumsum(size)])[:-1]
-        place = np.arange(len(word)) - starts[owner]
-        parity = np.bitwise_xor.reduceat(np.int64(1) << ((word >> 20) & 63), starts)
-        mixed = word * np.int64(-7046029254386353131)
-        mixed ^= (mixed >> np.int64(29)) & np.int64(0x7FFFFFFFF)
-        mixed *= np.int64(-4658895280553007687)
-        name = np.add.reduceat(mixed, starts)
-        name ^= (name >> np.int64(31)) & np.int64(0x1FFFFFFFF)
-        # A word that stands in one line only matches nothing; sets of one or two words match equal sets only, which are one class.
-        keep = (place < needed_prefix(size)[owner]) & (count > 1) & (size[owner] >= LEAST_SIMILAR)
-        ends = np.concatenate([[0], np.cumsum(np.bincount(owner[keep], minlength=len(size)))]).astype(np.int32)
-        columns = list(zip(*rows, strict=True))
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
-        return pa.RecordBatch.from_arrays(
-            [
-                *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True)),
-                pa.array(name),
-                pa.array(size.astype(np.int32)),
-                pa.array(parity),
-                pa.ListArray.from_arrays(pa.array(ends), pa.array(word[keep])),
-                pa.ListArray.from_arrays(pa.array(ends), pa.array(place[keep].astype(np.int32))),
-            ],
-            names=[x.split()[0] for x in LINES.split(", ")],
-        )
+PREFIX = "word bigint, i1 bigint, parity bigint, place int"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        rows: list[tuple] = []
-        found: list[int] = []
-        sizes: list[int] = []
-        for batch in batches:
-            for doc_id, mark, text in zip(*batch.columns, strict=True):
-                doc_id, mark = doc_id.as_py(), mark.as_py()
-                for line, start, stop, words in line_sets(text.as_py() or ""):
-                    rows.append((doc_id, mark, line, start, stop))
-                    found += map(hashes.__getitem__, words)
-                    sizes.append(len(words))
-                if len(found) > _PART:
-                    yield flush(rows, found, sizes)
-                    rows, found, sizes = [], [], []
-        if rows:
-            yield flush(rows, found, sizes)
-
-    return run
-
-
-def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, words) of the wanted lines of each document."""
-    hashes = WordHashes()
-    for batch in batches:
-        ids, sets = [], []
-        for text, wanted in zip(batch.column(0), batch.column(1), strict=True):
-            of_line = {w["line"]: w["id"] for w in wanted.as_py()}
-            for line, _, _, words in line_sets(text.as_py() or ""):
-                if line in of_line:
-                    ids.append(of_line[line])
-                    sets.append([hashes[w] for w in words])
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["id", "words"])
 
+def _prefixes(order, min_tokens: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(word, i1, parity, size and position in one number) of the words of the prefixes that another line can hold."""
 
-def _reading_again(bits) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = np.frombuffer(bits.value, bool)
+        ranks, single = order.value
+        ranks = np.frombuffer(ranks, np.uint32)
+        seen: set[int] = set()
         for batch in batches:
-            mark = batch.column(1).to_numpy(zero_copy_only=False)
-            yield batch.filter(pa.array(wanted[mark & (TABLE - 1)]))
+            for _, texts in _slices(batch.column(0)):
+                lines = lines_of(texts)
+                rank = ranks[(lines.word & np.uint64(TABLE - 1)).astype(np.int64)]
+                chosen = _sorted_words(lines.line, lines.word, rank)
+                sets, line = sets_of(lines, chosen, min_tokens)
+                if not len(sets.size):
+                    continue
+                _, earliest = np.unique(sets.i1, return_index=True)
+                new = np.zeros(len(sets.size), bool)
+                if len(seen) > _SEEN:
+                    seen.clear()
+                fresh = [k for k, name in zip(earliest.tolist(), sets.i1[earliest].tolist(), strict=True) if name not in seen]
+                new[fresh] = True
+                seen.update(sets.i1[fresh].tolist())
+                new &= (sets.size >= LEAST_SIMILAR) & (sets.size >= min_tokens)
+                place = np.arange(len(line)) - np.concatenate([[0], np.cumsum(sets.size)])[:-1][line]
+                # A word that stands in one line only matches nothing; sets of one or two words match equal sets only, which are one class.
+                keep = new[line] & (place < needed_prefix(sets.size)[line]) & (rank[chosen] >= single)
+                of, at = line[keep], place[keep]
+                both = (np.minimum(sets.size[of], MOST) << 16) | np.minimum(at, MOST)
+                word = (lines.word[chosen][keep] >> np.uint64(24)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(sets.i1[of]), pa.array(sets.parity[of]), pa.array(both.astype(np.int32))], names=[x.split()[0] for x in PREFIX.split(", ")])
 
     return run
 
 
-def _candidates(classes: DataFrame) -> DataFrame:
+def _candidates(prefixes: DataFrame) -> DataFrame:
     """(a, b): classes that share a prefix word and may overlap enough; b is the smaller set, or the smaller id."""
-    rows = classes.select("id", "size", "parity", F.explode(F.arrays_zip("words", "positions")).alias("w")).select("id", "size", "parity", F.col("w.words").alias("word"), F.col("w.positions").alias("at"))
+    rows = prefixes.repartition("word").dropDuplicates(["word", "i1", "parity", "place"])
+    size, at = F.shiftright("place", 16), F.col("place").bitwiseAND(F.lit(0xFFFF))
+    rows = rows.select("word", "i1", "parity", size.alias("size"), at.alias("at"))
     x = rows.select(*[F.col(c).alias(f"x_{c}") for c in rows.columns])
     y = rows.select(*[F.col(c).alias(f"y_{c}") for c in rows.columns])
     both = F.col("x_size") + F.col("y_size")
     # overlap >= t / (1 + t) * (|x| + |y|), in whole numbers
-    needed = F.floor((F.lit(NUMERATOR) * both + F.lit(NUMERATOR + DENOMINATOR - 1)) / F.lit(NUMERATOR + DENOMINATOR))
-    left = F.lit(1) + F.least(F.col("x_size") - F.col("x_at"), F.col("y_size") - F.col("y_at")) - 1
+    needed = F.expr(f"({NUMERATOR} * (x_size + y_size) + {NUMERATOR + DENOMINATOR - 1}) DIV {NUMERATOR + DENOMINATOR}")
+    left = F.least(F.col("x_size") - F.col("x_at"), F.col("y_size") - F.col("y_at"))
+    differing = F.bit_count(F.col("x_parity").bitwiseXOR(F.col("y_parity")))
+    known = (F.col("x_size") < MOST) & (F.col("y_size") < MOST)
     joined = x.join(
         y,
         (F.col("x_word") == F.col("y_word"))
-        & ((F.col("y_size") < F.col("x_size")) | ((F.col("y_size") == F.col("x_size")) & (F.col("y_id") < F.col("x_id"))))
-        & (F.lit(DENOMINATOR) * F.col("y_size") >= F.lit(NUMERATOR) * F.col("x_size"))
-        & (left >= needed)
-        & (both - F.bit_count(F.col("x_parity").bitwiseXOR(F.col("y_parity"))) >= 2 * needed),
+        & ((F.col("y_size") < F.col("x_size")) | ((F.col("y_size") == F.col("x_size")) & (F.col("y_i1") < F.col("x_i1"))))
+        & (~known | ((F.lit(DENOMINATOR) * F.col("y_size") >= F.lit(NUMERATOR) * F.col("x_size")) & (both - differing >= 2 * needed) & (left >= needed))),
     )
-    return joined.select(F.col("x_id").alias("a"), F.col("y_id").alias("b")).distinct()
+    return joined.select(F.col("x_i1").alias("a"), F.col("y_i1").alias("b")).distinct()
 
 
-def matches(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Lines, classes (id, size, n: its occurrences, first: the earliest one) and matching pairs of classes (a, b)."""
+def _bitmap(names: DataFrame) -> bytes:
+    """A bitmap of TABLE entries of the longs in the one column of ``names``, by their low bits."""
+    c = names.columns[0]
+    found = names.select(F.col(c).bitwiseAND(F.lit(TABLE - 1)).cast("int").alias("k")).distinct().toArrow()  # TABLE rows at most
+    bits = np.zeros(TABLE, bool)
+    bits[found.column("k").to_numpy()] = True
+    return np.packbits(bits).tobytes()
+
+
+def _in_bitmap(bits, column: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The rows whose long in the column may be in the bitmap."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = np.unpackbits(np.frombuffer(bits.value, np.uint8)).astype(bool)
+        for batch in batches:
+            names = batch.column(column).to_numpy(zero_copy_only=False)
+            yield batch.filter(pa.array(wanted[names & (TABLE - 1)]))
+
+    return run
+
+
+def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(i1, i2, words) of the wanted lines of each document."""
+    for batch in batches:
+        wanted = batch.column(1).to_pylist()
+        for first, texts in _slices(batch.column(0)):
+            lines = lines_of(texts)
+            order = _sorted_words(lines.line, lines.word)
+            words = np.split(lines.word[order].view(np.int64), np.cumsum(np.bincount(lines.line[order], minlength=len(lines.text)))[:-1]) if len(order) else []
+            at = {(t, n): k for k, (t, n) in enumerate(zip(lines.text.tolist(), lines.number.tolist(), strict=True))}
+            found = [(w["i1"], w["i2"], words[at[t, w["line"]]]) for t in range(len(texts)) for w in wanted[first + t]]
+            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.list_(pa.int64()))], names=["i1", "i2", "words"])
+
+
+def _place() -> Column:
+    return F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("doc_id"), F.col("line"), F.col("mark"))
+
+
+def matches(docs: DataFrame, min_tokens: int = MIN_TOKENS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents (doc_id, mark, lines), classes (i1, i2, n: their occurrences, first: the earliest one) that occur again or are
+    candidates, and matching pairs of classes (a1, a2, b1, b2)."""
     spark = docs.sparkSession
+    context = spark.sparkContext
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("mark"), F.col("text").cast("string").alias("text"))
-    counted = texts.select("text").mapInArrow(count_words, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    table = np.zeros(TABLE, np.int64)
-    table[counted.column("bucket").to_numpy()] = counted.column("n").to_numpy()
-    lines, _ = save(texts.mapInArrow(_describe(spark.sparkContext.broadcast(table.tobytes())), LINES), "lines")
-
-    place = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc_id"), F.col("line"), F.col("mark"))
-    # Copies agree in all but their place, so any of them serves.
-    classes = lines.groupBy("id").agg(F.min(place).alias("first"), F.first("size").alias("size"), F.first("parity").alias("parity"), F.first("words").alias("words"), F.first("positions").alias("positions"), F.count("*").alias("n"))
-    classes, _ = save(classes, "classes")
-    pairs, _ = save(_candidates(classes), "candidates")
-
-    ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    wanted, _ = save(classes.select("id", "first").join(ends, "id", "left_semi"), "wanted")
-    marks = wanted.select((F.col("first.mark").bitwiseAND(F.lit(TABLE - 1))).cast("int").alias("bucket")).distinct().toArrow()
-    bits = np.zeros(TABLE, bool)
-    bits[marks.column("bucket").to_numpy()] = True
-    again = texts.mapInArrow(_reading_again(spark.sparkContext.broadcast(bits.tobytes())), texts.schema).dropDuplicates(["doc_id", "mark"])
-    of_doc = wanted.groupBy(F.col("first.doc_id").alias("w_doc"), F.col("first.mark").alias("w_mark")).agg(F.collect_list(F.struct(F.col("first.line").alias("line"), "id")).alias("wanted"))
-    again = again.join(of_doc, (F.coalesce(again["doc_id"], F.lit(2**63 - 1)) == of_doc["w_doc"]) & (again["mark"] == of_doc["w_mark"])).select("text", "wanted")
-    sets, _ = save(again.mapInArrow(_full_sets, "id bigint, words array<bigint>"), "sets")
-
-    x = sets.select(F.col("id").alias("a"), F.col("words").alias("x"))
-    y = sets.select(F.col("id").alias("b"), F.col("words").alias("y"))
+    described, _ = save(texts.mapInArrow(trimmed(_describe(min_tokens)), DESCRIBED), "described")
+    ranks, single = rarity(described)
+    order = context.broadcast((ranks.tobytes(), single))
+    pairs, _ = save(_candidates(texts.select("text").mapInArrow(trimmed(_prefixes(order, min_tokens)), PREFIX)), "candidates")
+    order.destroy()
+
+    of_docs = described.where("block IS NULL").select("doc_id", "mark", "lines")
+    ends = pairs.select(F.col("a").alias("e1")).unionByName(pairs.select(F.col("b").alias("e1"))).distinct()
+    classes = of_docs.select("doc_id", "mark", F.explode("lines").alias("l")).select("doc_id", "mark", "l.*").groupBy("i1", "i2").agg(F.min(_place()).alias("first"), F.count("*").alias("n"))
+    classes = classes.join(ends, classes["i1"] == ends["e1"], "left").where("n > 1 OR e1 IS NOT NULL")
+    classes, _ = save(classes.select("i1", "i2", "n", "first", F.col("e1").isNotNull().alias("candidate")), "classes")
+
+    wanted = classes.where("candidate")
+    bits = context.broadcast(_bitmap(wanted.select("first.mark")))
+    again = texts.mapInArrow(_in_bitmap(bits, 1), texts.schema).dropDuplicates(["doc_id", "mark"])
+    of_doc = wanted.groupBy(F.col("first.doc_id").alias("w_doc"), F.col("first.mark").alias("w_mark")).agg(F.collect_list(F.struct(F.col("first.line").alias("line"), "i1", "i2")).alias("wanted"))
+    again = again.join(of_doc, (F.coalesce(again["doc_id"], F.lit(LAST)) == of_doc["w_doc"]) & (again["mark"] == of_doc["w_mark"])).select("text", "wanted")
+    sets, _ = save(again.mapInArrow(trimmed(_full_sets), "i1 bigint, i2 bigint, words array<bigint>"), "sets")
+    bits.destroy()
+
+    x = sets.select(F.col("i1").alias("a"), F.col("i2").alias("a2"), F.col("words").alias("x"))
+    y = sets.select(F.col("i1").alias("b"), F.col("i2").alias("b2"), F.col("words").alias("y"))
     overlap = F.size(F.array_intersect("x", "y"))
     linked = DENOMINATOR * overlap >= NUMERATOR * (F.size("x") + F.size("y") - overlap)
-    links, _ = save(pairs.join(x, "a").join(y, "b").where(linked).select("a", "b"), "links")
-    return lines, classes, links
+    links = pairs.join(x, "a").join(y, "b").where(linked).select(F.col("a").alias("a1"), "a2", F.col("b").alias("b1"), "b2")
+    return of_docs, classes, save(links, "links")[0]
 
 
-def decisions(docs: DataFrame, hot: int = HOT) -> DataFrame:
-    """doc_id, mark, line, start, stop, id (class), n_links (matching classes) and removed, for every line that is a unit."""
-    lines, classes, links = matches(docs)
-    first = classes.select("id", "n", "first")
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+def decisions(docs: DataFrame, hot: int = HOT, min_tokens: int = MIN_TOKENS) -> tuple[DataFrame, DataFrame]:
+    """Documents (doc_id, mark, lines), and the lines that occur again or match another: doc_id, mark, line, start, stop, i1, i2,
+    n_links (matching classes) and removed."""
+    spark = docs.sparkSession
+    of_docs, classes, links = matches(docs, min_tokens)
+    both = links.unionByName(links.select(F.col("b1").alias("a1"), F.col("b2").alias("a2"), F.col("a1").alias("b1"), F.col("a2").alias("b2")))
+    first = classes.select(F.col("i1").alias("b1"), F.col("i2").alias("b2"), F.col("first").alias("of_b"))
     # The earliest occurrence among the classes that match.
-    reach = both.join(first.select(F.col("id").alias("b"), F.col("first").alias("of_b")), "b").groupBy(F.col("a").alias("id")).agg(F.min("of_b").alias("earliest"), F.count("*").alias("n_links"))
-    of_class = first.join(reach, "id", "left").select("id", "n", "first", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce(F.col("earliest") < F.col("first"), F.lit(False)).alias("later"))
-    place = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc_id"), F.col("line"), F.col("mark"))
-    rows = lines.select("doc_id", "mark", "line", "start", "stop", "id")
+    reach = both.join(first, ["b1", "b2"]).groupBy(F.col("a1").alias("i1"), F.col("a2").alias("i2")).agg(F.min("of_b").alias("earliest"), F.count("*").alias("n_links"))
+    of_class = classes.join(reach, ["i1", "i2"], "left").where("n > 1 OR n_links IS NOT NULL")
+    of_class = of_class.select("i1", "i2", "n", "first", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce(F.col("earliest") < F.col("first"), F.lit(False)).alias("later"))
     of_class, _ = save(of_class, "decided")
+    bits = spark.sparkContext.broadcast(_bitmap(of_class.select("i1")))
+    rows = of_docs.select("doc_id", "mark", F.explode("lines").alias("l")).select("doc_id", "mark", "l.*")
+    rows = rows.mapInArrow(_in_bitmap(bits, 5), rows.schema)
     often = of_class.where(F.col("n") >= hot)
-    cold = rows.join(F.broadcast(often.select("id")), "id", "left_anti").join(of_class.where(F.col("n") < hot), "id")
+    cold = rows.join(F.broadcast(often.select("i1", "i2")), ["i1", "i2"], "left_anti").join(of_class.where(F.col("n") < hot), ["i1", "i2"])
     # At most one class in ``hot`` lines is broadcast.
-    rows = rows.join(F.broadcast(often), "id").unionByName(cold)
-    return rows.select("doc_id", "mark", "line", "start", "stop", "id", "n_links", (F.col("later") | (place != F.col("first"))).alias("removed"))
+    rows = rows.join(F.broadcast(often), ["i1", "i2"]).unionByName(cold)
+    return of_docs, rows.select("doc_id", "mark", "line", "start", "stop", "i1", "i2", "n_links", (F.col("later") | (_place() != F.col("first"))).alias("removed"))
 
 
-def line_dedup(docs: DataFrame) -> DataFrame:
+def line_dedup(docs: DataFrame, min_tokens: int = MIN_TOKENS) -> DataFrame:
     """One row per document row: doc_id, n_lines (units), n_links, n_removed and ``removed``: line, start and stop of each."""
-    found = decisions(docs).distinct().groupBy("doc_id", "mark").agg(
-        F.count("*").alias("n_lines"),
+    of_docs, found = decisions(docs, min_tokens=min_tokens)
+    found = found.distinct().groupBy("doc_id", "mark").agg(
         F.sum("n_links").alias("n_links"),
         F.count(F.when(F.col("removed"), 1)).alias("n_removed"),
         F.array_sort(F.collect_list(F.when(F.col("removed"), F.struct("line", "start", "stop")))).alias("removed"),
     )
-    found = found.select(F.col("doc_id").alias("f_doc"), F.col("mark").alias("f_mark"), "n_lines", "n_links", "n_removed", "removed")
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("mark"))
+    found = found.select(F.col("doc_id").alias("f_doc"), F.col("mark").alias("f_mark"), "n_links", "n_removed", "removed")
+    rows = of_docs.select("doc_id", "mark", F.size("lines").cast("bigint").alias("n_lines"))
     joined = rows.join(found, rows["doc_id"].eqNullSafe(F.col("f_doc")) & (rows["mark"] == F.col("f_mark")), "left")
     zero = lambda c: F.coalesce(c, F.lit(0).cast("bigint")).alias(c)
-    return joined.select("doc_id", zero("n_lines"), zero("n_links"), zero("n_removed"), F.coalesce("removed", F.array().cast("array<struct<line:int,start:int,stop:int>>")).alias("removed"))
+    return joined.select("doc_id", "n_lines", zero("n_links"), zero("n_removed"), F.coalesce("removed", F.array().cast("array<struct<line:int,start:int,stop:int>>")).alias("removed"))

@@ -10,20 +10,27 @@ Steps (``components``):
 
 1. one pass over the texts makes a profile per document; copies of one word sequence collapse into a
    class with the smallest doc_id, pre-aggregated before the shuffle;
-2. classes that share a band bucket are candidates. Each bucket is first tested against its pivot (its
+2. classes that share a bucket are candidates. Each bucket is first tested against its pivot (its
    smallest id), one pair per member, never all pairs;
 3. confirmed links are contracted to connected components by alternating star contractions;
 4. in buckets that still hold several components, the members outside the bucket's largest component
-   are tested against the members of other components, unless sizes or signatures (finer ones for these) rule the link out, each
-   pair in one bucket only. Pairs within a component are never made, so a large group of copies costs its
-   stragglers times its size at most, and no link that a bucket proposes is lost.
+   are tested against the members of other components, each pair in one bucket only. Pairs within a component are never
+   made, so a large group of copies costs its stragglers times its size at most.
 
-With 32 bands of four values a link at similarity 0.75 stays unproposed with a probability of 5e-6, and below that for
-closer texts.
+No pair that a bucket proposes is dropped on an estimate. Step 4 leaves out only pairs that cannot link: sets of sizes m and n
+link if they differ in at most (m + n) / 7 shingles, and the bits in which their parity bitmaps differ are a lower bound of
+that number. A coarse bitmap of 1,024 bits stands in the profile; one of 8 bits a shingle is made for the members
+of mixed buckets. What is left is confirmed on full sets.
+
+Buckets: with 32 bands of four values a link at similarity 0.75 of long texts stays unproposed with a probability of 5e-6, and
+below that for closer texts. In small sets minimum and maximum depend on each other, so sets of up to ``SMALL`` shingles
+get the shingles of their prefix (all but three quarters of the set, in hash order, and one) as buckets instead, and those up to
+4/3 of that size both kinds: two such sets that link always share one.
 
 Defined results: null, empty or wordless texts have the empty set, link with nothing and are their own
-component; fewer than five words make one shingle of the whole sequence; repeated rows are copies; a null doc_id
-has a null component; an empty table gives no rows; extra columns are ignored.
+component; fewer than five words make one shingle of the whole sequence; repeated rows are copies; rows of one doc_id
+with several texts are one node with the links of each; a null doc_id has a null component; an empty table gives no rows;
+extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,19 +44,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .storage import drop, save
+from .storage import drop, save, trimmed
 
 SHINGLE = 5
 PERMUTATIONS = 64
 BANDS = 32
 NUMERATOR, DENOMINATOR = 75, 100
-#: Agreeing values of 128 below which a pair is not tested: five standard deviations below the mean at similarity 0.75.
-LEAST_AGREEING = 71
-#: Pairs that pass are held against finer signatures of 1,024 values, made only for documents in question; 4.5 deviations.
-FINE_PERMUTATIONS = 512
-LEAST_FINE = 706
+#: Sets of up to so many shingles are proposed exactly, by their prefixes.
+SMALL = 32
+#: Bits of the parity bitmap in a profile, and bits a shingle (and at most) of the bitmaps of members of mixed buckets.
+COARSE = 1024
+FINE_PER_SHINGLE, FINE_MOST = 8, 1 << 18
 _CHUNK = 8192
-_VOCABULARY = 400_000
+_ROWS = 1000
+_VOCABULARY = 200_000
 
 
 class WordHashes(dict):
@@ -111,67 +119,103 @@ def band_keys(signatures: np.ndarray) -> np.ndarray:
     return (key ^ (key >> np.uint64(29))).view(np.int64)
 
 
-PROFILE = "doc_id bigint, digest binary, n_shingles bigint, bands array<bigint>, sig array<bigint>"
+def prefix_keys(shingles: np.ndarray) -> np.ndarray:
+    """Buckets of a small set: of its shingles in hash order, as many as any set that links must share one of."""
+    n = len(shingles)
+    kept = shingles[: n - (NUMERATOR * n + DENOMINATOR - 1) // DENOMINATOR + 1]
+    mixed = (kept ^ np.uint64(0x5851F42D4C957F2D)) * np.uint64(0xD6E8FEB86659FD93)
+    return (mixed ^ (mixed >> np.uint64(32))).view(np.int64)
+
+
+def parity(shingles: np.ndarray, bits: int) -> np.ndarray:
+    """Which hash values modulo ``bits`` are hit an odd number of times, as longs. Half the bits: the two halves, xored."""
+    odd = np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+PROFILE = "doc_id bigint, digest binary, n_shingles bigint, keys array<bigint>, parity array<bigint>"
+
+
+def _lists(parts: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0, np.int64), *parts])))
+
+
+def digest_of(words: list[bytes]) -> bytes | None:
+    return hashlib.blake2b(b" ".join(words), digest_size=16).digest() if words else None
 
 
 def profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = WordHashes()
     a = (_constants(PERMUTATIONS, "a") >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
     b = (_constants(PERMUTATIONS, "b") >> np.uint64(32)).astype(np.uint32)
+    both = SMALL * DENOMINATOR // NUMERATOR
     for batch in batches:
-        digests, sizes, signatures = [], [], np.zeros((batch.num_rows, 2 * PERMUTATIONS), np.uint32)
-        for row, text in enumerate(batch.column(1)):
+        digests, sizes, keys, parities = [], [], [], []
+        for text in batch.column(1):
             words = words_of(text.as_py())
             shingles = shingle_set(words, hashes)
             sizes.append(len(shingles))
-            digests.append(hashlib.blake2b(b" ".join(words), digest_size=16).digest() if words else None)
-            if words:
-                signatures[row] = min_max_signature(shingles, a, b)
-        keys = pa.array(band_keys(signatures).ravel())
-        offsets = np.arange(0, (batch.num_rows + 1) * BANDS, BANDS, dtype=np.int32)
-        short = np.ascontiguousarray((signatures >> np.uint32(7)).astype(np.uint8)).view(np.int64)
-        width = short.shape[1]
-        sig_offsets = np.arange(0, (batch.num_rows + 1) * width, width, dtype=np.int32)
+            digests.append(digest_of(words))
+            own = [prefix_keys(shingles)] if 0 < len(shingles) <= both else []
+            if len(shingles) > SMALL:
+                own.append(band_keys(min_max_signature(shingles, a, b)[None])[0])
+            keys.append(np.concatenate([np.empty(0, np.int64), *own]))
+            parities.append(parity(shingles, COARSE))
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), keys), pa.ListArray.from_arrays(pa.array(sig_offsets), pa.array(short.ravel()))],
-            names=["doc_id", "digest", "n_shingles", "bands", "sig"],
+            [batch.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), _lists(keys), _lists(parities)],
+            names=["doc_id", "digest", "n_shingles", "keys", "parity"],
         )
 
 
-def shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes = WordHashes()
-    for batch in batches:
-        sets = [shingle_set(words_of(text.as_py()), hashes).view(np.int64) for text in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "shingles"])
+SETS = "id bigint, digest binary, shingles array<bigint>"
 
 
-def fine_signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    a = (_constants(FINE_PERMUTATIONS, "fine a") >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
-    b = (_constants(FINE_PERMUTATIONS, "fine b") >> np.uint64(32)).astype(np.uint32)
+def shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sets of the rows (id, digest, text) whose text is the one that the digest names."""
+    hashes = WordHashes()
     for batch in batches:
-        rows = [min_max_signature(s.values.to_numpy().view(np.uint64), a, b) for s in batch.column(1)]
-        short = [(row >> np.uint32(7)).astype(np.uint8).view(np.int64) for row in rows]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(short, pa.list_(pa.int64()))], names=["id", "fine"])
-
-
-def _differing_bytes(z: F.Column) -> F.Column:
-    """How many bytes of the long z are not zero."""
-    for by in (4, 2, 1):
-        z = z.bitwiseOR(F.shiftrightunsigned(z, by))
-    return F.bit_count(z.bitwiseAND(F.lit(0x0101010101010101)))
+        for at in range(0, batch.num_rows, _ROWS):
+            ids, digests, sets = [], [], []
+            for name, digest, text in zip(*batch.slice(at, _ROWS).columns, strict=True):
+                words = words_of(text.as_py())
+                if digest_of(words) == digest.as_py():
+                    ids.append(name.as_py())
+                    digests.append(digest.as_py())
+                    sets.append(shingle_set(words, hashes).view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(digests, pa.binary()), _lists(sets)], names=["id", "digest", "shingles"])
+
+
+def fine_parities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for at in range(0, whole.num_rows, _ROWS):
+            batch, rows = whole.slice(at, _ROWS), []
+            for s in batch.column(2):
+                shingles = s.values.to_numpy().view(np.uint64)
+                bits = 1 << (FINE_PER_SHINGLE * len(shingles) - 1).bit_length()
+                rows.append(parity(shingles, max(COARSE, min(FINE_MOST, bits))))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _lists(rows)], names=["id", "digest", "fine"])
+
+
+def coarse_difference(x: str, y: str) -> F.Column:
+    """In how many bits two coarse bitmaps differ."""
+    total = F.lit(0)
+    for k in range(COARSE // 64):
+        total = total + F.bit_count(F.col(x)[k].bitwiseXOR(F.col(y)[k]))
+    return total
 
 
-def finely_agreeing(x: str, y: str) -> F.Column:
-    differing = F.zip_with(x, y, lambda p, q: _differing_bytes(p.bitwiseXOR(q)))
-    return F.lit(2 * FINE_PERMUTATIONS) - F.aggregate(differing, F.lit(0), lambda n, k: n + k)
+def fine_difference(x: str, y: str) -> F.Column:
+    """The same of two fine ones. Sets that may link are of like sizes, so one bitmap has at most twice the other's bits; it is folded."""
+    xor = lambda p, q: p.bitwiseXOR(q)
+    n = F.least(F.size(x), F.size(y))
+    folded = lambda c: F.when(F.size(c) > n, F.zip_with(F.slice(c, 1, n), F.slice(c, n + 1, n), xor)).otherwise(F.col(c))
+    return F.aggregate(F.zip_with(folded(x), folded(y), lambda p, q: F.bit_count(xor(p, q))), F.lit(0), lambda total, k: total + k)
 
 
-def agreeing(x: str, y: str) -> F.Column:
-    """How many of the 128 one-byte signature values in two arrays of 16 longs agree."""
-    total = F.lit(2 * PERMUTATIONS)
-    for k in range(2 * PERMUTATIONS // 8):
-        total = total - _differing_bytes(F.col(x)[k].bitwiseXOR(F.col(y)[k]))
-    return total
+def _not_above(difference: F.Column, m: F.Column, n: F.Column) -> F.Column:
+    """Whether sets of sizes m and n that differ in so many shingles at least may still link."""
+    return F.lit(DENOMINATOR + NUMERATOR) * difference <= F.lit(DENOMINATOR - NUMERATOR) * (m + n)
 
 
 def _may_link(m: F.Column, n: F.Column) -> F.Column:
@@ -179,7 +223,7 @@ def _may_link(m: F.Column, n: F.Column) -> F.Column:
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
+    """The pairs (a, b) of which full sets are similar enough."""
     left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
@@ -191,16 +235,17 @@ def components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of ``docs`` (doc_id, text)."""
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     spark = docs.sparkSession
-    profile, _ = save(texts.mapInArrow(profiles, PROFILE), "profiles")
+    profile, _ = save(texts.mapInArrow(trimmed(profiles), PROFILE), "profiles")
     classes = profile.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest")
-    classes, _ = save(classes.agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "classes")
+    classes, _ = save(classes.agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"), F.first("parity").alias("parity")), "classes")
 
-    banded = classes.select("id", F.explode("bands").alias("key"))
-    buckets = banded.groupBy("key").agg(F.count("*").alias("members"), F.min("id").alias("pivot")).where("members > 1").drop("members")
-    members, _ = save(banded.join(buckets, "key"), "members")
+    keyed = classes.select("id", "digest", F.explode("keys").alias("key"))
+    buckets = keyed.groupBy("key").agg(F.count("*").alias("members"), F.min("id").alias("pivot")).where("members > 1").drop("members")
+    members, _ = save(keyed.join(buckets, "key"), "members")
 
-    wanted = members.select("id").distinct()
-    sets, _ = save(texts.join(wanted, texts["doc_id"] == wanted["id"], "left_semi").mapInArrow(shingle_sets, "id bigint, shingles array<bigint>").dropDuplicates(["id"]), "sets")
+    wanted = members.select("id", "digest").distinct()
+    sets = texts.join(wanted, texts["doc_id"] == wanted["id"]).select("id", "digest", "text").mapInArrow(trimmed(shingle_sets), SETS)
+    sets, _ = save(sets.dropDuplicates(["id", "digest"]), "sets")
 
     tested = members.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
     links, _ = save(confirmed(tested, sets), "links")
@@ -220,7 +265,7 @@ def components(docs: DataFrame) -> DataFrame:
 
 
 def _across_components(members: DataFrame, labels: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame | None:
-    """Untested pairs (a, b) of one bucket and different components that sizes and signatures allow."""
+    """Untested pairs (a, b) of one bucket and different components whose sizes and bitmaps allow a link."""
     rows = members.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
     by_component = rows.groupBy("key", "component").agg(F.count("*").alias("size"))
     mixed = by_component.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("size", "component")).alias("most")).where("parts > 1")
@@ -228,22 +273,22 @@ def _across_components(members: DataFrame, labels: DataFrame, classes: DataFrame
     rows, _ = save(rows, "mixed")
     if rows.isEmpty():
         return None
-    ids = rows.select("id").distinct()
-    fine = sets.join(ids, "id", "left_semi").mapInArrow(fine_signatures, "id bigint, fine array<bigint>")
-    signed, _ = save(classes.select("id", "n", "bands", "sig").join(fine, "id"), "signed")
-    rows = rows.join(signed, "id")
-    stray = rows.where("component <> main").select(*[F.col(c).alias(f"s_{c}") for c in ("key", "id", "component", "n", "bands", "sig", "fine")])
-    # The bucket in which a pair is made is the first that both share.
-    first = F.element_at(F.filter(F.zip_with("s_bands", "bands", lambda x, y: F.when(x == y, x)), lambda z: z.isNotNull()), 1)
+    named = rows.select("id", "digest").distinct()
+    fine = sets.join(named, ["id", "digest"], "left_semi").mapInArrow(trimmed(fine_parities), "id bigint, digest binary, fine array<bigint>")
+    signed, _ = save(classes.select("id", "digest", "n", "keys", "parity").join(fine, ["id", "digest"]), "signed")
+    rows = rows.join(signed, ["id", "digest"])
+    stray = rows.where("component <> main").select(*[F.col(c).alias(f"s_{c}") for c in ("key", "id", "component", "n", "keys", "parity", "fine")])
+    # The bucket in which a pair is made is the least that both share.
+    least = F.array_min(F.array_intersect("s_keys", "keys"))
     joined = stray.join(
         rows,
         (F.col("s_key") == F.col("key"))
         & (F.col("s_component") != F.col("component"))
         & ((F.col("component") == F.col("main")) | (F.col("s_id") < F.col("id")))
         & _may_link(F.col("s_n"), F.col("n"))
-        & (agreeing("s_sig", "sig") >= LEAST_AGREEING)
-        & (first == F.col("key"))
-        & (finely_agreeing("s_fine", "fine") >= LEAST_FINE),
+        & _not_above(coarse_difference("s_parity", "parity"), F.col("s_n"), F.col("n"))
+        & _not_above(fine_difference("s_fine", "fine"), F.col("s_n"), F.col("n"))
+        & (least == F.col("key")),
     )
     return joined.where("s_id <> pivot AND id <> pivot").select(F.least("s_id", "id").alias("a"), F.greatest("s_id", "id").alias("b")).distinct()
 

@@ -13,7 +13,8 @@ Targets out of reach are logged with the totals reached. Residuals are weighed b
 
 Defined results: null and empty texts have no tokens and the posterior of the bias alone; repeated rows and equal
 texts get equal rates; without labels all posteriors are equal, the targets are out of reach and the rates
-are the least-squares ones; a domain of no tokens stays empty; an empty table gives no rows; extra columns
+are the least-squares ones; where only some domains have labelled examples, the others have the posterior 0 and their
+targets go to the rest in proportion; a domain of no tokens stays empty; an empty table gives no rows; extra columns
 pass through.
 """
 
@@ -132,9 +133,13 @@ def mix(docs: DataFrame, labelled: DataFrame, weights: Mapping[str, float], max_
     names = list(weights)
     index = F.coalesce(*[F.when(F.col("label") == name, F.lit(k)) for k, name in enumerate(names)])
     model = Classifier.fit(docs, labelled.select("doc_id", index.alias("label")), len(names), max_docs=max_docs, min_steps=STEPS)
-    scored = model.score(docs).select(*(columns or docs.columns), "__n_words", "__probabilities")
+    scored = model.without_unseen().score(docs).select(*(columns or docs.columns), "__n_words", "__probabilities")
     scored, _ = save(scored, "posteriors")
     shares = np.array(list(weights.values()), float)
+    if model.seen.any():
+        shares = np.where(model.seen, shares, 0)
+        if not shares.sum():
+            raise ValueError("no domain of positive weight has a labelled example")
     prices, _, _ = fit_rates(scored, shares / shares.sum())
     return scored.withColumn(rates, rate_column(F.col("__probabilities"), prices))
 

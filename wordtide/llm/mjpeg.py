@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storage import trimmed
+
 SIDE = 24
 SAMPLES = SIDE * SIDE
 FILL = 255
@@ -357,12 +359,12 @@ def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def media_column(docs: DataFrame) -> DataFrame:
     """(doc_id, media): the text of every row as an AVI file."""
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(store, "doc_id bigint, media binary")
+    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(trimmed(store), "doc_id bigint, media binary")
 
 
 def features(media: DataFrame) -> DataFrame:
     """What ``read`` finds in the stored bytes of (doc_id, media)."""
-    return media.mapInArrow(read, FEATURES)
+    return media.mapInArrow(trimmed(read), FEATURES)
 
 
 def clip_rows(found: DataFrame) -> DataFrame:

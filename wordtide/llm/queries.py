@@ -34,7 +34,12 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mjpeg.features(mjpeg.media_column(table(spark, sf_dir, "documents"))).withColumn("n_clips", F.size("clips")).drop("clips")
+    return mjpeg.features(mjpeg.media_column(table(spark, sf_dir, "documents"))).withColumn("n_clips", F.size("clips"))
+
+
+def op2_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The clips of ``op2_media``, a row each."""
+    return mjpeg.clip_rows(mjpeg.features(mjpeg.media_column(table(spark, sf_dir, "documents"))))
 
 
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,7 +75,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_decontamination": op1_decontamination, "op1_near": op1_near, "op2_media": op2_media, "op3_licenses": op3_licenses, "op4_minhash": op4_minhash, "op5_substring": op5_substring, "op6_quality": op6_quality, "op7_mixing": op7_mixing, "op8_warc": op8_warc, "op9_sharding": op9_sharding, "op10_lines": op10_lines}
+    return {"op1_decontamination": op1_decontamination, "op1_near": op1_near, "op2_media": op2_media, "op2_clips": op2_clips, "op3_licenses": op3_licenses, "op4_minhash": op4_minhash, "op5_substring": op5_substring, "op6_quality": op6_quality, "op7_mixing": op7_mixing, "op8_warc": op8_warc, "op9_sharding": op9_sharding, "op10_lines": op10_lines}
 
 
 OP1_SQL = r"""

@@ -2,8 +2,9 @@
 
 ``write_archive`` makes two tables in the shared folder: ``payloads`` (digest, payload), which holds
 each distinct payload once, and ``records`` (page_id, header, digest), which holds the exact header
-bytes of every record. ``read_records`` joins them again, verifies every stored payload against its
-SHA-256 and parses the headers; ``reconstruct`` gives the full original record bytes.
+bytes of every record: the WARC header and the HTTP head of its block. ``read_records`` joins them again, verifies every stored
+payload against its SHA-256 and parses the headers; ``reconstruct`` gives the full original record bytes. A payload that
+is missing or damaged stops the query.
 
 Of records with equal payloads of at least ``min_revisit`` bytes the one with the smallest page_id
 is the response, the others are revisits that refer to it; smaller payloads are always responses
@@ -39,10 +40,11 @@ class Archive:
 
 
 def _headers(rows: DataFrame) -> DataFrame:
-    """Adds ``header``: the bytes of the record's header block, its blank line included."""
+    """Adds ``header``: the bytes of the record's header and of the HTTP head, their blank lines included."""
     url = F.replace(F.replace(F.col("url").cast("string"), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
     revisit = F.col("refers_to").isNotNull()
     field = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit(_LINE))
+    http = F.concat(F.lit(f"HTTP/1.1 200 OK{_LINE}"), field("Content-Type", F.lit("text/html; charset=utf-8")), field("Content-Length", F.col("n_bytes").cast("string")), F.lit(_LINE))
     bracket = lambda c: F.concat(F.lit(f"<{ID_PREFIX}"), c.cast("string"), F.lit(">"))
     return rows.withColumn(
         "header",
@@ -55,9 +57,10 @@ def _headers(rows: DataFrame) -> DataFrame:
             field("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest"))),
             F.coalesce(field("WARC-Refers-To", bracket(F.col("refers_to"))), F.lit("")),
             F.when(revisit, field("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))).otherwise(F.lit("")),
-            field("Content-Type", F.lit("text/html; charset=utf-8")),
-            field("Content-Length", F.when(revisit, F.lit(0)).otherwise(F.col("n_bytes")).cast("string")),
+            field("Content-Type", F.lit("application/http; msgtype=response")),
+            field("Content-Length", (F.octet_length(http) + F.when(revisit, F.lit(0)).otherwise(F.col("n_bytes"))).cast("string")),
             F.lit(_LINE),
+            http,
         ).cast("binary"),
     )
 
@@ -71,9 +74,12 @@ def write_archive(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> Archive:
     keepers = narrow.groupBy("digest").agg(F.min("page_id").alias("keeper"))
 
     archive = Archive(fresh_path(spark, "payloads"), fresh_path(spark, "records"))
-    wanted = keepers.select(F.col("digest").alias("k_digest"), "keeper")
-    once = rows.select("page_id", "digest", "payload").join(wanted, F.col("page_id").eqNullSafe(F.col("keeper")) & (F.col("digest") == F.col("k_digest")), "left_semi")
-    once = once.groupBy("page_id", "digest").agg(F.first("payload").alias("payload")).select("digest", "payload")
+    # Both steps go by the same two columns, so payloads are shuffled once.
+    name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
+    wanted = keepers.select(name("keeper").alias("k_name"), F.col("digest").alias("k_digest"))
+    named = rows.select(name("page_id").alias("name"), "digest", "payload")
+    once = named.join(wanted, (F.col("name") == F.col("k_name")) & (F.col("digest") == F.col("k_digest")), "left_semi")
+    once = once.groupBy("name", "digest").agg(F.first("payload").alias("payload")).select("digest", "payload")
     once.write.option("compression", "zstd").parquet(archive.payloads)
 
     records = narrow.join(keepers, "digest", "left")
@@ -98,7 +104,7 @@ def read_records(spark: SparkSession, archive: Archive, with_payload: bool = Fal
     if not with_payload:
         payloads = payloads.drop("payload")
     text = F.decode("header", "UTF-8")
-    of = lambda name, value: F.nullif(F.regexp_extract(text, rf"\r\n{name}: {value}\r\n", 1), F.lit(""))
+    of = lambda name, value: F.nullif(F.regexp_extract(text, rf"\r\n{name}: {value}\r\n", 1), F.lit(""))  # noqa: E731  WARC fields come before those of HTTP
     parsed = records.select(
         of("WARC-Record-ID", f"<{ID_PREFIX}(-?[0-9]+)>").cast("bigint").alias("page_id"),
         of("WARC-Type", "([a-z]+)").alias("record_type"),
@@ -107,11 +113,13 @@ def read_records(spark: SparkSession, archive: Archive, with_payload: bool = Fal
         of("WARC-Payload-Digest", "sha256:([0-9a-f]+)").alias("digest"),
         "header",
     )
-    return parsed.join(payloads, "digest", "inner").drop("digest")
+    joined = parsed.join(payloads, "digest", "left")
+    missing = F.raise_error(F.concat(F.lit("the archive has no payload "), F.coalesce("digest", F.lit("(no digest in the header)"))))
+    return joined.withColumn("payload_digest", F.when(F.col("payload_digest").isNull(), missing.cast("string")).otherwise(F.col("payload_digest"))).drop("digest")
 
 
 def reconstruct(spark: SparkSession, archive: Archive) -> DataFrame:
-    """page_id and ``record``: header, payload (none for a revisit) and the two closing line breaks, as bytes."""
+    """page_id and ``record``: header, HTTP head, payload (none for a revisit) and the two closing line breaks, as bytes."""
     rows = read_records(spark, archive, with_payload=True)
     body = F.when(F.col("record_type") == "response", F.col("payload")).otherwise(F.lit(b""))
     return rows.select("page_id", F.concat("header", body, F.lit(b"\r\n\r\n")).alias("record"))
