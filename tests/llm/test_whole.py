@@ -96,8 +96,8 @@ def test_substring_hot_units(spark, hot):
     assert gone == {(k, u) for k in range(20) for u in (0, 2, 4)} - {(0, 0)}
 
 
-@pytest.mark.parametrize("hot", [3, 10**9])
-def test_lines_of_any_size(spark, hot):
+@pytest.mark.parametrize(("hot", "blocks"), [(3, {"block_rows": 3, "block_words": 10}), (10**9, {})])
+def test_lines_of_any_size(spark, hot, blocks):
     draw = random.Random(5)
     rows = [(k, "\n".join(" ".join(draw.choices("abcdefgh", k=draw.randint(0, 6))) for _ in range(5))) for k in range(60)]
     lines = [(k, n, frozenset(line.split())) for k, text in rows for n, line in enumerate(text.split("\n")) if line.split()]
@@ -105,7 +105,7 @@ def test_lines_of_any_size(spark, hot):
     assert {len(x) for *_, x in lines} == {1, 2, 3, 4, 5, 6} and 0 < sum(want.values()) < len(want)
     links = Counter((k, n) for k, n, x in lines for y in {y for *_, y in lines} if x != y and 4 * len(x & y) >= 3 * len(x | y))
     frame = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
-    found = linejoin.decisions(frame, hot=hot)[1].collect()
+    found = linejoin.decisions(frame, hot=hot, **blocks)[1].collect()
     assert {(r["doc_id"], r["line"]) for r in found if r["removed"]} == {k for k, v in want.items() if v}
     assert {(r["doc_id"], r["line"]): r["n_links"] for r in found if r["n_links"]} == dict(links)
     counted = {r["doc_id"]: r for r in linejoin.line_dedup(frame).collect()}
@@ -133,6 +133,24 @@ def test_lines_of_long_and_odd_texts(spark):
     assert {(r["doc_id"] if r["doc_id"] is not None else 10**9, r["line"]) for r in found} == want and (101, 0) in want and 20 < len(want) < len(units)
 
 
+def test_large_group_of_near_lines(spark, monkeypatch):
+    """A group of some hundreds of lines that all but match: blocks of any size count the same links."""
+    draw = random.Random(12)
+    base = [f"w{k}" for k in range(24)]
+    rows = [(k, " ".join([*draw.sample(base, 21), *(f"n{draw.randrange(40)}" for _ in range(draw.randrange(4)))])) for k in range(300)]
+    sets = {t: frozenset(t.split()) for _, t in rows}
+    distinct = set(sets.values())
+    want = {k: sum(x != sets[t] and 4 * len(x & sets[t]) >= 3 * len(x | sets[t]) for x in distinct) for k, t in rows}
+    gone = {k for at, (k, t) in enumerate(rows) if any(4 * len(sets[t] & sets[u]) >= 3 * len(sets[t] | sets[u]) for _, u in rows[:at])}
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6)
+    for few, blocks in ((24, {}), (10**9, {}), (2, {"block_rows": 40, "block_words": 900})):
+        monkeypatch.setattr(linejoin, "_FEW", few)
+        monkeypatch.setattr(linejoin, "_PART", 50 if blocks else 200_000)
+        found = linejoin.decisions(frame, **blocks)[1].collect()
+        assert {r["doc_id"]: r["n_links"] for r in found if r["n_links"]} == {k: v for k, v in want.items() if v} and {r["doc_id"] for r in found if r["removed"]} == gone
+    assert max(want.values()) > 100 and min(want.values()) < 20
+
+
 def test_word_hashes_split_like_python():
     draw = random.Random(1)
     texts = ["".join(draw.choices("ab\u00e9 \t\r\x0b\x1c\n\x00Z", k=draw.randint(0, 60))).encode() for _ in range(200)]

@@ -9,11 +9,18 @@ word and a parity bitmap of the sets leave the required overlap possible. Every
 A line is removed if it equals or matches a line that comes earlier by (doc_id, line). Pairs are made between
 classes only; equal lines are never paired.
 
-Texts are read twice: once for the lines' digests and the counts, which are stored, and once for the prefixes, which are
-shuffled by word and not stored. Each task sends the prefix of a class once. The sets of candidates are
-read from the documents that hold them.
+No pair ever becomes a row. Steps (``matches``):
 
-What the driver holds: the count table and bitmaps of what to read again, all of fixed size.
+1. one pass over the texts stores the lines' digests and counts the words;
+2. a second pass sends the prefixes, shuffled by word and sorted by size; each task sends the prefix of a class once. Within a word the
+   candidates are found by comparing every row with those that follow it while sizes allow. They leave as a forest: an
+   edge for each class that hangs on another. A word of very many lines is dealt to pairs of blocks;
+3. the edges are contracted to groups: classes of different groups never match;
+4. the sets of each group's classes are read again from the documents that hold them and meet in one place, large groups in pairs of
+   blocks of bounded size. All overlaps within are counted; the numbers of matches and the earliest match of each class leave.
+
+What the driver holds: the count table and bitmaps of what to read again, all of fixed size. Shuffle files of finished steps are given up
+in between.
 
 Defined results: null text has no lines; every line with at least ``min_tokens`` (1) distinct words is a unit; rows
 that repeat a doc_id and a text are one document; a null doc_id ranks last; an empty table gives no
@@ -32,7 +39,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import save, trimmed
+from .components import connected_components
+from .storage import clear, drop, save, trimmed
 
 MIN_TOKENS = 1
 #: Distinct words from which a set can match one that does not equal it (2 of 3 words are under 0.75, 3 of 4 are not).
@@ -44,10 +52,14 @@ NUMERATOR, DENOMINATOR = 75, 100
 TABLE = 1 << 22
 #: Sizes and positions from here on are not told apart by the filters.
 MOST = (1 << 15) - 1
+#: Occurrences of a word in one block, and words of the sets in one block of a group.
+BLOCK_ROWS, BLOCK_WORDS = 50_000, 200_000
 _SLICE = 4_000_000
 _BLOCK = 1 << 16
 _LONG_WORD = 512
 _SEEN = 400_000
+_PART = 200_000
+_FEW = 24
 LAST = 2**63 - 1
 
 
@@ -218,15 +230,25 @@ def _sum_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["block", "counts"])
 
 
-def rarity(described: DataFrame) -> tuple[np.ndarray, int]:
-    """The rank of every entry of the count table, rarest first, and how many entries hold one word occurrence or none."""
+class Order(NamedTuple):
+    """The rank of every entry of the count table, rarest first; how many hold one word occurrence or none; the entries of very many
+    occurrences, and the number of blocks of each."""
+
+    rank: np.ndarray
+    single: int
+    hot: np.ndarray
+    blocks: np.ndarray
+
+
+def rarity(described: DataFrame, block_rows: int = BLOCK_ROWS) -> Order:
     counts = np.zeros(TABLE, np.int64)
     summed = described.where("block IS NOT NULL").select("block", "counts").repartition("block").mapInArrow(_sum_blocks, "block int, counts binary")
     for row in summed.toLocalIterator():  # TABLE / _BLOCK rows
         counts[row[0] * _BLOCK : (row[0] + 1) * _BLOCK] = np.frombuffer(row[1], np.int64)
     rank = np.empty(TABLE, np.uint32)
     rank[np.argsort(counts, kind="stable")] = np.arange(TABLE, dtype=np.uint32)
-    return rank, int((counts <= 1).sum())
+    hot = np.flatnonzero(counts > block_rows)
+    return Order(rank, int((counts <= 1).sum()), hot, -(-counts[hot] // block_rows))
 
 
 def needed_prefix(sizes: np.ndarray) -> np.ndarray:
@@ -241,8 +263,7 @@ def _prefixes(order, min_tokens: int) -> Callable[[Iterator[pa.RecordBatch]], It
     """(word, i1, parity, size and position in one number) of the words of the prefixes that another line can hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks, single = order.value
-        ranks = np.frombuffer(ranks, np.uint32)
+        ranks, single, hot, blocks = Order(*order.value)
         seen: set[int] = set()
         for batch in batches:
             for _, texts in _slices(batch.column(0)):
@@ -265,32 +286,99 @@ def _prefixes(order, min_tokens: int) -> Callable[[Iterator[pa.RecordBatch]], It
                 keep = new[line] & (place < needed_prefix(sets.size)[line]) & (rank[chosen] >= single)
                 of, at = line[keep], place[keep]
                 both = (np.minimum(sets.size[of], MOST) << 16) | np.minimum(at, MOST)
-                word = (lines.word[chosen][keep] >> np.uint64(24)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(sets.i1[of]), pa.array(sets.parity[of]), pa.array(both.astype(np.int32))], names=[x.split()[0] for x in PREFIX.split(", ")])
+                word, i1, both = lines.word[chosen][keep], sets.i1[of], both.astype(np.int32)
+                slot = np.searchsorted(hot, (word & np.uint64(TABLE - 1)).astype(np.int64))
+                is_hot = np.zeros(len(word), bool)
+                is_hot[slot < len(hot)] = hot[slot[slot < len(hot)]] == (word[slot < len(hot)] & np.uint64(TABLE - 1)).astype(np.int64)
+                n = np.ones(len(word), np.int64)
+                n[is_hot] = blocks[slot[is_hot]]
+                # A row of a hot word goes to the pairs of its block with every block.
+                row = np.repeat(np.arange(len(word)), n)
+                other = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+                own = ((i1.view(np.uint64) >> np.uint64(20)) % n.astype(np.uint64)).astype(np.int64)[row]
+                pair = (np.minimum(own, other) << 20 | np.maximum(own, other)).astype(np.uint64)
+                key = ((word[row] ^ _mixed(pair)) >> np.uint64(24)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(i1[row]), pa.array(sets.parity[of][row]), pa.array(both[row])], names=[x.split()[0] for x in PREFIX.split(", ")])
 
     return run
 
 
-def _candidates(prefixes: DataFrame) -> DataFrame:
-    """(a, b): classes that share a prefix word and may overlap enough; b is the smaller set, or the smaller id."""
-    rows = prefixes.repartition("word").dropDuplicates(["word", "i1", "parity", "place"])
-    size, at = F.shiftright("place", 16), F.col("place").bitwiseAND(F.lit(0xFFFF))
-    rows = rows.select("word", "i1", "parity", size.alias("size"), at.alias("at"))
-    x = rows.select(*[F.col(c).alias(f"x_{c}") for c in rows.columns])
-    y = rows.select(*[F.col(c).alias(f"y_{c}") for c in rows.columns])
-    both = F.col("x_size") + F.col("y_size")
-    # overlap >= t / (1 + t) * (|x| + |y|), in whole numbers
-    needed = F.expr(f"({NUMERATOR} * (x_size + y_size) + {NUMERATOR + DENOMINATOR - 1}) DIV {NUMERATOR + DENOMINATOR}")
-    left = F.least(F.col("x_size") - F.col("x_at"), F.col("y_size") - F.col("y_at"))
-    differing = F.bit_count(F.col("x_parity").bitwiseXOR(F.col("y_parity")))
-    known = (F.col("x_size") < MOST) & (F.col("y_size") < MOST)
-    joined = x.join(
-        y,
-        (F.col("x_word") == F.col("y_word"))
-        & ((F.col("y_size") < F.col("x_size")) | ((F.col("y_size") == F.col("x_size")) & (F.col("y_i1") < F.col("x_i1"))))
-        & (~known | ((F.lit(DENOMINATOR) * F.col("y_size") >= F.lit(NUMERATOR) * F.col("x_size")) & (both - differing >= 2 * needed) & (left >= needed))),
-    )
-    return joined.select(F.col("x_i1").alias("a"), F.col("y_i1").alias("b")).distinct()
+def _least_overlap(both: np.ndarray) -> np.ndarray:
+    """overlap >= t / (1 + t) * (|x| + |y|), in whole numbers"""
+    return (NUMERATOR * both + NUMERATOR + DENOMINATOR - 1) // (NUMERATOR + DENOMINATOR)
+
+
+def _top(root: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The roots of the trees that hold x. A root points to itself."""
+    a = root[x]
+    while not np.array_equal(a, above := root[a]):
+        a = above
+    root[x] = a
+    return a
+
+
+def _merge(root: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
+    """Joins the trees of x and y, pair by pair; of several trees that would hang below one root, the rest come again."""
+    while len(x):
+        a, b = _top(root, x), _top(root, y)
+        apart = a != b
+        x, y = x[apart], y[apart]
+        np.minimum.at(root, np.maximum(a, b)[apart], np.minimum(a, b)[apart])
+
+
+def forest(word: np.ndarray, i1: np.ndarray, parity: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (a, b) of a spanning forest of the candidates among rows in the order of word and place (so of size)."""
+    size, at = (place >> 16).astype(np.int64), (place & 0xFFFF).astype(np.int64)
+    root = np.arange(len(word))
+    act, k = root.copy(), 0
+    while True:
+        k += 1
+        act = act[act < len(word) - k]
+        # Sizes ascend within a word, so a row that has met one too large has met all that it can match.
+        act = act[(word[act + k] == word[act]) & (DENOMINATOR * size[act] >= NUMERATOR * size[act + k])]
+        if not len(act):
+            break
+        x, y = act, act + k
+        both = size[x] + size[y]
+        needed = _least_overlap(both)
+        ok = np.minimum(size[x] - at[x], size[y] - at[y]) >= needed
+        ok &= both - np.bitwise_count(parity[x] ^ parity[y]) >= 2 * needed
+        ok |= size[y] >= MOST
+        _merge(root, x[ok], y[ok])
+    _top(root, np.arange(len(word)))
+    hung = np.flatnonzero(root != np.arange(len(word)))
+    a, b = i1[hung], i1[root[hung]]
+    return a[a != b], b[a != b]
+
+
+def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges from rows that are sorted by word and place. The rows of a word are kept until the next word comes."""
+    kept: list[list[np.ndarray]] = []
+
+    def edges(parts: list[list[np.ndarray]]) -> pa.RecordBatch:
+        word, i1, parity, place = (np.concatenate(x) for x in zip(*parts, strict=True))
+        new = np.ones(len(word), bool)  # several tasks may have sent a class
+        new[1:] = (word[1:] != word[:-1]) | (place[1:] != place[:-1]) | (i1[1:] != i1[:-1])
+        a, b = forest(word[new], i1[new], parity[new].view(np.uint64), place[new])
+        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [c.to_numpy() for c in batch.columns]
+        word = columns[0]
+        other = np.flatnonzero(word != word[-1])
+        last = int(other[-1]) + 1 if len(other) else 0
+        if last or (kept and kept[-1][0][-1] != word[0]):
+            done = [*kept, [c[:last] for c in columns]]
+            if sum(len(k[0]) for k in done) >= _PART:
+                yield edges(done)
+                kept = [[c[last:] for c in columns]]
+                continue
+        kept.append(columns)
+    if kept:
+        yield edges(kept)
 
 
 def _bitmap(names: DataFrame) -> bytes:
@@ -314,8 +402,13 @@ def _in_bitmap(bits, column: int) -> Callable[[Iterator[pa.RecordBatch]], Iterat
     return run
 
 
+SETS = "grp bigint, i1 bigint, i2 bigint, doc_id bigint, line int, mark bigint, words array<bigint>"
+
+
 def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(i1, i2, words) of the wanted lines of each document."""
+    """The wanted lines of each document, with their words."""
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64())]
+    names = [x.split()[0] for x in SETS.split(", ")]
     for batch in batches:
         wanted = batch.column(1).to_pylist()
         for first, texts in _slices(batch.column(0)):
@@ -323,60 +416,185 @@ def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             order = _sorted_words(lines.line, lines.word)
             words = np.split(lines.word[order].view(np.int64), np.cumsum(np.bincount(lines.line[order], minlength=len(lines.text)))[:-1]) if len(order) else []
             at = {(t, n): k for k, (t, n) in enumerate(zip(lines.text.tolist(), lines.number.tolist(), strict=True))}
-            found = [(w["i1"], w["i2"], words[at[t, w["line"]]]) for t in range(len(texts)) for w in wanted[first + t]]
-            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.list_(pa.int64()))], names=["i1", "i2", "words"])
+            found = [(w["grp"], w["i1"], w["i2"], w["doc_id"], w["line"], w["mark"], words[at[t, w["line"]]]) for t in range(len(texts)) for w in wanted[first + t]]
+            columns = list(zip(*found, strict=True)) if found else [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+
+
+def overlaps_of_few(owner: np.ndarray, row: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(x, y, overlap), x < y, of rows of one owner that share words: counted word by word, for owners of few rows."""
+    order = np.lexsort((row, word, owner))
+    owner, row, word = owner[order], row[order], word[order]
+    xs, ys = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    act, k = np.arange(len(word)), 0
+    while True:
+        k += 1
+        act = act[act < len(word) - k]
+        act = act[(word[act + k] == word[act]) & (owner[act + k] == owner[act])]
+        if not len(act):
+            break
+        xs.append(row[act])
+        ys.append(row[act + k])
+    x, y = np.concatenate(xs), np.concatenate(ys)
+    n = int(row.max()) + 1 if len(row) else 1
+    pair, count = np.unique(x * n + y, return_counts=True)
+    return pair // n, pair % n, count
+
+
+def overlaps_of_many(row: np.ndarray, word: np.ndarray, n: int) -> np.ndarray:
+    """The overlaps of all pairs of n rows, as products of membership matrices of a few thousand words each."""
+    _, at = np.unique(word, return_inverse=True)
+    order = np.argsort(at, kind="stable")
+    row, at = row[order], at[order]
+    out = np.zeros((n, n), np.float32)
+    width = max(256, 8_000_000 // max(1, n))
+    for first in range(0, int(at[-1]) + 1 if len(at) else 0, width):
+        part = slice(*np.searchsorted(at, [first, first + width]))
+        member = np.zeros((n, width), np.float32)
+        member[row[part], at[part] - first] = 1
+        out += member @ member.T
+    return out.astype(np.int64)
+
+
+REACH = "i1 bigint, i2 bigint, n_links bigint, doc_id bigint, line int, mark bigint"
+
+
+class Block(NamedTuple):
+    """Rows of pairs of blocks of groups, in the order of (grp, x, y)."""
+
+    key: np.ndarray
+    cross: np.ndarray
+    own: np.ndarray
+    rows: list[np.ndarray]
+    words: np.ndarray
+    ends: np.ndarray
+
+
+def _reach(block: Block) -> pa.RecordBatch:
+    """Of each row that matches another: how many it matches, and the earliest."""
+    i1, i2, doc, line, mark = block.rows
+    size = np.diff(np.concatenate([[0], block.ends]))
+    owner = np.repeat(np.arange(len(size)), size)
+    starts = np.flatnonzero(np.concatenate([[True], block.key[1:] != block.key[:-1]]))
+    n_rows = np.diff(np.concatenate([starts, [len(block.key)]]))
+    group = np.repeat(np.arange(len(starts)), n_rows)
+    few = (n_rows <= _FEW)[group[owner]]
+    xs, ys, overlap = (list(p) for p in zip(overlaps_of_few(group[owner][few], owner[few], block.words[few]), strict=True))
+    offsets = np.concatenate([[0], block.ends])
+    for g in np.flatnonzero(n_rows > _FEW).tolist():
+        a, b = int(starts[g]), int(starts[g] + n_rows[g])
+        part = slice(int(offsets[a]), int(offsets[b]))
+        counted = overlaps_of_many(owner[part] - a, block.words[part], b - a)
+        x, y = np.nonzero(np.triu(counted, 1))
+        xs.append(x + a)
+        ys.append(y + a)
+        overlap.append(counted[x, y])
+    x, y, overlap = (np.concatenate(p) for p in (xs, ys, overlap))
+    same = (i1[x] == i1[y]) & (i2[x] == i2[y])
+    ok = ~same & (DENOMINATOR * overlap >= NUMERATOR * (size[x] + size[y] - overlap)) & (~block.cross[x] | (block.own[x] != block.own[y]))
+    x, y = np.concatenate([x[ok], y[ok]]), np.concatenate([y[ok], x[ok]])
+    order = np.lexsort((mark[y], line[y], doc[y], x))
+    x, y = x[order], y[order]
+    first = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])[: len(x)])
+    n = np.diff(np.concatenate([first, [len(x)]]))
+    x, y = x[first], y[first]
+    columns = [i1[x], i2[x], n, doc[y], line[y].astype(np.int32), mark[y]]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[c.split()[0] for c in REACH.split(", ")])
+
+
+def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``_reach`` of rows (grp, x, y, own, i1, i2, doc_id, line, mark, words) sorted by (grp, x, y); a block's rows are kept until the next begins."""
+    kept: list[pa.RecordBatch] = []
+
+    def key_of(batch: pa.RecordBatch) -> np.ndarray:
+        return _mixed(_mixed(batch.column(0).to_numpy().view(np.uint64)) ^ (batch.column(1).to_numpy().astype(np.uint64) << np.uint64(32) | batch.column(2).to_numpy().astype(np.uint64)))
+
+    def done(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(parts).combine_chunks()
+        whole = table.to_batches()[0] if table.num_rows else parts[0]
+        words = whole.column(9)
+        ends = np.cumsum(pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)) if whole.num_rows else np.empty(0, np.int64)
+        numbers = [whole.column(k).to_numpy() for k in range(9)]
+        return _reach(Block(key_of(whole), numbers[1] != numbers[2], numbers[3], numbers[4:9], words.flatten().to_numpy(), ends))
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = key_of(batch)
+        other = np.flatnonzero(key != key[-1])
+        last = int(other[-1]) + 1 if len(other) else 0
+        if kept and not last and key[0] != key_of(kept[-1])[-1]:
+            yield done(kept)
+            kept = []
+        if last:
+            yield done([*kept, batch.slice(0, last)])
+            kept = [batch.slice(last)]
+        else:
+            kept.append(batch)
+    if kept:
+        yield done(kept)
 
 
 def _place() -> Column:
     return F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("doc_id"), F.col("line"), F.col("mark"))
 
 
-def matches(docs: DataFrame, min_tokens: int = MIN_TOKENS) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Documents (doc_id, mark, lines), classes (i1, i2, n: their occurrences, first: the earliest one) that occur again or are
-    candidates, and matching pairs of classes (a1, a2, b1, b2)."""
+def matches(docs: DataFrame, min_tokens: int = MIN_TOKENS, block_rows: int = BLOCK_ROWS, block_words: int = BLOCK_WORDS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents (doc_id, mark, lines); classes (i1, i2, n: their occurrences, first: the earliest one) that occur again or may match another;
+    and of those that match: i1, i2, n_links (classes) and earliest (of their first occurrences)."""
     spark = docs.sparkSession
     context = spark.sparkContext
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("mark"), F.col("text").cast("string").alias("text"))
     described, _ = save(texts.mapInArrow(trimmed(_describe(min_tokens)), DESCRIBED), "described")
-    ranks, single = rarity(described)
-    order = context.broadcast((ranks.tobytes(), single))
-    pairs, _ = save(_candidates(texts.select("text").mapInArrow(trimmed(_prefixes(order, min_tokens)), PREFIX)), "candidates")
+    order = context.broadcast(tuple(rarity(described, block_rows)))
+    prefixes = texts.select("text").mapInArrow(trimmed(_prefixes(order, min_tokens)), PREFIX)
+    edges = prefixes.repartition("word").sortWithinPartitions("word", "place", "i1").mapInArrow(trimmed(_forests), "a bigint, b bigint")
+    edges, of_edges = save(edges, "edges")
     order.destroy()
+    clear(spark)
+    groups, of_groups = save(connected_components(edges), "groups")
+    drop(spark, of_edges)
+    clear(spark)
 
     of_docs = described.where("block IS NULL").select("doc_id", "mark", "lines")
-    ends = pairs.select(F.col("a").alias("e1")).unionByName(pairs.select(F.col("b").alias("e1"))).distinct()
     classes = of_docs.select("doc_id", "mark", F.explode("lines").alias("l")).select("doc_id", "mark", "l.*").groupBy("i1", "i2").agg(F.min(_place()).alias("first"), F.count("*").alias("n"))
-    classes = classes.join(ends, classes["i1"] == ends["e1"], "left").where("n > 1 OR e1 IS NOT NULL")
-    classes, _ = save(classes.select("i1", "i2", "n", "first", F.col("e1").isNotNull().alias("candidate")), "classes")
-
-    wanted = classes.where("candidate")
-    bits = context.broadcast(_bitmap(wanted.select("first.mark")))
+    named = groups.select(F.col("id").alias("g1"), F.col("component").alias("grp"))
+    classes = classes.join(named, classes["i1"] == named["g1"], "left").where("n > 1 OR grp IS NOT NULL")
+    classes, _ = save(classes.select("i1", "i2", "n", "first", "grp"), "classes")
+    drop(spark, of_groups)
+    clear(spark)
+
+    wanted = classes.where("grp IS NOT NULL").select("grp", "i1", "i2", "first.*")
+    bits = context.broadcast(_bitmap(wanted.select("mark")))
     again = texts.mapInArrow(_in_bitmap(bits, 1), texts.schema).dropDuplicates(["doc_id", "mark"])
-    of_doc = wanted.groupBy(F.col("first.doc_id").alias("w_doc"), F.col("first.mark").alias("w_mark")).agg(F.collect_list(F.struct(F.col("first.line").alias("line"), "i1", "i2")).alias("wanted"))
+    of_doc = wanted.groupBy(F.col("doc_id").alias("w_doc"), F.col("mark").alias("w_mark")).agg(F.collect_list(F.struct("grp", "i1", "i2", "doc_id", "line", "mark")).alias("wanted"))
     again = again.join(of_doc, (F.coalesce(again["doc_id"], F.lit(LAST)) == of_doc["w_doc"]) & (again["mark"] == of_doc["w_mark"])).select("text", "wanted")
-    sets, _ = save(again.mapInArrow(trimmed(_full_sets), "i1 bigint, i2 bigint, words array<bigint>"), "sets")
+    sets, of_sets = save(again.mapInArrow(trimmed(_full_sets), SETS), "sets")
     bits.destroy()
-
-    x = sets.select(F.col("i1").alias("a"), F.col("i2").alias("a2"), F.col("words").alias("x"))
-    y = sets.select(F.col("i1").alias("b"), F.col("i2").alias("b2"), F.col("words").alias("y"))
-    overlap = F.size(F.array_intersect("x", "y"))
-    linked = DENOMINATOR * overlap >= NUMERATOR * (F.size("x") + F.size("y") - overlap)
-    links = pairs.join(x, "a").join(y, "b").where(linked).select(F.col("a").alias("a1"), "a2", F.col("b").alias("b1"), "b2")
-    return of_docs, classes, save(links, "links")[0]
-
-
-def decisions(docs: DataFrame, hot: int = HOT, min_tokens: int = MIN_TOKENS) -> tuple[DataFrame, DataFrame]:
+    clear(spark)
+
+    blocks = sets.groupBy("grp").agg(F.ceil(F.sum(F.size("words").cast("bigint")) / F.lit(block_words)).cast("int").alias("nb"), F.count("*").alias("members")).where("members > 1")
+    rows = sets.join(blocks.select("grp", "nb"), "grp").withColumn("own", F.pmod(F.xxhash64("i1", "i2"), F.col("nb")).cast("int"))
+    # A row of a large group goes to the pairs of its block with every block.
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    rows = rows.select("grp", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "i1", "i2", "doc_id", "line", "mark", "words")
+    met = rows.repartition("grp", "x", "y").sortWithinPartitions("grp", "x", "y").mapInArrow(trimmed(_matched), REACH)
+    reach = met.groupBy("i1", "i2").agg(F.sum("n_links").alias("n_links"), F.min(F.struct("doc_id", "line", "mark")).alias("earliest"))
+    reach, _ = save(reach, "reach")
+    drop(spark, of_sets)
+    clear(spark)
+    return of_docs, classes, reach
+
+
+def decisions(docs: DataFrame, hot: int = HOT, min_tokens: int = MIN_TOKENS, **blocks: int) -> tuple[DataFrame, DataFrame]:
     """Documents (doc_id, mark, lines), and the lines that occur again or match another: doc_id, mark, line, start, stop, i1, i2,
     n_links (matching classes) and removed."""
     spark = docs.sparkSession
-    of_docs, classes, links = matches(docs, min_tokens)
-    both = links.unionByName(links.select(F.col("b1").alias("a1"), F.col("b2").alias("a2"), F.col("a1").alias("b1"), F.col("a2").alias("b2")))
-    first = classes.select(F.col("i1").alias("b1"), F.col("i2").alias("b2"), F.col("first").alias("of_b"))
-    # The earliest occurrence among the classes that match.
-    reach = both.join(first, ["b1", "b2"]).groupBy(F.col("a1").alias("i1"), F.col("a2").alias("i2")).agg(F.min("of_b").alias("earliest"), F.count("*").alias("n_links"))
+    of_docs, classes, reach = matches(docs, min_tokens, **blocks)
     of_class = classes.join(reach, ["i1", "i2"], "left").where("n > 1 OR n_links IS NOT NULL")
     of_class = of_class.select("i1", "i2", "n", "first", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce(F.col("earliest") < F.col("first"), F.lit(False)).alias("later"))
     of_class, _ = save(of_class, "decided")
+    clear(spark)
     bits = spark.sparkContext.broadcast(_bitmap(of_class.select("i1")))
     rows = of_docs.select("doc_id", "mark", F.explode("lines").alias("l")).select("doc_id", "mark", "l.*")
     rows = rows.mapInArrow(_in_bitmap(bits, 5), rows.schema)

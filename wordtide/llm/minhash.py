@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .storage import drop, save, trimmed
+from .storage import clear, drop, save, trimmed
 
 SHINGLE = 5
 PERMUTATIONS = 64
@@ -241,22 +241,31 @@ def components(docs: DataFrame) -> DataFrame:
 
     keyed = classes.select("id", "digest", F.explode("keys").alias("key"))
     buckets = keyed.groupBy("key").agg(F.count("*").alias("members"), F.min("id").alias("pivot")).where("members > 1").drop("members")
-    members, _ = save(keyed.join(buckets, "key"), "members")
+    members, of_members = save(keyed.join(buckets, "key"), "members")
+    clear(spark)
 
     wanted = members.select("id", "digest").distinct()
     sets = texts.join(wanted, texts["doc_id"] == wanted["id"]).select("id", "digest", "text").mapInArrow(trimmed(shingle_sets), SETS)
-    sets, _ = save(sets.dropDuplicates(["id", "digest"]), "sets")
+    sets, of_sets = save(sets.dropDuplicates(["id", "digest"]), "sets")
+    clear(spark)
 
     tested = members.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-    links, _ = save(confirmed(tested, sets), "links")
+    links, of_links = save(confirmed(tested, sets), "links")
+    clear(spark)
     labels = connected_components(links)
 
-    more = _across_components(members, labels, classes, sets)
-    if more is not None:
-        more, path = save(more, "more")
-        found, _ = save(confirmed(more, sets), "found")
-        drop(spark, path)
+    unused = [of_members, of_sets, of_links]
+    if (rows := _mixed(members, labels)) is not None:
+        signed, of_signed = save(_signed(rows[0], classes, sets), "signed")
+        more, of_more = save(_across_components(rows[0], signed), "more")
+        clear(spark)
+        found, of_found = save(confirmed(more, sets), "found")
         labels = connected_components(links.unionByName(found))
+        unused += [rows[1], of_signed, of_more, of_found]
+    # All that still is to come reads profiles, classes and labels only.
+    for path in unused:
+        drop(spark, path)
+    clear(spark)
 
     component = classes.select("digest", "id").join(labels, "id", "left").select("digest", F.coalesce("component", "id").alias("component"))
     out = profile.select("doc_id", "digest", "n_shingles").join(component, "digest", "left")
@@ -264,18 +273,24 @@ def components(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_shingles", component_id.alias("component_id"), (F.col("doc_id") == component_id).alias("kept"))
 
 
-def _across_components(members: DataFrame, labels: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame | None:
-    """Untested pairs (a, b) of one bucket and different components whose sizes and bitmaps allow a link."""
+def _mixed(members: DataFrame, labels: DataFrame) -> tuple[DataFrame, str] | None:
+    """The members of buckets that hold several components, with their own and the largest one, stored; None if there are none."""
     rows = members.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
     by_component = rows.groupBy("key", "component").agg(F.count("*").alias("size"))
     mixed = by_component.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("size", "component")).alias("most")).where("parts > 1")
-    rows = rows.join(mixed.select("key", F.col("most.component").alias("main")), "key")
-    rows, _ = save(rows, "mixed")
-    if rows.isEmpty():
-        return None
+    rows, path = save(rows.join(mixed.select("key", F.col("most.component").alias("main")), "key"), "mixed")
+    return None if rows.isEmpty() else (rows, path)
+
+
+def _signed(rows: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Sizes, buckets and bitmaps of the classes in ``rows``."""
     named = rows.select("id", "digest").distinct()
     fine = sets.join(named, ["id", "digest"], "left_semi").mapInArrow(trimmed(fine_parities), "id bigint, digest binary, fine array<bigint>")
-    signed, _ = save(classes.select("id", "digest", "n", "keys", "parity").join(fine, ["id", "digest"]), "signed")
+    return classes.select("id", "digest", "n", "keys", "parity").join(fine, ["id", "digest"])
+
+
+def _across_components(rows: DataFrame, signed: DataFrame) -> DataFrame:
+    """Untested pairs (a, b) of one bucket and different components whose sizes and bitmaps allow a link."""
     rows = rows.join(signed, ["id", "digest"])
     stray = rows.where("component <> main").select(*[F.col(c).alias(f"s_{c}") for c in ("key", "id", "component", "n", "keys", "parity", "fine")])
     # The bucket in which a pair is made is the least that both share.

@@ -3,35 +3,13 @@
 from __future__ import annotations
 
 import ctypes
-import uuid
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-LOCAL_ROOT = "/tmp/checkpoints"
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a local one only where that is unset and Spark runs in one process."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return f"file://{LOCAL_ROOT}"
-
-
-def fresh_path(spark: SparkSession, label: str) -> str:
-    """A new path under the shared folder; it is removed when the application ends."""
-    path = f"{shared_root(spark)}/wordtide/{uuid.uuid4().hex}/{label}"
-    jvm = spark.sparkContext._jvm
-    parent = jvm.org.apache.hadoop.fs.Path(path).getParent()
-    fs = parent.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.mkdirs(parent)
-    fs.deleteOnExit(parent)
-    return path
-
+from wordtide.sources.shared import fresh_path
 
 def drop(spark: SparkSession, path: str) -> None:
     """Remove a table that no later plan reads."""
@@ -68,3 +46,9 @@ def trimmed(f: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]
             give_back()
 
     return run
+
+
+def clear(spark: SparkSession) -> None:
+    """Has Spark delete the shuffle files of finished steps: it does when the driver collects the plans that made them, which else may be late."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

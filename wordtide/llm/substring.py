@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import save, trimmed
+from .storage import clear, save, trimmed
 
 MIN_WORDS = 1
 #: Words from which a run of repeated sentences is a passage.
@@ -127,6 +127,7 @@ def repeats(docs: DataFrame, kind: str = "line", min_words: int = MIN_WORDS, ran
     place = F.struct(_document().alias("of"), F.col("unit"))
     first = found.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
     first, _ = save(first, "firsts")
+    clear(docs.sparkSession)
     return _joined(found, first, hot).where(place != F.col("first")).select("doc_id", "mark", "unit", "start", "stop").distinct()
 
 
@@ -148,6 +149,7 @@ def shared_sentences(docs: DataFrame, rank: str = "doc_id", hot: int = HOT) -> D
     groups = texts.mapInArrow(trimmed(_rows_of(SENTENCE, once)), SENTENCE).groupBy("h1", "h2")
     groups = groups.agg(F.min(_document()).alias("first"), F.max(_document()).alias("last"), F.count("*").alias("n")).where("first <> last").drop("last")
     groups, _ = save(groups, "sentences")
+    clear(docs.sparkSession)
     bits = docs.sparkSession.sparkContext.broadcast(_bitmap(groups))
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

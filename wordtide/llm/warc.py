@@ -25,7 +25,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import fresh_path
+from .storage import clear, fresh_path
 
 MIN_REVISIT = 100
 ID_PREFIX = "urn:wordtide:page:"
@@ -81,11 +81,13 @@ def write_archive(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> Archive:
     once = named.join(wanted, (F.col("name") == F.col("k_name")) & (F.col("digest") == F.col("k_digest")), "left_semi")
     once = once.groupBy("name", "digest").agg(F.first("payload").alias("payload")).select("digest", "payload")
     once.write.option("compression", "zstd").parquet(archive.payloads)
+    clear(spark)
 
     records = narrow.join(keepers, "digest", "left")
     is_revisit = (F.col("n_bytes") >= min_revisit) & ~F.col("page_id").eqNullSafe(F.col("keeper"))
     records = _headers(records.withColumn("refers_to", F.when(is_revisit, F.col("keeper"))))
     records.select("page_id", "header", "digest").write.option("compression", "zstd").parquet(archive.records)
+    clear(spark)
     return archive
 
 
