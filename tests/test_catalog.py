@@ -3,7 +3,7 @@
 import pytest
 
 from tests.compare import differences
-from wordtide.plans import catalog
+from wordtide.plans import catalog  # importing the package registers all
 
 SF = "/root/testdata/sf0.001"
 

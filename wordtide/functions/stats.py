@@ -1,9 +1,11 @@
-"""Inference as column expressions; special functions in numpy-free Python for single results."""
+"""Inference as column expressions; tails of t, F and Poisson by incomplete beta and gamma functions, on the few rows of a report."""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,13 +27,43 @@ def two_proportion_z(k1: Column, n1: Column, k2: Column, n2: Column) -> Column:
     return (k1 / n1 - k2 / n2) / F.sqrt(pooled * (1 - pooled) * (1 / n1 + 1 / n2))
 
 
-def poisson_tail(x: Column, mu: Column) -> Column:
+def alpha_se(k1: Column, n1: Column, k0: Column, n0: Column) -> tuple[Column, Column]:
+    """The difference of two proportions and its binomial standard error."""
+    p1, p0 = k1 / n1, k0 / n0
+    return p1 - p0, F.sqrt(p1 * (1 - p1) / n1 + p0 * (1 - p0) / n0)
+
+
+def upper_limit(k: Column, n: Column) -> Column:
+    """The share that is ruled out at 95 % where nothing was found in n: the rule of three; null where something was."""
+    return F.when((k == 0) & (n > 0), F.least(3 / n, F.lit(1.0)))
+
+
+def lower_gamma(a: float, x: float) -> float:
+    """The regularised lower incomplete gamma function: its series below a + 1, else its continued fraction from the tail."""
+    if x <= 0:
+        return 0.0
+    front = math.exp(a * math.log(x) - x - math.lgamma(a))
+    if x < a + 1:
+        term = total = 1 / a
+        n = a
+        while term > total * 1e-17:
+            n += 1
+            term *= x / n
+            total += term
+        return min(1.0, front * total)
+    value = 0.0
+    for m in range(200 + int(10 * math.sqrt(a)), 0, -1):
+        value = m * (m - a) / (x + 2 * m + 1 - a - value)
+    return max(0.0, 1 - front / (x + 1 - a - value))
+
+
+def poisson_upper(x: int, mu: float) -> float:
     """P(X >= x) for whole x: 1 for x = 0."""
-    terms = F.sequence(F.lit(0).cast("bigint"), F.greatest(x - 1, F.lit(0).cast("bigint")))
-    # The k-th term follows from the one before, so no factorial is needed.
-    state = F.struct(F.lit(0.0).alias("total"), F.exp(-mu).alias("term"))
-    total = F.aggregate(terms, state, lambda s, k: F.struct((s["total"] + s["term"]).alias("total"), (s["term"] * mu / (k + 1)).alias("term")))["total"]
-    return F.when(x <= 0, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), 1 - total))
+    return 1.0 if x <= 0 else lower_gamma(x, mu)
+
+
+def poisson_tail(x: Column, mu: Column) -> Column:
+    return column_of(poisson_upper, x, mu)
 
 
 def incomplete_beta(a: float, b: float, x: float) -> float:
@@ -57,7 +89,26 @@ def t_two_sided(t: float, df: float) -> float:
 
 
 def f_upper(f: float, d1: float, d2: float) -> float:
-    return incomplete_beta(d2 / 2, d1 / 2, d2 / (d2 + d1 * f))
+    return incomplete_beta(d2 / 2, d1 / 2, d2 / (d2 + d1 * f)) if f > 0 else 1.0
+
+
+def column_of(f: Callable[..., float], *columns: Column) -> Column:
+    """``f`` of the columns, batch by batch; null where one of them is."""
+
+    def run(*arrays: pa.Array) -> pa.Array:
+        rows = zip(*(a.to_pylist() for a in arrays), strict=True)
+        return pa.array([None if None in r else f(*r) for r in rows], pa.float64())
+
+    run.__annotations__ = {"arrays": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, "double")(*columns)
+
+
+def correlation(df: DataFrame, x: str, y: str, lost: int = 2) -> DataFrame:
+    """n, r, t and the two-sided p of a correlation; ``lost`` degrees of freedom are taken off n."""
+    out = df.agg(F.count("*").alias("n"), F.corr(x, y).alias("r"))
+    dof = (F.col("n") - lost).cast("double")
+    out = out.withColumn("t", F.when(F.abs("r") < 1, F.col("r") * F.sqrt(dof / (1 - F.col("r") * F.col("r")))))
+    return out.withColumn("p", column_of(t_two_sided, F.col("t"), dof))
 
 
 def residuals(df: DataFrame, x: str, *ys: str) -> DataFrame:
@@ -70,11 +121,12 @@ def residuals(df: DataFrame, x: str, *ys: str) -> DataFrame:
 
 
 def step_test(series: DataFrame, x: str, y: str, at: float) -> DataFrame:
-    """Least squares with a line and a step at ``at`` against the line alone: step, RSS of both, F and n."""
+    """Least squares with a line and a step at ``at`` against the line alone: step, RSS of both, F, its p and n."""
     r = residuals(series.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), (F.col(x) >= at).cast("double").alias("s")), "x", "y", "s")
     out = r.agg(F.count("*").alias("n"), F.sum(F.col("r_y") * F.col("r_s")).alias("ys"), F.sum(F.col("r_s") * F.col("r_s")).alias("ss"), F.sum(F.col("r_y") * F.col("r_y")).alias("rss_line"))
     out = out.withColumn("step", F.col("ys") / F.col("ss")).withColumn("rss_step", F.col("rss_line") - F.col("ys") * F.col("ys") / F.col("ss"))
-    return out.select("n", "step", "rss_line", "rss_step", ((F.col("rss_line") - F.col("rss_step")) / (F.col("rss_step") / (F.col("n") - 3))).alias("f"))
+    out = out.select("n", "step", "rss_line", "rss_step", ((F.col("rss_line") - F.col("rss_step")) / (F.col("rss_step") / (F.col("n") - 3))).alias("f"))
+    return out.withColumn("p", column_of(f_upper, F.col("f"), F.lit(1.0), (F.col("n") - 3).cast("double")))
 
 
 def differences(series: DataFrame, order: str, *ys: str) -> DataFrame:

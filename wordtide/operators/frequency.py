@@ -1,12 +1,16 @@
-"""Document frequencies, watch lists, baskets and period comparison."""
+"""Document frequencies, watch lists, baskets, word pairs and period comparison. The word lists default to ``lexicons``."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wordtide.functions import lexicons, stats
+
+from .corpus import quarter_label, quarters, yq
+
 EPSILON = 1e-9
 
 
@@ -14,7 +18,7 @@ def literals(words: Sequence[str]) -> Column:
     return F.array(*map(F.lit, words))
 
 
-def has_any(words: Sequence[str]) -> Column:
+def has_any(words: Sequence[str] = lexicons.BASKET) -> Column:
     return F.arrays_overlap("toks", literals(words))
 
 
@@ -29,13 +33,51 @@ def document_frequency(corpus: DataFrame, *keys: str, units: Column | None = Non
     return corpus.select(*keys, F.explode(units).alias("word")).groupBy(*keys, "word").agg(F.count("*").alias("n"))
 
 
-def watch(corpus: DataFrame, words: Sequence[str], *keys: str, units: Column | None = None) -> DataFrame:
+def watch(corpus: DataFrame, words: Sequence[str] = lexicons.WATCH, *keys: str, units: Column | None = None) -> DataFrame:
     """n, total and freq for every word and period, zeros included: sums of flags, then a row per word."""
     units = F.col("toks") if units is None else units
     flags = [F.sum(F.array_contains(units, w).cast("bigint")).alias(f"w{k}") for k, w in enumerate(words)]
     wide = corpus.groupBy(*keys).agg(F.count("*").alias("total"), *flags)
+    return long_form(wide, words, *keys)
+
+
+def long_form(wide: DataFrame, words: Sequence[str], *keys: str) -> DataFrame:
     pairs = F.explode(F.array(*[F.struct(F.lit(w).alias("word"), F.col(f"w{k}").alias("n")) for k, w in enumerate(words)])).alias("x")
-    return wide.select(*keys, "total", pairs).select("x.word", *keys, "x.n", "total", (F.col("n") / F.col("total")).alias("freq"))
+    freq = F.when(F.col("total") > 0, F.col("n") / F.col("total")).otherwise(0.0)
+    return wide.select(*keys, "total", pairs).select("x.word", *keys, "x.n", "total").withColumn("freq", freq)
+
+
+def trajectories(corpus: DataFrame, words: Sequence[str] = lexicons.TRAJECTORY, first: tuple[int, int] = (2022, 1), last: tuple[int, int] = (2026, 2)) -> DataFrame:
+    """``watch`` by quarter on a full spine of quarters: one without documents has zeros."""
+    flags = [F.sum(F.array_contains("toks", w).cast("bigint")).alias(f"w{k}") for k, w in enumerate(words)]
+    wide = corpus.groupBy("year", "quarter").agg(F.count("*").alias("total"), *flags)
+    spine = quarters(corpus, first, last).join(wide, ["year", "quarter"], "left")
+    return long_form(spine.fillna(0), words, "year", "quarter")
+
+
+def peaks(series: DataFrame, least: float = 0.001, early: tuple[int, int] = (2024, 4), back: int = 4) -> DataFrame:
+    """Per word of ``trajectories``: its (first) peak quarter and value, the mean of the last ``back`` quarters and its cluster: rare, early or
+    late by the peak."""
+    s = series.withColumn("q", F.col("year") * 4 + F.col("quarter"))
+    s = s.withColumn("back", F.row_number().over(Window.partitionBy("word").orderBy(F.desc("q"))))  # a row per word and quarter
+    out = s.groupBy("word").agg(F.max_by(F.struct("year", "quarter"), F.struct("freq", -F.col("q"))).alias("at"), F.max("freq").alias("peak_val"), F.avg(F.when(F.col("back") <= back, F.col("freq"))).alias("recent"))
+    cluster = F.when(F.col("peak_val") < least, "rare").when(F.col("at.year") * 4 + F.col("at.quarter") <= early[0] * 4 + early[1], "early").otherwise("late")
+    return out.select("word", quarter_label(F.col("at.year"), F.col("at.quarter")).alias("peak_q"), "peak_val", "recent", cluster.alias("cluster"))
+
+
+def cluster_series(series: DataFrame, clusters: DataFrame) -> DataFrame:
+    """Per quarter: documents and, of all words and of each cluster, the sum of the words' documents over them."""
+    s = series.join(F.broadcast(clusters.select("word", "cluster")), "word")  # a row per word
+    of = lambda c: F.try_divide(F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0)), F.max("total"))
+    out = s.groupBy("year", "quarter").agg(F.max("total").alias("total"), of(F.lit(True)).alias("all_markers"), of(F.col("cluster") == "early").alias("early"), of(F.col("cluster") == "late").alias("late"))
+    return out.select("year", "quarter", yq(F.col("year"), F.col("quarter")).alias("yq"), quarter_label(F.col("year"), F.col("quarter")).alias("label"), "total", "all_markers", "early", "late")
+
+
+def cluster_delta(series: DataFrame, before: tuple[int, int] = (2025, 2), after: tuple[int, int] = (2026, 2)) -> DataFrame:
+    """How far each series of ``cluster_series`` fell between two quarters, and the early cluster's share of the whole fall."""
+    at = lambda c, q: F.max(F.when((F.col("year") == q[0]) & (F.col("quarter") == q[1]), F.col(c)))
+    out = series.agg(*[(at(c, before) - at(c, after)).alias(f"d_{c}") for c in ("all_markers", "early", "late")])
+    return out.withColumn("explained", F.when(F.abs("d_all_markers") > 1e-9, F.col("d_early") / F.col("d_all_markers")))
 
 
 def period(base: Sequence[int], recent: Sequence[int]) -> Column:
@@ -43,7 +85,7 @@ def period(base: Sequence[int], recent: Sequence[int]) -> Column:
 
 
 def excess_units(corpus: DataFrame, base: Sequence[int], recent: Sequence[int], floor: int, min_length: int = 0, units: Column | None = None) -> DataFrame:
-    """Per word: document counts and frequencies of two periods, their difference and ratio."""
+    """Per word: document counts and frequencies of two periods, their difference and ratio. The totals read the years only."""
     of = corpus.withColumn("period", period(base, recent)).where("period IS NOT NULL")
     counts = document_frequency(of, "period", units=units).groupBy("word").agg(*[F.sum(F.when(F.col("period") == p, F.col("n")).otherwise(0)).alias(f"{c}_n") for p, c in (("base", "base"), ("recent", "rec"))])
     totals = of.agg(*[F.count(F.when(F.col("period") == p, 1)).alias(f"{c}_total") for p, c in (("base", "base"), ("recent", "rec"))])
@@ -52,58 +94,186 @@ def excess_units(corpus: DataFrame, base: Sequence[int], recent: Sequence[int],
     return rows.select("word", "base_n", "rec_n", "base_freq", "rec_freq", (F.col("rec_freq") - F.col("base_freq")).alias("abs_excess"), ((F.col("rec_freq") + EPSILON) / (F.col("base_freq") + EPSILON)).alias("ratio"))
 
 
-def basket_rate(corpus: DataFrame, words: Sequence[str], *keys: str) -> DataFrame:
+def control_excess(corpus: DataFrame, base: Sequence[int], recent: Sequence[int], words: Sequence[str] = lexicons.CONTROL) -> DataFrame:
+    """The difference of frequency of words that should not move, and the largest of all by amount."""
+    of = corpus.withColumn("period", period(base, recent)).where("period IS NOT NULL")
+    flag = lambda p, w: F.sum(((F.col("period") == p) & F.array_contains("toks", w)).cast("bigint")) / F.count(F.when(F.col("period") == p, 1))
+    wide = of.agg(*[(flag("recent", w) - flag("base", w)).alias(f"w{k}") for k, w in enumerate(words)])
+    most = F.greatest(*[F.abs(f"w{k}") for k in range(len(words))]) if len(words) > 1 else F.abs("w0")
+    pairs = F.explode(F.array(*[F.struct(F.lit(w).alias("word"), F.col(f"w{k}").alias("excess")) for k, w in enumerate(words)])).alias("x")
+    return wide.select(most.alias("max_abs"), pairs).select("x.*", "max_abs")
+
+
+def basket_rate(corpus: DataFrame, words: Sequence[str] = lexicons.BASKET, *keys: str) -> DataFrame:
     """total, hit (documents with a word of the basket) and rate."""
     return corpus.groupBy(*keys).agg(F.count("*").alias("total"), F.sum(has_any(words).cast("bigint")).alias("hit")).withColumn("rate", F.col("hit") / F.col("total"))
 
 
+def subfield_table(corpus: DataFrame, words: Sequence[str] = lexicons.BASKET, subfields: Mapping[str, str] = lexicons.SUBFIELDS, first: int = 2018, last: int = 2026) -> DataFrame:
+    """Per listed subfield and year, zeros included: its label, documents and the percentage with a word of the basket."""
+    of = corpus.where(F.col("subfield").isin(*subfields) & F.col("year").between(first, last)).groupBy(F.col("subfield").alias("cat"), "year").agg(F.count("*").alias("n"), F.sum(has_any(words).cast("bigint")).alias("hit"))
+    labels = F.explode(F.array(*[F.struct(F.lit(c).alias("cat"), F.lit(label).alias("label")) for c, label in subfields.items()])).alias("l")
+    spine = corpus.sparkSession.range(first, last + 1).select(F.col("id").cast("int").alias("year"), labels).select("l.cat", "l.label", "year")
+    rate = F.when(F.col("n") > 0, 100 * F.col("hit") / F.col("n")).otherwise(0.0)
+    return spine.join(of, ["cat", "year"], "left").fillna(0, ["n", "hit"]).select("cat", "label", "year", "n", rate.alias("rate"))
+
+
 def with_excess(rates: DataFrame, base: Sequence[int]) -> DataFrame:
     """Adds base_rate (pooled over the base years) and the excess over it, not below zero. ``rates`` has a row per period."""
     pooled = rates.where(F.col("year").between(*base)).agg((F.sum("hit") / F.sum("total")).alias("base_rate"))
     return rates.join(F.broadcast(pooled)).withColumn("excess", F.greatest(F.lit(0.0), F.col("rate") - F.col("base_rate")))
 
 
-def leave_one_out(corpus: DataFrame, words: Sequence[str], base: Sequence[int], recent: Sequence[int]) -> DataFrame:
-    """The recent excess of the basket without each of its words, from a histogram of word patterns (at most 62 words)."""
+def patterns(corpus: DataFrame, words: Sequence[str], *keys: str) -> DataFrame:
+    """(keys, mask, c): how many documents hold exactly the words whose bits are set in mask (at most 62 words). One pass of the corpus;
+    what follows from it is worked out on the masks that occur."""
     mask = sum((F.when(F.array_contains("toks", w), F.lit(1 << k)).otherwise(F.lit(0)).cast("bigint") for k, w in enumerate(words)), F.lit(0).cast("bigint"))
-    patterns = corpus.select(period(base, recent).alias("period"), mask.alias("mask")).where("period IS NOT NULL").groupBy("period", "mask").agg(F.count("*").alias("c"))
-    rows = patterns.select("*", F.explode(F.array(*[F.struct(F.lit(w).alias("word"), F.lit(~(1 << k)).cast("bigint").alias("keep")) for k, w in enumerate(words)])).alias("x")).select("period", "mask", "c", "x.*")
+    return corpus.select(*keys, mask.alias("mask")).groupBy(*keys, "mask").agg(F.count("*").alias("c"))
+
+
+def leave_one_out(corpus: DataFrame, words: Sequence[str], base: Sequence[int], recent: Sequence[int]) -> DataFrame:
+    """The recent excess of the basket without each of its words, from a histogram of word patterns."""
+    of = patterns(corpus.withColumn("period", period(base, recent)).where("period IS NOT NULL"), words, "period")
+    rows = of.select("*", F.explode(F.array(*[F.struct(F.lit(w).alias("word"), F.lit(~(1 << k)).cast("bigint").alias("keep")) for k, w in enumerate(words)])).alias("x")).select("period", "mask", "c", "x.*")
     hit = F.when(F.col("mask").bitwiseAND(F.col("keep")) != 0, F.col("c")).otherwise(0)
     rate = lambda p: F.sum(F.when(F.col("period") == p, hit).otherwise(0)) / F.sum(F.when(F.col("period") == p, F.col("c")).otherwise(0))
     return rows.groupBy("word").agg((rate("recent") - rate("base")).alias("alpha"))
 
 
+def leave_one_out_range(corpus: DataFrame, words: Sequence[str], base: Sequence[int], recent: Sequence[int]) -> DataFrame:
+    """The excess of the whole basket, the least and the largest without one word, and those words (ties: the first)."""
+    alphas = leave_one_out(corpus, [*words, ""], base, recent)  # no document holds the empty word, so without it the basket is whole
+    one = F.col("word") != ""
+    named = lambda f, order: f(F.when(one, F.col("word")), F.when(one, order))
+    lowest, highest = F.struct("alpha", "word"), F.struct(-F.col("alpha"), F.col("word"))
+    return alphas.agg(F.max(F.when(~one, F.col("alpha"))).alias("alpha_full"), F.min(F.when(one, F.col("alpha"))).alias("least"), F.max(F.when(one, F.col("alpha"))).alias("largest"), named(F.min_by, lowest).alias("least_word"), named(F.min_by, highest).alias("largest_word"))
+
+
 def bigrams(toks: Column) -> Column:
     """Neighbouring pairs, joined by a space."""
     n = F.greatest(F.size(toks) - 1, F.lit(0))
     return F.zip_with(F.slice(toks, 1, n), F.slice(toks, 2, n), lambda a, b: F.concat(a, F.lit(" "), b))
 
 
-def pair_counts(corpus: DataFrame, words: Sequence[str]) -> DataFrame:
+def pair_counts(corpus: DataFrame, words: Sequence[str] = lexicons.PAIRED) -> DataFrame:
     """w1 < w2: in how many documents both occur. At most len(words) choose 2 rows leave a document."""
     s = corpus.select(F.array_sort(F.array_intersect("toks", literals(words))).alias("s")).where(F.size("s") > 1)
     first = s.select(F.col("s"), F.explode("s").alias("w1"))
     return first.select("w1", F.explode(F.filter("s", lambda x: x > F.col("w1"))).alias("w2")).groupBy("w1", "w2").agg(F.count("*").alias("pairs"))
 
 
-def lift(corpus: DataFrame, words: Sequence[str]) -> DataFrame:
-    """Observed pairs against those of independent words."""
-    single = document_frequency(corpus, among=words)
-    total = corpus.agg(F.count("*").alias("docs"))
-    a, b = single.select(F.col("word").alias("w1"), F.col("n").alias("n1")), single.select(F.col("word").alias("w2"), F.col("n").alias("n2"))
-    rows = pair_counts(corpus, words).join(F.broadcast(a), "w1").join(F.broadcast(b), "w2").join(F.broadcast(total))
-    return rows.withColumn("expected", F.col("n1") * F.col("n2") / F.col("docs")).withColumn("lift", F.col("pairs") / F.col("expected"))
+def _pairs_of(masks: DataFrame, words: Sequence[str], *keys: str) -> DataFrame:
+    """(keys, w1, w2, pairs, n1, n2, docs) of every two words, from ``patterns``."""
+    words = sorted(words)
+    bit = {w: 1 << k for k, w in enumerate(words)}
+    two = F.explode(F.array(*[F.struct(F.lit(a).alias("w1"), F.lit(b).alias("w2"), F.lit(bit[a]).cast("bigint").alias("b1"), F.lit(bit[b]).cast("bigint").alias("b2")) for i, a in enumerate(words) for b in words[i + 1 :]])).alias("x")
+    has = lambda b: F.col("mask").bitwiseAND(F.col(b)) != 0
+    n = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("c"))), F.lit(0))
+    return masks.select(*keys, "mask", "c", two).select(*keys, "mask", "c", "x.*").groupBy(*keys, "w1", "w2").agg(n(has("b1") & has("b2")).alias("pairs"), n(has("b1")).alias("n1"), n(has("b2")).alias("n2"), F.sum("c").alias("docs"))
+
+
+def with_lift(pairs: DataFrame) -> DataFrame:
+    """Adds the pairs expected of independent words and the ratio to them; null where a word does not occur."""
+    expected = F.col("n1") * F.col("n2") / F.col("docs")
+    return pairs.withColumn("expected", expected).withColumn("lift", F.when(expected > 0, F.col("pairs") / expected))
+
+
+def lift(corpus: DataFrame, words: Sequence[str] = lexicons.PAIRED) -> DataFrame:
+    """Every two of the words, those that never meet included: observed pairs against those of independent words."""
+    return with_lift(_pairs_of(patterns(corpus, sorted(words)), words))
+
+
+def significant_pairs(corpus: DataFrame, words: Sequence[str] = lexicons.PAIRED, below: float = 0.01) -> DataFrame:
+    """``lift`` with p, the chance of as many pairs or more among independent words, and whether it is below the bound."""
+    p = stats.poisson_tail(F.col("pairs"), F.col("expected"))
+    return lift(corpus, words).withColumn("p", p).withColumn("significant", F.col("p") < below)
 
 
 def _occurrences(words: Sequence[str]) -> Column:
     return F.size(F.filter("toks", lambda t: t.isin(*words)))
 
 
-def tone(corpus: DataFrame, lexicons: dict[str, Sequence[str]], *keys: str) -> DataFrame:
-    """Per lexicon: percent of documents with a word of it, and its occurrences per 1,000 tokens (a ratio of sums)."""
-    count = {k: _occurrences(w) for k, w in lexicons.items()}
+TONES = {"hype": lexicons.HYPE, "hedge": lexicons.HEDGE}
+
+
+def tone(corpus: DataFrame, sets: Mapping[str, Sequence[str]] = TONES, *keys: str) -> DataFrame:
+    """Per word list: percent of documents with a word of it, and its occurrences per 1,000 tokens (a ratio of sums)."""
+    count = {k: _occurrences(w) for k, w in sets.items()}
     rows = corpus.select(*keys, F.size("toks").alias("ntok"), *[c.alias(k) for k, c in count.items()])
     out = [F.count("*").alias("n"), F.sum("ntok").alias("tokens")]
-    for k in lexicons:
+    for k in sets:
         out += [(F.sum((F.col(k) > 0).cast("bigint")) * 100.0 / F.count("*")).alias(f"{k}_docpct"), (F.sum(k) * 1000.0 / F.nullif(F.sum("ntok"), F.lit(0))).alias(f"{k}_per1k")]
     return rows.groupBy(*keys).agg(*out)
+
+
+def tone_change(yearly: DataFrame, column: str, pre: Sequence[int] = (2015, 2021), post: Sequence[int] = (2023, 2025)) -> list[Column]:
+    """The unweighted means of a yearly column in two windows, and the change in percent."""
+    of = lambda p: F.avg(F.when(F.col("year").between(*p), F.col(column)))
+    return [of(pre).alias(f"{column}_pre"), of(post).alias(f"{column}_post"), F.try_multiply(F.lit(100.0), F.try_divide(of(post) - of(pre), of(pre))).alias(f"{column}_change")]
+
+
+def lengths(corpus: DataFrame, words: Sequence[str] = lexicons.BASKET, *keys: str) -> DataFrame:
+    """Mean tokens of a document, basket tokens per 1,000 tokens, and percent of documents with a word of the basket."""
+    rows = corpus.select(*keys, F.size("toks").alias("ntok"), _occurrences(words).alias("own"))
+    return rows.groupBy(*keys).agg(F.avg("ntok").alias("mean_tokens"), (F.sum("own") * 1000.0 / F.nullif(F.sum("ntok"), F.lit(0))).alias("per1000"), (F.sum((F.col("own") > 0).cast("bigint")) * 100.0 / F.count("*")).alias("docpct"))
+
+
+def placebo_pool(excess: DataFrame, low: float = 0.0003, high: float = 0.005, min_length: int = 4, without: Sequence[str] = (*lexicons.BASKET, *lexicons.INSTRUMENTS)) -> DataFrame:
+    """Words of middling base frequency that no list holds."""
+    plain = F.col("word").rlike("^[a-z]+$") & (F.length("word") >= min_length) & ~F.col("word").isin(*without)
+    return excess.where((F.col("base_freq") > low) & (F.col("base_freq") < high) & plain).select("word")
+
+
+def placebo(corpus: DataFrame, baskets: DataFrame, base: Sequence[int] = (2018, 2021), recent: Sequence[int] = (2025, 2025)) -> DataFrame:
+    """(k, alpha): the recent excess, in points, of each basket (k, word) of the few thousand words that were drawn.
+
+    Documents are cut to those words before they are exploded; the word table, of as many rows as were drawn, is broadcast."""
+    of = corpus.withColumn("period", period(base, recent)).where("period IS NOT NULL")
+    totals = of.agg(*[F.count(F.when(F.col("period") == p, 1)).alias(p) for p in ("base", "recent")])
+    per_word = baskets.groupBy("word").agg(F.collect_set("k").alias("ks"))
+    words = of.select("base_id", "period", F.explode(F.array_distinct("toks")).alias("word")).join(F.broadcast(per_word), "word")
+    hits = words.select("base_id", "period", F.explode("ks").alias("k")).distinct().groupBy("k").agg(*[F.count(F.when(F.col("period") == p, 1)).alias(f"h_{p}") for p in ("base", "recent")])
+    every = baskets.select("k").distinct().join(hits, "k", "left").fillna(0).join(F.broadcast(totals))  # one row
+    return every.select("k", (100 * F.col("h_recent") / F.col("recent") - 100 * F.col("h_base") / F.col("base")).alias("alpha"))
+
+
+def tail(excess: DataFrame, low: float = 0.0005, ratio: float = 5.0) -> DataFrame:
+    """Words that were not rare in the base period and have risen by a factor."""
+    return excess.where((F.col("base_freq") > low) & (F.col("ratio") >= ratio))
+
+
+def tail_sets(excess: DataFrame, basket: Sequence[str] = lexicons.BASKET, instruments: Sequence[str] = lexicons.INSTRUMENTS, low: float = 0.0005, ratio: float = 5.0, top: int = 50) -> DataFrame:
+    """How the tail of risen words meets the two lists, and how the ``top`` of the ratio order does."""
+    risen = tail(excess, low, ratio).select("word")
+    first = excess.where(F.col("base_freq") > low).orderBy(F.desc("ratio"), "word").limit(top).select("word")
+    b, i = F.col("word").isin(*basket), F.col("word").isin(*instruments)
+    n = lambda c: F.count(F.when(c, 1))
+    a = risen.agg(F.count("*").alias("tail_size"), n(b).alias("basket_in_tail"), n(b | i).alias("listed_in_tail"), n(~(b | i)).alias("unlisted_in_tail"))
+    return a.join(F.broadcast(first.agg(n(b).alias("basket_in_top"), n(i).alias("instruments_in_top"))))  # one row
+
+
+def permutation_null(corpus: DataFrame, words: Sequence[str] = lexicons.PAIRED, n_perm: int = 300, below: float = 0.01, seed: int = 0) -> DataFrame:
+    """Whether words meet more often than subfields explain: n, n_subfields, the significant pairs observed, their mean, 95th percentile
+    and share of as many or more in permutations that deal each word's documents anew within each subfield.
+
+    A permutation gives a word to the first c documents of the subfield by a seeded hash, c being how many have it. Places
+    come from ``ranked``, so a subfield may hold any share of the rows."""
+    from .corpus import ranked, seeded
+
+    words = sorted(words)
+    rows = corpus.select("base_id", "subfield", F.array_intersect("toks", literals(words)).alias("own"))
+    held = rows.select("subfield", F.explode("own").alias("word")).groupBy("subfield", "word").agg(F.count("*").alias("c"))
+    observed = _pairs_of(patterns(corpus, words).withColumn("perm", F.lit(0)), words, "perm")
+    dealt = rows.select("base_id", "subfield", F.explode(F.sequence(F.lit(1), F.lit(n_perm))).alias("perm")).select("*", F.explode(literals(words)).alias("word"))
+    dealt = ranked(dealt.withColumn("h", seeded(seed, F.col("perm"), F.col("word"), F.col("base_id"))), ["perm", "subfield", "word"], ["h", "base_id"])
+    bit = F.element_at(F.create_map(*[F.lit(x) for k, w in enumerate(words) for x in (w, 1 << k)]), F.col("word")).cast("bigint")
+    given = dealt.join(F.broadcast(held), ["subfield", "word"]).where(F.col("rn") < F.col("c"))  # a row per subfield and word
+    masks = given.groupBy("perm", "base_id").agg(F.bit_or(bit).alias("mask")).groupBy("perm", "mask").agg(F.count("*").alias("c"))
+    docs = corpus.agg(F.count("*").alias("docs"), F.count_distinct("subfield").alias("n_subfields"))
+    null = _pairs_of(masks, words, "perm").drop("docs", "n1", "n2").join(F.broadcast(observed.select("w1", "w2", "n1", "n2", "docs")), ["w1", "w2"])
+    p = stats.poisson_tail(F.col("pairs"), F.col("expected"))
+    counted = with_lift(null.unionByName(observed)).groupBy("perm").agg(F.count(F.when(p < below, 1)).alias("sig"))
+    perms = corpus.sparkSession.range(0, n_perm + 1).select(F.col("id").cast("int").alias("perm")).join(counted, "perm", "left").fillna(0)
+    seen = F.max(F.when(F.col("perm") == 0, F.col("sig"))).over(Window.partitionBy())  # n_perm + 1 rows
+    out = perms.withColumn("observed", seen).where("perm > 0").agg(F.max("observed").alias("observed"), F.avg("sig").alias("null_mean"), F.percentile("sig", 0.95).alias("null_p95"), F.avg((F.col("sig") >= F.col("observed")).cast("double")).alias("p"))
+    return out.join(F.broadcast(docs)).select(F.col("docs").alias("n"), "n_subfields", F.lit(n_perm).alias("n_perm"), "observed", "null_mean", "null_p95", "p")

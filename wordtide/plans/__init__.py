@@ -1 +1,5 @@
-"""wordtide plans."""
+"""The registered queries: importing this package fills ``catalog.QUERIES`` and ``catalog.SQL``."""
+
+from . import catalog, extended
+
+__all__ = ["catalog", "extended"]

@@ -7,11 +7,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wordtide.functions import stats
 from wordtide.operators import audit, corpus, frequency
+from wordtide.sources.shared import materialise
 from wordtide.streaming import live
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -78,10 +79,10 @@ def docs_per_year(spark, sf):
     return frequency.docs_per(documents(spark, sf), "year")
 
 
-@query("SELECT CAST(year(o_orderdate) AS INTEGER) AS year, CAST(quarter(o_orderdate) AS INTEGER) AS quarter, count(*) AS n_docs FROM orders GROUP BY ALL")
+@query("SELECT CAST(year(o_orderdate) AS INTEGER) AS year, CAST(quarter(o_orderdate) AS INTEGER) AS quarter, year(o_orderdate) + (quarter(o_orderdate) - 1) / 4 AS yq, count(*) AS n_docs FROM orders GROUP BY ALL")
 def docs_per_quarter(spark, sf):
-    o = table(spark, sf, "orders")
-    return frequency.docs_per(o.select(F.year("o_orderdate").alias("year"), F.quarter("o_orderdate").alias("quarter")), "year", "quarter")
+    o, year, quarter = table(spark, sf, "orders"), F.year("o_orderdate"), F.quarter("o_orderdate")
+    return frequency.docs_per(o.select(year.alias("year"), quarter.alias("quarter"), corpus.yq(year, quarter).alias("yq")), "year", "quarter", "yq")
 
 
 @query(f"{C} SELECT year, word, count(*) AS n FROM (SELECT year, unnest(list_distinct(toks)) AS word FROM c) GROUP BY ALL")
@@ -122,7 +123,7 @@ def top_excess(spark, sf):
 @query(f"SELECT word, CAST(rk AS BIGINT) AS rk FROM (SELECT word, row_number() OVER (ORDER BY ratio DESC, word) AS rk FROM ({excess_sql(30, 3)})) WHERE word IN ({quoted(WORDS)})")
 def word_rank(spark, sf):
     """The rank of a listed word is one more than how many words come before it: no sort of all words in one task."""
-    e = excess_words(spark, sf).select("word", "ratio")
+    e = materialise(excess_words(spark, sf).select("word", "ratio"), "excess")
     listed = e.where(F.col("word").isin(WORDS)).select(F.col("word").alias("w"), F.col("ratio").alias("r"))
     before = (F.col("ratio") > F.col("r")) | ((F.col("ratio") == F.col("r")) & (F.col("word") < F.col("w")))
     return e.join(F.broadcast(listed)).groupBy("w").agg((F.sum(before.cast("bigint")) + 1).alias("rk")).withColumnRenamed("w", "word")
@@ -150,9 +151,10 @@ def basket_quarter(spark, sf):
     return frequency.basket_rate(documents(spark, sf), MARKERS, "year", "quarter")
 
 
-@query(basket_sql("year, quarter", MARKERS[:1]))
+@query(basket_sql("year, quarter", MARKERS[:3]))
 def single_word_rate(spark, sf):
-    return frequency.basket_rate(documents(spark, sf), MARKERS[:1], "year", "quarter")
+    """One word in its forms."""
+    return frequency.basket_rate(documents(spark, sf), MARKERS[:3], "year", "quarter")
 
 
 BASE_RATE = f"(SELECT sum(hit) / sum(total) FROM r WHERE year BETWEEN {BASE[0]} AND {BASE[1]})"
@@ -267,20 +269,15 @@ def index_to_base(spark, sf):
     return y.join(F.broadcast(base)).select("year", F.round(100 * F.col("rate") / F.col("b"), 6).alias("idx"))
 
 
-@query()
-def step_test(spark, sf):
-    q = basket_quarter(spark, sf).select((F.col("year") + (F.col("quarter") - 1) / 4).alias("x"), "rate")
-    return stats.step_test(q, "x", "rate", 2022.75)
-
-
 # Word pairs
 
 BI = "list_transform(range(1, greatest(len(toks), 1)), lambda i: toks[i] || ' ' || toks[i + 1])"
 
 
-@query(watch_sql("year", PHRASES, BI))
+@query(f"SELECT word, year, n, total, round(100 * freq, 9) AS pct FROM ({watch_sql('year', PHRASES, BI)})")
 def bigram_watch(spark, sf):
-    return frequency.watch(documents(spark, sf).withColumn("pairs", frequency.bigrams(F.col("toks"))), PHRASES, "year", units=F.col("pairs"))
+    w = frequency.watch(documents(spark, sf).withColumn("pairs", frequency.bigrams(F.col("toks"))), PHRASES, "year", units=F.col("pairs"))
+    return w.select("word", "year", "n", "total", r9(100 * F.col("freq")).alias("pct"))
 
 
 @query(excess_sql(25, 0, BI))
@@ -288,28 +285,38 @@ def bigram_excess(spark, sf):
     return frequency.excess_units(documents(spark, sf), BASE, RECENT, 25, units=frequency.bigrams(F.col("toks")))
 
 
-@query(f"{C} SELECT word, count(*) AS n FROM (SELECT unnest(list_distinct(toks)) AS word FROM c) WHERE word IN ({quoted(WORDS)}) GROUP BY word")
+RECENT_ONLY = f"{C}, rc AS (SELECT * FROM c WHERE year BETWEEN {RECENT[0]} AND {RECENT[1]})"
+
+
+def recent(spark, sf):
+    return documents(spark, sf).where(F.col("year").between(*RECENT))
+
+
+@query(f"{RECENT_ONLY} SELECT word, count(*) AS n FROM (SELECT unnest(list_distinct(toks)) AS word FROM rc) WHERE word IN ({quoted(WORDS)}) GROUP BY word")
 def marker_singles(spark, sf):
-    return frequency.document_frequency(documents(spark, sf), among=WORDS)
+    return frequency.document_frequency(recent(spark, sf), among=WORDS)
 
 
-PAIRS = f"{C}, s AS (SELECT base_id, unnest(list_distinct(toks)) AS w FROM c), m AS (SELECT * FROM s WHERE w IN ({quoted(WORDS)})), n AS (SELECT w, count(*) AS n FROM m GROUP BY w), k AS (SELECT a.w AS w1, b.w AS w2, count(*) AS pairs FROM m a JOIN m b ON a.base_id = b.base_id AND a.w < b.w GROUP BY ALL), d AS (SELECT count(*) AS docs FROM c)"
+PAIRS = f"{RECENT_ONLY}, s AS (SELECT base_id, unnest(list_distinct(toks)) AS w FROM rc), m AS (SELECT * FROM s WHERE w IN ({quoted(WORDS)})), n AS (SELECT w, count(*) AS n FROM m GROUP BY w), k AS (SELECT a.w AS w1, b.w AS w2, count(*) AS pairs FROM m a JOIN m b ON a.base_id = b.base_id AND a.w < b.w GROUP BY ALL), d AS (SELECT count(*) AS docs FROM rc)"
+EVERY = f"l AS (SELECT unnest([{quoted(WORDS)}]) AS w), p AS (SELECT a.w AS w1, b.w AS w2, coalesce(k.pairs, 0) AS pairs, coalesce(n1.n, 0) AS n1, coalesce(n2.n, 0) AS n2, docs FROM l a JOIN l b ON a.w < b.w CROSS JOIN d LEFT JOIN k ON k.w1 = a.w AND k.w2 = b.w LEFT JOIN n n1 ON n1.w = a.w LEFT JOIN n n2 ON n2.w = b.w), e AS (SELECT *, n1 * n2 / docs AS expected FROM p)"
 
 
 @query(f"{PAIRS} SELECT * FROM k")
 def marker_pairs(spark, sf):
-    return frequency.pair_counts(documents(spark, sf), WORDS)
+    return frequency.pair_counts(recent(spark, sf), WORDS)
 
 
-@query(f"{PAIRS} SELECT k.w1, k.w2, pairs, n1.n AS n1, n2.n AS n2, docs, round(n1.n * n2.n / docs, 9) AS expected, round(pairs / (n1.n * n2.n / docs), 9) AS lift FROM k JOIN n n1 ON n1.w = w1 JOIN n n2 ON n2.w = w2, d")
+@query(f"{PAIRS}, {EVERY} SELECT w1, w2, pairs, n1, n2, docs, round(expected, 9) AS expected, CASE WHEN expected > 0 THEN round(pairs / expected, 9) END AS lift FROM e")
 def lift(spark, sf):
-    return frequency.lift(documents(spark, sf), WORDS).withColumns({"expected": r9("expected"), "lift": r9("lift")})
+    return frequency.lift(recent(spark, sf), WORDS).withColumns({"expected": r9("expected"), "lift": r9("lift")})
 
 
-@query()
+POISSON = "CASE WHEN pairs <= 0 THEN 1.0 ELSE greatest(0.0, 1 - list_sum(list_transform(range(0, pairs), lambda j: exp(j * ln(expected) - expected - lgamma(j + 1))))) END"
+
+
+@query(f"{PAIRS}, {EVERY}, z AS (SELECT *, {POISSON} AS p FROM e) SELECT w1, w2, pairs, round(expected, 9) AS expected, round(p, 7) AS p, p < 0.01 AS significant FROM z")
 def significant_pairs(spark, sf):
-    l = frequency.lift(documents(spark, sf), MARKERS)  # noqa: E741
-    return l.withColumn("p", stats.poisson_tail(F.col("pairs"), F.col("expected"))).where("p < 0.01").select("w1", "w2", "pairs", "expected", "p")
+    return frequency.significant_pairs(recent(spark, sf), WORDS).select("w1", "w2", "pairs", r9("expected").alias("expected"), F.round("p", 7).alias("p"), "significant")
 
 
 # Tone and length
@@ -323,10 +330,14 @@ def tone_year(spark, sf):
     return t.withColumns({c: r9(c) for c in t.columns if c.startswith("h")})
 
 
-@query(f"{TONE} SELECT round(avg(hype_per1k) FILTER (year BETWEEN 2015 AND 2021), 6) AS pre, round(avg(hype_per1k) FILTER (year BETWEEN 2023 AND 2025), 6) AS post FROM y")
+TONE_CHANGE = ", ".join(f"round(avg({c}) FILTER (year BETWEEN 2015 AND 2021), 6) AS {c}_pre, round(avg({c}) FILTER (year BETWEEN 2023 AND 2025), 6) AS {c}_post, round(100 * (avg({c}) FILTER (year BETWEEN 2023 AND 2025) / avg({c}) FILTER (year BETWEEN 2015 AND 2021) - 1), 4) AS {c}_change" for c in ("hype_per1k", "hedge_per1k"))
+
+
+@query(f"{TONE} SELECT {TONE_CHANGE} FROM y")
 def tone_pre_post(spark, sf):
-    of = lambda a, b: F.round(F.avg(F.when(F.col("year").between(a, b), F.col("hype_per1k"))), 6)
-    return tone_year(spark, sf).agg(of(2015, 2021).alias("pre"), of(2023, 2025).alias("post"))
+    out = [c for k in ("hype_per1k", "hedge_per1k") for c in frequency.tone_change(tone_year(spark, sf), k)]
+    t = tone_year(spark, sf).agg(*out)
+    return t.withColumns({c: F.round(c, 4 if c.endswith("change") else 6) for c in t.columns})
 
 
 @query(f"{C} SELECT year, round(avg(len(toks)), 6) AS mean_tokens FROM c GROUP BY year")
@@ -334,24 +345,6 @@ def length_by_year(spark, sf):
     return documents(spark, sf).groupBy("year").agg(F.round(F.avg(F.size("toks")), 6).alias("mean_tokens"))
 
 
-# Trajectories
-
-SERIES = f"s AS ({watch_sql('year, quarter', MARKERS).replace(C + ',', f'{C},')})"
-
-
-@query(f"WITH {SERIES}, o AS (SELECT *, year * 4 + quarter AS q, row_number() OVER (PARTITION BY word ORDER BY year * 4 + quarter DESC) AS back FROM s) SELECT word, arg_max(year || 'Q' || quarter, (freq, -q)) AS peak_q, max(freq) AS peak_val, round(avg(freq) FILTER (back <= 4), 9) AS recent FROM o GROUP BY word")
-def word_peak(spark, sf):
-    s = frequency.watch(documents(spark, sf), MARKERS, "year", "quarter").withColumn("q", F.col("year") * 4 + F.col("quarter"))
-    s = s.withColumn("back", F.row_number().over(Window.partitionBy("word").orderBy(F.desc("q"))))  # a row per word and quarter
-    return s.groupBy("word").agg(F.max_by(F.concat("year", F.lit("Q"), "quarter"), F.struct("freq", -F.col("q"))).alias("peak_q"), F.max("freq").alias("peak_val"), r9(F.avg(F.when(F.col("back") <= 4, F.col("freq")))).alias("recent"))
-
-
-@query(f"WITH {SERIES} SELECT year, quarter, round(sum(n) FILTER (word IN ('tion', 'thon')) / any_value(total), 9) AS early, round(sum(n) FILTER (word NOT IN ('tion', 'thon')) / any_value(total), 9) AS late FROM s GROUP BY ALL")
-def cluster_series(spark, sf):
-    s, early = frequency.watch(documents(spark, sf), MARKERS, "year", "quarter"), F.col("word").isin("tion", "thon")
-    return s.groupBy("year", "quarter").agg(r9(F.sum(F.when(early, F.col("n"))) / F.max("total")).alias("early"), r9(F.sum(F.when(~early, F.col("n"))) / F.max("total")).alias("late"))
-
-
 # Audits
 
 
@@ -366,20 +359,6 @@ def pattern_scan(spark, sf):
     return audit.pattern_hits(table(spark, sf, "pages"), "page_id", "html", PATTERNS).drop("snippet")
 
 
-@query("WITH s AS (SELECT 2015 + page_id % 12 AS year, regexp_matches(html, '(?i)<script|cookie') AS a, regexp_matches(html, '(?i)<title>|href=|copyright') AS b FROM pages) SELECT year, count(*) AS scanned, count(*) FILTER (a) AS tier1, count(*) FILTER (b) AS tier2, round(count(*) FILTER (a) * 100.0 / count(*), 9) AS tier1_pct FROM s GROUP BY year")
-def scan_by_year(spark, sf):
-    has = lambda tier: F.sum(F.coalesce(F.col("html").rlike("(?i)" + "|".join(p for t, p in PATTERNS if t == tier)), F.lit(False)).cast("bigint"))
-    s = table(spark, sf, "pages").withColumn("year", 2015 + F.col("page_id") % 12)
-    s = s.groupBy("year").agg(F.count("*").alias("scanned"), has(1).alias("tier1"), has(2).alias("tier2"))
-    return s.withColumn("tier1_pct", r9(F.col("tier1") * 100.0 / F.col("scanned")))
-
-
-@query("SELECT page_id, regexp_extract(url, '(\\d+)$', 1) AS id FROM pages WHERE regexp_matches(url, '\\d+$')")
-def id_extract(spark, sf):
-    p = table(spark, sf, "pages").where(F.col("url").rlike(r"\d+$"))
-    return p.select("page_id", F.regexp_extract("url", r"(\d+)$", 1).alias("id"))
-
-
 @query("SELECT DISTINCT b.text FROM benchmark b ANTI JOIN documents d ON b.text = d.text")
 def missing_refs(spark, sf):
     return audit.missing(table(spark, sf, "benchmark"), table(spark, sf, "documents"), "text")
@@ -428,6 +407,12 @@ def adoption_vs_disclosure(spark, sf):
     return yearly(spark, sf).select("year", "rate").join(disclosure_year(spark, sf).select("year", (F.col("ack") / F.col("total")).alias("disclosed")), "year")
 
 
+def disclosure_sql(more: str = "") -> str:
+    """Texts with a marker in their last line (ack) or anywhere (full), per year."""
+    has = lambda c: "(" + " OR ".join(f"regexp_matches({c}, '(?i)(^|\\W){t}($|\\W)')" for t in MARKERS) + ")"
+    return f"SELECT year, count(*) AS total, count(*) FILTER ({has('ack')}) AS ack, count(*) FILTER ({has('body')}) AS \"full\"{', ' + more if more else ''} FROM (SELECT 2015 + doc_id % 12 AS year, string_split(text, chr(10))[-1] AS ack, text AS body FROM documents) GROUP BY year"
+
+
 # Duplicates and samples
 
 VERSIONS = "SELECT doc_id // 2 AS base, doc_id AS seq, lang FROM documents"

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 
 def counts(stream: DataFrame, at: str, key: str, width: str = "1 day", late: str = "1 hour", *groups: str) -> DataFrame:
@@ -11,3 +12,24 @@ def counts(stream: DataFrame, at: str, key: str, width: str = "1 day", late: str
     unique = stream.withWatermark(at, late)
     unique = unique.dropDuplicatesWithinWatermark([key]) if stream.isStreaming else unique.dropDuplicates([key])
     return unique.groupBy(F.window(at, width).alias("w"), *groups).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), *groups, "n")
+
+
+def first_versions(stream: DataFrame, at: str, key: str, late: str = "1 hour") -> DataFrame:
+    """The first row of each key: what a later row repeats within the watermark does not come through again."""
+    return stream.withWatermark(at, late).dropDuplicatesWithinWatermark([key])
+
+
+def run_now(frame: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Takes in what there is, appends the results to Parquet and ends; the checkpoint lets a later run go on from there."""
+    query = frame.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return query
+
+
+def counts_from_stream(spark: SparkSession, source: str, schema: str, root: str, at: str, key: str, width: str, *groups: str, late: str = "1 hour") -> DataFrame:
+    """``counts`` of Parquet files that are read as a stream: first versions are stored as they come, windows are counted over what is stored."""
+    stream = spark.readStream.schema(schema).parquet(source)
+    stream = stream.withColumn(at, F.col(at).cast("timestamp"))
+    run_now(first_versions(stream, at, key, late), f"{root}/first", f"{root}/checkpoint")
+    stored = spark.read.schema(stream.schema).parquet(f"{root}/first")
+    return stored.groupBy(F.window(at, width).alias("w"), *groups).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), *groups, "n")
