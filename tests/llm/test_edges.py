@@ -1,9 +1,12 @@
-"""Nulls, empty and long texts, repeated rows, empty tables and extra columns with clashing names."""
+"""Nulls, empty and long texts, repeated rows, ties, empty tables and extra columns with clashing names: the results that the docstrings define."""
+
+import hashlib
 
 import pytest
 from pyspark.sql import functions as F
 
 from wordtide.llm import classifier, decontamination, licenses, linejoin, minhash, mixing, mjpeg, sharding, substring
+from wordtide.llm.queries import SHARDS
 
 SCHEMA = "doc_id bigint, text string, id bigint, key string, n bigint, component string"
 LONG = "word " * 60_000
@@ -42,6 +45,83 @@ def test_row_per_document(spark, name):
     assert run(frame(spark, [])).count() == 0
 
 
+def values(spark, name, *columns):
+    """{doc_id: the distinct values of the columns}, and how many rows each doc_id has."""
+    rows = operators(spark)[name](frame(spark, ROWS)).collect()
+    assert sorted(str(r["doc_id"]) for r in rows) == sorted(str(r[0]) for r in ROWS)
+    out = {}
+    for r in rows:
+        out.setdefault(r["doc_id"], set()).add(tuple(tuple(r[c]) if isinstance(r[c], list) else r[c] for c in columns))
+    assert all(len(v) == 1 for v in out.values())  # repeated rows have equal results
+    return {k: v.pop() for k, v in out.items()}
+
+
+def test_decontamination_values(spark):
+    found = values(spark, "decontamination", "n_words", "n_hit", "n_items", "contaminated", "items")
+    none = (0, 0, 0, False, ())
+    assert found == {1: (10, 10, 1, True, ("1",)), 2: none, 3: none, 5: none, None: (2, 2, 1, True, ("null",)), 4: (60_000, 0, 0, False, ()), 6: (4, 0, 0, False, ())}
+
+
+def test_media_values(spark):
+    found = values(spark, "media", "n_bytes", "payload_bytes", "payload_sha256")
+    for doc_id, text in ROWS:
+        body = (text or "").encode()
+        payload = body + b"\xff" * (max(1, -(-len(body) // 576)) * 576 - len(body))
+        assert found[doc_id] == (len(body), len(payload), hashlib.sha256(payload).hexdigest())
+
+
+def test_licence_values(spark):
+    found = values(spark, "licenses", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels")
+    assert found[6] == (4, 2, 0, 2, "mit", "mit") and found[2] == found[3] == found[5] == (0, 0, None, None, "", "") and found[4][:2] == (60_000, 0)
+
+
+def test_minhash_values(spark):
+    found = values(spark, "minhash", "n_shingles", "component_id", "kept")
+    assert found == {1: (6, 1, True), 2: (0, 2, True), 3: (0, 3, True), 4: (1, 4, True), 5: (0, 5, True), 6: (1, 6, True), None: (1, None, None)}
+
+
+def test_substring_values(spark):
+    found = values(spark, "substring", "text", "n_removed", "n_passages")
+    assert found == {r[0]: (r[1], 0, 0) for r in ROWS} | {6: ("MIT License", 1, 0)}
+
+
+def test_line_values(spark):
+    found = values(spark, "lines", "n_lines", "n_links", "n_removed")
+    assert found == {1: (1, 0, 0), 2: (0, 0, 0), 3: (0, 0, 0), 4: (1, 0, 0), 5: (0, 0, 0), 6: (2, 0, 1), None: (1, 0, 0)}
+
+
+def test_quality_values(spark):
+    found = values(spark, "quality", "held_out", "score", "predicted")
+    assert found[2][1] == found[3][1] == found[5][1] and all(0 <= s <= 1 and p == (s >= 0.3) for _, s, p in found.values())
+    one = classifier.quality(frame(spark, ROWS), spark.createDataFrame([], "doc_id bigint, quality int")).collect()
+    assert {r["score"] for r in one} == {0.5}
+
+
+def test_mixing_values(spark):
+    found = values(spark, "mixing", "__n_words", "rate", "__probabilities")
+    assert {k: v[0] for k, v in found.items()} == {r[0]: len((r[1] or "").split()) for r in ROWS} and all(v[1] >= 0 for v in found.values())
+    assert found[2][1:] == found[3][1:] == found[5][1:]
+
+
+def test_sharding_values(spark):
+    found = values(spark, "sharding", "slot", "shard")
+    owners = sharding.fill_table(["s1", "s2"], 101)
+    assert all(shard == owners[slot] for slot, shard in found.values()) and found[None][0] == int(hashlib.md5(b"\x00null").hexdigest()[:15], 16) % 101
+    table = sharding.fill_table(SHARDS, 10_007)
+    counts = [table.count(k) for k in range(len(SHARDS))]
+    assert max(counts) - min(counts) <= 1
+    fewer = sharding.fill_table(SHARDS[:-1], 10_007)
+    moved = sum(a != b for a, b in zip(table, fewer, strict=True) if a != len(SHARDS) - 1)
+    assert moved < 0.1 * len(table)
+
+
+def test_ties_go_to_the_smaller_id(spark):
+    docs = spark.createDataFrame([(k, "the same line of words here", 1) for k in (9, 4, 7)], "doc_id bigint, text string, rank int")
+    assert {r["doc_id"] for r in substring.repeats(docs, rank="rank").collect()} == {7, 9}
+    assert {r["doc_id"] for r in linejoin.line_dedup(docs).where("n_removed > 0").collect()} == {7, 9}
+    assert {r["component_id"] for r in minhash.components(docs).collect()} == {4}
+
+
 def test_keep_one(spark):
     rows = minhash.keep_one(frame(spark, ROWS)).select("doc_id").collect()
     assert sorted(str(r[0]) for r in rows) == ["1", "2", "3", "4", "5", "6", "None"]

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import give_back, trimmed
+from .storage import give_back, packed, trimmed
 
 BUCKETS = 1 << 18
 DIM = 12
@@ -231,5 +231,9 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataF
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """The rows of ``docs`` that score ``threshold`` or more, with their columns."""
-    return quality_model(docs, labels).score(docs).where(F.col("__probabilities")[1] >= threshold).select(*docs.columns)
+    """The rows of ``docs`` that score ``threshold`` or more, with their columns.
+
+    Null and empty texts have the score of the bias and go or stay by it; repeated rows share their fate; without labels all
+    scores are 0.5; extra columns pass through, whatever their names."""
+    safe, restore = packed(docs, "doc_id", "text")
+    return restore(quality_model(safe, labels).score(safe).where(F.col("__probabilities")[1] >= threshold))

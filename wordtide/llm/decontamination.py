@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import materialise, save, trimmed
+from .storage import materialise, packed, save, trimmed
 
 WINDOW = 10
 #: Words that a near stretch may have beyond its window.
@@ -313,6 +313,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``docs`` without the rows in which a window occurs: a row is known by its doc_id and a hash of its text."""
-    bad = contamination(docs, benchmark, window).where("contaminated").select(F.col("doc_id").alias("__bad"), F.col("mark").alias("__mark")).distinct()
-    return docs.join(bad, docs["doc_id"].cast("bigint").eqNullSafe(bad["__bad"]) & (F.xxhash64(docs["text"].cast("string")) == bad["__mark"]), "left_anti")
+    """``docs`` without the rows in which a window occurs: a row is known by its doc_id and a hash of its text.
+
+    Null and empty texts stay; repeated rows share their fate; extra columns pass through, whatever their names."""
+    safe, restore = packed(docs, "doc_id", "text")
+    bad = contamination(docs.select("doc_id", "text"), benchmark, window).where("contaminated").select(F.col("doc_id").alias("bad_id"), F.col("mark").alias("bad_mark")).distinct()
+    return restore(safe.join(bad, safe["doc_id"].cast("bigint").eqNullSafe(bad["bad_id"]) & (F.xxhash64(safe["text"].cast("string")) == bad["bad_mark"]), "left_anti"))

@@ -150,13 +150,12 @@ def _slices(texts: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
 
 
 class Sets(NamedTuple):
-    """The lines of at least ``min_tokens`` words: which they are, their digests, sizes and parity bitmaps."""
+    """The lines of at least ``min_tokens`` words: which they are, their digests and sizes."""
 
     kept: np.ndarray
     i1: np.ndarray
     i2: np.ndarray
     size: np.ndarray
-    parity: np.ndarray
 
 
 def sets_of(lines: Lines, order: np.ndarray, min_tokens: int) -> tuple[Sets, np.ndarray]:
@@ -167,11 +166,23 @@ def sets_of(lines: Lines, order: np.ndarray, min_tokens: int) -> tuple[Sets, np.
     starts = np.concatenate([[0], np.cumsum(size)])[:-1].astype(np.int64)
     if not n:
         none = np.empty(0, np.int64)
-        return Sets(none, none, none, none, none), line
+        return Sets(none, none, none, none), line
     i1 = _mixed(np.add.reduceat(_mixed(word ^ np.uint64(0x243F6A8885A308D3)), starts) + size.astype(np.uint64))
     i2 = _mixed(np.add.reduceat(_mixed(word ^ np.uint64(0xA4093822299F31D0)), starts) ^ size.astype(np.uint64))
-    parity = np.bitwise_xor.reduceat(np.uint64(1) << (word >> np.uint64(58)), starts)
-    return Sets(np.flatnonzero(size >= min_tokens), i1.view(np.int64), i2.view(np.int64), size, parity.view(np.int64)), line
+    return Sets(np.flatnonzero(size >= min_tokens), i1.view(np.int64), i2.view(np.int64), size), line
+
+
+def widths(size: np.ndarray) -> np.ndarray:
+    """Longs of the parity bitmaps of sets of these sizes. Sets that may match differ by a factor of two at most."""
+    return np.where(size <= 96, 2, np.where(size <= 192, 4, 8))
+
+
+def parities(word: np.ndarray, line: np.ndarray, width: np.ndarray) -> np.ndarray:
+    """The bitmaps of all lines, one after the other: which hash values, modulo their bits, occur an odd number of times. Half the bits of a
+    bitmap are its two halves, xored."""
+    first = 64 * np.concatenate([[0], np.cumsum(width)])
+    at = first[line] + ((word >> np.uint64(55)).astype(np.int64) & (64 * width[line] - 1))
+    return np.packbits((np.bincount(at, minlength=int(first[-1])) & 1).astype(np.uint8), bitorder="little").view(np.int64)
 
 
 LINE = "struct<line:int,start:int,stop:int,i1:bigint,i2:bigint>"
@@ -256,11 +267,13 @@ def needed_prefix(sizes: np.ndarray) -> np.ndarray:
     return sizes - (NUMERATOR * sizes + DENOMINATOR - 1) // DENOMINATOR + 1
 
 
-PREFIX = "word bigint, i1 bigint, parity bigint, place int"
+#: key: 40 bits of the word, 15 of the size, 8 of i1, so that one sort of longs serves; p0, p1: the bitmap, folded to 128 bits; wide: the whole
+#: bitmap where it is larger; at: the word's position.
+PREFIX = "key bigint, i1 bigint, p0 bigint, p1 bigint, at int, wide binary"
 
 
 def _prefixes(order, min_tokens: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(word, i1, parity, size and position in one number) of the words of the prefixes that another line can hold."""
+    """Rows ``PREFIX`` of the words of the prefixes that another line can hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks, single, hot, blocks = Order(*order.value)
@@ -284,21 +297,31 @@ def _prefixes(order, min_tokens: int) -> Callable[[Iterator[pa.RecordBatch]], It
                 place = np.arange(len(line)) - np.concatenate([[0], np.cumsum(sets.size)])[:-1][line]
                 # A word that stands in one line only matches nothing; sets of one or two words match equal sets only, which are one class.
                 keep = new[line] & (place < needed_prefix(sets.size)[line]) & (rank[chosen] >= single)
-                of, at = line[keep], place[keep]
-                both = (np.minimum(sets.size[of], MOST) << 16) | np.minimum(at, MOST)
-                word, i1, both = lines.word[chosen][keep], sets.i1[of], both.astype(np.int32)
+                of, at = line[keep], np.minimum(place[keep], MOST).astype(np.int32)
+                word, i1 = lines.word[chosen][keep], sets.i1[of]
                 slot = np.searchsorted(hot, (word & np.uint64(TABLE - 1)).astype(np.int64))
                 is_hot = np.zeros(len(word), bool)
                 is_hot[slot < len(hot)] = hot[slot[slot < len(hot)]] == (word[slot < len(hot)] & np.uint64(TABLE - 1)).astype(np.int64)
-                n = np.ones(len(word), np.int64)
-                n[is_hot] = blocks[slot[is_hot]]
-                # A row of a hot word goes to the pairs of its block with every block.
-                row = np.repeat(np.arange(len(word)), n)
-                other = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-                own = ((i1.view(np.uint64) >> np.uint64(20)) % n.astype(np.uint64)).astype(np.int64)[row]
-                pair = (np.minimum(own, other) << 20 | np.maximum(own, other)).astype(np.uint64)
-                key = ((word[row] ^ _mixed(pair)) >> np.uint64(24)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(i1[row]), pa.array(sets.parity[of][row]), pa.array(both[row])], names=[x.split()[0] for x in PREFIX.split(", ")])
+                key = word ^ _mixed(np.zeros(1, np.uint64))
+                if is_hot.any():  # a row of a hot word goes to the pairs of its block with every block
+                    n = np.ones(len(word), np.int64)
+                    n[is_hot] = blocks[slot[is_hot]]
+                    row = np.repeat(np.arange(len(word)), n)
+                    other = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+                    own = ((i1.view(np.uint64) >> np.uint64(20)) % n.astype(np.uint64)).astype(np.int64)[row]
+                    pair = (np.minimum(own, other) << 20 | np.maximum(own, other)).astype(np.uint64)
+                    key, i1, at, of = word[row] ^ _mixed(pair), i1[row], at[row], of[row]
+                size = np.minimum(sets.size, MOST).astype(np.uint64)[of]
+                key = (key >> np.uint64(24)) << np.uint64(23) | size << np.uint64(8) | i1.view(np.uint64) & np.uint64(255)
+                width = widths(sets.size)
+                bitmaps, begins = parities(lines.word[chosen], line, width), np.concatenate([[0], np.cumsum(width)])
+                p0, p1 = (np.bitwise_xor.reduceat(bitmaps[k::2], begins[:-1] >> 1)[of] for k in (0, 1))
+                wide = np.flatnonzero(width > 2)
+                longs = dict(zip(wide.tolist(), (bitmaps[begins[k] : begins[k + 1]].tobytes() for k in wide), strict=True))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(key.view(np.int64)), pa.array(i1), pa.array(p0), pa.array(p1), pa.array(at), pa.array(list(map(longs.get, of.tolist())) if longs else [None] * len(of), pa.binary())],
+                    names=[x.split()[0] for x in PREFIX.split(", ")],
+                )
 
     return run
 
@@ -326,10 +349,11 @@ def _merge(root: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
         np.minimum.at(root, np.maximum(a, b)[apart], np.minimum(a, b)[apart])
 
 
-def forest(word: np.ndarray, i1: np.ndarray, parity: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (a, b) of a spanning forest of the candidates among rows in the order of word and place (so of size)."""
-    size, at = (place >> 16).astype(np.int64), (place & 0xFFFF).astype(np.int64)
+def forest(word: np.ndarray, size: np.ndarray, at: np.ndarray, bits: np.ndarray, wide: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (x, y) of a spanning forest of the candidates among rows in the order of word and size. ``bits``: the bitmaps, folded to two
+    longs; ``wide``: rows of four and of eight longs, zeros for the rows whose bitmap has fewer."""
     root = np.arange(len(word))
+    widest = np.where(wide[8].any(axis=1), 8, np.where(wide[4].any(axis=1), 4, 2))
     act, k = root.copy(), 0
     while True:
         k += 1
@@ -341,42 +365,65 @@ def forest(word: np.ndarray, i1: np.ndarray, parity: np.ndarray, place: np.ndarr
         x, y = act, act + k
         both = size[x] + size[y]
         needed = _least_overlap(both)
-        ok = np.minimum(size[x] - at[x], size[y] - at[y]) >= needed
-        ok &= both - np.bitwise_count(parity[x] ^ parity[y]) >= 2 * needed
+        most = both - 2 * needed  # words in which they may differ
+        ok = (np.minimum(size[x] - at[x], size[y] - at[y]) >= needed) & (np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64) <= most)
         ok |= size[y] >= MOST
-        _merge(root, x[ok], y[ok])
+        x, y, most = x[ok], y[ok], most[ok]
+        common = np.minimum(widest[x], widest[y])
+        for w in (4, 8):
+            of = common >= w
+            if of.any():
+                ok = ~of
+                ok[of] = (np.bitwise_count(wide[w][x[of]] ^ wide[w][y[of]]).sum(axis=1, dtype=np.int64) <= most[of]) | (size[y[of]] >= MOST)
+                x, y, most, common = x[ok], y[ok], most[ok], common[ok]
+        _merge(root, x, y)
     _top(root, np.arange(len(word)))
     hung = np.flatnonzero(root != np.arange(len(word)))
-    a, b = i1[hung], i1[root[hung]]
-    return a[a != b], b[a != b]
+    return hung, root[hung]
+
+
+def _wide(column: pa.Array) -> dict[int, np.ndarray]:
+    """The bitmaps of more than two longs, in eight and in four longs; zeros where there are fewer."""
+    out = {8: np.zeros((len(column), 8), np.uint64), 4: np.zeros((len(column), 4), np.uint64)}
+    length = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    for w in (4, 8):
+        own = np.flatnonzero(length == 8 * w)
+        if len(own):
+            out[w][own] = np.frombuffer(b"".join(column.take(pa.array(own)).to_pylist()), np.uint64).reshape(-1, w)
+    eight = out[8].any(axis=1)
+    out[4][eight] = out[8][eight, :4] ^ out[8][eight, 4:]
+    return out
 
 
 def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges from rows that are sorted by word and place. The rows of a word are kept until the next word comes."""
-    kept: list[list[np.ndarray]] = []
-
-    def edges(parts: list[list[np.ndarray]]) -> pa.RecordBatch:
-        word, i1, parity, place = (np.concatenate(x) for x in zip(*parts, strict=True))
-        new = np.ones(len(word), bool)  # several tasks may have sent a class
-        new[1:] = (word[1:] != word[:-1]) | (place[1:] != place[:-1]) | (i1[1:] != i1[:-1])
-        a, b = forest(word[new], i1[new], parity[new].view(np.uint64), place[new])
-        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+    """Edges from rows that are sorted by key. The rows of a word are kept until the next word comes."""
+    kept: list[pa.RecordBatch] = []
+
+    def edges(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+        key, i1 = (rows.column(k).to_numpy() for k in (0, 1))
+        new = np.ones(len(key), bool)  # several tasks may have sent a class
+        new[1:] = (key[1:] != key[:-1]) | (i1[1:] != i1[:-1])
+        rows = rows.filter(pa.array(new))
+        key, i1, p0, p1, at = (rows.column(k).to_numpy() for k in range(5))
+        x, y = forest(key >> 23, (key >> 8) & MOST, at.astype(np.int64), np.stack([p0, p1], axis=1).view(np.uint64), _wide(rows.column(5)))
+        a, b = i1[x], i1[y]
+        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)])[:, a != b], axis=1)
         return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        columns = [c.to_numpy() for c in batch.columns]
-        word = columns[0]
+        word = batch.column(0).to_numpy() >> 23
         other = np.flatnonzero(word != word[-1])
         last = int(other[-1]) + 1 if len(other) else 0
-        if last or (kept and kept[-1][0][-1] != word[0]):
-            done = [*kept, [c[:last] for c in columns]]
-            if sum(len(k[0]) for k in done) >= _PART:
+        if last or (kept and kept[-1].column(0)[-1].as_py() >> 23 != word[0]):
+            done = [*kept, batch.slice(0, last)]
+            if sum(k.num_rows for k in done) >= _PART:
                 yield edges(done)
-                kept = [[c[last:] for c in columns]]
+                kept = [batch.slice(last)]
                 continue
-        kept.append(columns)
+        kept.append(batch)
     if kept:
         yield edges(kept)
 
@@ -548,7 +595,7 @@ def matches(docs: DataFrame, min_tokens: int = MIN_TOKENS, block_rows: int = BLO
     described, _ = save(texts.mapInArrow(trimmed(_describe(min_tokens)), DESCRIBED), "described")
     order = context.broadcast(tuple(rarity(described, block_rows)))
     prefixes = texts.select("text").mapInArrow(trimmed(_prefixes(order, min_tokens)), PREFIX)
-    edges = prefixes.repartition("word").sortWithinPartitions("word", "place", "i1").mapInArrow(trimmed(_forests), "a bigint, b bigint")
+    edges = prefixes.repartition(F.shiftright("key", 23)).sortWithinPartitions("key").mapInArrow(trimmed(_forests), "a bigint, b bigint")
     edges, of_edges = save(edges, "edges")
     order.destroy()
     clear(spark)

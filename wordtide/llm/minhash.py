@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .storage import clear, drop, save, trimmed
+from .storage import clear, drop, packed, save, trimmed
 
 SHINGLE = 5
 PERMUTATIONS = 64
@@ -309,7 +309,10 @@ def _across_components(rows: DataFrame, signed: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of its component, one row (the least) per doc_id; rows of null doc_id stay."""
-    kept = components(docs).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    rows = docs.join(kept, docs["doc_id"] == kept["__kept"], "left_semi").groupBy(F.col("doc_id").alias("__id")).agg(F.min(F.struct(*docs.columns)).alias("__row")).select("__row.*")
-    return rows.unionByName(docs.where("doc_id IS NULL"))
+    """The rows of ``docs`` whose doc_id is the smallest of its component, one row (the least) per doc_id; rows of null doc_id stay.
+
+    An empty table stays empty; extra columns pass through, whatever their names."""
+    safe, restore = packed(docs, "doc_id", "text")
+    kept = components(docs.select("doc_id", "text")).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    rows = safe.join(kept, safe["doc_id"] == kept["kept_id"], "left_semi").groupBy(F.col("doc_id").alias("id")).agg(F.min(F.struct(*safe.columns)).alias("row")).select("row.*")
+    return restore(rows.unionByName(safe.where("doc_id IS NULL")))

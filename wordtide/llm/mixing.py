@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .classifier import Classifier
-from .storage import save
+from .storage import packed, save
 
 #: Bound of the labelled sample that the classifier is fitted on.
 MAX_DOCS = 3000
@@ -150,11 +150,25 @@ def copies(rate: Column, key: Column, seed: int = 17) -> Column:
     return F.floor(rate + u).cast("int")
 
 
-def resample(docs: DataFrame, labelled: DataFrame, weights: Mapping[str, float], key: str = "doc_id") -> DataFrame:
-    """``docs`` with every row taken as often as its rate says."""
-    mixed = mix(docs, labelled, weights, rates="__rate").withColumn("__copies", copies(F.col("__rate"), F.col(key)))
+def resample(docs: DataFrame, labelled: DataFrame, weights: Mapping[str, float]) -> DataFrame:
+    """``docs`` with every row taken as often as its rate says, by a hash of its doc_id.
+
+    Null and empty texts have no tokens and the rate of the bias alone; a null doc_id is a key like any other; repeated rows are taken
+    equally often; an empty table stays empty; extra columns pass through, whatever their names."""
+    safe, restore = packed(docs, "doc_id", "text")
+    mixed = mix(safe, labelled, weights, rates="__rate").withColumn("__copies", copies(F.col("__rate"), F.coalesce(F.col("doc_id"), F.lit(-1))))
     taken = mixed.where("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
-    return taken.select(*docs.columns)
+    return restore(taken)
+
+
+def domain_totals(mixed: DataFrame, weights: Mapping[str, float], rates: str = "rate") -> DataFrame:
+    """Per domain of ``mix``: its target, its present share of the expected tokens and that at the fitted rates."""
+    names = F.array(*map(F.lit, weights))
+    of = mixed.select("__n_words", rates, F.posexplode("__probabilities").alias("k", "p"))
+    of = of.groupBy("k").agg(F.sum(F.col("__n_words") * F.col("p")).alias("now"), F.sum(F.col("__n_words") * F.col("p") * F.col(rates)).alias("then"))
+    whole = of.agg(F.sum("now").alias("whole"))
+    target = F.element_at(F.array(*[F.lit(float(w) / sum(weights.values())) for w in weights.values()]), F.col("k") + 1)
+    return of.join(F.broadcast(whole)).select(F.element_at(names, F.col("k") + 1).alias("domain"), target.alias("target"), F.try_divide("now", "whole").alias("share"), F.try_divide("then", "whole").alias("mixed_share"))
 
 
 def label_domains(labels: DataFrame) -> DataFrame:

@@ -58,10 +58,18 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+def mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    mixed = mixing.mix(docs, mixing.label_domains(table(spark, sf_dir, "labels")), DOMAIN_WEIGHTS, columns=["doc_id"])
-    return mixed.select("doc_id", F.col("__n_words").alias("n_tokens"), F.col("__probabilities").alias("posterior"), "rate", mixing.copies(F.col("rate"), F.col("doc_id")).alias("copies"))
+    return mixing.mix(docs, mixing.label_domains(table(spark, sf_dir, "labels")), DOMAIN_WEIGHTS, columns=["doc_id"])
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed(spark, sf_dir).select("doc_id", F.col("__n_words").alias("n_tokens"), F.col("__probabilities").alias("posterior"), "rate", mixing.copies(F.col("rate"), F.col("doc_id")).alias("copies"))
+
+
+def op7_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What ``op7_mixing`` reaches: targets and shares of the domains before and after."""
+    return mixing.domain_totals(mixed(spark, sf_dir), DOMAIN_WEIGHTS)
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,7 +83,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_decontamination": op1_decontamination, "op1_near": op1_near, "op2_media": op2_media, "op2_clips": op2_clips, "op3_licenses": op3_licenses, "op4_minhash": op4_minhash, "op5_substring": op5_substring, "op6_quality": op6_quality, "op7_mixing": op7_mixing, "op8_warc": op8_warc, "op9_sharding": op9_sharding, "op10_lines": op10_lines}
+    return {"op1_decontamination": op1_decontamination, "op1_near": op1_near, "op2_media": op2_media, "op2_clips": op2_clips, "op3_licenses": op3_licenses, "op4_minhash": op4_minhash, "op5_substring": op5_substring, "op6_quality": op6_quality, "op7_mixing": op7_mixing, "op7_totals": op7_totals, "op8_warc": op8_warc, "op9_sharding": op9_sharding, "op10_lines": op10_lines}
 
 
 OP1_SQL = r"""

@@ -21,6 +21,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .storage import packed
+
 #: The largest table that is broadcast (entries of a few bytes each).
 MAX_TABLE_SIZE = 1_000_003
 NULL_KEY = "\x00null"
@@ -66,14 +68,15 @@ def slot_of(key: Column, table_size: int) -> Column:
 def place(docs: DataFrame, key: str, shards: Sequence[str], table_size: int = 10_007, slot_col: str = "slot", shard_col: str = "shard") -> DataFrame:
     """``docs`` with the slot and the shard index of every row."""
     owners = ",".join(map(str, fill_table(shards, table_size)))
-    lookup = docs.sparkSession.range(1).select(F.posexplode(F.split(F.lit(owners), ",")).alias("__slot", "__owner"))
-    lookup = lookup.select("__slot", F.col("__owner").cast("int").alias("__owner"))
-    keyed = docs.withColumn(slot_col, slot_of(docs[key], table_size))
-    placed = keyed.join(F.broadcast(lookup), keyed[slot_col] == lookup["__slot"], "left")
-    return placed.withColumn(shard_col, F.col("__owner")).drop("__slot", "__owner")
+    lookup = docs.sparkSession.range(1).select(F.posexplode(F.split(F.lit(owners), ",")).alias("of_slot", "owner"))
+    safe, restore = packed(docs, key)
+    keyed = safe.withColumn("its_slot", slot_of(F.col(key), table_size))
+    placed = keyed.join(F.broadcast(lookup), keyed["its_slot"] == lookup["of_slot"], "left")
+    return restore(placed.withColumns({slot_col: F.col("its_slot"), shard_col: F.col("owner").cast("int")}), slot_col, shard_col)
 
 
 def write_shards(placed: DataFrame, path: str, shard_col: str = "shard", files_per_shard: int = 8) -> None:
     """One folder per shard. Rows of a shard are spread over ``files_per_shard`` tasks by a hash of the whole row."""
     spread = F.pmod(F.xxhash64(*[c for c, t in placed.dtypes if not t.startswith("map")]), F.lit(files_per_shard))
-    placed.withColumn("__part", spread).repartition(shard_col, "__part").drop("__part").write.partitionBy(shard_col).parquet(path)
+    part = "part" + "_" * max(map(len, placed.columns))  # longer than any name there is
+    placed.withColumn(part, spread).repartition(shard_col, part).drop(part).write.partitionBy(shard_col).parquet(path)

@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from wordtide.sources.shared import fresh_path
 
@@ -52,3 +53,17 @@ def clear(spark: SparkSession) -> None:
     """Has Spark delete the shuffle files of finished steps: it does when the driver collects the plans that made them, which else may be late."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+
+
+def packed(docs: DataFrame, *needed: str) -> tuple[DataFrame, Callable[..., DataFrame]]:
+    """``docs`` with the needed columns and all others in one, ``extra``, so that none of their names can clash with an operator's own; and
+    a function that gives a result its columns back, in their order, followed by columns that were added (these replace any of their name)."""
+    quoted = lambda c: F.col("`" + c.replace("`", "``") + "`")
+    extra = [c for c in docs.columns if c not in needed]
+    safe = docs.select(*needed, F.struct(*map(quoted, extra)).alias("extra")) if extra else docs.select(*needed)
+
+    def restore(out: DataFrame, *added: str) -> DataFrame:
+        of = [F.col(c) if c in needed else F.col("extra").getField(c).alias(c) for c in docs.columns if c not in added]
+        return out.select(*of, *added)
+
+    return safe, restore

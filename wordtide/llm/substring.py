@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import clear, save, trimmed
+from .storage import clear, packed, save, trimmed
 
 MIN_WORDS = 1
 #: Words from which a run of repeated sentences is a passage.
@@ -212,9 +212,9 @@ def drop_repeats(docs: DataFrame, kind: str = "line", min_words: int = MIN_WORDS
     units = repeats(docs, kind, min_words, rank, hot).select("doc_id", "mark", F.lit(-1).alias("piece"), "start", "stop", F.lit(0).alias("words"), F.lit(True).alias("later"))
     found = units.unionByName(shared_sentences(docs, rank, hot)).groupBy("doc_id", "mark").agg(F.sort_array(F.collect_list(F.struct("piece", "start", "stop", "words", "later"))).alias("__found"))
     found = found.select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"), "__found")
-    docs = docs.drop(*ADDED)
-    joined = docs.join(found, docs["doc_id"].cast("bigint").eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"].cast("string")) == F.col("__mark")), "left")
-    joined = joined.withColumn("text", F.col("text").cast("string")).select(*docs.columns, "__found")
+    safe, restore = packed(docs, *dict.fromkeys(["doc_id", "text", rank]))
+    joined = safe.join(found, safe["doc_id"].cast("bigint").eqNullSafe(F.col("__id")) & (F.xxhash64(safe["text"].cast("string")) == F.col("__mark")), "left")
+    joined = joined.withColumn("text", F.col("text").cast("string")).select(*safe.columns, "__found")
     schema = joined.drop("__found").withColumns({c: F.lit(None).cast(kind_) for c, kind_ in ADDED.items()}).schema
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,4 +236,4 @@ def drop_repeats(docs: DataFrame, kind: str = "line", min_words: int = MIN_WORDS
             columns += [pa.array(removed, _SPAN), counts[0], pa.array(passages, _PASSAGE), counts[1]]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return joined.mapInArrow(trimmed(clean), schema)
+    return restore(joined.mapInArrow(trimmed(clean), schema), *ADDED)
