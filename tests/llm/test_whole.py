@@ -145,7 +145,7 @@ def test_large_group_of_near_lines(spark, monkeypatch):
     frame = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6)
     for few, blocks in ((24, {}), (10**9, {}), (2, {"block_rows": 40, "block_words": 900})):
         monkeypatch.setattr(linejoin, "_FEW", few)
-        monkeypatch.setattr(linejoin, "_PART", 50 if blocks else 200_000)
+        monkeypatch.setattr(linejoin, "PACKED_ROWS", 70 if blocks else 10**6)
         found = linejoin.decisions(frame, **blocks)[1].collect()
         assert {r["doc_id"]: r["n_links"] for r in found if r["n_links"]} == {k: v for k, v in want.items() if v} and {r["doc_id"] for r in found if r["removed"]} == gone
     assert max(want.values()) > 100 and min(want.values()) < 20
@@ -419,3 +419,17 @@ def test_clip_rows(spark):
     rows = mjpeg.clip_rows(mjpeg.features(spark.createDataFrame([(1, media[0]), (2, media[1])], "doc_id bigint, media binary"))).orderBy("doc_id", "clip").collect()
     assert [(r["doc_id"], r["clip"], r["first_frame"], r["n_frames"]) for r in rows] == [(1, 0, 0, 20), (1, 1, 20, 15), (1, 2, 35, 9), (2, 0, 0, 20)]
     assert [(r["start_s"], r["stop_s"]) for r in rows][:2] == [(0.0, 20 / 24), (20 / 24, 35 / 24)]
+
+
+def test_sorted_words():
+    draw = np.random.default_rng(4)
+    for n, lines, words in ((0, 1, 1), (1, 1, 1), (5000, 300, 40), (5000, 1, 3), (3000, 3000, 9)):
+        line = np.sort(draw.integers(0, lines, n))
+        vocabulary = draw.integers(0, 2**63, words).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+        if words == 40:
+            vocabulary[1::2] = vocabulary[::2] ^ np.uint64(8)  # pairs that agree in the upper bits
+        word = vocabulary[draw.integers(0, words, n)]
+        rank = (word & np.uint64(linejoin.TABLE - 1)).astype(np.uint32)
+        for order, key in ((linejoin._sorted_words(line, word), None), (linejoin._sorted_words(line, word, rank), rank)):
+            want = sorted({(a, 0 if key is None else int(k), b) for a, k, b in zip(line.tolist(), rank.tolist(), word.tolist(), strict=True)})
+            assert [(int(line[i]), 0 if key is None else int(key[i]), int(word[i])) for i in order] == want

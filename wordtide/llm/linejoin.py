@@ -12,14 +12,15 @@ classes only; equal lines are never paired.
 No pair ever becomes a row. Steps (``matches``):
 
 1. one pass over the texts stores the lines' digests and counts the words;
-2. a second pass sends the prefixes, shuffled by word and sorted by size; each task sends the prefix of a class once. Within a word the
+2. a second pass sends the prefixes, dealt by word to parts of about ``PART_ROWS`` rows and packed, as a row for each would cost more than
+   the work; each task sends the prefix of a class once. A part is sorted by word and size. Within a word the
    candidates are found by comparing every row with those that follow it while sizes allow. They leave as a forest: an
    edge for each class that hangs on another. A word of very many lines is dealt to pairs of blocks;
 3. the edges are contracted to groups: classes of different groups never match;
 4. the sets of each group's classes are read again from the documents that hold them and meet in one place, large groups in pairs of
    blocks of bounded size. All overlaps within are counted; the numbers of matches and the earliest match of each class leave.
 
-What the driver holds: the count table and bitmaps of what to read again, all of fixed size. Shuffle files of finished steps are given up
+What the driver holds: the count table and the slots of what to read again, all of fixed size. Shuffle files of finished steps are given up
 in between.
 
 Defined results: null text has no lines; every line with at least ``min_tokens`` (1) distinct words is a unit; rows
@@ -48,17 +49,21 @@ LEAST_SIMILAR = 3
 #: Occurrences from which a class is joined to its lines by broadcast.
 HOT = 4096
 NUMERATOR, DENOMINATOR = 75, 100
-#: Entries of the count table and of the bitmaps.
+#: Entries of the count table.
 TABLE = 1 << 22
+RANK_BITS = 22
 #: Sizes and positions from here on are not told apart by the filters.
 MOST = (1 << 15) - 1
 #: Occurrences of a word in one block, and words of the sets in one block of a group.
 BLOCK_ROWS, BLOCK_WORDS = 50_000, 200_000
-_SLICE = 4_000_000
+#: Prefix rows of a part, and those that a task packs at a time.
+PART_ROWS, PACKED_ROWS = 2_000_000, 1_000_000
+#: Slots of the filters before the joins.
+SLOTS = 1 << 20
+_SLICE = 2_000_000
 _BLOCK = 1 << 16
 _LONG_WORD = 512
 _SEEN = 400_000
-_PART = 200_000
 _FEW = 24
 LAST = 2**63 - 1
 
@@ -119,20 +124,33 @@ def lines_of(texts: list[bytes]) -> Lines:
 
 
 def _sorted_words(line: np.ndarray, word: np.ndarray, rank: np.ndarray | None = None) -> np.ndarray:
-    """Where the distinct words of each line stand, by line, rank (if given) and hash."""
-    bits = 64 - int(line[-1]).bit_length() if len(line) else 64
-    key = word >> np.uint64(64 - bits) if bits else word * np.uint64(0)
-    if rank is not None:
-        key = (rank.astype(np.uint64) << np.uint64(max(0, bits - 22))) | (word >> np.uint64(64 - max(0, bits - 22)) if bits > 22 else np.uint64(0))
-    if bits < 64:
-        key = key | (line.astype(np.uint64) << np.uint64(bits))
-    order = np.argsort(key)
-    same = key[order[1:]] == key[order[:-1]]
-    equal = same & (word[order[1:]] == word[order[:-1]])
-    if (same != equal).any():  # two words of a line agree in the bits of the key: sort by all bits
+    """Where the distinct words of each line stand, by line, rank (if given) and hash. ``line`` ascends.
+
+    Line, rank, as many bits of the hash as there is room for, and the place go into one number, as plain numbers sort fastest. If two words
+    of a line agree in all of these but the place, all bits are sorted by."""
+    if not len(line):
+        return np.empty(0, np.int64)
+    places = len(line).bit_length()
+    room = 64 - places - int(line[-1]).bit_length() - (0 if rank is None else RANK_BITS)
+    order = None
+    if room >= 0:
+        key = word >> np.uint64(64 - room) if room else np.zeros(len(word), np.uint64)
+        if rank is not None:
+            key |= rank.astype(np.uint64) << np.uint64(room)
+            room += RANK_BITS
+        if room < 64:
+            key |= line.astype(np.uint64) << np.uint64(room)
+        key = np.sort(key << np.uint64(places) | np.arange(len(line), dtype=np.uint64))
+        order = (key & np.uint64((1 << places) - 1)).astype(np.int64)
+        key >>= np.uint64(places)
+        same = key[1:] == key[:-1]
+        equal = same & (word[order[1:]] == word[order[:-1]])
+        if (same != equal).any():
+            order = None
+    if order is None:
         order = np.lexsort((word, line) if rank is None else (word, rank, line))
         equal = (line[order[1:]] == line[order[:-1]]) & (word[order[1:]] == word[order[:-1]])
-    return order[np.concatenate([[True], ~equal])] if len(order) else order
+    return order[np.concatenate([[True], ~equal])]
 
 
 def _slices(texts: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
@@ -190,15 +208,12 @@ _LINE = pa.struct([("line", pa.int32()), ("start", pa.int32()), ("stop", pa.int3
 DESCRIBED = f"doc_id bigint, mark bigint, lines array<{LINE}>, block int, counts binary"
 
 
-def _char_offsets(texts: list[bytes], text: np.ndarray, at: np.ndarray) -> np.ndarray:
+def _char_offsets(texts: list[bytes], text: np.ndarray, *at: np.ndarray) -> list[np.ndarray]:
     """Byte offsets in texts as offsets in characters."""
-    out = at.copy()
-    for t in np.unique(text):
-        if not texts[t].isascii():
-            own = text == t
-            heads = np.concatenate([[0], np.cumsum((np.frombuffer(texts[t], np.uint8) & 0xC0) != 0x80)])
-            out[own] = heads[at[own]]
-    return out
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    heads = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+    begins = np.concatenate([[0], np.cumsum([len(t) for t in texts])])[text]
+    return [heads[begins + x] - heads[begins] for x in at]
 
 
 def _describe(min_tokens: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -215,7 +230,7 @@ def _describe(min_tokens: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
                 sets, _ = sets_of(lines, _sorted_words(lines.line, lines.word), min_tokens)
                 k = sets.kept
                 text = lines.text[k]
-                fields = [lines.number[k], _char_offsets(texts, text, lines.start[k]), _char_offsets(texts, text, lines.stop[k])]
+                fields = [lines.number[k], *_char_offsets(texts, text, lines.start[k], lines.stop[k])]
                 rows = pa.StructArray.from_arrays([*(pa.array(f.astype(np.int32)) for f in fields), pa.array(sets.i1[k]), pa.array(sets.i2[k])], fields=list(_LINE))
                 ends = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=n))]).astype(np.int32)
                 own = batch.slice(first, n)
@@ -249,6 +264,7 @@ class Order(NamedTuple):
     single: int
     hot: np.ndarray
     blocks: np.ndarray
+    words: int
 
 
 def rarity(described: DataFrame, block_rows: int = BLOCK_ROWS) -> Order:
@@ -259,7 +275,7 @@ def rarity(described: DataFrame, block_rows: int = BLOCK_ROWS) -> Order:
     rank = np.empty(TABLE, np.uint32)
     rank[np.argsort(counts, kind="stable")] = np.arange(TABLE, dtype=np.uint32)
     hot = np.flatnonzero(counts > block_rows)
-    return Order(rank, int((counts <= 1).sum()), hot, -(-counts[hot] // block_rows))
+    return Order(rank, int((counts <= 1).sum()), hot, -(-counts[hot] // block_rows), int(counts.sum()))
 
 
 def needed_prefix(sizes: np.ndarray) -> np.ndarray:
@@ -267,17 +283,69 @@ def needed_prefix(sizes: np.ndarray) -> np.ndarray:
     return sizes - (NUMERATOR * sizes + DENOMINATOR - 1) // DENOMINATOR + 1
 
 
-#: key: 40 bits of the word, 15 of the size, 8 of i1, so that one sort of longs serves; p0, p1: the bitmap, folded to 128 bits; wide: the whole
-#: bitmap where it is larger; at: the word's position.
-PREFIX = "key bigint, i1 bigint, p0 bigint, p1 bigint, at int, wide binary"
+class Prefix(NamedTuple):
+    """Rows of the words of prefixes. key: 40 bits of the word, 15 of the size, 8 of i1, so that one sort of longs serves; p0, p1: the bitmap,
+    folded to 128 bits; at: the word's position; n_wide, wide: the longs of the whole bitmap where it is larger, one row's after the other's."""
+
+    key: np.ndarray
+    i1: np.ndarray
+    p0: np.ndarray
+    p1: np.ndarray
+    at: np.ndarray
+    n_wide: np.ndarray
+    wide: np.ndarray
+
+
+_KINDS = ("<i8", "<i8", "<i8", "<i8", "<i2", "<i1", "<i8")
+
+
+def _joined_prefixes(parts: list[Prefix]) -> Prefix:
+    return Prefix(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+
+
+def _taken(rows: Prefix, order: np.ndarray) -> Prefix:
+    n = rows.n_wide.astype(np.int64)
+    begins, own = (np.cumsum(n) - n)[order], n[order]
+    at = np.repeat(begins - (np.cumsum(own) - own), own) + np.arange(own.sum())
+    return Prefix(*(x[order] for x in rows[:6]), rows.wide[at])
+
+
+def packed_prefixes(rows: Prefix) -> bytes:
+    return b"".join([len(rows.key).to_bytes(8, "little"), *(x.astype(k).tobytes() for x, k in zip(rows, _KINDS, strict=True))])
+
+
+def unpacked_prefixes(data: bytes) -> Prefix:
+    n, at, out = int.from_bytes(data[:8], "little"), 8, []
+    for kind in _KINDS[:6]:
+        out.append(np.frombuffer(data, kind, n, at))
+        at += n * np.dtype(kind).itemsize
+    return Prefix(*out, np.frombuffer(data, _KINDS[6], (len(data) - at) // 8, at))
+
 
+PACKED = "part int, rows binary"
 
-def _prefixes(order, min_tokens: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows ``PREFIX`` of the words of the prefixes that another line can hold."""
+
+def _packed(rows: Prefix, n_parts: int) -> Iterator[pa.RecordBatch]:
+    """The rows of each part, packed; a few parts a batch."""
+    part = (_mixed((rows.key >> 23).astype(np.uint64)) % np.uint64(n_parts)).astype(np.int64)
+    rows = _taken(rows, np.argsort(part, kind="stable"))
+    ends = np.cumsum(np.bincount(part, minlength=n_parts))
+    longs = np.concatenate([[0], np.cumsum(rows.n_wide, dtype=np.int64)])
+    used = np.flatnonzero(np.diff(np.concatenate([[0], ends]))).tolist()
+    for first in range(0, len(used), 64):
+        few = used[first : first + 64]
+        slices = [slice(int(ends[k - 1]) if k else 0, int(ends[k])) for k in few]
+        data = [packed_prefixes(Prefix(*(x[w] for x in rows[:6]), rows.wide[longs[w.start] : longs[w.stop]])) for w in slices]
+        yield pa.RecordBatch.from_arrays([pa.array(few, pa.int32()), pa.array(data, pa.binary())], names=["part", "rows"])
+
+
+def _prefixes(order, min_tokens: int, n_parts: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows ``PACKED`` of the words of the prefixes that another line can hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks, single, hot, blocks = Order(*order.value)
+        ranks, single, hot, blocks, _ = Order(*order.value)
         seen: set[int] = set()
+        found: list[Prefix] = []
         for batch in batches:
             for _, texts in _slices(batch.column(0)):
                 lines = lines_of(texts)
@@ -316,12 +384,14 @@ def _prefixes(order, min_tokens: int) -> Callable[[Iterator[pa.RecordBatch]], It
                 width = widths(sets.size)
                 bitmaps, begins = parities(lines.word[chosen], line, width), np.concatenate([[0], np.cumsum(width)])
                 p0, p1 = (np.bitwise_xor.reduceat(bitmaps[k::2], begins[:-1] >> 1)[of] for k in (0, 1))
-                wide = np.flatnonzero(width > 2)
-                longs = dict(zip(wide.tolist(), (bitmaps[begins[k] : begins[k + 1]].tobytes() for k in wide), strict=True))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(key.view(np.int64)), pa.array(i1), pa.array(p0), pa.array(p1), pa.array(at), pa.array(list(map(longs.get, of.tolist())) if longs else [None] * len(of), pa.binary())],
-                    names=[x.split()[0] for x in PREFIX.split(", ")],
-                )
+                n_wide = np.where(width > 2, width, 0)[of]
+                wide = bitmaps[np.repeat(begins[:-1][of] - (np.cumsum(n_wide) - n_wide), n_wide) + np.arange(n_wide.sum())]
+                found.append(Prefix(key.view(np.int64), i1, p0, p1, at.astype(np.int16), n_wide.astype(np.int8), wide))
+                if sum(len(x.key) for x in found) >= PACKED_ROWS:
+                    yield from _packed(_joined_prefixes(found), n_parts)
+                    found = []
+        if found:
+            yield from _packed(_joined_prefixes(found), n_parts)
 
     return run
 
@@ -382,71 +452,52 @@ def forest(word: np.ndarray, size: np.ndarray, at: np.ndarray, bits: np.ndarray,
     return hung, root[hung]
 
 
-def _wide(column: pa.Array) -> dict[int, np.ndarray]:
+def _wide(n_wide: np.ndarray, longs: np.ndarray) -> dict[int, np.ndarray]:
     """The bitmaps of more than two longs, in eight and in four longs; zeros where there are fewer."""
-    out = {8: np.zeros((len(column), 8), np.uint64), 4: np.zeros((len(column), 4), np.uint64)}
-    length = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    n = n_wide.astype(np.int64)
+    begins = np.cumsum(n) - n
+    out = {8: np.zeros((len(n), 8), np.uint64), 4: np.zeros((len(n), 4), np.uint64)}
     for w in (4, 8):
-        own = np.flatnonzero(length == 8 * w)
-        if len(own):
-            out[w][own] = np.frombuffer(b"".join(column.take(pa.array(own)).to_pylist()), np.uint64).reshape(-1, w)
-    eight = out[8].any(axis=1)
+        own = np.flatnonzero(n == w)
+        out[w][own] = longs.view(np.uint64)[begins[own][:, None] + np.arange(w)]
+    eight = n == 8
     out[4][eight] = out[8][eight, :4] ^ out[8][eight, 4:]
     return out
 
 
 def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges from rows that are sorted by key. The rows of a word are kept until the next word comes."""
-    kept: list[pa.RecordBatch] = []
+    """Edges from packed rows that are sorted by part; a part is kept until the next comes."""
 
-    def edges(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-        rows = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
-        key, i1 = (rows.column(k).to_numpy() for k in (0, 1))
+    def edges(parts: list[Prefix]) -> pa.RecordBatch:
+        rows = _joined_prefixes(parts)
+        order = np.argsort(rows.key)
+        key, i1 = rows.key[order], rows.i1[order]
         new = np.ones(len(key), bool)  # several tasks may have sent a class
         new[1:] = (key[1:] != key[:-1]) | (i1[1:] != i1[:-1])
-        rows = rows.filter(pa.array(new))
-        key, i1, p0, p1, at = (rows.column(k).to_numpy() for k in range(5))
-        x, y = forest(key >> 23, (key >> 8) & MOST, at.astype(np.int64), np.stack([p0, p1], axis=1).view(np.uint64), _wide(rows.column(5)))
-        a, b = i1[x], i1[y]
+        rows = _taken(rows, order[new])
+        x, y = forest(rows.key >> 23, (rows.key >> 8) & MOST, rows.at.astype(np.int64), np.stack([rows.p0, rows.p1], axis=1).view(np.uint64), _wide(rows.n_wide, rows.wide))
+        a, b = rows.i1[x], rows.i1[y]
         pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)])[:, a != b], axis=1)
         return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
 
+    kept: list[Prefix] = []
+    of = None
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        word = batch.column(0).to_numpy() >> 23
-        other = np.flatnonzero(word != word[-1])
-        last = int(other[-1]) + 1 if len(other) else 0
-        if last or (kept and kept[-1].column(0)[-1].as_py() >> 23 != word[0]):
-            done = [*kept, batch.slice(0, last)]
-            if sum(k.num_rows for k in done) >= _PART:
-                yield edges(done)
-                kept = [batch.slice(last)]
-                continue
-        kept.append(batch)
+        for part, rows in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            if part != of and kept:
+                yield edges(kept)
+                kept = []
+            of = part
+            kept.append(unpacked_prefixes(rows.as_py()))
     if kept:
         yield edges(kept)
 
 
-def _bitmap(names: DataFrame) -> bytes:
-    """A bitmap of TABLE entries of the longs in the one column of ``names``, by their low bits."""
-    c = names.columns[0]
-    found = names.select(F.col(c).bitwiseAND(F.lit(TABLE - 1)).cast("int").alias("k")).distinct().toArrow()  # TABLE rows at most
-    bits = np.zeros(TABLE, bool)
-    bits[found.column("k").to_numpy()] = True
-    return np.packbits(bits).tobytes()
-
-
-def _in_bitmap(bits, column: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """The rows whose long in the column may be in the bitmap."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = np.unpackbits(np.frombuffer(bits.value, np.uint8)).astype(bool)
-        for batch in batches:
-            names = batch.column(column).to_numpy(zero_copy_only=False)
-            yield batch.filter(pa.array(wanted[names & (TABLE - 1)]))
-
-    return run
+def _may_be_in(rows: DataFrame, column: str, names: DataFrame) -> DataFrame:
+    """The rows whose long in the column agrees in its low bits with one of the longs in the one column of ``names``: SLOTS values are broadcast at most."""
+    slot = lambda c: F.col(c).bitwiseAND(F.lit(SLOTS - 1))
+    slots = names.select(slot(names.columns[0]).alias("__slot")).distinct()
+    return rows.join(F.broadcast(slots), slot(column) == F.col("__slot"), "left_semi")
 
 
 SETS = "grp bigint, i1 bigint, i2 bigint, doc_id bigint, line int, mark bigint, words array<bigint>"
@@ -593,9 +644,12 @@ def matches(docs: DataFrame, min_tokens: int = MIN_TOKENS, block_rows: int = BLO
     context = spark.sparkContext
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("mark"), F.col("text").cast("string").alias("text"))
     described, _ = save(texts.mapInArrow(trimmed(_describe(min_tokens)), DESCRIBED), "described")
-    order = context.broadcast(tuple(rarity(described, block_rows)))
-    prefixes = texts.select("text").mapInArrow(trimmed(_prefixes(order, min_tokens)), PREFIX)
-    edges = prefixes.repartition(F.shiftright("key", 23)).sortWithinPartitions("key").mapInArrow(trimmed(_forests), "a bigint, b bigint")
+    ranks = rarity(described, block_rows)
+    order = context.broadcast(tuple(ranks))
+    # Of 47 words, 12 are in the prefix.
+    n_parts = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), ranks.words * 3 // 10 // PART_ROWS)
+    prefixes = texts.select("text").mapInArrow(trimmed(_prefixes(order, min_tokens, n_parts)), PACKED)
+    edges = prefixes.repartition("part").sortWithinPartitions("part").mapInArrow(trimmed(_forests), "a bigint, b bigint")
     edges, of_edges = save(edges, "edges")
     order.destroy()
     clear(spark)
@@ -612,12 +666,10 @@ def matches(docs: DataFrame, min_tokens: int = MIN_TOKENS, block_rows: int = BLO
     clear(spark)
 
     wanted = classes.where("grp IS NOT NULL").select("grp", "i1", "i2", "first.*")
-    bits = context.broadcast(_bitmap(wanted.select("mark")))
-    again = texts.mapInArrow(_in_bitmap(bits, 1), texts.schema).dropDuplicates(["doc_id", "mark"])
+    again = _may_be_in(texts, "mark", wanted.select("mark")).dropDuplicates(["doc_id", "mark"])
     of_doc = wanted.groupBy(F.col("doc_id").alias("w_doc"), F.col("mark").alias("w_mark")).agg(F.collect_list(F.struct("grp", "i1", "i2", "doc_id", "line", "mark")).alias("wanted"))
     again = again.join(of_doc, (F.coalesce(again["doc_id"], F.lit(LAST)) == of_doc["w_doc"]) & (again["mark"] == of_doc["w_mark"])).select("text", "wanted")
     sets, of_sets = save(again.mapInArrow(trimmed(_full_sets), SETS), "sets")
-    bits.destroy()
     clear(spark)
 
     blocks = sets.groupBy("grp").agg(F.ceil(F.sum(F.size("words").cast("bigint")) / F.lit(block_words)).cast("int").alias("nb"), F.count("*").alias("members")).where("members > 1")
@@ -642,9 +694,8 @@ def decisions(docs: DataFrame, hot: int = HOT, min_tokens: int = MIN_TOKENS, **b
     of_class = of_class.select("i1", "i2", "n", "first", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce(F.col("earliest") < F.col("first"), F.lit(False)).alias("later"))
     of_class, _ = save(of_class, "decided")
     clear(spark)
-    bits = spark.sparkContext.broadcast(_bitmap(of_class.select("i1")))
     rows = of_docs.select("doc_id", "mark", F.explode("lines").alias("l")).select("doc_id", "mark", "l.*")
-    rows = rows.mapInArrow(_in_bitmap(bits, 5), rows.schema)
+    rows = _may_be_in(rows, "i1", of_class.select("i1"))
     often = of_class.where(F.col("n") >= hot)
     cold = rows.join(F.broadcast(often.select("i1", "i2")), ["i1", "i2"], "left_anti").join(of_class.where(F.col("n") < hot), ["i1", "i2"])
     # At most one class in ``hot`` lines is broadcast.

@@ -107,11 +107,15 @@ def _document() -> Column:
 
 
 def _joined(rows: DataFrame, groups: DataFrame, hot: int) -> DataFrame:
-    """``rows`` with the columns of their group (h1, h2, n, ...)."""
-    often, rare = groups.where(F.col("n") >= hot).drop("n"), groups.where(F.col("n") < hot).drop("n")
-    # At most one digest in ``hot`` occurrences is broadcast.
-    cold = rows.join(F.broadcast(often.select("h1", "h2")), ["h1", "h2"], "left_anti").join(rare, ["h1", "h2"])
-    return rows.join(F.broadcast(often), ["h1", "h2"]).unionByName(cold)
+    """The rows (h1, h2, ...) of a group, with its ``first``. ``rows`` is read once."""
+    # At most one digest in ``hot`` occurrences is broadcast. Rows that find theirs are spread over the tasks of the second join.
+    often = groups.where(F.col("n") >= hot).select("h1", "h2", F.col("first").alias("__hot"))
+    rare = groups.where(F.col("n") < hot).select(F.col("h1").alias("__k1"), F.col("h2").alias("__k2"), F.col("first").alias("__cold"))
+    found = rows.join(F.broadcast(often), ["h1", "h2"], "left")
+    key = F.when(F.col("__hot").isNull(), F.col("h1")).otherwise(F.xxhash64("doc_id", "mark", "start", "h1"))
+    found = found.withColumn("__h1", key).join(rare, (F.col("__h1") == F.col("__k1")) & (F.col("h2") == F.col("__k2")), "left")
+    first = F.coalesce("__hot", "__cold")
+    return found.withColumn("first", first).where("first IS NOT NULL").select(*rows.columns, "first")
 
 
 def repeats(docs: DataFrame, kind: str = "line", min_words: int = MIN_WORDS, rank: str = "doc_id", hot: int = HOT) -> DataFrame:
