@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import clear, packed, save, trimmed
+from .storage import clear, drop, packed, save, trimmed
 
 MIN_WORDS = 1
 #: Words from which a run of repeated sentences is a passage.
@@ -213,8 +213,14 @@ _PASSAGE = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("wo
 def drop_repeats(docs: DataFrame, kind: str = "line", min_words: int = MIN_WORDS, rank: str = "doc_id", passage_words: int = PASSAGE_WORDS, hot: int = HOT) -> DataFrame:
     """``docs`` with ``text`` cleaned, ``removed`` (start and stop of each removed stretch in the original text), ``passages`` (start, stop and
     words of each passage that other documents hold, the kept one included) and their numbers."""
+    spark = docs.sparkSession
     units = repeats(docs, kind, min_words, rank, hot).select("doc_id", "mark", F.lit(-1).alias("piece"), "start", "stop", F.lit(0).alias("words"), F.lit(True).alias("later"))
+    units, of_units = save(units, "repeats")
+    clear(spark)
     found = units.unionByName(shared_sentences(docs, rank, hot)).groupBy("doc_id", "mark").agg(F.sort_array(F.collect_list(F.struct("piece", "start", "stop", "words", "later"))).alias("__found"))
+    found, _ = save(found, "spans")
+    drop(spark, of_units)
+    clear(spark)
     found = found.select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"), "__found")
     safe, restore = packed(docs, *dict.fromkeys(["doc_id", "text", rank]))
     joined = safe.join(found, safe["doc_id"].cast("bigint").eqNullSafe(F.col("__id")) & (F.xxhash64(safe["text"].cast("string")) == F.col("__mark")), "left")
