@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classifier, decontamination, licenses, linejoin, minhash, mixing, mjpeg, sharding, substring, warc
+from . import alignment, classifier, decontamination, licenses, linejoin, minhash, mixing, mjpeg, sharding, substring, variants, warc, weighted
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
 TABLE_SIZE = 10_007
@@ -82,8 +82,20 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(docs, "doc_id", SHARDS, TABLE_SIZE)
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"))
+
+
+def op12_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(table(spark, sf_dir, "documents"))
+
+
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weighted.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_decontamination": op1_decontamination, "op1_near": op1_near, "op2_media": op2_media, "op2_clips": op2_clips, "op3_licenses": op3_licenses, "op4_minhash": op4_minhash, "op5_substring": op5_substring, "op6_quality": op6_quality, "op7_mixing": op7_mixing, "op7_totals": op7_totals, "op8_warc": op8_warc, "op9_sharding": op9_sharding, "op10_lines": op10_lines}
+    return {"op1_decontamination": op1_decontamination, "op1_near": op1_near, "op2_media": op2_media, "op2_clips": op2_clips, "op3_licenses": op3_licenses, "op4_minhash": op4_minhash, "op5_substring": op5_substring, "op6_quality": op6_quality, "op7_mixing": op7_mixing, "op7_totals": op7_totals, "op8_warc": op8_warc, "op9_sharding": op9_sharding, "op10_lines": op10_lines, "op11_alignment": op11_alignment, "op12_variants": op12_variants, "op13_fingerprints": op13_fingerprints}
 
 
 OP1_SQL = r"""
