@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from re import _constants as rx
+from re import _parser
 
+import ahocorasick
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,22 +25,97 @@ LEAKS = tuple((1, p) for p in lexicons.LEAKS)
 MENTIONS = tuple((2, p) for p in lexicons.MENTIONS)
 
 
-def _hits(text: Column, patterns: Sequence[tuple[int, str]], where: str, around: int) -> Column:
-    """An array of tier, pattern, where and a snippet around the first match (case-insensitive) of each pattern that matches."""
+def _hits(text: Column, patterns: Sequence[tuple[int, str]], where: str, around: int, may: Column | None = None) -> Column:
+    """An array of tier, pattern, where and a snippet around the first match (case-insensitive) of each pattern that matches; ``may`` has a flag for each
+    pattern: where it is not set, the pattern is not tried."""
 
-    def hit(tier: int, p: str) -> Column:
+    def hit(k: int, tier: int, p: str) -> Column:
         rx = F.lit(f"(?i){p}")
         at, length = F.regexp_instr(text, rx), F.length(F.regexp_substr(text, rx))
         start = F.greatest(at - around, F.lit(1))
         snippet = F.translate(F.substring(text, start, at + length + around - start), "\n", " ")
-        return F.when(text.rlike(f"(?i){p}"), F.struct(F.lit(tier).alias("tier"), F.lit(p).alias("pattern"), F.lit(where).alias("where"), snippet.alias("snippet")))
-
-    return F.filter(F.array(*[hit(t, p) for t, p in patterns]), lambda x: x.isNotNull())
+        matches = text.rlike(f"(?i){p}") if may is None else F.when(F.get(may, F.lit(k)), text.rlike(f"(?i){p}"))
+        return F.when(matches, F.struct(F.lit(tier).alias("tier"), F.lit(p).alias("pattern"), F.lit(where).alias("where"), snippet.alias("snippet")))
+
+    return F.filter(F.array(*[hit(k, t, p) for k, (t, p) in enumerate(patterns)]), lambda x: x.isNotNull())
+
+
+# Many patterns in one pass: an automaton of required literals names those worth trying
+
+
+def required_literals(pattern: str) -> list[str] | None:
+    """Lower-case literals of which every match of the pattern holds one; None if that cannot be told."""
+
+    def literal(c: int) -> str:
+        return chr(c).lower()
+
+    def best(parts) -> list[str] | None:
+        """Of the things that must all stand there, the one whose shortest literal is longest."""
+        options, run = [], ""
+        for op, of in [*parts, (None, None)]:
+            if op is rx.LITERAL:
+                run += literal(of)
+                continue
+            if run:
+                options.append([run])
+            run = ""
+            if op is rx.SUBPATTERN:
+                options.append(best(of[-1]))
+            elif op is rx.BRANCH:
+                ways = [best(way) for way in of[1]]
+                options.append(None if None in ways else [x for way in ways for x in way])
+            elif op in (rx.MAX_REPEAT, rx.MIN_REPEAT) and of[0] > 0:
+                options.append(best(of[2]))
+            elif op is rx.IN and all(o is rx.LITERAL for o, _ in of):
+                options.append([literal(v) for _, v in of])
+        return max((o for o in options if o), key=lambda o: min(map(len, o)), default=None)
+
+    return best(_parser.parse(pattern))
+
+
+def candidates(text: Column, patterns: Sequence[str]) -> Column:
+    """An array of flags: which patterns have a required literal in the text (all flags of patterns without one are set). An Aho-Corasick automaton reads
+    each text once, whatever the number of patterns; it ignores case more widely than the patterns do, so it names too many, never too few."""
+    needed = [required_literals(p) for p in patterns]
+    always = [not n for n in needed]
+    of: dict[str, list[int]] = {}
+    for k, literals in enumerate(needed):
+        for x in literals or ():
+            of.setdefault(x, []).append(k)
+
+    @F.pandas_udf("array<boolean>")
+    def flags(texts: pd.Series) -> pd.Series:
+        automaton = ahocorasick.Automaton()
+        for x, ks in of.items():
+            automaton.add_word(x, ks)
+        automaton.make_automaton()
+        out = []
+        for t in texts:
+            found, left = list(always), len(always) - sum(always)
+            for _, ks in automaton.iter(t.lower()) if t and of else ():
+                for k in ks:
+                    left -= not found[k]
+                    found[k] = True
+                if not left:
+                    break
+            out.append(found)
+        return pd.Series(out)
+
+    return flags(text)
+
+
+def gated_hits(texts: DataFrame, key: str, text: str, patterns: Sequence[tuple[int, str]], around: int = 40) -> DataFrame:
+    """``pattern_hits``, with each pattern tried only on texts in which one of its required literals stands."""
+    named = texts.select(key, text, candidates(F.col(text), [p for _, p in patterns]).alias("__may"))
+    found = named.select(key, F.explode(_hits(F.col(text), patterns, "", around, F.col("__may"))).alias("h"))
+    return found.select(key, "h.tier", "h.pattern", "h.snippet")
 
 
-def hits(text: Column, leaks: Sequence[tuple[int, str]] = LEAKS, mentions: Sequence[tuple[int, str]] = MENTIONS, around: int = 40) -> Column:
-    """The leaks anywhere in the text, then the mentions in its comments."""
-    return F.concat(_hits(text, leaks, "body_or_comment", around), _hits(comments(text), mentions, "comment", around))
+def hits(text: Column, leaks: Sequence[tuple[int, str]] = LEAKS, mentions: Sequence[tuple[int, str]] = MENTIONS, around: int = 40, may: Column | None = None) -> Column:
+    """The leaks anywhere in the text, then the mentions in its comments. ``may``: ``candidates`` of the text for leaks and mentions together (what
+    stands in a comment stands in the text)."""
+    of = (None, None) if may is None else (F.slice(may, 1, len(leaks)), F.slice(may, len(leaks) + 1, len(mentions)))
+    return F.concat(_hits(text, leaks, "body_or_comment", around, of[0]), _hits(comments(text), mentions, "comment", around, of[1]))
 
 
 def pattern_hits(texts: DataFrame, key: str, text: str, patterns: Sequence[tuple[int, str]], around: int = 40) -> DataFrame:

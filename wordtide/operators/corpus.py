@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wordtide.sources.shared import materialise
@@ -31,6 +31,18 @@ def corpus(docs: DataFrame, base_id: Column, year: Column, quarter: Column, subf
     return docs.select(base_id.alias("base_id"), year.alias("year"), quarter.alias("quarter"), subfield.alias("subfield"), tokens(F.col("text"), pattern).alias("toks"))
 
 
+def store(frame: DataFrame, path: str) -> None:
+    """The corpus frame as Parquet by year and subfield, tokenised once: what asks for some years or subfields reads their files only. Rows are
+    dealt by (year, subfield, a hash of base_id), so that a large subfield is many files of many tasks."""
+    spread = F.pmod(F.xxhash64("base_id"), F.lit(16))
+    frame.withColumn("__spread", spread).repartition("year", "subfield", "__spread").drop("__spread").write.partitionBy("year", "subfield").parquet(path)
+
+
+def stored(spark: SparkSession, path: str, id_type: str = "bigint") -> DataFrame:
+    """The frame that ``store`` wrote."""
+    return spark.read.schema(f"base_id {id_type}, quarter bigint, toks array<string>, year int, subfield string").parquet(path)
+
+
 def base_id(column: Column) -> Column:
     """An identifier without its version suffix."""
     return F.split_part(column, F.lit("v"), F.lit(1))

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import math
+import zlib
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -118,6 +122,13 @@ def subfield_table(corpus: DataFrame, words: Sequence[str] = lexicons.BASKET, su
     return spine.join(of, ["cat", "year"], "left").fillna(0, ["n", "hit"]).select("cat", "label", "year", "n", rate.alias("rate"))
 
 
+def subfield_cube(corpus: DataFrame, words: Sequence[str] = lexicons.BASKET) -> DataFrame:
+    """Cells, margins and grand total in one plan: n, hit and rate (percent) by subfield and year, by either and overall; ``level`` (the grouping id) is
+    0 for a cell, 1 for a subfield, 2 for a year and 3 for all. A null subfield of a cell is a value, one of a margin means all."""
+    counted = corpus.cube("subfield", "year").agg(F.grouping_id().cast("int").alias("level"), F.count("*").alias("n"), F.sum(has_any(words).cast("bigint")).alias("hit"))
+    return counted.select("level", "subfield", "year", "n", "hit", (100 * F.col("hit") / F.col("n")).alias("rate"))
+
+
 def with_excess(rates: DataFrame, base: Sequence[int]) -> DataFrame:
     """Adds base_rate (pooled over the base years) and the excess over it, not below zero. ``rates`` has a row per period."""
     pooled = rates.where(F.col("year").between(*base)).agg((F.sum("hit") / F.sum("total")).alias("base_rate"))
@@ -237,6 +248,55 @@ def placebo(corpus: DataFrame, baskets: DataFrame, base: Sequence[int] = (2018,
     return every.select("k", (100 * F.col("h_recent") / F.col("recent") - 100 * F.col("h_base") / F.col("base")).alias("alpha"))
 
 
+#: Bits of one number of a bitset.
+BITS = 62
+
+
+def bitsets(baskets: Sequence[tuple[int, str]]) -> tuple[list[int], dict[str, list[int]]]:
+    """The baskets' numbers in order, and for each word the numbers whose bits say which baskets hold it."""
+    ks = sorted({k for k, _ in baskets})
+    place, wide = {k: i for i, k in enumerate(ks)}, -(-len(ks) // BITS)
+    of: dict[str, list[int]] = {}
+    for k, word in baskets:
+        of.setdefault(word, [0] * wide)[place[k] // BITS] |= 1 << place[k] % BITS
+    return ks, of
+
+
+def baskets_hit(toks: Column, of: Mapping[str, Sequence[int]], n_buckets: int = 64) -> list[Column]:
+    """Bitsets of the baskets of which a document holds a word: each of its distinct drawn words is looked up and folded in by bit-or, all within
+    the row. The dictionary is a literal, dealt into buckets by a hash, as a literal map is searched from its start."""
+    wide = len(next(iter(of.values())))
+    words = sorted(of)
+    drawn = F.array_intersect(toks, literals(words))
+    bucket = lambda w: F.pmod(F.crc32(w.cast("binary")), F.lit(n_buckets)).cast("int")
+    held: list[list[str]] = [[] for _ in range(n_buckets)]
+    for w in words:
+        held[zlib.crc32(w.encode()) % n_buckets].append(w)
+
+    def folded(part: int) -> Column:
+        maps = F.array(*[F.create_map(*[x for w in ws for x in (F.lit(w), F.lit(of[w][part]).cast("bigint"))]) if ws else F.create_map(F.lit(""), F.lit(0).cast("bigint")) for ws in held])
+        return F.aggregate(drawn, F.lit(0).cast("bigint"), lambda acc, w: acc.bitwiseOR(F.element_at(F.get(maps, bucket(w)), w)))
+
+    return [folded(part) for part in range(wide)]
+
+
+def placebo_by_bits(corpus: DataFrame, baskets: DataFrame, base: Sequence[int] = (2018, 2021), recent: Sequence[int] = (2025, 2025)) -> DataFrame:
+    """``placebo`` without a row per word: a document becomes its bitset of baskets, and a pass adds up the bits. Nothing is shuffled by
+    document or word. ``baskets`` has as many rows as were drawn (number times size) and goes to the driver."""
+    drawn = [(r["k"], r["word"]) for r in baskets.select("k", "word").collect()]
+    if not drawn:
+        return corpus.sparkSession.createDataFrame([], f"k {dict(baskets.dtypes)['k']}, alpha double")
+    ks, of = bitsets(drawn)
+    rows = corpus.withColumn("period", period(base, recent)).where("period IS NOT NULL")
+    rows = rows.select("period", F.array(*baskets_hit(F.col("toks"), of)).alias("bits"))
+    flags = [F.sum(F.getbit(F.get("bits", F.lit(i // BITS)), F.lit(i % BITS)).cast("bigint")).alias(f"b{i}") for i in range(len(ks))]
+    wide = rows.groupBy("period").agg(F.count("*").alias("total"), *flags)  # two rows
+    pairs = F.inline(F.array(*[F.struct(F.lit(k).cast(baskets.schema["k"].dataType).alias("k"), F.col(f"b{i}").alias("hit")) for i, k in enumerate(ks)]))
+    rates = wide.select("period", "total", pairs)
+    share = lambda p: F.coalesce(F.sum(F.when(F.col("period") == p, 100 * F.col("hit") / F.col("total"))), F.lit(0.0))
+    return rates.groupBy("k").agg((share("recent") - share("base")).alias("alpha"))
+
+
 def tail(excess: DataFrame, low: float = 0.0005, ratio: float = 5.0) -> DataFrame:
     """Words that were not rare in the base period and have risen by a factor."""
     return excess.where((F.col("base_freq") > low) & (F.col("ratio") >= ratio))
@@ -252,6 +312,79 @@ def tail_sets(excess: DataFrame, basket: Sequence[str] = lexicons.BASKET, instru
     return a.join(F.broadcast(first.agg(n(b).alias("basket_in_top"), n(i).alias("instruments_in_top"))))  # one row
 
 
+#: The largest population that numpy draws from without replacement.
+LARGEST_DRAW = 10**9 - 1
+
+
+def _given(rng: np.random.Generator, counts: np.ndarray, n: int) -> np.ndarray:
+    """How many of each kind are among n drawn without replacement. Above ``LARGEST_DRAW`` a count is a rounded normal variate of the
+    same mean and variance, kept within its range."""
+    if counts.sum() <= LARGEST_DRAW:
+        return rng.multivariate_hypergeometric(counts, n, method="marginals")
+    out, rest = np.zeros_like(counts), int(counts.sum())
+    for k, have in enumerate(counts.tolist()):
+        if rest - have <= 0:
+            got = n
+        elif rest <= LARGEST_DRAW:
+            got = int(rng.hypergeometric(have, rest - have, n))
+        else:
+            share = have / rest
+            got = round(rng.normal(n * share, math.sqrt(n * share * (1 - share) * (rest - n) / (rest - 1))))
+        got = min(max(got, n - (rest - have), 0), have, n)
+        out[k], n, rest = got, n - got, rest - have
+    return out
+
+
+def split_pairs(n_docs: int, held: Sequence[int], seed: Sequence[int]) -> np.ndarray:
+    """Pair counts (words by words) after every word has been dealt anew to as many of n_docs documents.
+
+    Documents are never touched: they are counts by the set of words that they hold so far, and a word falls on each count by a
+    multivariate hypergeometric draw. So a permutation costs as many draws as there are sets, at most 2 to the number of words."""
+    rng = np.random.default_rng(seed)
+    masks, counts = np.zeros(1, np.int64), np.array([n_docs], np.int64)
+    pairs = np.zeros((len(held), len(held)), np.int64)
+    for k, n in enumerate(held):
+        got = _given(rng, counts, n)
+        for j in range(k):
+            pairs[j, k] = got[masks >> j & 1 == 1].sum()
+        masks, counts = np.concatenate([masks, masks | 1 << k]), np.concatenate([counts - got, got])
+        masks, counts = masks[counts > 0], counts[counts > 0]
+    return pairs
+
+
+def permuted_pairs(corpus: DataFrame, words: Sequence[str] = lexicons.PAIRED, n_perm: int = 300, seed: int = 0) -> DataFrame:
+    """(perm, w1, w2, pairs): in how many documents two words meet when each word's documents are dealt anew within every subfield. One pass of
+    the corpus counts words by subfield; what follows costs as much for any number of documents. A row per permutation and subfield is
+    dealt over the tasks."""
+    words = sorted(words)
+    flags = [F.sum(F.array_contains("toks", w).cast("bigint")).alias(f"w{k}") for k, w in enumerate(words)]
+    held = corpus.groupBy("subfield").agg(F.count("*").alias("n"), *flags).select(F.xxhash64("subfield").alias("field"), "n", F.array(*[f"w{k}" for k in range(len(words))]).alias("held"))
+    grid = held.crossJoin(corpus.sparkSession.range(1, n_perm + 1).select(F.col("id").cast("int").alias("perm"))).repartition("perm", "field")  # n_perm rows a subfield
+    two = [(i, j) for i in range(len(words)) for j in range(i + 1, len(words))]
+
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            met = [split_pairs(int(n), [int(x) for x in h], [seed, int(p), int(f) % (1 << 63)]) for n, h, p, f in zip(batch["n"], batch["held"], batch["perm"], batch["field"], strict=True)]
+            yield pd.DataFrame({"perm": batch["perm"], "pairs": [[int(m[i, j]) for i, j in two] for m in met]})
+
+    drawn = grid.mapInPandas(split, "perm int, pairs array<bigint>")
+    names = F.array(*[F.struct(F.lit(words[i]).alias("w1"), F.lit(words[j]).alias("w2")) for i, j in two])
+    rows = drawn.select("perm", F.inline(F.arrays_zip(names.alias("w"), F.col("pairs").alias("pairs"))))
+    return rows.groupBy("perm", "w.w1", "w.w2").agg(F.sum("pairs").alias("pairs"))
+
+
+def permuted_null(corpus: DataFrame, words: Sequence[str] = lexicons.PAIRED, n_perm: int = 300, below: float = 0.01, seed: int = 0) -> DataFrame:
+    """What ``permutation_null`` returns, from ``permuted_pairs``."""
+    observed = lift(corpus, words)
+    p = stats.poisson_tail(F.col("pairs"), F.col("expected"))
+    null = permuted_pairs(corpus, words, n_perm, seed).join(F.broadcast(observed.select("w1", "w2", "n1", "n2", "docs")), ["w1", "w2"])  # a row per pair
+    sig = with_lift(null).groupBy("perm").agg(F.count(F.when(p < below, 1)).alias("sig"))
+    seen = observed.agg(F.count(F.when(p < below, 1)).alias("observed"))
+    docs = corpus.agg(F.count("*").alias("n"), F.count_distinct("subfield").alias("n_subfields"))
+    out = sig.join(F.broadcast(seen)).agg(F.max("observed").alias("observed"), F.avg("sig").alias("null_mean"), F.percentile("sig", 0.95).alias("null_p95"), F.avg((F.col("sig") >= F.col("observed")).cast("double")).alias("p"))
+    return out.join(F.broadcast(docs)).select("n", "n_subfields", F.lit(n_perm).alias("n_perm"), "observed", "null_mean", "null_p95", "p")  # one row each
+
+
 def permutation_null(corpus: DataFrame, words: Sequence[str] = lexicons.PAIRED, n_perm: int = 300, below: float = 0.01, seed: int = 0) -> DataFrame:
     """Whether words meet more often than subfields explain: n, n_subfields, the significant pairs observed, their mean, 95th percentile
     and share of as many or more in permutations that deal each word's documents anew within each subfield.

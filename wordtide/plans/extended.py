@@ -114,11 +114,12 @@ def tail_sets(spark, sf):
 
 
 POOL_WORDS = f"pool AS (SELECT word FROM ({excess_sql(30, 3)}) WHERE base_freq > 0.02 AND base_freq < 0.2 AND regexp_full_match(word, '[a-z]+') AND length(word) >= 4 AND word NOT IN ({quoted(WORDS)}))"
-BASKETS = "b AS (SELECT k, word FROM (SELECT k, word, row_number() OVER (PARTITION BY k ORDER BY md5(word || ':' || k || ':7'), word) AS rn FROM pool, range(1, 21) t(k)) WHERE rn <= 10)"
+N_BASKETS, BASKET_SIZE = 50, 38
+BASKETS = f"b AS (SELECT k, word FROM (SELECT k, word, row_number() OVER (PARTITION BY k ORDER BY md5(word || ':' || k || ':7'), word) AS rn FROM pool, range(1, {N_BASKETS + 1}) t(k)) WHERE rn <= {BASKET_SIZE})"
 
 
 def placebo_baskets(spark, sf):
-    return frequency.placebo_pool(excess_words(spark, sf), 0.02, 0.2, 4, WORDS), 20, 10
+    return frequency.placebo_pool(excess_words(spark, sf), 0.02, 0.2, 4, WORDS), N_BASKETS, BASKET_SIZE
 
 
 @query(f"WITH {POOL_WORDS}, {BASKETS} SELECT CAST(k AS INTEGER) AS k, word FROM b")
@@ -133,7 +134,7 @@ def seeded_baskets(spark, sf):
 )
 def placebo(spark, sf):
     drawn = materialise(corpus.seeded_baskets(*placebo_baskets(spark, sf)), "baskets")
-    a = frequency.placebo(documents(spark, sf), drawn)
+    a = frequency.placebo_by_bits(documents(spark, sf), drawn)
     return a.agg(F.count("*").alias("n_baskets"), F.round(F.avg("alpha"), 6).alias("mean_pp"), F.round(F.stddev_pop("alpha"), 6).alias("sd_pp"), F.round(F.max("alpha"), 6).alias("max_pp"))
 
 
@@ -542,14 +543,19 @@ def matrix_roundtrip(spark, sf):
 FEED_SQL = "SELECT item_id || 'v1' AS id, '2024-0' || (1 + item_id % 6) || '-1' || (item_id % 9) || 'T00:00:00Z' AS published, CASE WHEN item_id % 2 = 0 THEN 'a.GA' ELSE 'a.CO' END AS primary_category, md5(trim(text)) AS abstract_md5, '2024-0' || (1 + item_id % 6) AS month FROM benchmark"
 
 
+def feed_entries(spark, sf):
+    """The benchmark as the records of a feed."""
+    i = F.col("item_id")
+    month = F.concat(F.lit("2024-0"), (1 + i % 6).cast("string"))
+    category = F.when(i % 2 == 0, "a.GA").otherwise("a.CO")
+    return table(spark, sf, "benchmark").select(F.concat(i.cast("string"), F.lit("v1")).alias("id"), F.concat(month, F.lit("-1"), (i % 9).cast("string"), F.lit("T00:00:00Z")).alias("published"), category.alias("primary_category"), F.array(category, F.lit("a.XX")).alias("categories"), F.substring("text", 1, 20).alias("title"), F.col("text").alias("abstract"), month.alias("month"))
+
+
 @query(f"SELECT * FROM ({FEED_SQL}) WHERE month IN ('2024-02', '2024-03', '2024-05') AND published < '2024-05-15'")
 def feed_scan(spark, sf):
     """The benchmark as a paged feed: a range of dates reaches the reader, and a month that is done is left out."""
-    i, root = F.col("item_id"), fresh_path(spark, "feed")
-    month = F.concat(F.lit("2024-0"), (1 + i % 6).cast("string"))
-    category = F.when(i % 2 == 0, "a.GA").otherwise("a.CO")
-    entries = table(spark, sf, "benchmark").select(F.concat(i.cast("string"), F.lit("v1")).alias("id"), F.concat(month, F.lit("-1"), (i % 9).cast("string"), F.lit("T00:00:00Z")).alias("published"), category.alias("primary_category"), F.array(category, F.lit("a.XX")).alias("categories"), F.substring("text", 1, 20).alias("title"), F.col("text").alias("abstract"), month.alias("month"))
-    feed.write_pages(entries, root, 3)
+    root = fresh_path(spark, "feed")
+    feed.write_pages(feed_entries(spark, sf), root, 3)
     feed.register(spark)
     pages = spark.read.format("paged_feed").options(root=root, first="2024-01", last="2024-06", page="3", done="2024-04", wait="0", pause="0").load()
     found = pages.where((F.col("published") >= "2024-02-01") & (F.col("published") < "2024-05-15"))

@@ -11,12 +11,19 @@ months are fetched by as many tasks as there are cores, and a lost executor cost
   ``fetch(month, start, size) -> bytes``, such as one that asks a server;
 - ``first``, ``last``: months (``YYYY-MM``); ``done``: months to leave out, comma-joined; ``page``: entries a page;
 - ``attempts``, ``wait``: tries per page, and seconds that the wait grows by with each; ``empty``: tries of an empty page before the
-  month's total counts as reached; ``pause``: least seconds between two requests of a task.
+  month fails as incomplete (``incomplete`` = "keep" ends it with what came instead); ``pause``: least seconds between two requests;
+- ``lanes``: how many tasks share the pause. Months are dealt to as many partitions, and each asks only in its own time slots
+  (``Slots``), so that no two requests of the job are closer than the pause. Clocks of the executors must agree to within the slots'
+  margin, and speculative copies of a task would share its slots: leave speculation off.
+
+``spark.readStream.format("paged_feed")`` takes the same options. The offset is the last month that has been read; a run takes the months
+from there up to ``last``, and the checkpoint lets the next one, with a later ``last``, go on.
 """
 
 from __future__ import annotations
 
 import importlib
+import math
 import time
 import xml.etree.ElementTree as ET
 from collections.abc import Callable, Iterator
@@ -26,7 +33,7 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 
 SCHEMA = "id string, published string, primary_category string, categories array<string>, title string, abstract string, month string"
 ATOM = "{http://www.w3.org/2005/Atom}"
@@ -34,8 +41,16 @@ TOTAL = "{http://a9.com/-/spec/opensearch/1.1/}totalResults"
 PRIMARY = "{http://arxiv.org/schemas/atom}primary_category"
 
 
-class Month(InputPartition):
-    pass
+class Months(InputPartition):
+    """Some months and, where tasks share a pause, the lane whose time slots are used."""
+
+    def __init__(self, months: list[str], lane: int = 0):
+        super().__init__(months)
+        self.lane = lane
+
+
+class Incomplete(Exception):
+    """A month ended before its total."""
 
 
 def months(first: str, last: str) -> list[str]:
@@ -118,6 +133,30 @@ class Paced:
         self.free = max(now, self.free) + self.pause
 
 
+class Slots:
+    """Calls of one of several lanes, in time slots that the lanes take in turn, counted from a common start. A slot is the pause and a margin
+    wide; a call that comes up later than the margin within its slot waits for the lane's next one, so calls of any two lanes keep the pause."""
+
+    def __init__(self, pause: float, lane: int, lanes: int, begin: float, clock: Callable[[], float] = time.time, sleep: Callable[[float], None] = time.sleep):
+        self.lane, self.lanes, self.begin, self.clock, self.sleep = lane, lanes, begin, clock, sleep
+        self.margin = 0.05 * pause + 0.01
+        self.width, self.used = pause + self.margin, -1
+
+    def wait(self) -> None:
+        while True:
+            now = self.clock() - self.begin
+            first = max(self.used + 1, math.floor(now / self.width))
+            slot = first + (self.lane - first) % self.lanes
+            at = slot * self.width
+            if now < at:
+                self.sleep(at - now)
+                now = self.clock() - self.begin
+            if at <= now <= at + self.margin:
+                self.used = slot
+                return
+            self.used = max(self.used, slot if now > at else self.used)
+
+
 def fetched(fetch: Callable[[], bytes], attempts: int, wait: float, sleep: Callable[[float], None] = time.sleep) -> bytes:
     """The page; after a failure the next try waits longer by ``wait``, and the last failure is raised."""
     for k in range(attempts):
@@ -130,29 +169,56 @@ def fetched(fetch: Callable[[], bytes], attempts: int, wait: float, sleep: Calla
     raise ValueError("attempts must be positive")
 
 
-def read_month(fetch: Callable[[int], bytes], page: int, attempts: int, wait: float, empty: int, sleep: Callable[[float], None] = time.sleep) -> Iterator[tuple]:
-    """All records of a month. An empty page before the total is tried again ``empty`` times, as feeds now and then send one."""
+def read_month(fetch: Callable[[int], bytes], page: int, attempts: int, wait: float, empty: int, sleep: Callable[[float], None] = time.sleep, keep: bool = False) -> Iterator[tuple]:
+    """All records of a month. An empty page before the total is tried again ``empty`` times, as feeds now and then send one; a short page is
+    followed by what comes after it. A month that ends before its total raises ``Incomplete``, or ends with what came (``keep``)."""
     start, whole, tries = 0, None, 0
     while True:
         total, rows = parse_page(fetched(lambda: fetch(start), attempts, wait, sleep))
-        whole = total if whole is None else whole
+        whole = total if whole is None else max(whole, total)
         if not rows:
             if start < whole and tries < empty:
                 tries += 1
                 sleep(2 * wait)
                 continue
+            if start < whole and not keep:
+                raise Incomplete(f"{start} of {whole} records came")
             return
         tries = 0
         yield from rows
         start += len(rows)
-        if start >= total or len(rows) < page:
+        if start >= whole:
             return
 
 
+def read_lane(options: dict[str, str], partition: Months, begin: float) -> Iterator[tuple]:
+    """The records of a partition's months."""
+    of = options
+    module, _, name = of.get("transport", f"{__name__}:FilePages").partition(":")
+    feed = getattr(importlib.import_module(module), name)(of["root"])
+    pause, lanes = float(of.get("pause", 0)), int(of.get("lanes", 0))
+    pace = Slots(pause, partition.lane, lanes, begin) if lanes else Paced(pause)
+    for month in partition.value:
+
+        def fetch(start: int, month: str = month) -> bytes:
+            pace.wait()
+            return feed.fetch(month, start, int(of.get("page", 1000)))
+
+        for row in read_month(fetch, int(of.get("page", 1000)), int(of.get("attempts", 5)), float(of.get("wait", 3.2)), int(of.get("empty", 4)), keep=of.get("incomplete") == "keep"):
+            yield (*row, month)
+
+
+def dealt(chosen: list[str], lanes: int) -> list[Months]:
+    """A partition for each month, or for each lane its share of the months."""
+    if not lanes:
+        return [Months([m]) for m in chosen]
+    return [Months(chosen[k::lanes], k) for k in range(lanes) if chosen[k::lanes]]
+
+
 class FeedReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.options = options
-        self.first, self.last = options["first"], options["last"]
+        self.first, self.last, self.begin = options["first"], options["last"], time.time()
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
         """Bounds on ``published`` cut the months; Spark applies all filters again, as months are coarser."""
@@ -165,24 +231,32 @@ class FeedReader(DataSourceReader):
                     self.last = min(self.last, month)
             yield f
 
-    def partitions(self) -> list[Month]:
+    def partitions(self) -> list[Months]:
         done = set(filter(None, self.options.get("done", "").split(",")))
-        return [Month(m) for m in months(self.first, self.last) if m not in done] or [Month(None)]
+        return dealt([m for m in months(self.first, self.last) if m not in done], int(self.options.get("lanes", 0))) or [Months([])]
 
-    def read(self, partition: Month) -> Iterator[tuple]:
-        if partition.value is None:
-            return
-        of = self.options
-        module, _, name = of.get("transport", f"{__name__}:FilePages").partition(":")
-        feed = getattr(importlib.import_module(module), name)(of["root"])
-        page, pace = int(of.get("page", 1000)), Paced(float(of.get("pause", 0)))
+    def read(self, partition: Months) -> Iterator[tuple]:
+        return read_lane(self.options, partition, self.begin)
 
-        def fetch(start: int) -> bytes:
-            pace.wait()
-            return feed.fetch(partition.value, start, page)
 
-        for row in read_month(fetch, page, int(of.get("attempts", 5)), float(of.get("wait", 3.2)), int(of.get("empty", 4))):
-            yield (*row, partition.value)
+class FeedStreamReader(DataSourceStreamReader):
+    """Months after the last one read. What Spark has committed to its checkpoint is never asked for again."""
+
+    def __init__(self, options: dict[str, str]):
+        self.options, self.begin = options, time.time()
+
+    def initialOffset(self) -> dict[str, str]:
+        return {"through": ""}
+
+    def latestOffset(self) -> dict[str, str]:
+        return {"through": self.options["last"]}
+
+    def partitions(self, start: dict[str, str], end: dict[str, str]) -> list[Months]:
+        chosen = [m for m in months(self.options["first"], end["through"]) if m > start["through"]]
+        return dealt(chosen, int(self.options.get("lanes", 0)))
+
+    def read(self, partition: Months) -> Iterator[tuple]:
+        return read_lane(self.options, partition, self.begin)
 
 
 class PagedFeed(DataSource):
@@ -196,6 +270,9 @@ class PagedFeed(DataSource):
     def reader(self, schema) -> FeedReader:
         return FeedReader(dict(self.options))
 
+    def streamReader(self, schema) -> FeedStreamReader:
+        return FeedStreamReader(dict(self.options))
+
 
 def register(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
