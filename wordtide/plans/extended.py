@@ -341,19 +341,22 @@ def bucket(spark, sf):
     return d.groupBy(audit.identifier_class(F.col("d")).alias("bucket")).agg(F.count("*").alias("n"))
 
 
-@query(r"SELECT page_id, length(regexp_replace(substring(html, 1, 4000), '[^\x00-\x08\x0E-\x1F]', '', 'g')) > 0.02 * length(substring(html, 1, 4000)) AS garbage, length(regexp_replace(substring(repeat(chr(1), 3) || substring(html, 1, page_id), 1, 4000), '[^\x00-\x08\x0E-\x1F]', '', 'g')) > 0.02 * length(substring(repeat(chr(1), 3) || substring(html, 1, page_id), 1, 4000)) AS spoilt FROM pages")
+SPOILT = "repeat(chr(1), CAST(page_id % 200 AS INTEGER)) || html"
+
+
+@query(rf"SELECT page_id, length(regexp_replace(substring(html, 1, 4000), '[^\x00-\x08\x0E-\x1F]', '', 'g')) > 0.02 * length(substring(html, 1, 4000)) AS garbage, length(regexp_replace(substring({SPOILT}, 1, 4000), '[^\x00-\x08\x0E-\x1F]', '', 'g')) > 0.02 * length(substring({SPOILT}, 1, 4000)) AS spoilt FROM pages")
 def garbage(spark, sf):
-    spoilt = F.concat(F.lit("\x01\x01\x01"), F.substring("html", F.lit(1), F.col("page_id").cast("int")))
+    spoilt = F.concat(F.repeat(F.lit("\x01"), (F.col("page_id") % 200).cast("int")), F.col("html"))
     return table(spark, sf, "pages").select("page_id", audit.is_garbage(F.col("html")).alias("garbage"), audit.is_garbage(spoilt).alias("spoilt"))
 
 
-MARKED = "'**' || role || '** <a & b> [' || conv_id || '](http://x/' || turn || ') *' || substring(text, 1, 20) || '*'"
+MARKED = "'**' || role || '** <a & b> [' || conv_id || '](http://x/' || turn || ') *' || text || '*'"
 
 
 @query(rf"""SELECT conv_id, turn, regexp_replace(regexp_replace(regexp_replace(replace(replace(replace({MARKED}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\[([^\]]+)\]\(([^)]+)\)', '<a href="\2">\1</a>', 'g'), '\*\*([^*]+)\*\*', '<strong>\1</strong>', 'g'), '\*([^*]+)\*', '<em>\1</em>', 'g') AS html FROM conversations""")
 def markdown_inline(spark, sf):
     c = table(spark, sf, "conversations")
-    text = F.concat(F.lit("**"), "role", F.lit("** <a & b> ["), F.col("conv_id").cast("string"), F.lit("](http://x/"), F.col("turn").cast("string"), F.lit(") *"), F.substring("text", 1, 20), F.lit("*"))
+    text = F.concat(F.lit("**"), "role", F.lit("** <a & b> ["), F.col("conv_id").cast("string"), F.lit("](http://x/"), F.col("turn").cast("string"), F.lit(") *"), "text", F.lit("*"))
     return c.select("conv_id", "turn", audit.markdown_inline(text).alias("html"))
 
 
@@ -584,11 +587,10 @@ def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 KIND = "page_id % 6"
 
 
-@query(f"SELECT page_id, CAST(CASE WHEN {KIND} IN (0, 1, 2) THEN 1 ELSE 0 END AS INTEGER) AS n_tex, CASE WHEN {KIND} < 2 THEN md5(html || chr(10) || 'refs') WHEN {KIND} IN (2, 3) THEN md5(html) WHEN {KIND} = 4 THEN md5('') END AS text_md5, {KIND} <> 4 AS has_source FROM pages WHERE {KIND} < 5 AND length(html) > 200")
+@query(f"SELECT page_id, CAST(CASE WHEN {KIND} IN (0, 1, 2) THEN 1 ELSE 0 END AS INTEGER) AS n_tex, CASE WHEN {KIND} < 2 THEN md5(html || chr(10) || 'refs') WHEN {KIND} IN (2, 3) THEN md5(html) ELSE md5('') END AS text_md5, {KIND} IN (0, 1, 2) OR {KIND} = 3 AND length(html) > 200 AS has_source FROM pages")
 def archive_scan(spark, sf):
-    p = table(spark, sf, "pages").where(F.length("html") > 200).select("page_id", "html")
-    read = readers.unpack(p.mapInArrow(pack, "page_id bigint, content binary"))
-    return read.where(F.col("page_id") % 6 < 5).select("page_id", "n_tex", F.md5(F.col("text").cast("binary")).alias("text_md5"), "has_source")
+    read = readers.unpack(table(spark, sf, "pages").select("page_id", "html").mapInArrow(pack, "page_id bigint, content binary"))
+    return read.select("page_id", "n_tex", F.md5(F.col("text").cast("binary")).alias("text_md5"), "has_source")
 
 
 @query("SELECT page_id, octet_length(encode(html)) AS bytes, octet_length(encode(html)) > 3000 AS skipped_large, CASE WHEN octet_length(encode(html)) <= 3000 THEN md5(html) END AS text_md5 FROM pages")
