@@ -238,19 +238,35 @@ def test_mixing_converges_on_soft_posteriors():
     logits[np.arange(20_000), domain] += 1
     posterior = np.exp(logits) / np.exp(logits).sum(axis=1, keepdims=True)
     tokens, shares = draw.integers(1, 2000, 20_000).astype(float), np.array([0.94, 0.03, 0.03])
-    sums = lambda prices: mixing.sums_of(tokens, posterior, prices)
-    prices, now, targets, _ = mixing.solve(sums, shares)
+    sums = lambda steps: mixing.sums_of(tokens, posterior, steps)
+    steps, now, targets, _ = mixing.solve(sums, shares)
     assert np.abs(now - targets).max() <= mixing.TOLERANCE * tokens.sum()
-    assert np.allclose((tokens * mixing.rates_of(posterior, prices)) @ posterior, now)
+    assert np.allclose((tokens * mixing.replayed(posterior, steps)[0]) @ posterior, now)
     with pytest.raises(RuntimeError, match="not converged"):
         mixing.solve(sums, shares, max_rounds=2)
 
 
 def test_mixing_out_of_reach_is_least_squares():
-    sums = lambda prices: mixing.sums_of(np.ones(50), np.full((50, 3), 1 / 3), prices)
+    sums = lambda steps: mixing.sums_of(np.ones(50), np.full((50, 3), 1 / 3), steps)
     assert np.allclose(mixing.solve(sums, np.array([0.94, 0.03, 0.03]))[1], 50 / 3)
 
 
+def test_mixing_by_brute_force():
+    """Against nonnegative least squares by plain descent over every rate, with targets in reach and out of it."""
+    draw = np.random.default_rng(4)
+    tokens = draw.integers(1, 9, 40).astype(float)
+    posterior = draw.dirichlet([2, 1, 1], 40)
+    for shares in ([0.5, 0.25, 0.25], [0.8, 0.1, 0.1], [1.0, 0.0, 0.0]):
+        steps, now, targets, _ = mixing.solve(lambda steps: mixing.sums_of(tokens, posterior, steps), np.array(shares))
+        gram = np.linalg.inv((posterior * tokens[:, None]).T @ posterior / tokens.sum())
+        rates = np.ones(40)
+        for _ in range(60_000):
+            rates = np.maximum(rates - posterior @ gram @ ((tokens * rates) @ posterior - targets) / tokens.sum(), 0)
+        error = lambda totals: (totals - targets) @ gram @ (totals - targets) / tokens.sum() ** 2  # noqa: B023, E731
+        assert error(now) <= error((tokens * rates) @ posterior) + 1e-8
+        assert (mixing.replayed(posterior, steps)[0] >= 0).all()
+
+
 def test_clean_row_of_null_id_stays(spark):
     rows = [(None, "a b c leak leak d"), (None, "clean words"), (None, None), (1, "clean words"), (2, "x leak leak"), (2, "same id, clean")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")

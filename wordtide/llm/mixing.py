@@ -4,12 +4,13 @@ A classifier (subword embeddings) learns domains from a labelled table and gives
 posterior over them. Document rates r >= 0 are then fitted by projected-gradient least squares, so that the
 expected tokens of each domain, the sum of r * tokens * posterior, match the targets.
 
-The rate of a document is ``max(0, 1 - posterior . price)`` with one price per domain, so the fit has as few unknowns as
-there are domains: projected least squares over all rates, as near to 1 as the targets allow, solved in its dual by Newton steps. A round is one
-pass over a compact stored table (tokens and posterior) that sums, map-side, gradient and curvature at several step
-lengths at once. No state per document is kept between rounds, nothing but a few vectors per round reaches the driver, and a
-lost executor costs the repetition of its tasks. Rounds go on until the gradient vanishes; a fit that does not get there raises an error.
-Targets out of reach are logged with the totals reached. Residuals are weighed by the domain's present share.
+Rates start at 1 and take projected-gradient steps, accelerated by momentum that is dropped whenever a step would raise the error. Errors of
+the totals are weighed by the inverse of the posteriors' token-weighted Gram matrix, in which a step of length one is the best, so that
+where no rate is cut at 0 one step reaches the targets. A step moves a rate by the product of its posterior with one vector, so the few
+vectors taken so far are all that there is to a fit: each round is one pass over a compact stored table (tokens and posterior),
+which replays the steps on its rows and sums the totals map-side. No state per document is kept between rounds, nothing but a few numbers
+per round reaches the driver, and a lost executor costs the repetition of its tasks. Rounds go on until rates no longer move; a fit
+that does not get there raises an error. Targets out of reach are logged with the totals reached.
 
 Defined results: null and empty texts have no tokens and the posterior of the bias alone; repeated rows and equal
 texts get equal rates; without labels all posteriors are equal, the targets are out of reach and the rates
@@ -37,12 +38,14 @@ MAX_DOCS = 3000
 STEPS = 20_000
 #: Share of all tokens within which a target counts as reached.
 TOLERANCE = 1e-3
-#: Gradient (as a share of all tokens) at which a fit has converged, and rounds after which that is an error.
+#: Mean move of a rate (by tokens) in a step at which a fit has converged, and rounds after which that is an error.
 CONVERGED = 1e-7
-MAX_ROUNDS = 200
-#: Weight of the distance of the rates from 1 against that of the totals from their targets.
-RIDGE = 1e-6
-LENGTHS = 0.5 ** np.arange(16)
+MAX_ROUNDS = 1000
+#: Directions of the posteriors below this share of the largest do not count as different.
+FLAT = 1e-9
+
+#: The steps of a fit: a vector that posteriors are multiplied with, and the momentum after it.
+Steps = list[tuple[np.ndarray, float]]
 
 _log = logging.getLogger(__name__)
 
@@ -51,77 +54,81 @@ def _posterior_matrix(column: pa.Array, n: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), n)
 
 
-def rates_of(posterior: np.ndarray, prices: np.ndarray) -> np.ndarray:
-    """The rates at the given prices (one vector, or one per row)."""
-    return np.maximum(1 - posterior @ prices.T, 0)
+def replayed(posterior: np.ndarray, steps: Steps) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The rates after the steps, the point that the next one starts from, and how far the last one has moved from its start."""
+    rates = start = np.ones(len(posterior))
+    moved = np.zeros(len(posterior))
+    for vector, momentum in steps:
+        new = np.maximum(start - posterior @ vector, 0)
+        moved = np.abs(new - start)
+        start, rates = new + momentum * (new - rates), new
+    return rates, start, moved
 
 
-def sums_of(tokens: np.ndarray, posterior: np.ndarray, prices: np.ndarray) -> np.ndarray:
-    """Per vector of prices: the expected tokens per domain, then the token-weighted Gram matrix of the posteriors of positive rate."""
-    rates, out = rates_of(posterior, prices), []
-    for rate in rates.T:
-        weighted = posterior * (tokens * (rate > 0))[:, None]
-        out.append(np.concatenate([(tokens * rate) @ posterior, (weighted.T @ posterior).ravel()]))
-    return np.array(out)
+def sums_of(tokens: np.ndarray, posterior: np.ndarray, steps: Steps) -> np.ndarray:
+    """Expected tokens per domain at the rates and at the next start, tokens moved, and the posteriors' token-weighted Gram matrix."""
+    rates, start, moved = replayed(posterior, steps)
+    gram = (posterior * tokens[:, None]).T @ posterior
+    return np.concatenate([(tokens * rates) @ posterior, (tokens * start) @ posterior, [tokens @ moved], gram.ravel()])
 
 
-def _totals(scored: DataFrame, n: int, prices: np.ndarray) -> np.ndarray:
+def _totals(scored: DataFrame, n: int, steps: Steps) -> np.ndarray:
     """``sums_of`` all rows."""
-    size = len(prices) * (n + n * n)
+    size = 2 * n + 1 + n * n
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size)
         for batch in batches:
             tokens = batch.column(0).to_numpy(zero_copy_only=False).astype(np.float64)
-            total += sums_of(tokens, _posterior_matrix(batch.column(1), n), prices).ravel()
+            total += sums_of(tokens, _posterior_matrix(batch.column(1), n), steps)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(size)), pa.array(total)], names=["k", "v"])
 
     rows = scored.select("__n_words", "__probabilities").mapInArrow(sums, "k bigint, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()
     out = np.zeros(size)
     for row in rows:  # size of them
         out[row["k"]] = row["v"]
-    return out.reshape(len(prices), n + n * n)
+    return out
 
 
-def solve(totals: Callable[[np.ndarray], np.ndarray], shares: np.ndarray, max_rounds: int = MAX_ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """Prices, the totals reached, the targets and the rounds; ``totals`` is ``sums_of`` at several prices."""
-    n = len(shares)
-    prices = np.zeros(n)
-    here = totals(prices[None])[0]
-    whole = here[:n].sum()
+def solve(totals: Callable[[Steps], np.ndarray], shares: np.ndarray, max_rounds: int = MAX_ROUNDS) -> tuple[Steps, np.ndarray, np.ndarray, int]:
+    """The steps, the totals reached, the targets and the rounds; ``totals`` is ``sums_of`` for all rows."""
+    n, steps = len(shares), []
+    sums = totals(steps)
+    now, ahead, whole = sums[:n], sums[n : 2 * n], sums[:n].sum()
     targets = shares * whole
     if not whole:
-        return prices, here[:n], targets, 0
-    ridge = RIDGE * np.maximum(here[:n] / whole, 1e-4)
-
-    def gradient(at: np.ndarray, sums: np.ndarray) -> np.ndarray:
-        return shares - sums[:n] / whole + ridge * at
-
-    for done in range(max_rounds):
-        slope = gradient(prices, here)
-        if np.abs(slope).max() <= CONVERGED:
-            return prices, here[:n], targets, done
-        step = -np.linalg.solve(here[n:].reshape(n, n) / whole + np.diag(ridge), slope)
-        tried = prices + LENGTHS[:, None] * step
-        sums = totals(tried)
-        best = min(range(len(tried)), key=lambda k: abs(gradient(tried[k], sums[k]) @ step))
-        prices, here = tried[best], sums[best]
-    raise RuntimeError(f"mixing rates have not converged in {max_rounds} rounds: totals {here[:n] / whole}, targets {shares}, gradient {np.abs(slope).max()}")
-
-
-def fit_rates(scored: DataFrame, shares: np.ndarray, tolerance: float = TOLERANCE, max_rounds: int = MAX_ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The prices that bring the expected domain tokens to ``shares`` of the present total, the totals reached and the targets."""
-    prices, now, targets, rounds = solve(lambda at: _totals(scored, len(shares), at), shares, max_rounds)
+        return steps, now, targets, 0
+    weight = np.linalg.pinv(sums[2 * n + 1 :].reshape(n, n) / whole, rcond=FLAT, hermitian=True)
+    energy = lambda at: float((at / whole - shares) @ weight @ (at / whole - shares))
+    pace, least = 1.0, energy(now)
+    for done in range(1, max_rounds + 1):
+        faster = (1 + np.sqrt(1 + 4 * pace * pace)) / 2
+        steps.append((weight @ (ahead / whole - shares), (pace - 1) / faster))
+        sums = totals(steps)
+        if len(steps) > 1 and steps[-2][1] and energy(sums[:n]) > least:
+            # The momentum has gone too far: back to the rates before this step, from a standstill.
+            steps = [*steps[:-2], (steps[-2][0], 0.0)]
+            ahead, pace = now, 1.0
+            continue
+        now, ahead, pace, least = sums[:n], sums[n : 2 * n], faster, energy(sums[:n])
+        if sums[2 * n] <= CONVERGED * whole:
+            return steps, now, targets, done
+    raise RuntimeError(f"mixing rates have not converged in {max_rounds} rounds: totals {now / whole}, targets {shares}, moved {sums[2 * n] / whole}")
+
+
+def fit_rates(scored: DataFrame, shares: np.ndarray, tolerance: float = TOLERANCE, max_rounds: int = MAX_ROUNDS) -> tuple[Steps, np.ndarray, np.ndarray]:
+    """The steps that bring the expected domain tokens to ``shares`` of the present total, the totals reached and the targets."""
+    steps, now, targets, rounds = solve(lambda at: _totals(scored, len(shares), at), shares, max_rounds)
     whole = max(targets.sum(), 1)
     report = _log.warning if np.abs(now - targets).max() > tolerance * whole else _log.info
     report("mixing: shares %s reached of %s in %d rounds", now / whole, shares, rounds)
-    return prices, now, targets
+    return steps, now, targets
 
 
-def rate_column(posterior: Column, prices: np.ndarray) -> Column:
+def rate_column(posterior: Column, n: int, steps: Steps) -> Column:
     def rates(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield pa.array(rates_of(_posterior_matrix(batch, len(prices)), prices))
+            yield pa.array(replayed(_posterior_matrix(batch, n), steps)[0])
 
     return F.arrow_udf(rates, "double").asNondeterministic()(posterior)
 
@@ -140,8 +147,8 @@ def mix(docs: DataFrame, labelled: DataFrame, weights: Mapping[str, float], max_
         shares = np.where(model.seen, shares, 0)
         if not shares.sum():
             raise ValueError("no domain of positive weight has a labelled example")
-    prices, _, _ = fit_rates(scored, shares / shares.sum())
-    return scored.withColumn(rates, rate_column(F.col("__probabilities"), prices))
+    steps, _, _ = fit_rates(scored, shares / shares.sum())
+    return scored.withColumn(rates, rate_column(F.col("__probabilities"), len(names), steps))
 
 
 def copies(rate: Column, key: Column, seed: int = 17) -> Column:
