@@ -539,19 +539,35 @@ def overlaps_of_few(owner: np.ndarray, row: np.ndarray, word: np.ndarray) -> tup
     return pair // n, pair % n, count
 
 
-def overlaps_of_many(row: np.ndarray, word: np.ndarray, n: int) -> np.ndarray:
-    """The overlaps of all pairs of n rows, as products of membership matrices of a few thousand words each."""
-    _, at = np.unique(word, return_inverse=True)
-    order = np.argsort(at, kind="stable")
-    row, at = row[order], at[order]
-    out = np.zeros((n, n), np.float32)
-    width = max(256, 8_000_000 // max(1, n))
-    for first in range(0, int(at[-1]) + 1 if len(at) else 0, width):
-        part = slice(*np.searchsorted(at, [first, first + width]))
-        member = np.zeros((n, width), np.float32)
-        member[row[part], at[part] - first] = 1
-        out += member @ member.T
-    return out.astype(np.int64)
+#: Rows of one block of a group, whatever their words.
+MOST_ROWS = 20_000
+#: Counts and postings that are held at a time for a block of many rows.
+_TILE = 2_000_000
+
+
+def matches_of_many(row: np.ndarray, word: np.ndarray, size: np.ndarray, apart: Callable[[slice], np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, how many rows it matches, the first of them) of rows that match any. ``row`` is sorted; ``apart`` says which rows may match those of a
+    slice. Words have inverted lists; some rows at a time are counted against all, and only counts and first matches are kept, so
+    memory follows the tile and the lists, not the square of the rows."""
+    n = len(size)
+    lists = np.argsort(word, kind="stable")
+    holder, sorted_words = row[lists], word[lists]
+    low, high = np.searchsorted(sorted_words, word), np.searchsorted(sorted_words, word, "right")
+    offsets = np.concatenate([[0], np.cumsum(size)])
+    work = np.concatenate([[0], np.cumsum(high - low)])[offsets]
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    a = 0
+    while a < n:
+        b = min(n, a + max(1, _TILE // n), max(a + 1, int(np.searchsorted(work, work[a] + _TILE, "right")) - 1))
+        e = slice(int(offsets[a]), int(offsets[b]))
+        k = high[e] - low[e]
+        at = np.repeat(low[e] - np.cumsum(k) + k, k) + np.arange(k.sum())
+        counts = np.bincount(np.repeat(row[e] - a, k) * n + holder[at], minlength=(b - a) * n).reshape(b - a, n)
+        ok = (DENOMINATOR * counts >= NUMERATOR * (size[a:b, None] + size[None, :] - counts)) & apart(slice(a, b))
+        x = np.flatnonzero(ok.any(1))
+        found.append((x + a, ok[x].sum(1), ok[x].argmax(1)))
+        a = b
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
 
 
 REACH = "i1 bigint, i2 bigint, n_links bigint, doc_id bigint, line int, mark bigint"
@@ -578,15 +594,6 @@ def _reach(block: Block) -> pa.RecordBatch:
     group = np.repeat(np.arange(len(starts)), n_rows)
     few = (n_rows <= _FEW)[group[owner]]
     xs, ys, overlap = (list(p) for p in zip(overlaps_of_few(group[owner][few], owner[few], block.words[few]), strict=True))
-    offsets = np.concatenate([[0], block.ends])
-    for g in np.flatnonzero(n_rows > _FEW).tolist():
-        a, b = int(starts[g]), int(starts[g] + n_rows[g])
-        part = slice(int(offsets[a]), int(offsets[b]))
-        counted = overlaps_of_many(owner[part] - a, block.words[part], b - a)
-        x, y = np.nonzero(np.triu(counted, 1))
-        xs.append(x + a)
-        ys.append(y + a)
-        overlap.append(counted[x, y])
     x, y, overlap = (np.concatenate(p) for p in (xs, ys, overlap))
     same = (i1[x] == i1[y]) & (i2[x] == i2[y])
     ok = ~same & (DENOMINATOR * overlap >= NUMERATOR * (size[x] + size[y] - overlap)) & (~block.cross[x] | (block.own[x] != block.own[y]))
@@ -595,7 +602,22 @@ def _reach(block: Block) -> pa.RecordBatch:
     x, y = x[order], y[order]
     first = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])[: len(x)])
     n = np.diff(np.concatenate([first, [len(x)]]))
-    x, y = x[first], y[first]
+    found = [(x[first], n, y[first])]
+    offsets = np.concatenate([[0], block.ends])
+    for g in np.flatnonzero(n_rows > _FEW).tolist():
+        a, b = int(starts[g]), int(starts[g] + n_rows[g])
+        # In the order of places, so that the first match is the earliest.
+        rows = a + np.lexsort((mark[a:b], line[a:b], doc[a:b]))
+        words = np.concatenate([block.words[offsets[r] : offsets[r + 1]] for r in rows])
+        one, two, own, cross = i1[rows], i2[rows], block.own[rows], bool(block.cross[a])
+
+        def apart(part: slice, one=one, two=two, own=own, cross=cross) -> np.ndarray:
+            differ = (one[part, None] != one) | (two[part, None] != two)
+            return differ & (own[part, None] != own) if cross else differ
+
+        x, n, y = matches_of_many(np.repeat(np.arange(b - a), size[rows]), words, size[rows], apart)
+        found.append((rows[x], n, rows[y]))
+    x, n, y = (np.concatenate(p) for p in zip(*found, strict=True))
     columns = [i1[x], i2[x], n, doc[y], line[y].astype(np.int32), mark[y]]
     return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[c.split()[0] for c in REACH.split(", ")])
 
@@ -672,7 +694,7 @@ def matches(docs: DataFrame, min_tokens: int = MIN_TOKENS, block_rows: int = BLO
     sets, of_sets = save(again.mapInArrow(trimmed(_full_sets), SETS), "sets")
     clear(spark)
 
-    blocks = sets.groupBy("grp").agg(F.ceil(F.sum(F.size("words").cast("bigint")) / F.lit(block_words)).cast("int").alias("nb"), F.count("*").alias("members")).where("members > 1")
+    blocks = sets.groupBy("grp").agg(F.ceil(F.greatest(F.sum(F.size("words").cast("bigint")) / F.lit(block_words), F.count("*") / F.lit(MOST_ROWS))).cast("int").alias("nb"), F.count("*").alias("members")).where("members > 1")
     rows = sets.join(blocks.select("grp", "nb"), "grp").withColumn("own", F.pmod(F.xxhash64("i1", "i2"), F.col("nb")).cast("int"))
     # A row of a large group goes to the pairs of its block with every block.
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
