@@ -41,3 +41,32 @@ def test_many_short_lines_take_little_memory():
     x, count, first = linejoin.matches_of_many(*arrays(sets), lambda part: ids[part, None] != ids)
     assert len(x) == n and count[0] == n - 1 and (count[1:] == 1).all() and (first[1:] == 0).all()
     assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 400_000
+
+
+def test_many_licence_matches_in_one_text(spark):
+    """64,000 places in one text: positions take about n^(4/3) steps, so seconds."""
+    from wordtide.llm import licenses
+
+    docs = spark.createDataFrame([(1, "mit license " * 64_000)], "doc_id bigint, text string")
+    r = licenses.licenses(docs).select("n_words", "n_base", "first_word", "last_word", "labels").first()
+    assert tuple(r) == (128_000, 64_000, 0, 127_998, "mit")
+
+
+def test_slots_by_an_independent_fill():
+    """Each shard's order over the slots as a list; in turn, each takes the first of its own that is free."""
+    import hashlib
+
+    from wordtide.llm import sharding
+
+    def order(name, size):
+        number = lambda salt: int(hashlib.sha256(f"{salt}:{name}".encode()).hexdigest()[:16], 16)
+        offset, stride = number("offset") % size, number("stride") % (size - 1) + 1
+        return [(offset + k * stride) % size for k in range(size)]
+
+    for shards, size in ((["a", "b", "c"], 7), ([f"s{k}" for k in range(11)], 101)):
+        owner, orders = {}, [order(s, size) for s in shards]
+        while len(owner) < size:
+            for s, slots in enumerate(orders):
+                if len(owner) < size:
+                    owner[next(x for x in slots if x not in owner)] = s
+        assert sharding.fill_table(shards, size) == [owner[x] for x in range(size)]

@@ -35,6 +35,11 @@ def _n_spaces(c: Column) -> Column:
     return F.length(c) - F.length(F.replace(c, F.lit(" "), F.lit("")))
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often it is used, also within lambdas."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _running(items: Column, start: Column, step: Callable[[Column, Column], Column], out: Callable[[Column, Column], Column], kind: str) -> Column:
     """``out(state, item)`` of every item, ``state`` being what ``step`` has made of those before it.
 
@@ -45,24 +50,31 @@ def _running(items: Column, start: Column, step: Callable[[Column, Column], Colu
         both = F.struct(state.alias("state"), empty.alias("out"))
         return F.aggregate(block, both, lambda s, x: F.struct(step(s["state"], x).alias("state"), F.concat(s["out"], F.array(out(s["state"], x))).alias("out")), lambda s: s["out"])
 
-    width = F.greatest(F.ceil(F.cbrt(F.size(items))), F.lit(1)).cast("int")
-    starts = F.sequence(F.lit(1), F.greatest(F.size(items), F.lit(1)), width)
-    blocks = F.transform(starts, lambda at: F.slice(items, at, width))
-    first = F.struct(start.alias("state"), F.array(start).alias("out"))
-    states = F.aggregate(blocks, first, lambda s, block: F.struct(F.aggregate(block, s["state"], step).alias("state"), F.concat(s["out"], F.array(F.aggregate(block, s["state"], step))).alias("out")), lambda s: s["out"])
-    return F.flatten(F.zip_with(blocks, F.slice(states, 1, F.size(blocks)), inner))
+    def cut(xs: Column) -> Column:
+        width = F.greatest(F.ceil(F.cbrt(F.size(xs))), F.lit(1)).cast("int")
+        starts = F.sequence(F.lit(1), F.greatest(F.size(xs), F.lit(1)), width)
+        return _let(width, lambda w: F.transform(starts, lambda at: F.slice(xs, at, w)))
+
+    def run(blocks: Column) -> Column:
+        states = F.aggregate(blocks, F.array(start), lambda s, block: F.concat(s, F.array(F.aggregate(block, F.element_at(s, -1), step))))
+        return F.flatten(F.zip_with(blocks, F.slice(states, F.lit(1), F.size(blocks)), inner))
+
+    return _let(items, lambda xs: _let(cut(xs), run))
 
 
 def _places(text: Column, rule: Column) -> Column:
     """The intervals (in words) where the rule's pattern matches: the pieces between matches give their positions."""
-    found = F.regexp_extract_all(text, rule["pattern"], F.lit(0))
-    pairs = F.zip_with(F.slice(F.split(text, rule["pattern"], -1), 1, F.size(found)), found, lambda piece, match: F.struct(_n_spaces(piece).alias("before"), _n_spaces(match).alias("within")))
+
+    def pairs(found: Column) -> Column:
+        pieces = F.slice(F.split(text, rule["pattern"], -1), F.lit(1), F.size(found))
+        return F.zip_with(pieces, found, lambda piece, match: F.struct(_n_spaces(piece).alias("before"), _n_spaces(match).alias("within")))
 
     def span(at: Column, pair: Column) -> Column:
         start = at + pair["before"]
         return F.struct(start.alias("start"), (start + pair["within"] + 1).alias("stop"), rule["priority"].alias("priority"), rule["rule"].alias("rule"), rule["label"].alias("label"), rule["base"].alias("base"))
 
-    return _running(pairs, F.lit(-1), lambda at, pair: at + pair["before"] + pair["within"], span, _SPAN)
+    found = F.regexp_extract_all(text, rule["pattern"], F.lit(0))
+    return _running(_let(found, pairs), F.lit(-1), lambda at, pair: at + pair["before"] + pair["within"], span, _SPAN)
 
 
 def _unsuppressed(spans: Column) -> Column:
