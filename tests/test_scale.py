@@ -298,3 +298,17 @@ def test_lists_hold_counts(tmp_path):
     Path(tmp_path, "data", "r").mkdir(parents=True)
     sink.publish(str(tmp_path), "r", [sink.Written("data/r/a.json", 2), sink.Written("data/r/b.json", 0)])
     assert json.loads(Path(tmp_path, "commits", "r.json").read_text()) == {"files": ["data/r/a.json"], "n": 2}
+
+
+@pytest.mark.parametrize("hot", [1, 4, 10_000])
+def test_citations_with_an_id_that_all_cite(spark, monkeypatch, hot):
+    """Whether an id is looked up by broadcast or by a join, counts are the same; nulls and papers that cite nothing too."""
+    monkeypatch.setattr(audit, "HOT_IDS", hot)
+    rng = random.Random(8)
+    rows = [(k, 2020 + k % 3, ["all", *({str(rng.randint(0, 9)) for _ in range(k % 4)})] if k % 5 else []) for k in range(60)] + [(99, 2020, None)]
+    authority = [("all",), ("1",), ("2",), ("2",), (None,)]
+    found = audit.citations_by_year(spark.createDataFrame(rows, "id int, year int, cited array<string>"), spark.createDataFrame(authority, "cited string")).collect()
+    for r in found:
+        of = [c or [] for _, y, c in rows if y == r["year"]]
+        gone = [[x for x in c if x not in ("all", "1", "2")] for c in of]
+        assert (r["papers"], r["cited"], r["missing"], r["papers_with_missing"]) == (len(of), sum(map(len, of)), sum(map(len, gone)), sum(map(bool, gone)))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wordtide.functions import lexicons, stats
+from wordtide.sources.shared import materialise
 
 # Texts
 
@@ -259,11 +260,21 @@ def existence(cited: DataFrame, answers: DataFrame, key: str, status: str = "sta
     return cited.select(key).distinct().join(answer, key, "left").select(key, known.alias("exists"))
 
 
+#: Ids of more than this part of all citations, of which there are fewer than this number, are looked up by broadcast.
+HOT_IDS = 10_000
+
+
 def citations_by_year(records: DataFrame, authority: DataFrame, key: str = "id", cited: str = "cited") -> DataFrame:
     """Per year of records (key, year, cited: distinct ids): papers, cited ids, those the authority (``cited``) lacks, papers with such an id."""
     pairs = records.select(key, "year", F.explode(cited).alias("__c"))
-    gone = pairs.select("__c").distinct().join(authority.select(F.col(cited).cast("string").alias("__c")), "__c", "left_anti").withColumn("__gone", F.lit(1))
-    per_paper = pairs.join(gone, "__c", "left").groupBy(key, "year").agg(F.count("*").alias("n"), F.count("__gone").alias("m"))
+    counts = pairs.groupBy("__c").agg(F.count("*").alias("__n"))  # map-side first, so that an id that all cite does no harm
+    there = authority.select(F.col(cited).cast("string").alias("__c")).distinct().withColumn("__there", F.lit(1))
+    known = materialise(counts.join(there, "__c", "left").select("__c", "__n", F.when(F.col("__there").isNull(), 1).alias("__gone")), "cited")
+    whole = known.agg(F.sum("__n").alias("__all"))
+    often = known.crossJoin(F.broadcast(whole)).where(F.col("__n") * HOT_IDS > F.col("__all")).select("__c", "__gone")  # one row; fewer than HOT_IDS
+    rare = pairs.join(F.broadcast(often.select("__c")), "__c", "left_anti").join(known.where("__gone = 1").select("__c", "__gone"), "__c", "left")
+    flagged = rare.unionByName(pairs.join(F.broadcast(often), "__c"))
+    per_paper = flagged.groupBy(key, "year").agg(F.count("*").alias("n"), F.count("__gone").alias("m"))
     of_papers = per_paper.groupBy("year").agg(F.sum("n").alias("cited"), F.sum("m").alias("missing"), F.count(F.when(F.col("m") > 0, 1)).alias("papers_with_missing"))
     out = records.groupBy("year").agg(F.count("*").alias("papers")).join(of_papers, "year", "left").fillna(0)
     return out.withColumn("missing_pct", F.when(F.col("cited") > 0, 100.0 * F.col("missing") / F.col("cited")).otherwise(0.0))
