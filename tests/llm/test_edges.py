@@ -5,7 +5,7 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
-from wordtide.llm import classifier, decontamination, licenses, linejoin, minhash, mixing, mjpeg, sharding, substring
+from wordtide.llm import classifier, decontamination, licenses, linejoin, minhash, mixing, mjpeg, sharding, substring, warc
 from wordtide.llm.queries import SHARDS
 
 SCHEMA = "doc_id bigint, text string, id bigint, key string, n bigint, component string"
@@ -131,3 +131,46 @@ def test_short_item_is_found(spark):
     bench = spark.createDataFrame([(7, "x y")], "item_id bigint, text string")
     hit = decontamination.contamination(frame(spark, ROWS), bench).where("contaminated").collect()
     assert [r["doc_id"] for r in hit] == [None]
+
+
+def test_near_items_of_odd_rows(spark):
+    """Null, empty, long, repeated rows and an item that is one word: near items hold the exact ones."""
+    bench = spark.createDataFrame([(1, ROWS[0][1]), (2, None), (3, ""), (4, "word"), (None, "x y")], "item_id bigint, text string")
+    rows = decontamination.contamination(frame(spark, ROWS), bench, slop=decontamination.SLOP).collect()
+    near = {}
+    for r in rows:
+        assert set(r["items"]) <= set(r["near_items"])
+        near.setdefault(r["doc_id"], set()).add(tuple(r["near_items"]))
+    assert near == {1: {("1",)}, 2: {()}, 3: {()}, 4: {("4",)}, None: {("null",)}, 5: {()}, 6: {()}}
+    assert decontamination.contamination(frame(spark, []), bench, slop=decontamination.SLOP).count() == 0
+
+
+def test_clips_of_odd_rows(spark):
+    """Every row has clips that follow one another from the start; repeated rows have equal ones, a null id keeps its own."""
+    clips = lambda rows: mjpeg.clip_rows(mjpeg.features(mjpeg.media_column(frame(spark, rows)))).collect()
+    found = clips(ROWS)
+    assert {str(r["doc_id"]) for r in found} == {str(r[0]) for r in ROWS} and clips([]) == []
+    by = {}
+    for r in found:
+        by.setdefault(str(r["doc_id"]), []).append(tuple(r)[1:])
+    assert all(by["1"].count(c) % 2 == 0 for c in by["1"]) and len(set(by["2"])) == len(set(by["3"])) == 1
+
+
+def test_totals_of_odd_rows(spark):
+    """A row per domain, with shares that add up to 1; without documents there is nothing to share."""
+    labels = spark.createDataFrame([(1, "a"), (4, "b")], "doc_id bigint, label string")
+    rows = mixing.domain_totals(mixing.mix(frame(spark, ROWS), labels, WEIGHTS), WEIGHTS).collect()
+    assert {r["domain"]: r["target"] for r in rows} == WEIGHTS and abs(sum(r["share"] for r in rows) - 1) < 1e-9
+    assert mixing.domain_totals(mixing.mix(frame(spark, []), labels, WEIGHTS), WEIGHTS).count() == 0
+
+
+def test_archive_of_very_long_and_odd_pages(spark):
+    long = "<p>é</p>" * 400_000
+    rows = [(3, "u", long), (2, "u", long), (None, "u", long), (1, None, ""), (4, "a\r\nb", None), (5, "u", "x" * 99), (6, "u", "x" * 99), (2, "u", long)]
+    archive = warc.write_archive(spark.createDataFrame(rows, "page_id bigint, url string, html string"))
+    found = sorted(((str(r["page_id"]), r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in warc.read_records(spark, archive).collect()), key=repr)
+    size, digest = len(long.encode()), lambda t: hashlib.sha256(t.encode()).hexdigest()
+    want = [("2", size, digest(long), "response", None)] * 2 + [("3", size, digest(long), "revisit", 2), ("None", size, digest(long), "revisit", 2)]
+    want += [("1", 0, digest(""), "response", None), ("4", 0, digest(""), "response", None), *((k, 99, digest("x" * 99), "response", None) for k in "56")]
+    assert found == sorted(want, key=repr)
+    assert spark.read.parquet(archive.payloads).count() == 3
