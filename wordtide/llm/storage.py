@@ -30,6 +30,17 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return save(df, label)[0]
 
 
+def settle(df: DataFrame, label: str) -> DataFrame:
+    """``materialise``, after which Spark deletes the shuffle files of the step at once (``clear`` waits for a collection of garbage)."""
+    spark, setting = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(setting, None)
+    spark.conf.set(setting, "true")
+    try:
+        return materialise(df, label)
+    finally:
+        spark.conf.unset(setting) if before is None else spark.conf.set(setting, before)
+
+
 def give_back() -> None:
     """Hands freed memory back to the system, where the C library can."""
     pa.default_memory_pool().release_unused()

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from wordtide.operators.corpus import ranked
 
-from .storage import clear, materialise
+from .storage import settle
 
 #: Samples of a fingerprint, taken ``STEP`` at a time: a row holds as many values.
 SAMPLES, STEP = 48, 4
@@ -76,7 +76,7 @@ def _samples(terms: DataFrame, *group: str) -> DataFrame:
     least = held.groupBy(*group, "holder", "step").agg(*[F.min(f"v{k}").alias(f"v{k}") for k in range(STEP)])
     side = F.col("holder") % 3
     both = [F.min(F.when(side != other, F.col(f"v{k}"))).alias(f"{name}{k}") for name, other in (("a", 2), ("b", 1)) for k in range(STEP)]
-    both = least.withColumn("of", F.floor(F.col("holder") / 3).cast("bigint")).groupBy(*group, "of", "step").agg(*both)
+    both = least.withColumn("of", F.expr("holder DIV 3")).groupBy(*group, "of", "step").agg(*both)
 
     def signature(name: str) -> Column:
         rows = F.array_sort(F.collect_list(F.struct("step", *[f"{name}{k}" for k in range(STEP)])))
@@ -93,18 +93,18 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     key = F.unhex(F.sha2(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":"), text), 256))
     keyed = docs.select("doc_id", text.alias("text"), key.alias("key"))
     rows = keyed.groupBy("key").agg(F.first("doc_id").alias("doc_id"), F.first(F.length("text")).alias("n_chars"))
-    order = materialise(ranked(rows, [], ["doc_id", "key"]).select("key", "rn", "cnt", F.expr("n_chars DIV 4").alias("k")), "order")
+    order = settle(ranked(rows, [], ["doc_id", "key"]).select("key", "doc_id", "rn", "cnt", F.expr("n_chars DIV 4").alias("k")), "order")
     follows = order.select(F.col("key").alias("to"), F.col("rn").alias("of"), "k", F.pmod(F.col("rn") + 1, F.col("cnt")).alias("next"))
     follows = follows.join(order.select(F.col("rn").alias("next"), "key"), "next").select("key", "to", "of", "k")
-    pieces = keyed.dropDuplicates(["key"]).join(materialise(follows, "follows"), "key")
-    pieces = materialise(pieces.select(F.col("to").alias("key"), "of", F.expr("substring(text, 1, k)").alias("piece")), "pieces")
-    clear(spark)
+    pieces = keyed.dropDuplicates(["key"]).join(settle(follows, "follows"), "key")
+    pieces = settle(pieces.select(F.col("to").alias("key"), "of", F.expr("substring(text, 1, k)").alias("piece")), "pieces")
 
     n_buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    own = keyed.select("key", "doc_id", "text", F.lit(None).cast("bigint").alias("of"), F.lit(None).cast("string").alias("piece"))
-    given = pieces.select("key", F.lit(None).cast(dict(docs.dtypes)["doc_id"]).alias("doc_id"), F.lit(None).cast("string").alias("text"), "of", "piece")
-    dealt = own.unionByName(given).withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(n_buckets))).repartition(n_buckets // 2, "bucket")
-    whole = dealt.groupBy("bucket", "key").agg(*[F.first(c, True).alias(c) for c in ("doc_id", "text", "of", "piece")], F.count("text").alias("copies"))
+    # Both uses of ``whole`` below need the same columns, and no filter of nulls (hence the coalesce), so that one shuffle serves them.
+    own = keyed.select("key", "text", F.lit(None).cast("bigint").alias("of"), F.lit(None).cast("string").alias("piece"))
+    given = pieces.select("key", F.lit(None).cast("string").alias("text"), "of", "piece")
+    dealt = own.unionByName(given).withColumn("bucket", F.coalesce(F.pmod(F.xxhash64("key"), F.lit(n_buckets)), F.lit(0).cast("bigint"))).repartition(n_buckets // 2, "bucket")
+    whole = dealt.groupBy("bucket", "key").agg(*[F.first(c, True).alias(c) for c in ("text", "of", "piece")], F.count("text").alias("copies"))
     kept = F.expr("substring(text, 1, length(text) - length(text) DIV 4)")
     edited = F.concat(F.col("kept"), F.col("piece"))
     whole = whole.withColumn("kept", kept)
@@ -117,13 +117,12 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     split = F.when(F.col("one") == F.col("two"), F.array(F.struct(F.lit(0).alias("sides"), F.col("one").alias("weight")))).otherwise(F.array(F.struct(F.lit(1).alias("sides"), F.col("one").alias("weight")), F.struct(F.lit(2).alias("sides"), F.col("two").alias("weight"))))
     terms = counts.select("bucket", "of", "term", F.inline(split)).where("weight > 0")
     sampled = _samples(terms, "bucket")
-    about = whole.select("bucket", "of", "doc_id", "copies", F.length("text").cast("bigint").alias("n_chars"), F.sha2(edited, 256).alias("edited_sha256"))
-    both = materialise(about.join(sampled, ["bucket", "of"], "left").drop("bucket"), "fingerprints")
-    clear(spark)
+    about = whole.select("bucket", "of", "copies", F.length("text").cast("bigint").alias("n_chars"), F.sha2(edited, 256).alias("edited_sha256"))
+    both = settle(about.join(sampled, ["bucket", "of"], "left").drop("bucket"), "fingerprints")
 
     before = both.select(F.col("of").alias("next"), F.col("samples").alias("next_samples"))
-    count = order.agg(F.count("*").alias("cnt"))
-    linked = both.crossJoin(F.broadcast(count)).withColumn("next", F.pmod(F.col("of") + 1, F.col("cnt"))).join(before, "next")
+    named = order.select("doc_id", F.col("rn").alias("of"), F.pmod(F.col("rn") + 1, F.col("cnt")).alias("next"))
+    linked = both.join(named, "of").join(before, "next")
     return linked.select(
         "doc_id",
         "n_chars",
