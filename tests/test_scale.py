@@ -206,7 +206,7 @@ def test_draws_beyond_numpy():
 
 def test_permuted_null_against_rows(spark):
     """The row version deals documents, this one counts: means and 95th percentiles agree within the noise of 100 permutations."""
-    d, _ = frame(spark, fields=("x", "y"))
+    d, _ = frame(spark)
     rows = frequency.permutation_null(d, WORDS, 100, below=0.3).first()
     split = frequency.permuted_null(d, WORDS, 100, below=0.3).first()
     assert [rows[c] for c in ("n", "n_subfields", "n_perm", "observed")] == [split[c] for c in ("n", "n_subfields", "n_perm", "observed")]

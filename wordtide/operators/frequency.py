@@ -400,7 +400,8 @@ def permutation_null(corpus: DataFrame, words: Sequence[str] = lexicons.PAIRED,
     dealt = rows.select("base_id", "subfield", F.explode(F.sequence(F.lit(1), F.lit(n_perm))).alias("perm")).select("*", F.explode(literals(words)).alias("word"))
     dealt = ranked(dealt.withColumn("h", seeded(seed, F.col("perm"), F.col("word"), F.col("base_id"))), ["perm", "subfield", "word"], ["h", "base_id"])
     bit = F.element_at(F.create_map(*[F.lit(x) for k, w in enumerate(words) for x in (w, 1 << k)]), F.col("word")).cast("bigint")
-    given = dealt.join(F.broadcast(held), ["subfield", "word"]).where(F.col("rn") < F.col("c"))  # a row per subfield and word
+    held = held.select(F.col("subfield").alias("of_field"), F.col("word").alias("of_word"), "c")  # a row per subfield, null too, and word
+    given = dealt.join(F.broadcast(held), (F.col("word") == F.col("of_word")) & F.col("subfield").eqNullSafe(F.col("of_field"))).where(F.col("rn") < F.col("c"))
     masks = given.groupBy("perm", "base_id").agg(F.bit_or(bit).alias("mask")).groupBy("perm", "mask").agg(F.count("*").alias("c"))
     docs = corpus.agg(F.count("*").alias("docs"), F.count_distinct("subfield").alias("n_subfields"))
     null = _pairs_of(masks, words, "perm").drop("docs", "n1", "n2").join(F.broadcast(observed.select("w1", "w2", "n1", "n2", "docs")), ["w1", "w2"])
