@@ -42,9 +42,9 @@ PRIMARY = "{http://arxiv.org/schemas/atom}primary_category"
 
 
 class Months(InputPartition):
-    """Some months and, where tasks share a pause, the lane whose time slots are used."""
+    """A month (None: there is none to read) or, where tasks share a pause, a lane's months and its number."""
 
-    def __init__(self, months: list[str], lane: int = 0):
+    def __init__(self, months: str | list[str] | None, lane: int = 0):
         super().__init__(months)
         self.lane = lane
 
@@ -198,7 +198,7 @@ def read_lane(options: dict[str, str], partition: Months, begin: float) -> Itera
     feed = getattr(importlib.import_module(module), name)(of["root"])
     pause, lanes = float(of.get("pause", 0)), int(of.get("lanes", 0))
     pace = Slots(pause, partition.lane, lanes, begin) if lanes else Paced(pause)
-    for month in partition.value:
+    for month in [partition.value] if isinstance(partition.value, str) else partition.value or []:
 
         def fetch(start: int, month: str = month) -> bytes:
             pace.wait()
@@ -211,7 +211,7 @@ def read_lane(options: dict[str, str], partition: Months, begin: float) -> Itera
 def dealt(chosen: list[str], lanes: int) -> list[Months]:
     """A partition for each month, or for each lane its share of the months."""
     if not lanes:
-        return [Months([m]) for m in chosen]
+        return [Months(m) for m in chosen]
     return [Months(chosen[k::lanes], k) for k in range(lanes) if chosen[k::lanes]]
 
 
@@ -233,7 +233,7 @@ class FeedReader(DataSourceReader):
 
     def partitions(self) -> list[Months]:
         done = set(filter(None, self.options.get("done", "").split(",")))
-        return dealt([m for m in months(self.first, self.last) if m not in done], int(self.options.get("lanes", 0))) or [Months([])]
+        return dealt([m for m in months(self.first, self.last) if m not in done], int(self.options.get("lanes", 0))) or [Months(None)]
 
     def read(self, partition: Months) -> Iterator[tuple]:
         return read_lane(self.options, partition, self.begin)
