@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Collection, Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -36,11 +37,18 @@ EPOCHS = 3
 RATE = 4.0
 SEED = 13
 _CACHE = 300_000
+#: Words that are scored at a time; a longer text is scored by itself.
+_RUN_WORDS = 50_000
+
+
+def _modulo(h: np.ndarray, buckets: int) -> np.ndarray:
+    """``h % buckets``, by a mask where that is the same."""
+    return (h % np.uint64(buckets) if buckets & (buckets - 1) else h & np.uint64(buckets - 1)).astype(np.int64)
 
 
 def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
     mixed = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-    return ((mixed ^ (mixed >> np.uint64(32))) % np.uint64(buckets)).astype(np.int64)
+    return _modulo(mixed ^ (mixed >> np.uint64(32)), buckets)
 
 
 def subwords(words: Collection[str], buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -66,7 +74,7 @@ def pair_buckets(word_hash: np.ndarray, buckets: int) -> np.ndarray:
     """Buckets of neighbouring words; a word that is repeated at once is the same feature whatever the word."""
     mixed = word_hash[:-1] * np.uint64(0x9E3779B97F4A7C15) + word_hash[1:] * np.uint64(0xC2B2AE3D27D4EB4F)
     mixed[word_hash[:-1] == word_hash[1:]] = 0
-    return ((mixed ^ (mixed >> np.uint64(33))) % np.uint64(buckets)).astype(np.int64)
+    return _modulo(mixed ^ (mixed >> np.uint64(33)), buckets)
 
 
 def features(text: str | None, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -129,44 +137,76 @@ def train(docs: list[tuple[np.ndarray, np.ndarray]], labels: list[int], n_classe
 SCORED = "struct<probabilities:array<double>,n_words:bigint>"
 
 
+class _Numbers(dict):
+    """Numbers its keys in the order in which they are first asked for."""
+
+    def __missing__(self, key: str) -> int:
+        self[key] = n = len(self)
+        return n
+
+
+def _runs(texts: pa.Array) -> Iterator[list[list[str]]]:
+    """The words of each text, in runs of texts of about ``_RUN_WORDS`` words."""
+    run: list[list[str]] = []
+    n = 0
+    for text in texts:
+        run.append((text.as_py() or "").split())
+        n += len(run[-1])
+        if n >= _RUN_WORDS:
+            yield run
+            run, n = [], 0
+    if run:
+        yield run
+
+
 def _scorer(model) -> Column:
     """A UDF from texts to class probabilities and word counts."""
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         per_bucket, bias = model.value
         buckets, n_classes = per_bucket.shape
-        number: dict[str, int] = {}
-        # Per known word: its hash, how many features it has, and their summed scores.
+        of_class = np.ascontiguousarray(per_bucket.T)
+        number = _Numbers()
+        # Per known word: its hash, how many features it has, and their summed scores by class.
         size, hashes = 1024, np.zeros(1024, np.uint64)
-        counts, sums = np.zeros(1024), np.zeros((1024, n_classes))
+        counts, sums = np.zeros(1024), [np.zeros(1024) for _ in range(n_classes)]
         for batch in batches:
-            out, n_words = np.empty((len(batch), n_classes)), np.zeros(len(batch), np.int64)
-            for row, text in enumerate(batch):
-                words = (text.as_py() or "").split()
-                n_words[row] = len(words)
-                if new := list(set(words).difference(number)):
-                    if len(number) > _CACHE:
-                        number.clear()
-                        new = list(set(words))
-                    first = len(number)
-                    number.update(zip(new, range(first, first + len(new)), strict=True))
+            out, n_words = [np.empty((0, n_classes))], [np.empty(0, np.int64)]
+            for words in _runs(batch):
+                if len(number) > _CACHE:
+                    number.clear()
+                first = len(number)
+                n = np.fromiter(map(len, words), np.int64, len(words))
+                known = np.fromiter(map(number.__getitem__, chain.from_iterable(words)), np.int64, n.sum())
+                if len(number) > first:
+                    new = list(islice(reversed(number), len(number) - first))[::-1]
                     while len(number) > size:
                         size *= 2
-                        hashes, counts, sums = np.resize(hashes, size), np.resize(counts, size), np.resize(sums, (size, n_classes))
+                        hashes, counts, sums = np.resize(hashes, size), np.resize(counts, size), [np.resize(x, size) for x in sums]
                     at = slice(first, len(number))
                     hashes[at], ids, of = subwords(new, buckets)
                     counts[at] = np.bincount(of, minlength=len(new))
                     for k in range(n_classes):
-                        sums[at, k] = np.bincount(of, per_bucket[ids, k], len(new))
-                z = bias.astype(np.float64)
-                if words:
-                    known = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
-                    pairs = pair_buckets(hashes[known], buckets)
-                    z = z + (sums[known].sum(axis=0) + per_bucket[pairs].sum(axis=0, dtype=np.float64)) / (counts[known].sum() + len(pairs))
-                p = np.exp(z - z.max())
-                out[row] = p / p.sum()
-            probabilities = pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, n_classes, dtype=np.int32)), pa.array(out.ravel()))
-            yield pa.StructArray.from_arrays([probabilities, pa.array(n_words)], names=["probabilities", "n_words"])
+                        sums[k][at] = np.bincount(of, of_class[k][ids], len(new))
+                z = np.tile(bias.astype(np.float64), (len(words), 1))
+                full = np.flatnonzero(n)
+                stops = np.cumsum(n)[full]
+                starts = stops - n[full]
+                pairs = pair_buckets(hashes[known], buckets)
+                if len(full):
+                    features_of = np.add.reduceat(counts[known], starts) + n[full] - 1
+                    for k in range(n_classes):
+                        scores = sums[k][known]
+                        of_pairs = of_class[k][pairs]
+                        of_pairs[stops[:-1] - 1] = 0  # the last word of a text and the first of the next are no pair
+                        scores[:-1] += of_pairs
+                        z[full, k] += np.add.reduceat(scores, starts) / features_of
+                p = np.exp(z - z.max(axis=1, keepdims=True))
+                out.append(p / p.sum(axis=1, keepdims=True))
+                n_words.append(n)
+            flat = np.concatenate(out).ravel()
+            probabilities = pa.ListArray.from_arrays(pa.array(np.arange(0, flat.size + 1, n_classes, dtype=np.int32)), pa.array(flat))
+            yield pa.StructArray.from_arrays([probabilities, pa.array(np.concatenate(n_words))], names=["probabilities", "n_words"])
 
     # Not deterministic for the planner only: a filter on the score must not evaluate it twice.
     def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
