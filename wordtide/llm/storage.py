@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import ctypes
 import gc
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wordtide.sources.shared import fresh_path
+from wordtide.sources.shared import give_back as give_back
+from wordtide.sources.shared import trimmed as trimmed
 
 def drop(spark: SparkSession, path: str) -> None:
     """Remove a table that no later plan reads."""
@@ -41,25 +41,6 @@ def settle(df: DataFrame, label: str) -> DataFrame:
         spark.conf.unset(setting) if before is None else spark.conf.set(setting, before)
 
 
-def give_back() -> None:
-    """Hands freed memory back to the system, where the C library can."""
-    pa.default_memory_pool().release_unused()
-    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
-        trim(0)
-
-
-def trimmed(f: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """``f`` over batches; the worker, which Spark uses again, keeps none of the memory that it took."""
-
-    def run(batches: Iterator) -> Iterator:
-        try:
-            yield from f(batches)
-        finally:
-            give_back()
-
-    return run
-
-
 def clear(spark: SparkSession) -> None:
     """Has Spark delete the shuffle files of finished steps: it does when the driver collects the plans that made them, which else may be late."""
     gc.collect()

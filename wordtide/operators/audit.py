@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from re import _constants as rx
 from re import _parser
 
 import ahocorasick
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wordtide.functions import lexicons, stats
-from wordtide.sources.shared import materialise
+from wordtide.sources.shared import materialise, trimmed
 
 # Texts
 
@@ -74,9 +75,8 @@ def required_literals(pattern: str) -> list[str] | None:
     return best(_parser.parse(pattern))
 
 
-def candidates(text: Column, patterns: Sequence[str]) -> Column:
-    """An array of flags: which patterns have a required literal in the text (all flags of patterns without one are set). An Aho-Corasick automaton reads
-    each text once, whatever the number of patterns; it ignores case more widely than the patterns do, so it names too many, never too few."""
+def flagged(patterns: Sequence[str]) -> Callable[[Iterator[pa.Array]], Iterator[pa.Array]]:
+    """From batches of texts to the flags of ``candidates``. One text at a time becomes a string, so a worker holds Spark's batch and little else."""
     needed = [required_literals(p) for p in patterns]
     always = [not n for n in needed]
     of: dict[str, list[int]] = {}
@@ -84,25 +84,38 @@ def candidates(text: Column, patterns: Sequence[str]) -> Column:
         for x in literals or ():
             of.setdefault(x, []).append(k)
 
-    @F.pandas_udf("array<boolean>")
-    def flags(texts: pd.Series) -> pd.Series:
+    def flags(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         automaton = ahocorasick.Automaton()
         for x, ks in of.items():
             automaton.add_word(x, ks)
         automaton.make_automaton()
-        out = []
-        for t in texts:
-            found, left = list(always), len(always) - sum(always)
-            for _, ks in automaton.iter(t.lower()) if t and of else ():
-                for k in ks:
-                    left -= not found[k]
-                    found[k] = True
-                if not left:
-                    break
-            out.append(found)
-        return pd.Series(out)
-
-    return flags(text)
+        for batch in batches:
+            out = np.empty((len(batch), len(always)), bool)
+            for row, text in enumerate(batch):
+                t = text.as_py()
+                found, left = list(always), len(always) - sum(always)
+                for _, ks in automaton.iter(t.lower()) if t and of else ():
+                    for k in ks:
+                        left -= not found[k]
+                        found[k] = True
+                    if not left:
+                        break
+                out[row] = found
+            ends = np.arange(len(batch) + 1, dtype=np.int32) * np.int32(len(always))
+            yield pa.ListArray.from_arrays(pa.array(ends), pa.array(out.ravel()))
+
+    return flags
+
+
+def candidates(text: Column, patterns: Sequence[str]) -> Column:
+    """An array of flags: which patterns have a required literal in the text (all flags of patterns without one are set). An Aho-Corasick automaton reads
+    each text once, whatever the number of patterns; it ignores case more widely than the patterns do, so it names too many, never too few."""
+    run = flagged(patterns)
+
+    def flags(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from trimmed(run)(batches)
+
+    return F.arrow_udf(flags, "array<boolean>")(text)
 
 
 def gated_hits(texts: DataFrame, key: str, text: str, patterns: Sequence[tuple[int, str]], around: int = 40) -> DataFrame:
