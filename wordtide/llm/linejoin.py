@@ -2,7 +2,7 @@
 
 A line is the set of its distinct words. Lines with equal sets are one class. Two classes match at a Jaccard
 similarity of at least 0.75. Words are put in one global order by rarity: counts over all texts, kept in a table of
-fixed size indexed by a hash of the word, ties by the hash (any order gives the same matches; rarity makes few
+fixed size indexed by a hash of the word, as levels of 16 bits, ties by the hash (any order gives the same matches; rarity makes few
 candidates). Classes that share a word of their prefixes are candidates if sizes, the positions of the shared
 word and a parity bitmap of the sets leave the required overlap possible. Every candidate is verified on full sets, so the join is exact.
 
@@ -20,7 +20,7 @@ No pair ever becomes a row. Steps (``matches``):
 4. the sets of each group's classes are read again from the documents that hold them and meet in one place, large groups in pairs of
    blocks of bounded size. All overlaps within are counted; the numbers of matches and the earliest match of each class leave.
 
-What the driver holds: the count table and the slots of what to read again, all of fixed size. Shuffle files of finished steps are given up
+What the driver holds: the table of levels and the slots of what to read again, all of fixed size. Shuffle files of finished steps are given up
 in between.
 
 Defined results: null text has no lines; every line with at least ``min_tokens`` (1) distinct words is a unit; rows
@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .storage import clear, drop, save, trimmed
+from .storage import clear, drop, give_back, save, trimmed
 
 MIN_TOKENS = 1
 #: Distinct words from which a set can match one that does not equal it (2 of 3 words are under 0.75, 3 of 4 are not).
@@ -51,7 +51,8 @@ HOT = 4096
 NUMERATOR, DENOMINATOR = 75, 100
 #: Entries of the count table.
 TABLE = 1 << 22
-RANK_BITS = 22
+#: Bits of a count that its level keeps.
+EXACT_BITS = 11
 #: Sizes and positions from here on are not told apart by the filters.
 MOST = (1 << 15) - 1
 #: Occurrences of a word in one block, and words of the sets in one block of a group.
@@ -90,13 +91,13 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     eight = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
     size = ends - starts
     masks = np.array([(1 << 8 * k) - 1 for k in range(8)] + [2**64 - 1], np.uint64)
-    out = size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    at = np.arange(len(size))
-    for k in range(0, _LONG_WORD, 8):
-        if k:
+    out = _mixed(size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ (eight[starts] & masks[np.minimum(size, 8)]))
+    at = np.flatnonzero(size > 8)
+    for k in range(8, _LONG_WORD, 8):
+        if k > 8:
             at = at[size[at] > k]
-            if not len(at):
-                break
+        if not len(at):
+            break
         part = eight[starts[at] + k] & masks[np.minimum(size[at] - k, 8)]
         out[at] = _mixed(out[at] ^ part)
     for k in np.flatnonzero(size > _LONG_WORD):
@@ -113,7 +114,7 @@ def lines_of(texts: list[bytes]) -> Lines:
     edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
     starts, ends = edges[0::2], edges[1::2]
     breaks = np.flatnonzero(data[: len(body)] == 10)
-    line = np.searchsorted(breaks, starts) - 1
+    line = np.repeat(np.arange(-1, len(breaks)), np.diff(np.searchsorted(starts, breaks), prepend=0, append=len(starts)))
     new = np.concatenate([[True], line[1:] != line[:-1]])[: len(line)]
     used, line = line[new], np.cumsum(new) - 1
     begins, stops = breaks[:-1] + 1, breaks[1:]
@@ -126,18 +127,17 @@ def lines_of(texts: list[bytes]) -> Lines:
 def _sorted_words(line: np.ndarray, word: np.ndarray, rank: np.ndarray | None = None) -> np.ndarray:
     """Where the distinct words of each line stand, by line, rank (if given) and hash. ``line`` ascends.
 
-    Line, rank, as many bits of the hash as there is room for, and the place go into one number, as plain numbers sort fastest. If two words
-    of a line agree in all of these but the place, all bits are sorted by."""
+    Line, rank, as many bits of the hash as there is room for, and the place go into one number, as plain numbers sort fastest. Where two words
+    of a line agree in all of these but the place, they are sorted again by all bits."""
     if not len(line):
         return np.empty(0, np.int64)
     places = len(line).bit_length()
-    room = 64 - places - int(line[-1]).bit_length() - (0 if rank is None else RANK_BITS)
-    order = None
+    room = 64 - places - int(line[-1]).bit_length() - (0 if rank is None else 8 * rank.itemsize)
     if room >= 0:
         key = word >> np.uint64(64 - room) if room else np.zeros(len(word), np.uint64)
         if rank is not None:
             key |= rank.astype(np.uint64) << np.uint64(room)
-            room += RANK_BITS
+            room += 8 * rank.itemsize
         if room < 64:
             key |= line.astype(np.uint64) << np.uint64(room)
         key = np.sort(key << np.uint64(places) | np.arange(len(line), dtype=np.uint64))
@@ -146,8 +146,13 @@ def _sorted_words(line: np.ndarray, word: np.ndarray, rank: np.ndarray | None =
         same = key[1:] == key[:-1]
         equal = same & (word[order[1:]] == word[order[:-1]])
         if (same != equal).any():
-            order = None
-    if order is None:
+            run = np.concatenate([[0], np.cumsum(~same)])
+            mixed = np.zeros(run[-1] + 1, bool)
+            mixed[run[1:][same != equal]] = True
+            at = np.flatnonzero(mixed[run])
+            order[at] = order[at][np.lexsort((word[order[at]], run[at]))]
+            equal = same & (word[order[1:]] == word[order[:-1]])
+    else:
         order = np.lexsort((word, line) if rank is None else (word, rank, line))
         equal = (line[order[1:]] == line[order[:-1]]) & (word[order[1:]] == word[order[:-1]])
     return order[np.concatenate([[True], ~equal])]
@@ -211,6 +216,8 @@ DESCRIBED = f"doc_id bigint, mark bigint, lines array<{LINE}>, block int, counts
 def _char_offsets(texts: list[bytes], text: np.ndarray, *at: np.ndarray) -> list[np.ndarray]:
     """Byte offsets in texts as offsets in characters."""
     data = np.frombuffer(b"".join(texts), np.uint8)
+    if not len(data) or data.max() < 0x80:
+        return list(at)
     heads = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
     begins = np.concatenate([[0], np.cumsum([len(t) for t in texts])])[text]
     return [heads[begins + x] - heads[begins] for x in at]
@@ -245,37 +252,55 @@ def _describe(min_tokens: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
     return run
 
 
-def _sum_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(block, counts) of each block, all rows of which are in this task."""
-    total: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for block, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            n = len(packed) // 6
-            at, counts = np.frombuffer(packed, "<u2", n), np.frombuffer(packed, "<i4", n, 2 * n)
-            total.setdefault(block, np.zeros(_BLOCK, np.int64))[at] += counts
-    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["block", "counts"])
+def levels(counts: np.ndarray) -> np.ndarray:
+    """Counts in 16 bits and in their order: themselves below 2 ** EXACT_BITS, above that their exponent and first EXACT_BITS bits."""
+    more = np.maximum(np.frexp(counts.astype(np.float64))[1] - EXACT_BITS, 0)
+    return ((more << (EXACT_BITS - 1)) + (counts >> more)).astype(np.uint16)
+
+
+SUMMED = "block int, levels binary, hot binary, words bigint"
+
+
+def _sum_blocks(block_rows: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of each block, all rows of which are in this task: its levels, the entries of very many occurrences with their counts, and its words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                data = packed.as_buffer()
+                n = data.size // 6
+                at, counts = np.frombuffer(data, "<u2", n), np.frombuffer(data, "<i4", n, 2 * n)
+                if block not in total:
+                    total[block] = np.zeros(_BLOCK, np.int64)
+                total[block][at] += counts
+        for block, counts in total.items():
+            hot = np.flatnonzero(counts > block_rows)
+            packed = np.stack([hot + block * _BLOCK, counts[hot]]).astype("<i8").tobytes()
+            columns = [pa.array([block], pa.int32()), pa.array([levels(counts).astype("<u2").tobytes()]), pa.array([packed]), pa.array([int(counts.sum())])]
+            yield pa.RecordBatch.from_arrays(columns, names=["block", "levels", "hot", "words"])
+
+    return run
 
 
 class Order(NamedTuple):
-    """The rank of every entry of the count table, rarest first; how many hold one word occurrence or none; the entries of very many
-    occurrences, and the number of blocks of each."""
+    """The level of every entry of the count table; the entries of very many occurrences, ascending, and the number of blocks of each; all words."""
 
-    rank: np.ndarray
-    single: int
+    level: np.ndarray
     hot: np.ndarray
     blocks: np.ndarray
     words: int
 
 
 def rarity(described: DataFrame, block_rows: int = BLOCK_ROWS) -> Order:
-    counts = np.zeros(TABLE, np.int64)
-    summed = described.where("block IS NOT NULL").select("block", "counts").repartition("block").mapInArrow(_sum_blocks, "block int, counts binary")
-    for row in summed.toLocalIterator():  # TABLE / _BLOCK rows
-        counts[row[0] * _BLOCK : (row[0] + 1) * _BLOCK] = np.frombuffer(row[1], np.int64)
-    rank = np.empty(TABLE, np.uint32)
-    rank[np.argsort(counts, kind="stable")] = np.arange(TABLE, dtype=np.uint32)
-    hot = np.flatnonzero(counts > block_rows)
-    return Order(rank, int((counts <= 1).sum()), hot, -(-counts[hot] // block_rows), int(counts.sum()))
+    level = np.zeros(TABLE, np.uint16)
+    summed = described.where("block IS NOT NULL").select("block", "counts").repartition("block").mapInArrow(trimmed(_sum_blocks(block_rows)), SUMMED)
+    rows = summed.collect()  # TABLE / _BLOCK rows, 2 * TABLE bytes
+    for row in rows:
+        level[row["block"] * _BLOCK : (row["block"] + 1) * _BLOCK] = np.frombuffer(row["levels"], "<u2")
+    hot, counts = np.concatenate([np.empty((2, 0), np.int64), *(np.frombuffer(row["hot"], "<i8").reshape(2, -1) for row in rows)], axis=1)
+    order = np.argsort(hot)
+    return Order(level, hot[order], -(-counts[order] // block_rows), sum(row["words"] for row in rows))
 
 
 def needed_prefix(sizes: np.ndarray) -> np.ndarray:
@@ -343,14 +368,14 @@ def _prefixes(order, min_tokens: int, n_parts: int) -> Callable[[Iterator[pa.Rec
     """Rows ``PACKED`` of the words of the prefixes that another line can hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks, single, hot, blocks, _ = Order(*order.value)
+        level_of, hot, blocks, _ = Order(*order.value)
         seen: set[int] = set()
         found: list[Prefix] = []
         for batch in batches:
             for _, texts in _slices(batch.column(0)):
                 lines = lines_of(texts)
-                rank = ranks[(lines.word & np.uint64(TABLE - 1)).astype(np.int64)]
-                chosen = _sorted_words(lines.line, lines.word, rank)
+                level = level_of[(lines.word & np.uint64(TABLE - 1)).astype(np.int64)]
+                chosen = _sorted_words(lines.line, lines.word, level)
                 sets, line = sets_of(lines, chosen, min_tokens)
                 if not len(sets.size):
                     continue
@@ -364,7 +389,7 @@ def _prefixes(order, min_tokens: int, n_parts: int) -> Callable[[Iterator[pa.Rec
                 new &= (sets.size >= LEAST_SIMILAR) & (sets.size >= min_tokens)
                 place = np.arange(len(line)) - np.concatenate([[0], np.cumsum(sets.size)])[:-1][line]
                 # A word that stands in one line only matches nothing; sets of one or two words match equal sets only, which are one class.
-                keep = new[line] & (place < needed_prefix(sets.size)[line]) & (rank[chosen] >= single)
+                keep = new[line] & (place < needed_prefix(sets.size)[line]) & (level[chosen] > 1)
                 of, at = line[keep], np.minimum(place[keep], MOST).astype(np.int32)
                 word, i1 = lines.word[chosen][keep], sets.i1[of]
                 slot = np.searchsorted(hot, (word & np.uint64(TABLE - 1)).astype(np.int64))
@@ -666,10 +691,11 @@ def matches(docs: DataFrame, min_tokens: int = MIN_TOKENS, block_rows: int = BLO
     context = spark.sparkContext
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("mark"), F.col("text").cast("string").alias("text"))
     described, _ = save(texts.mapInArrow(trimmed(_describe(min_tokens)), DESCRIBED), "described")
-    ranks = rarity(described, block_rows)
-    order = context.broadcast(tuple(ranks))
+    order = rarity(described, block_rows)
     # Of 47 words, 12 are in the prefix.
-    n_parts = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), ranks.words * 3 // 10 // PART_ROWS)
+    n_parts = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), order.words * 3 // 10 // PART_ROWS)
+    order = context.broadcast(tuple(order))
+    give_back()
     prefixes = texts.select("text").mapInArrow(trimmed(_prefixes(order, min_tokens, n_parts)), PACKED)
     edges = prefixes.repartition("part").sortWithinPartitions("part").mapInArrow(trimmed(_forests), "a bigint, b bigint")
     edges, of_edges = save(edges, "edges")
